@@ -20,6 +20,7 @@ def get_spark(master: str | None = None, app: str = "papersieve",
     if master:
         b = b.master(master)
     b = (b.config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -78,3 +79,16 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
 
 def tables_dir_default() -> str:
     return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+
+
+def spread(df: DataFrame, key: str = "paper_id", min_partitions: int | None = None) -> DataFrame:
+    """Give CPU-heavy per-row work (regex over whole texts) enough tasks.
+
+    When the scan already has at least one partition per core (any real
+    input: 128 MB splits of a large table) this is a no-op.  Only a small
+    input with fewer splits than cores is hash-partitioned by ``key``, which
+    also co-partitions it for the later joins on that key."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key)

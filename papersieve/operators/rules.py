@@ -63,13 +63,22 @@ class RuleProvider:
                         rule_evidence(text, qid, self.rules).alias("evidence"))
 
     def answers_map(self, text: Column, qids: Iterable[str] | None = None) -> Column:
-        """map<question_id, struct<answer, evidence>> for one paper, no shuffle."""
+        """map<question_id, answer> for one paper, no shuffle.  Evidence is
+        not materialised here; ``evidence_for`` extracts it only for the
+        questions a walk actually asks."""
         qids = list(qids or self.question_ids)
         kv = []
         for q in qids:
-            kv += [F.lit(q), self.answer_struct(text, q)]
+            kv += [F.lit(q), rule_answer(text, q, self.rules)]
         return F.create_map(*kv)
 
+    def evidence_for(self, text: Column, qid: Column) -> Column:
+        """Evidence of the question named by column ``qid`` (one branch runs)."""
+        out = F.lit(None).cast("string")
+        for q in self.question_ids:
+            out = F.when(qid == q, rule_evidence(text, q, self.rules)).otherwise(out)
+        return out
+
     def answer_wide(self, df: DataFrame, text: Column,
                     qids: Iterable[str] | None = None) -> DataFrame:
         """One answer column per question."""

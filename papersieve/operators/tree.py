@@ -82,6 +82,21 @@ def enrich_nodes(nodes: DataFrame) -> DataFrame:
     return out.withColumn("unsure_id", unsure)
 
 
+# a model up to this many nodes is materialised once as a local relation
+LOCAL_MODEL_MAX_NODES = 200_000
+
+
+def materialize_model(nodes: DataFrame, known_rows: int | None = None) -> DataFrame:
+    """Compute a (small, bounded) model table once instead of re-planning its
+    lineage at every walk level: a local relation when it is small, else a
+    reliable checkpoint in the shared checkpoint folder."""
+    n = known_rows if known_rows is not None else nodes.count()
+    if n <= LOCAL_MODEL_MAX_NODES:
+        return nodes.sparkSession.createDataFrame(nodes.collect(), nodes.schema)
+    from ..config import cut_lineage
+    return cut_lineage(nodes)
+
+
 def _walk_nodes(nodes: DataFrame, known_rows: int | None) -> DataFrame:
     cols = ["tree_id", "node_id", "feature", "threshold", "left_id", "right_id",
             "unsure_id", "left_p1", "right_p1", "p1", "is_leaf"]
@@ -92,11 +107,14 @@ def _walk_nodes(nodes: DataFrame, known_rows: int | None) -> DataFrame:
 
 def walk(df: DataFrame, nodes: DataFrame, values_col: str = "answers",
          mode: str = "answers", max_depth: int | None = None,
-         trace: bool = True, node_rows: int | None = None) -> DataFrame:
+         trace: bool = True, node_rows: int | None = None,
+         evidence_fn=None) -> DataFrame:
     """Walk every row of ``df`` down the tree(s) in ``nodes``.
 
-    mode="answers" (C2): ``values_col`` is map<question, struct<answer,
-    evidence>>; NO goes left, YES right, UNSURE to ``unsure_id``.
+    mode="answers" (C2): ``values_col`` is map<question, answer> or
+    map<question, struct<answer, evidence>>; NO goes left, YES right, UNSURE
+    to ``unsure_id``.  ``evidence_fn(question_col)`` supplies evidence for
+    plain answer maps, evaluated only for the step actually taken.
     mode="encoded" (M10): ``values_col`` is map<question, double>; value <=
     threshold goes left.  A missing answer stops the walk with status
     'unanswered' and a null probability.
@@ -109,6 +127,7 @@ def walk(df: DataFrame, nodes: DataFrame, values_col: str = "answers",
         stats = nodes.agg(F.max("depth").alias("d"), F.count(F.lit(1)).alias("n")).first()
         max_depth = stats["d"] if max_depth is None else max_depth
         node_rows = stats["n"] if node_rows is None else node_rows
+    nodes = materialize_model(nodes, node_rows)
     nb = _walk_nodes(nodes, node_rows)
     if "tree_id" not in df.columns:
         tid = nodes.select("tree_id").distinct()
@@ -120,13 +139,21 @@ def walk(df: DataFrame, nodes: DataFrame, values_col: str = "answers",
         state = state.withColumn("trace", F.array().cast(T.ArrayType(TRACE_STEP)))
     base_cols = state.columns
     on = ["tree_id", "_node"]
+    vtype = df.schema[values_col].dataType.valueType if mode == "answers" else None
+    structured = isinstance(vtype, T.StructType)
     for step in range(max_depth):
         j = state.join(nb.withColumnRenamed("_n_tree_id", "tree_id")
                          .withColumnRenamed("_n_node_id", "_node"), on, "left")
         walking = (F.col("status") == "walking") & ~F.col("_n_is_leaf")
         if mode == "answers":
             a = F.try_element_at(F.col(values_col), F.col("_n_feature"))
-            ans = a.getField("answer")
+            ans = a.getField("answer") if structured else a
+            if structured:
+                ev = a.getField("evidence")
+            elif evidence_fn is not None:
+                ev = evidence_fn(F.col("_n_feature"))
+            else:
+                ev = F.lit(None).cast("string")
             nxt = (F.when(ans == "NO", F.col("_n_left_id"))
                     .when(ans == "YES", F.col("_n_right_id"))
                     .when(ans == "UNSURE", F.col("_n_unsure_id")))
@@ -147,7 +174,7 @@ def walk(df: DataFrame, nodes: DataFrame, values_col: str = "answers",
                      .otherwise(F.col("_n_right_p1"))
             item = F.struct(F.lit(step).alias("step"), F.col("_node").alias("node_id"),
                             F.col("_n_feature").alias("question_id"),
-                            ans.alias("answer"), a.getField("evidence").alias("evidence"),
+                            ans.alias("answer"), ev.alias("evidence"),
                             score.alias("inclusion_score"))
             upd["trace"] = F.when(moved, F.array_append(F.col("trace"), item)) \
                             .otherwise(F.col("trace"))

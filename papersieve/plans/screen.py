@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..config import spread
 from ..constants import DECISION_THRESHOLD, DEFAULT_MODEL_NAME, EXCLUSION_REASONS
 from ..functions.answers import decide
 from ..functions.text import clean_text
@@ -22,7 +23,7 @@ from ..operators.tree import TRACE_STEP, walk
 
 def prepare(papers: DataFrame) -> DataFrame:
     """F1 -> F2 on title and abstract; ``text`` is what providers read."""
-    return (papers.withColumn("title_clean", clean_text("title"))
+    return (spread(papers).withColumn("title_clean", clean_text("title"))
                   .withColumn("abstract_clean", clean_text("abstract"))
                   .withColumn("text", paper_text("title_clean", "abstract_clean")))
 
@@ -34,7 +35,8 @@ def with_answers(prepared: DataFrame, provider: RuleProvider | None = None,
 
 
 def exclusion_columns(answers: Column, confirm: Column | None = None,
-                      reasons=EXCLUSION_REASONS, candidates: Column | None = None) -> list[Column]:
+                      reasons=EXCLUSION_REASONS, candidates: Column | None = None,
+                      evidence_fn=None) -> list[Column]:
     """C1 in-row: candidates = reasons answered YES or UNSURE (or an external
     multi-select's ids, in its order); confirmed = first candidate whose
     confirmation answer is YES.  An out-of-range id is ``invalid``."""
@@ -45,12 +47,12 @@ def exclusion_columns(answers: Column, confirm: Column | None = None,
         candidates = F.filter(
             F.sequence(F.lit(0), F.lit(n - 1)),
             lambda i: F.try_element_at(answers, F.element_at(rq, i + 1))
-                       .getField("answer").isin("YES", "UNSURE"))
+                       .isin("YES", "UNSURE"))
     invalid = F.exists(candidates, lambda i: (i < 0) | (i >= n))
     confirmed = F.filter(
         candidates,
         lambda i: ((i >= 0) & (i < n)) &
-        (F.try_element_at(confirm, F.try_element_at(rq, i + 1)).getField("answer") == "YES"))
+        (F.try_element_at(confirm, F.try_element_at(rq, i + 1)) == "YES"))
     first = F.try_element_at(confirmed, F.lit(1))
     qid = F.try_element_at(rq, first + 1)
     return [
@@ -59,7 +61,8 @@ def exclusion_columns(answers: Column, confirm: Column | None = None,
          .otherwise(F.lit("pass")).alias("exclusion_status"),
         first.alias("excluded_reason"),
         qid.alias("excluded_by"),
-        F.try_element_at(confirm, qid).getField("evidence").alias("exclusion_evidence"),
+        (evidence_fn(qid) if evidence_fn is not None else F.lit(None).cast("string"))
+        .alias("exclusion_evidence"),
     ]
 
 
@@ -67,14 +70,18 @@ def exclusion_check(prepared: DataFrame, provider: RuleProvider | None = None,
                     reasons=EXCLUSION_REASONS) -> DataFrame:
     provider = provider or RuleProvider()
     d = prepared.withColumn("_ex", provider.answers_map(F.col("text"), reasons))
-    return d.select("*", *exclusion_columns(F.col("_ex"), reasons=reasons)).drop("_ex")
+    ev = lambda q: provider.evidence_for(F.col("text"), q)
+    return d.select("*", *exclusion_columns(F.col("_ex"), reasons=reasons,
+                                            evidence_fn=ev)).drop("_ex")
 
 
 def tree_walk(papers: DataFrame, nodes: DataFrame, provider: RuleProvider | None = None,
               qids=None, trace: bool = True) -> DataFrame:
     """C2 eager: every question of the tree answered in-row, then walked."""
+    provider = provider or RuleProvider()
     d = with_answers(prepare(papers), provider, qids)
-    return walk(d, nodes, "answers", trace=trace)
+    return walk(d, nodes, "answers", trace=trace,
+                evidence_fn=lambda q: provider.evidence_for(F.col("text"), q))
 
 
 def screen(papers: DataFrame, nodes: DataFrame, provider: RuleProvider | None = None,
@@ -87,8 +94,9 @@ def screen(papers: DataFrame, nodes: DataFrame, provider: RuleProvider | None =
     provider = provider or RuleProvider()
     qids = list(qids or provider.question_ids)
     d = prepare(papers).withColumn("answers", provider.answers_map(F.col("text"), qids))
-    d = d.select("*", *exclusion_columns(F.col("answers"), reasons=reasons))
-    w = walk(d, nodes, "answers", trace=True)
+    ev = lambda q: provider.evidence_for(F.col("text"), q)
+    d = d.select("*", *exclusion_columns(F.col("answers"), reasons=reasons, evidence_fn=ev))
+    w = walk(d, nodes, "answers", trace=True, evidence_fn=ev)
     excluded = F.col("exclusion_status") == "excluded"
     ex_trace = F.array(F.struct(
         F.lit(0).alias("step"), F.lit(None).cast("int").alias("node_id"),
