@@ -96,7 +96,8 @@ def parse_payload(col) -> Column:
 
 def valid_answer(parsed) -> Column:
     """True when the parsed payload carries an answer from the vocabulary."""
-    return _c(parsed).getField("answer").getField("answer").isin(*ANSWERS)
+    return F.coalesce(_c(parsed).getField("answer").getField("answer").isin(*ANSWERS),
+                      F.lit(False))
 
 
 def cache_payload(answer, evidence, prompt_tokens, completion_tokens) -> Column:

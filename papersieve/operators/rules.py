@@ -72,6 +72,14 @@ class RuleProvider:
             kv += [F.lit(q), rule_answer(text, q, self.rules)]
         return F.create_map(*kv)
 
+    def answer_for(self, text: Column, qid: Column) -> Column:
+        """Answer to the question named by column ``qid`` (one branch runs);
+        null for a question without a rule."""
+        out = F.lit(None).cast("string")
+        for q in self.question_ids:
+            out = F.when(qid == q, rule_answer(text, q, self.rules)).otherwise(out)
+        return out
+
     def evidence_for(self, text: Column, qid: Column) -> Column:
         """Evidence of the question named by column ``qid`` (one branch runs)."""
         out = F.lit(None).cast("string")

@@ -205,3 +205,293 @@ def q_leaf_recall(spark, sf_dir):
 
 
 _ = RULES
+
+
+# ================================================================ batch 2
+from ..constants import FEATURE_ORDER  # noqa: E402
+from ..operators import conflicts as CF  # noqa: E402
+from ..operators import features as FT  # noqa: E402
+from ..operators import split as SP  # noqa: E402
+from ..operators import store as ST  # noqa: E402
+from . import extract as X  # noqa: E402
+from .lazy import lazy_screen, lazy_walk  # noqa: E402
+
+FEATS = FEATURE_ORDER
+FEAT_SQL = ", ".join(FEATS)
+
+
+def live(spark, sf_dir):
+    log = S.answer_log(spark, sf_dir)
+    asof = log.agg((F.max("answered_at") + F.expr("INTERVAL 15 DAYS")).alias("_asof"))
+    return ST.live_answers(log.crossJoin(asof), F.col("_asof")).drop("_asof")
+
+
+# ---------------------------------------------------------------- S3, F8, W4, A9, A10
+
+@register("answers_scan", "WITH " + O.log_cte() +
+          " SELECT event_id, paper_id, question_id, answer, evidence, prompt_tokens, "
+          "completion_tokens, valid FROM alog")
+def q_answers_scan(spark, sf_dir):
+    return ST.parse_log(S.answer_log(spark, sf_dir)).select(
+        "event_id", "paper_id", "question_id", "answer", "evidence", "prompt_tokens",
+        "completion_tokens", "valid")
+
+
+@register("live_answers", "WITH " + O.live_cte() +
+          " SELECT paper_id, question_id, event_id, answer FROM live")
+def q_live_answers(spark, sf_dir):
+    return live(spark, sf_dir).select("paper_id", "question_id", "event_id", "answer")
+
+
+@register("token_usage", "WITH " + O.live_cte() +
+          " SELECT paper_id, sum(prompt_tokens)::BIGINT AS input_tokens, "
+          "sum(completion_tokens)::BIGINT AS output_tokens, count(*) AS n_answers "
+          "FROM live GROUP BY paper_id")
+def q_token_usage(spark, sf_dir):
+    return ST.token_usage(live(spark, sf_dir))
+
+
+@register("answer_completeness", "WITH " + O.live_cte() +
+          " SELECT paper_id, n_answered, 8 AS n_required, CASE WHEN n_answered = 8 THEN "
+          "'complete' ELSE 'incomplete' END AS status FROM (SELECT paper_id, "
+          "count(DISTINCT question_id) AS n_answered FROM live GROUP BY paper_id)")
+def q_answer_completeness(spark, sf_dir):
+    return ST.answer_completeness(live(spark, sf_dir), FEATS)
+
+
+# ---------------------------------------------------------------- A1, F3, J1
+
+PIVOT_SQL = "WITH " + O.live_cte() + ", pv AS (" + O.pivot_sql("live") + ")"
+ENC_SQL = (PIVOT_SQL + ", enc AS (SELECT paper_id, " +
+           ", ".join(f"{O.encode_sql(f, f)} AS {f}" for f in FEATS) + " FROM pv WHERE " +
+           " AND ".join(f"{f} IS NOT NULL" for f in FEATS) + ")")
+
+
+@register("pivot_answers", PIVOT_SQL + " SELECT * FROM pv")
+def q_pivot_answers(spark, sf_dir):
+    return FT.pivot_answers(live(spark, sf_dir), FEATS)
+
+
+@register("encode_answers", ENC_SQL + " SELECT * FROM enc")
+def q_encode_answers(spark, sf_dir):
+    wide = FT.complete_rows(FT.pivot_answers(live(spark, sf_dir), FEATS), FEATS)
+    return FT.encode_features(wide, FEATS)
+
+
+@register("labelled_features", ENC_SQL + ", " + O.labels_cte() +
+          " SELECT e.*, l.label FROM enc e JOIN lab l USING (paper_id)")
+def q_labelled_features(spark, sf_dir):
+    wide = FT.complete_rows(FT.pivot_answers(live(spark, sf_dir), FEATS), FEATS)
+    return FT.labelled_features(FT.encode_features(wide, FEATS), S.labels(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- J2, F6, C5, C6
+
+def _bank():
+    from ..sources.questions import question_rows
+    return question_rows()
+
+
+BANK_VALUES = ", ".join(f"({O.q(qid)}, {O.q(text)})" for qid, text, _c, _ie in _bank())
+
+
+@register("work_list",
+          f"WITH {O.docs_cte()}, qb(question_id, question) AS (VALUES {BANK_VALUES}) "
+          "SELECT d.paper_id, qb.question_id, 'llm-single-question:' || sha256(to_json("
+          "{'title': '', 'abstract': d.text, 'question': qb.question, 'model': 'rules-v1', "
+          "'mode': 'single'})) AS answer_key FROM docs d CROSS JOIN qb")
+def q_work_list(spark, sf_dir):
+    return X.work_list(prepare(S.papers(spark, sf_dir)), X.questions_df(spark), n_questions=29)
+
+
+def _reason_texts():
+    bank = {qid: text for qid, text, _c, _ie in _bank()}
+    from ..constants import EXCLUSION_REASONS
+    return [bank[r] for r in EXCLUSION_REASONS]
+
+
+def _prompts_sql():
+    feats = [(qid, text) for qid, text, _c, _ie in _bank() if qid in FEATS]
+    vals = ", ".join(f"({O.q(a)}, {O.q(b)})" for a, b in feats)
+    reasons = "\n".join(f"{i}: {t}" for i, t in enumerate(_reason_texts()))
+    paper = "'Title: ' || '' || chr(10) || chr(10) || 'Abstract: ' || d.text"
+    return (f"WITH {O.docs_cte()}, qb(question_id, question) AS (VALUES {vals}) "
+            f"SELECT d.paper_id, qb.question_id, 'single' AS mode, {O.q(X.SYSTEM_SINGLE)} AS system, "
+            f"{paper} || chr(10) || chr(10) || 'Question: ' || qb.question AS user "
+            "FROM docs d CROSS JOIN qb UNION ALL "
+            f"SELECT d.paper_id, NULL AS question_id, 'exclusion' AS mode, "
+            f"{O.q(X.SYSTEM_EXCLUSION)} AS system, {paper} || chr(10) || chr(10) || "
+            f"'Exclusion reasons:' || chr(10) || {O.q(reasons)} AS user FROM docs d")
+
+
+@register("prompts", _prompts_sql())
+def q_prompts(spark, sf_dir):
+    return X.prompts(prepare(S.papers(spark, sf_dir)), X.questions_df(spark, FEATS),
+                     _reason_texts(), n_questions=len(FEATS))
+
+
+@register("extract_long",
+          f"WITH {O.docs_cte()}, {O.rules_wide_cte()} SELECT paper_id, 'complete' AS status, "
+          "0::BIGINT AS input_tokens, 0::BIGINT AS output_tokens, " +
+          ", ".join(f"{O.encode_sql(x, x)} AS {x}" for x in O.RULE_QIDS) + " FROM rw")
+def q_extract_long(spark, sf_dir):
+    return X.extract_long(prepare(S.papers(spark, sf_dir)))
+
+
+@register("extract_unpivot",
+          f"WITH {O.docs_cte()} " + " UNION ALL ".join(
+              f"SELECT paper_id, '{x}' AS question_id, {O.rule_sql(x)} AS answer FROM docs"
+              for x in O.RULE_QIDS))
+def q_extract_unpivot(spark, sf_dir):
+    return X.extract_unpivot(prepare(S.papers(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- training table, P1, P9, A2, A17, P6
+
+def training(spark, sf_dir):
+    return X.training_table(prepare(S.papers(spark, sf_dir)), S.labels(spark, sf_dir))
+
+
+TT_SQL = "WITH " + O.training_ctes()
+
+
+@register("training_table", TT_SQL + " SELECT * FROM tt")
+def q_training_table(spark, sf_dir):
+    return training(spark, sf_dir)
+
+
+@register("feature_columns", TT_SQL + f" SELECT paper_id, {FEAT_SQL} FROM tt")
+def q_feature_columns(spark, sf_dir):
+    t = training(spark, sf_dir).withColumn("Ignored", F.lit(1)).withColumn("Extra", F.lit(2))
+    return t.select("paper_id", *FT.feature_columns(t))
+
+
+@register("drop_features", TT_SQL + " SELECT * EXCLUDE (I05, I07) FROM tt")
+def q_drop_features(spark, sf_dir):
+    return FT.drop_features(training(spark, sf_dir), ["I05", "I07"])
+
+
+@register("class_dist", TT_SQL + " SELECT label, n, round(n / sum(n) OVER (), 2) AS share "
+          "FROM (SELECT label, count(*) AS n FROM tt GROUP BY label)")
+def q_class_dist(spark, sf_dir):
+    return FT.class_dist(training(spark, sf_dir))
+
+
+@register("dataset_profile", TT_SQL + f" SELECT count(*) AS n_rows, {len(FEATS) + 2} AS n_columns, "
+          f"{len(FEATS)} AS n_features, {O.q(','.join(FEATS))} AS features FROM tt")
+def q_dataset_profile(spark, sf_dir):
+    return FT.dataset_profile(training(spark, sf_dir))
+
+
+PROBE = {"I13": 1.0, "I17": 1.0, "I16": 0.0}
+
+
+@register("pattern_probe", TT_SQL + " SELECT count(*) AS n, "
+          "coalesce(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END), 0)::BIGINT AS n_positive, "
+          "coalesce(sum(CASE WHEN label = 0 THEN 1 ELSE 0 END), 0)::BIGINT AS n_negative FROM tt "
+          "WHERE " + " AND ".join(f"{k} = {v}" for k, v in PROBE.items()))
+def q_pattern_probe(spark, sf_dir):
+    return FT.pattern_probe(training(spark, sf_dir), PROBE)
+
+
+# ---------------------------------------------------------------- A3, A4, A5
+
+PAT_SQL = (TT_SQL + f", pl AS (SELECT {FEAT_SQL}, count(*) AS n, sum(label) AS n1 FROM tt "
+           f"GROUP BY {FEAT_SQL}), pl2 AS (SELECT *, n - n1 AS n0, "
+           "CASE WHEN n1 >= n - n1 THEN 1 ELSE 0 END AS majority_label, "
+           "n1 > 0 AND n - n1 > 0 AS conflict FROM pl)")
+PAT_JOIN = " AND ".join(f"t.{f} = p.{f}" for f in FEATS)
+
+
+@register("conflicts_majority", PAT_SQL + " SELECT t.* FROM tt t JOIN pl2 p ON " + PAT_JOIN +
+          " WHERE t.label = p.majority_label")
+def q_conflicts_majority(spark, sf_dir):
+    return CF.conflicts_majority(training(spark, sf_dir), FEATS)
+
+
+@register("conflicts_remove", PAT_SQL + " SELECT t.* FROM tt t JOIN pl2 p ON " + PAT_JOIN +
+          " WHERE NOT p.conflict")
+def q_conflicts_remove(spark, sf_dir):
+    return CF.conflicts_remove(training(spark, sf_dir), FEATS)
+
+
+@register("conflict_report", PAT_SQL +
+          " SELECT count(*) AS patterns, sum(CASE WHEN conflict THEN 1 ELSE 0 END)::BIGINT "
+          "AS patterns_in_conflict, sum(CASE WHEN conflict AND n1 = n0 THEN 1 ELSE 0 END)::BIGINT "
+          "AS ties, sum(CASE WHEN conflict THEN (CASE WHEN majority_label = 1 THEN n0 ELSE n1 END) "
+          "ELSE 0 END)::BIGINT AS dropped_majority, sum(CASE WHEN conflict THEN n ELSE 0 END)::BIGINT "
+          "AS dropped_remove, sum(n)::BIGINT AS rows FROM pl2")
+def q_conflict_report(spark, sf_dir):
+    return CF.conflict_report(training(spark, sf_dir), FEATS)
+
+
+# ---------------------------------------------------------------- W1, W2, A6, U1, P2
+
+SPLIT_SQL = TT_SQL + ", " + O.split_ctes()
+
+
+def split_table(spark, sf_dir):
+    return SP.stratified_split(training(spark, sf_dir))
+
+
+@register("stratified_split", SPLIT_SQL + " SELECT paper_id, label, split FROM sp")
+def q_stratified_split(spark, sf_dir):
+    return split_table(spark, sf_dir).select("paper_id", "label", "split")
+
+
+@register("stratified_folds", SPLIT_SQL + " SELECT paper_id, label, fold FROM sp WHERE split = 'train'")
+def q_stratified_folds(spark, sf_dir):
+    return split_table(spark, sf_dir).where("split = 'train'").select("paper_id", "label", "fold")
+
+
+@register("split_summary", SPLIT_SQL + " SELECT split, count(*) AS n, sum(label)::BIGINT AS "
+          "n_positive, sum(label)::BIGINT * 100.0::DOUBLE / count(*) AS pct_positive FROM sp GROUP BY split")
+def q_split_summary(spark, sf_dir):
+    return SP.split_summary(split_table(spark, sf_dir))
+
+
+@register("train_val_union", SPLIT_SQL + " SELECT paper_id, label, split FROM sp WHERE split = 'train' "
+          "UNION ALL SELECT paper_id, label, split FROM sp WHERE split = 'val'")
+def q_train_val_union(spark, sf_dir):
+    return SP.train_val_union(split_table(spark, sf_dir)).select("paper_id", "label", "split")
+
+
+@register("split_filter", SPLIT_SQL + f" SELECT paper_id, label, {FEAT_SQL} FROM sp WHERE split = 'test'")
+def q_split_filter(spark, sf_dir):
+    return SP.split_filter(split_table(spark, sf_dir), "test").select("paper_id", "label", *FEATS)
+
+
+# ---------------------------------------------------------------- C3, lazy screen
+
+@register("lazy_questions",
+          f"WITH RECURSIVE {O.docs_cte()}, {O.rules_wide_cte()}, {O.fixture_ctes()}, "
+          f"{O.walk_ctes()} SELECT paper_id, leaf_id, probability, path_len, path_len AS n_asked, "
+          "0 AS n_hits FROM wres")
+def q_lazy_questions(spark, sf_dir):
+    w = lazy_walk(prepare(S.papers(spark, sf_dir)), fixture_nodes(spark), RuleProvider())
+    return w.select("paper_id", "leaf_id", "probability", "path_len", "n_asked", "n_hits")
+
+
+def _lazy_screen_sql():
+    cand = " + ".join(f"(CASE WHEN {r} IN ('YES', 'UNSURE') THEN 1 ELSE 0 END)"
+                      for r in ["E01", "E02", "E03"])
+    # confirmations: candidates up to and including the first YES
+    pos_terms = []
+    for i, r in enumerate(["E01", "E02", "E03"]):
+        before = " + ".join([f"(CASE WHEN {p} IN ('YES', 'UNSURE') THEN 1 ELSE 0 END)"
+                             for p in ["E01", "E02", "E03"][:i]] or ["0"])
+        pos_terms.append(f"WHEN {r} = 'YES' THEN {before} + 1")
+    first_pos = "CASE " + " ".join(pos_terms) + " ELSE 0 END"
+    return (SCREEN_SQL + f", ls AS (SELECT paper_id, {cand} AS n_cand, {first_pos} AS pos FROM rw) "
+            "SELECT s.paper_id, s.status, s.excluded_by, s.leaf_id, s.probability, "
+            "coalesce(w.path_len, 0) * (CASE WHEN s.status = 'excluded' THEN 0 ELSE 1 END) AS path_len, "
+            "0 AS n_hits, 1 + (CASE WHEN ls.pos > 0 THEN ls.pos ELSE ls.n_cand END) + "
+            "(CASE WHEN s.status = 'excluded' THEN 0 ELSE w.path_len END) AS n_asked "
+            "FROM sc s JOIN ls USING (paper_id) LEFT JOIN wres w USING (paper_id)")
+
+
+@register("lazy_screen", _lazy_screen_sql())
+def q_lazy_screen(spark, sf_dir):
+    w = lazy_screen(prepare(S.papers(spark, sf_dir)), fixture_nodes(spark), RuleProvider())
+    return w.select("paper_id", "status", "excluded_by", "leaf_id", "probability", "path_len",
+                    "n_hits", "n_asked")

@@ -153,3 +153,64 @@ FEATURES = FEATURE_ORDER
 __all__ = ["docs_cte", "pages_cte", "rules_wide_cte", "rules_long_sql", "fixture_ctes",
            "walk_ctes", "screen_ctes", "labels_cte", "confusion_sql", "METRICS_SQL",
            "sweep_ctes", "sql_html_to_text", "exclusion_cte", "reason_qid", "q"]
+
+
+# ---------------------------------------------------------------- batch 2
+
+def encode_sql(col: str, qid: str, policy: str = "include_aware") -> str:
+    unsure = {"include_aware": "1.0" if qid.startswith("I") else "0.0",
+              "unsure_one": "1.0", "unsure_half": "0.5"}[policy]
+    return (f"(CASE {col} WHEN 'NO' THEN 0.0 WHEN 'YES' THEN 1.0 "
+            f"WHEN 'UNSURE' THEN {unsure} END)::DOUBLE")
+
+
+def training_ctes(features=None, name: str = "tt") -> str:
+    """docs -> rules (features) -> encode -> join labels: tt(paper_id, label, features)."""
+    features = features or FEATURE_ORDER
+    enc = ", ".join(f"{encode_sql(f, f)} AS {f}" for f in features)
+    return (f"{docs_cte()}, {rules_wide_cte(qids=features)}, {labels_cte()}, "
+            f"{name} AS (SELECT r.paper_id, l.label, {enc} FROM rw r JOIN lab l USING (paper_id))")
+
+
+def log_cte(name: str = "alog") -> str:
+    qarr = "[" + ", ".join(q(x) for x in FEATURE_ORDER) + "]"
+    n = len(FEATURE_ORDER)
+    ans = ("CASE event_type WHEN 'click' THEN 'YES' WHEN 'purchase' THEN 'YES' "
+           "WHEN 'view' THEN 'NO' WHEN 'signup' THEN 'UNSURE' END")
+    return (f"{name} AS (SELECT event_id, user_id AS paper_id, "
+            f"{qarr}[((json_extract_string(props, '$.k')::BIGINT % {n} + {n}) % {n}) + 1] AS question_id, "
+            f"ts AS answered_at, {ans} AS answer, "
+            f"CASE WHEN {ans} IS NULL THEN NULL ELSE 'event ' || event_id::VARCHAR END AS evidence, "
+            f"CASE WHEN {ans} IS NULL THEN NULL ELSE floor(value)::BIGINT END AS prompt_tokens, "
+            f"CASE WHEN {ans} IS NULL THEN NULL ELSE 0::BIGINT END AS completion_tokens, "
+            f"{ans} IS NOT NULL AS valid FROM events)")
+
+
+def live_cte(name: str = "live") -> str:
+    return (f"{log_cte()}, lw AS (SELECT *, row_number() OVER (PARTITION BY paper_id, question_id "
+            "ORDER BY answered_at DESC, event_id DESC) AS rn FROM alog), "
+            f"{name} AS (SELECT * FROM lw WHERE rn = 1 AND valid AND answered_at > "
+            "(SELECT max(ts) FROM events) + INTERVAL 15 DAY - INTERVAL 30 DAY)")
+
+
+def pivot_sql(src: str, questions=None) -> str:
+    questions = questions or FEATURE_ORDER
+    cols = ", ".join(f"max(CASE WHEN question_id = {q(x)} THEN answer END) AS {x}" for x in questions)
+    return f"SELECT paper_id, {cols} FROM {src} GROUP BY paper_id"
+
+
+def rank_sql(label: str = "label", id_col: str = "paper_id", seed: int = 42) -> str:
+    return (f"row_number() OVER (PARTITION BY {label} ORDER BY "
+            f"md5('{seed}' || '-' || {id_col}::VARCHAR), {id_col}) - 1")
+
+
+def split_ctes(src: str = "tt", name: str = "sp", test_size: float = 0.2,
+               val_size: float = 0.25, n_folds: int = 5) -> str:
+    return (f"{name}0 AS (SELECT *, {rank_sql()} AS rk, count(*) OVER (PARTITION BY label) AS nc "
+            f"FROM {src}), "
+            f"{name}1 AS (SELECT *, ceil(nc * {test_size})::BIGINT AS nt FROM {name}0), "
+            f"{name}2 AS (SELECT *, ceil((nc - nt) * {val_size})::BIGINT AS nv FROM {name}1), "
+            f"{name} AS (SELECT * EXCLUDE (rk, nc, nt, nv), "
+            "CASE WHEN rk < nt THEN 'test' WHEN rk < nt + nv THEN 'val' ELSE 'train' END AS split, "
+            f"CASE WHEN rk >= nt + nv THEN ((rk - nt - nv) % {n_folds})::INTEGER END AS fold "
+            f"FROM {name}2)")
