@@ -65,15 +65,21 @@ def thresholds(spark: SparkSession, start: float = SWEEP_START, step: float = SW
         (F.lit(float(start)) + F.col("id").cast("double") * F.lit(float(step))).alias("threshold"))
 
 
+def threshold_grid(start: float = SWEEP_START, step: float = SWEEP_STEP,
+                   n: int = SWEEP_STEPS):
+    """The grid as a literal array<struct<i, threshold>> (a generator, no join)."""
+    return F.array(*[F.struct(F.lit(i).alias("i"),
+                              (F.lit(float(start)) + F.lit(float(i)) * F.lit(float(step)))
+                              .alias("threshold")) for i in range(n)])
+
+
 def threshold_sweep(df: DataFrame, prob: str = "probability", label: str = "label",
                     group_cols: list[str] | tuple = ()) -> DataFrame:
     """Metrics at each threshold of the grid (J7 over pre-aggregated
     probabilities)."""
-    spark = df.sparkSession
     counts = df.groupBy(*group_cols, F.col(prob).alias("_p"), F.col(label).alias("_y")) \
                .agg(F.count(F.lit(1)).alias("_n"))
-    grid = F.broadcast(thresholds(spark))
-    x = counts.crossJoin(grid)
+    x = counts.select("*", F.inline(threshold_grid()))
     pred = (F.col("_p") >= F.col("threshold")).cast("int")
     agg = x.groupBy(*group_cols, "i", "threshold").agg(
         *confusion_aggs(F.col("_y"), pred, F.col("_n")))

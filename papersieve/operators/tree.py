@@ -130,8 +130,8 @@ def walk(df: DataFrame, nodes: DataFrame, values_col: str = "answers",
     nodes = materialize_model(nodes, node_rows)
     nb = _walk_nodes(nodes, node_rows)
     if "tree_id" not in df.columns:
-        tid = nodes.select("tree_id").distinct()
-        df = df.crossJoin(F.broadcast(tid)) if node_rows is not None else df
+        tids = sorted(r[0] for r in nodes.select("tree_id").distinct().collect())
+        df = df.select("*", F.explode(F.array(*[F.lit(t) for t in tids])).alias("tree_id"))
     state = (df.withColumn("_node", F.lit(0))
                .withColumn("status", F.lit("walking"))
                .withColumn("path_len", F.lit(0)))

@@ -223,7 +223,8 @@ FEAT_SQL = ", ".join(FEATS)
 def live(spark, sf_dir):
     log = S.answer_log(spark, sf_dir)
     asof = log.agg((F.max("answered_at") + F.expr("INTERVAL 15 DAYS")).alias("_asof"))
-    return ST.live_answers(log.crossJoin(asof), F.col("_asof")).drop("_asof")
+    # the as-of time is a one-row aggregate (a scalar), broadcast to the log
+    return ST.live_answers(log.crossJoin(F.broadcast(asof)), F.col("_asof")).drop("_asof")
 
 
 # ---------------------------------------------------------------- S3, F8, W4, A9, A10
@@ -301,7 +302,7 @@ BANK_VALUES = ", ".join(f"({O.q(qid)}, {O.q(text)})" for qid, text, _c, _ie in _
           "{'title': '', 'abstract': d.text, 'question': qb.question, 'model': 'rules-v1', "
           "'mode': 'single'})) AS answer_key FROM docs d CROSS JOIN qb")
 def q_work_list(spark, sf_dir):
-    return X.work_list(prepare(S.papers(spark, sf_dir)), X.questions_df(spark), n_questions=29)
+    return X.work_list(prepare(S.papers(spark, sf_dir)), X.bank_questions())
 
 
 def _reason_texts():
@@ -326,8 +327,7 @@ def _prompts_sql():
 
 @register("prompts", _prompts_sql())
 def q_prompts(spark, sf_dir):
-    return X.prompts(prepare(S.papers(spark, sf_dir)), X.questions_df(spark, FEATS),
-                     _reason_texts(), n_questions=len(FEATS))
+    return X.prompts(prepare(S.papers(spark, sf_dir)), X.bank_questions(FEATS), _reason_texts())
 
 
 @register("extract_long",
@@ -495,3 +495,121 @@ def q_lazy_screen(spark, sf_dir):
     w = lazy_screen(prepare(S.papers(spark, sf_dir)), fixture_nodes(spark), RuleProvider())
     return w.select("paper_id", "status", "excluded_by", "leaf_id", "probability", "path_len",
                     "n_hits", "n_asked")
+
+
+# ================================================================ batch 3: training
+from ..operators import resample as RS  # noqa: E402
+from ..operators import train as TR  # noqa: E402
+from ..operators.tree import nodes_by_support  # noqa: E402
+from . import training as TRN  # noqa: E402
+
+DEFAULT_TREE = {"criterion": "gini", "max_depth": None, "min_samples_split": 2,
+                "min_samples_leaf": 1, "max_features": None}
+
+
+@register("class_weights", TT_SQL + " SELECT label, sum(n) OVER () / (count(*) OVER () * n) "
+          "AS class_weight FROM (SELECT label, count(*) AS n FROM tt GROUP BY label)")
+def q_class_weights(spark, sf_dir):
+    return TR.class_weights(training(spark, sf_dir))
+
+
+@register("smoten", TT_SQL + ", " + O.smoten_sql() + " SELECT * FROM syn")
+def q_smoten(spark, sf_dir):
+    return RS.smoten(TR.patterns(training(spark, sf_dir), FEATS), FEATS)
+
+
+@register("oversample", TT_SQL + ", " + O.smoten_sql() +
+          f" SELECT {FEAT_SQL}, count(*) AS n, sum(CASE WHEN label = 0 THEN 1 ELSE 0 END)::DOUBLE AS w0, "
+          f"sum(label)::DOUBLE AS w1, false AS is_synthetic FROM tt GROUP BY {FEAT_SQL} "
+          "UNION ALL SELECT * FROM syn")
+def q_oversample(spark, sf_dir):
+    return RS.oversample(TR.patterns(training(spark, sf_dir), FEATS), FEATS)
+
+
+@register("smote", None)
+def q_smote(spark, sf_dir):
+    return RS.smote_rows(training(spark, sf_dir), FEATS)
+
+
+@register("fit_tree_depth2", TT_SQL + ", " + O.depth2_tree_sql() +
+          " SELECT node_id, feature, n0, n1 FROM nodes2")
+def q_fit_tree_depth2(spark, sf_dir):
+    t = training(spark, sf_dir)
+    cfg = TR.configs_df(spark, [{"run_id": "d2", **DEFAULT_TREE, "max_depth": 2}])
+    nodes = TR.fit_trees(TR.patterns(t, FEATS).withColumn("run_id", F.lit("d2")), cfg, FEATS)
+    return nodes.select("node_id", "feature", "n0", "n1")
+
+
+def final_tree(spark, sf_dir):
+    """Train side (train + val) cleaned by majority, SMOTEN, default tree."""
+    sp = split_table(spark, sf_dir)
+    tr = CF.conflicts_majority(SP.train_val_union(sp), FEATS)
+    return TRN.fit_final(tr, FEATS, DEFAULT_TREE), sp
+
+
+@register("fit_tree", None)
+def q_fit_tree(spark, sf_dir):
+    nodes, _ = final_tree(spark, sf_dir)
+    return nodes
+
+
+def scored_test(spark, sf_dir):
+    nodes, sp = final_tree(spark, sf_dir)
+    nodes = cut_model(nodes)
+    test = SP.split_filter(sp, "test")
+    return TRN.score_rows(test, nodes, FEATS), nodes
+
+
+def cut_model(nodes):
+    from ..config import cut_lineage
+    return cut_lineage(nodes)
+
+
+@register("predict_proba", None)
+def q_predict_proba(spark, sf_dir):
+    s, _ = scored_test(spark, sf_dir)
+    return s.select("paper_id", "label", "leaf_id", "probability")
+
+
+@register("trained_sweep", None)
+def q_trained_sweep(spark, sf_dir):
+    s, _ = scored_test(spark, sf_dir)
+    return M.threshold_sweep(s)
+
+
+@register("trained_purity", None)
+def q_trained_purity(spark, sf_dir):
+    s, nodes = scored_test(spark, sf_dir)
+    leaf = nodes.select(F.col("node_id").alias("leaf_id"), F.col("impurity").alias("leaf_impurity"),
+                        (F.col("n0") + F.col("n1")).alias("leaf_support"))
+    return M.purity_metrics(s.join(F.broadcast(leaf), "leaf_id"))
+
+
+@register("node_roundtrip", None)
+def q_node_roundtrip(spark, sf_dir):
+    from ..sources.sinks import read_model, write_model
+    from ..config import scratch_path
+    nodes, _ = final_tree(spark, sf_dir)
+    path = scratch_path(spark, "model")
+    write_model(nodes, path)
+    return read_model(spark, path, "final")
+
+
+@register("nodes_by_support", None)
+def q_nodes_by_support(spark, sf_dir):
+    nodes, _ = final_tree(spark, sf_dir)
+    nodes = cut_model(nodes)
+    top = nodes.where("feature IS NULL").agg(F.max(F.col("n0") + F.col("n1"))).first()[0]
+    return nodes_by_support(nodes, top)
+
+
+@register("grid_search", None)
+def q_grid_search(spark, sf_dir):
+    sp = split_table(spark, sf_dir).where("split = 'train'")
+    return TRN.grid_search(sp, FEATS)
+
+
+@register("random_search", None)
+def q_random_search(spark, sf_dir):
+    sp = split_table(spark, sf_dir).where("split = 'train'")
+    return TRN.forest_search(sp, FEATS, TRN.random_search_configs())

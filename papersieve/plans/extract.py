@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import bounded_broadcast
 from ..constants import DEFAULT_MODEL_NAME, FEATURE_ORDER
 from ..functions.answers import answer_key, encode_answer, norm_qid, reason_list
 from ..operators.features import encode_features, pivot_answers
@@ -32,31 +31,36 @@ SYSTEM_EXCLUSION = ("You screen scientific papers by title and abstract. From th
                     "paper, with evidence.")
 
 
-def questions_df(spark: SparkSession, qids: list[str] | None = None) -> DataFrame:
-    """The bank as a small DataFrame (question_id, question, include_exclude)."""
-    rows = [(q, text, ie) for q, text, _cat, ie in question_rows()
-            if qids is None or q in qids]
-    return spark.createDataFrame(rows, "question_id string, question string, include_exclude string")
+def bank_questions(qids: list[str] | None = None) -> list[tuple[str, str]]:
+    """(question_id, question) of the bank, optionally a subset."""
+    return [(q, text) for q, text, _cat, _ie in question_rows() if qids is None or q in qids]
 
 
-def work_list(prepared: DataFrame, questions: DataFrame, model: str = DEFAULT_MODEL_NAME,
-              mode: str = "single", n_questions: int | None = None) -> DataFrame:
-    """Papers x questions with the memo key of each pair."""
-    q = bounded_broadcast(questions.select("question_id", "question"), known_rows=n_questions)
-    return prepared.select("paper_id", "title_clean", "abstract_clean").crossJoin(q).select(
+def question_array(questions: list[tuple[str, str]]):
+    """The (fixed, small) question list as a literal array for a generator."""
+    return F.array(*[F.struct(F.lit(q).alias("question_id"), F.lit(t).alias("question"))
+                     for q, t in questions])
+
+
+def work_list(prepared: DataFrame, questions: list[tuple[str, str]],
+              model: str = DEFAULT_MODEL_NAME, mode: str = "single") -> DataFrame:
+    """Papers x questions with the memo key of each pair (a generator
+    over the fixed question list: no join, text read once per paper)."""
+    return prepared.select("paper_id", "title_clean", "abstract_clean",
+                           F.inline(question_array(questions))).select(
         "paper_id", "question_id",
         answer_key("title_clean", "abstract_clean", "question", F.lit(model),
                    F.lit(mode)).alias("answer_key"))
 
 
-def prompts(prepared: DataFrame, questions: DataFrame, reasons_text: list[str],
-            n_questions: int | None = None) -> DataFrame:
+def prompts(prepared: DataFrame, questions: list[tuple[str, str]],
+            reasons_text: list[str]) -> DataFrame:
     """rendered messages, ready for a batch provider:
     paper_id, question_id, mode, system, user."""
-    q = bounded_broadcast(questions.select("question_id", "question"), known_rows=n_questions)
     paper = F.concat(F.lit("Title: "), F.col("title_clean"), F.lit("\n\nAbstract: "),
                      F.col("abstract_clean"))
-    single = prepared.select("paper_id", "title_clean", "abstract_clean").crossJoin(q).select(
+    single = prepared.select("paper_id", "title_clean", "abstract_clean",
+                             F.inline(question_array(questions))).select(
         "paper_id", "question_id", F.lit("single").alias("mode"),
         F.lit(SYSTEM_SINGLE).alias("system"),
         F.concat(paper, F.lit("\n\nQuestion: "), F.col("question")).alias("user"))

@@ -50,8 +50,9 @@ def lazy_walk(prepared: DataFrame, nodes: DataFrame, provider, store: DataFrame
     nodes = materialize_model(nodes, stats["n"])
     nb = (_walk_nodes(nodes, stats["n"]).withColumnRenamed("_n_tree_id", "tree_id")
           .withColumnRenamed("_n_node_id", "_node"))
-    tid = nodes.select("tree_id").distinct()
-    state = prepared.crossJoin(F.broadcast(tid)) if "tree_id" not in prepared.columns else prepared
+    tids = sorted(r[0] for r in nodes.select("tree_id").distinct().collect())
+    state = (prepared.select("*", F.explode(F.array(*[F.lit(t) for t in tids])).alias("tree_id"))
+             if "tree_id" not in prepared.columns else prepared)
     status0 = F.col(status_col) if status_col else F.lit("walking")
     state = (state.withColumn("_node", F.lit(0)).withColumn("status", status0)
              .withColumn("path_len", F.lit(0)).withColumn("n_asked", F.lit(0))

@@ -214,3 +214,98 @@ def split_ctes(src: str = "tt", name: str = "sp", test_size: float = 0.2,
             "CASE WHEN rk < nt THEN 'test' WHEN rk < nt + nv THEN 'val' ELSE 'train' END AS split, "
             f"CASE WHEN rk >= nt + nv THEN ((rk - nt - nv) % {n_folds})::INTEGER END AS fold "
             f"FROM {name}2)")
+
+
+# ---------------------------------------------------------------- batch 3
+
+def smoten_sql(src: str = "tt", k: int = 5, features=None) -> str:
+    """All-pairs (oracle only) SMOTEN on the patterns of ``src`` -> CTE syn."""
+    fs = features or FEATURE_ORDER
+    code_a = " + ".join(f"a.{f}::BIGINT * {1 << i}" for i, f in enumerate(fs))
+    code_b = " + ".join(f"b.{f}::BIGINT * {1 << i}" for i, f in enumerate(fs))
+    costs = ", ".join(
+        f"CASE WHEN avg(CASE WHEN {f} = 0 THEN label END) IS NULL OR "
+        f"avg(CASE WHEN {f} = 1 THEN label END) IS NULL THEN 0.0::DOUBLE ELSE "
+        f"pow(2.0 * abs(avg(CASE WHEN {f} = 0 THEN label END) - "
+        f"avg(CASE WHEN {f} = 1 THEN label END)), 2.0) END AS c_{f}" for f in fs)
+    dist = " + ".join(f"(CASE WHEN a.{f} <> b.{f} THEN c.c_{f} ELSE 0.0 END)" for f in fs)
+    same = " AND ".join(f"a.{f} = b.{f}" for f in fs)
+    fcols = ", ".join(fs)
+    ones = ", ".join(f"sum(take * b_{f}) AS ones_{f}" for f in fs)
+    syn = ", ".join(f"CASE WHEN ones_{f} > kk - ones_{f} THEN 1.0 ELSE 0.0 END::DOUBLE AS {f}"
+                    for f in fs)
+    bcols = ", ".join(f"b.{f} AS b_{f}" for f in fs)
+    acols = ", ".join(f"a.{f} AS a_{f}" for f in fs)
+    agrp = ", ".join(f"a_{f}" for f in fs)
+    return (
+        f"ct AS (SELECT sum(CASE WHEN label = 0 THEN 1 ELSE 0 END)::DOUBLE AS N0, "
+        f"sum(label)::DOUBLE AS N1 FROM {src}), "
+        "ct2 AS (SELECT CASE WHEN N1 <= N0 THEN 1 ELSE 0 END AS minority, least(N0, N1) AS n_min, "
+        "abs(N0 - N1) AS n_new FROM ct), "
+        f"cc AS (SELECT {costs} FROM {src}), "
+        f"mp AS (SELECT {fcols}, count(*)::DOUBLE AS m FROM {src}, ct2 WHERE label = ct2.minority "
+        f"GROUP BY {fcols}), "
+        f"pr AS (SELECT {acols}, {bcols}, {code_a} AS a_code, {code_b} AS b_code, {dist} AS dist, "
+        f"CASE WHEN {same} THEN b.m - 1 ELSE b.m END AS avail FROM mp a, mp b, cc c), "
+        f"pr2 AS (SELECT *, coalesce(sum(avail) OVER (PARTITION BY a_code ORDER BY dist, b_code "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef FROM pr WHERE avail > 0), "
+        f"pr3 AS (SELECT *, least(avail, least({k}.0, (SELECT n_min FROM ct2) - 1) - bef) AS take "
+        "FROM pr2), "
+        f"vt AS (SELECT a_code, {agrp}, sum(take) AS kk, {ones} FROM pr3 WHERE take > 0 "
+        f"GROUP BY a_code, {agrp}), "
+        f"al AS (SELECT v.a_code, {syn}, (t.n_new * m.m) / t.n_min AS quota, t.n_new, t.minority "
+        "FROM vt v JOIN mp m ON " + " AND ".join(f"v.a_{f} = m.{f}" for f in fs) + ", ct2 t), "
+        "al2 AS (SELECT *, floor(quota) AS base, quota - floor(quota) AS frac FROM al), "
+        "al3 AS (SELECT *, n_new - sum(base) OVER () AS lft, row_number() OVER "
+        "(ORDER BY frac DESC, a_code) AS rr FROM al2), "
+        "al4 AS (SELECT *, base + CASE WHEN rr <= lft THEN 1 ELSE 0 END AS draws FROM al3), "
+        f"syn AS (SELECT {fcols}, sum(draws)::BIGINT AS n, "
+        "CASE WHEN min(minority) = 0 THEN sum(draws) ELSE 0 END::DOUBLE AS w0, "
+        "CASE WHEN min(minority) = 1 THEN sum(draws) ELSE 0 END::DOUBLE AS w1, "
+        f"true AS is_synthetic FROM al4 WHERE draws > 0 GROUP BY {fcols})")
+
+
+def depth2_tree_sql(src: str = "tt", features=None) -> str:
+    """Gini tree of depth 2 (min leaf 1, min split 2) -> node rows."""
+    fs = features or FEATURE_ORDER
+    fi = "CASE feature " + " ".join(f"WHEN '{f}' THEN {i}" for i, f in enumerate(fs)) + " END"
+    unp = " UNION ALL ".join(f"SELECT paper_id, label, '{f}' AS feature, {f}::DOUBLE AS value "
+                             f"FROM {src}" for f in fs)
+    gini = lambda a, b: (f"(CASE WHEN ({a}) + ({b}) = 0 THEN 0.0 ELSE 1.0 - pow(({a}) / (({a}) + ({b})), 2) "
+                         f"- pow(({b}) / (({a}) + ({b})), 2) END)")
+    return (
+        f"lng AS ({unp}), "
+        # root
+        "r0 AS (SELECT sum(CASE WHEN label = 0 THEN 1 ELSE 0 END)::DOUBLE AS n0, "
+        f"sum(label)::DOUBLE AS n1 FROM {src}), "
+        "rs AS (SELECT feature, sum(CASE WHEN value = 0 AND label = 0 THEN 1 ELSE 0 END)::DOUBLE AS l0, "
+        "sum(CASE WHEN value = 0 AND label = 1 THEN 1 ELSE 0 END)::DOUBLE AS l1 FROM lng GROUP BY feature), "
+        f"rg AS (SELECT rs.feature, {fi} AS fi, round({gini('r0.n0', 'r0.n1')} - "
+        f"(l0 + l1) / (r0.n0 + r0.n1) * {gini('l0', 'l1')} - "
+        f"((r0.n0 - l0) + (r0.n1 - l1)) / (r0.n0 + r0.n1) * {gini('r0.n0 - l0', 'r0.n1 - l1')}, 12) AS gain "
+        "FROM rs, r0 WHERE l0 + l1 >= 1 AND (r0.n0 - l0) + (r0.n1 - l1) >= 1 "
+        f"AND {gini('r0.n0', 'r0.n1')} > 1e-12), "
+        "rb AS (SELECT feature FROM rg ORDER BY gain DESC, fi LIMIT 1), "
+        # children
+        "ch AS (SELECT l.paper_id, l.label, CASE WHEN l.value <= 0.5 THEN 1 ELSE 2 END AS node_id "
+        "FROM lng l JOIN rb ON l.feature = rb.feature), "
+        "c0 AS (SELECT node_id, sum(CASE WHEN label = 0 THEN 1 ELSE 0 END)::DOUBLE AS n0, "
+        "sum(label)::DOUBLE AS n1 FROM ch GROUP BY node_id), "
+        "cs AS (SELECT ch.node_id, g.feature, "
+        "sum(CASE WHEN g.value = 0 AND g.label = 0 THEN 1 ELSE 0 END)::DOUBLE AS l0, "
+        "sum(CASE WHEN g.value = 0 AND g.label = 1 THEN 1 ELSE 0 END)::DOUBLE AS l1, "
+        "count(DISTINCT g.value) AS nv FROM ch JOIN lng g USING (paper_id) GROUP BY ch.node_id, g.feature), "
+        f"cg AS (SELECT cs.node_id, cs.feature, {fi.replace('feature', 'cs.feature')} AS fi, "
+        f"round({gini('c0.n0', 'c0.n1')} - (l0 + l1) / (c0.n0 + c0.n1) * {gini('l0', 'l1')} - "
+        f"((c0.n0 - l0) + (c0.n1 - l1)) / (c0.n0 + c0.n1) * {gini('c0.n0 - l0', 'c0.n1 - l1')}, 12) AS gain "
+        "FROM cs JOIN c0 USING (node_id) WHERE nv = 2 AND l0 + l1 >= 1 "
+        f"AND (c0.n0 - l0) + (c0.n1 - l1) >= 1 AND c0.n0 + c0.n1 >= 2 AND {gini('c0.n0', 'c0.n1')} > 1e-12), "
+        "cb AS (SELECT node_id, feature FROM (SELECT *, row_number() OVER (PARTITION BY node_id "
+        "ORDER BY gain DESC, fi) AS rn FROM cg) WHERE rn = 1), "
+        "gc AS (SELECT ch.node_id * 2 + CASE WHEN g.value <= 0.5 THEN 1 ELSE 2 END AS node_id, ch.label "
+        "FROM ch JOIN cb USING (node_id) JOIN lng g ON g.paper_id = ch.paper_id AND g.feature = cb.feature), "
+        "g0 AS (SELECT node_id, sum(CASE WHEN label = 0 THEN 1 ELSE 0 END)::DOUBLE AS n0, "
+        "sum(label)::DOUBLE AS n1 FROM gc GROUP BY node_id), "
+        "nodes2 AS (SELECT 0 AS node_id, (SELECT feature FROM rb) AS feature, n0, n1 FROM r0 "
+        "UNION ALL SELECT c0.node_id, cb.feature, c0.n0, c0.n1 FROM c0 LEFT JOIN cb USING (node_id) "
+        "UNION ALL SELECT node_id, NULL, n0, n1 FROM g0)")
