@@ -613,3 +613,58 @@ def q_grid_search(spark, sf_dir):
 def q_random_search(spark, sf_dir):
     sp = split_table(spark, sf_dir).where("split = 'train'")
     return TRN.forest_search(sp, FEATS, TRN.random_search_configs())
+
+
+# ================================================================ batch 4: explain, streaming
+from ..operators import explain as XP  # noqa: E402
+
+
+@register("mutual_info", TT_SQL + ", u AS (" + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, {f} AS x, label AS y FROM tt" for f in FEATS) +
+    "), c AS (SELECT feature, x, y, count(*)::DOUBLE AS nxy FROM u GROUP BY feature, x, y), "
+    "c2 AS (SELECT *, sum(nxy) OVER (PARTITION BY feature) AS n, "
+    "sum(nxy) OVER (PARTITION BY feature, x) AS nx, sum(nxy) OVER (PARTITION BY feature, y) AS ny FROM c) "
+    "SELECT feature, round(sum((nxy / n) * ln((nxy * n) / (nx * ny))), 12) AS mutual_info "
+    "FROM c2 GROUP BY feature")
+def q_mutual_info(spark, sf_dir):
+    return XP.mutual_info(training(spark, sf_dir), FEATS)
+
+
+@register("leaf_depth", None)
+def q_leaf_depth(spark, sf_dir):
+    nodes, _ = final_tree(spark, sf_dir)
+    return XP.leaf_depth(nodes)
+
+
+@register("subtree_leaf_counts", None)
+def q_subtree_leaf_counts(spark, sf_dir):
+    nodes, _ = final_tree(spark, sf_dir)
+    return XP.subtree_leaf_counts(cut_model(nodes), "n_samples")
+
+
+@register("critical_nodes", None)
+def q_critical_nodes(spark, sf_dir):
+    nodes, _ = final_tree(spark, sf_dir)
+    return XP.critical_nodes(cut_model(nodes), 0.9, "n_samples")
+
+
+@register("shap_values", None)
+def q_shap_values(spark, sf_dir):
+    nodes, sp = final_tree(spark, sf_dir)
+    nodes = cut_model(nodes)
+    train = sp.where("split = 'train'")
+    return XP.shap_summary(train, XP.shap_values(train, nodes, FEATS), FEATS)
+
+
+@register("stream_screen", SCREEN_SQL + " SELECT * FROM sc")
+def q_stream_screen(spark, sf_dir):
+    from ..streaming.stream import stream_screen
+    out = stream_screen(spark, sf_dir, fixture_nodes(spark))
+    return spark.read.parquet(out).drop("batch_id")
+
+
+@register("stream_dedupe", "WITH " + O.log_cte() + " SELECT DISTINCT paper_id, question_id FROM alog")
+def q_stream_dedupe(spark, sf_dir):
+    from ..streaming.stream import stream_dedupe
+    out = stream_dedupe(spark, sf_dir)
+    return spark.read.parquet(out).select("paper_id", "question_id")

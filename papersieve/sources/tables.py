@@ -69,8 +69,12 @@ def answer_log(spark: SparkSession, sf_dir: str, model: str = DEFAULT_MODEL_NAME
     (TIMESTAMP_NTZ cast to TIMESTAMP); click/purchase = YES, view = NO,
     signup = UNSURE, error = a malformed payload; tokens = floor(value).
     """
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type",
-                                               "value", "props")
+    return events_to_log(table(spark, sf_dir, "events"), model)
+
+
+def events_to_log(events: DataFrame, model: str = DEFAULT_MODEL_NAME) -> DataFrame:
+    """The event -> answer-write mapping (batch or streaming input)."""
+    ev = events.select("event_id", "ts", "user_id", "event_type", "value", "props")
     k = F.get_json_object("props", "$.k").cast("long")
     qid = F.element_at(F.array(*[F.lit(q) for q in FEATURE_ORDER]),
                        (F.pmod(k, F.lit(len(FEATURE_ORDER))) + 1).cast("int"))
