@@ -55,27 +55,31 @@ def ring_neighbours(minp: DataFrame, keys: list[str], n_features: int, k,
     base = base.withColumn("sorted_costs", F.array_sort("costs"))
     k_eff = F.least(F.lit(k).cast("double"), (F.col("n_min") - 1).cast("double"))
     found = None
-    open_ = base.select(*keys, F.col("code").alias("a_code"), "costs", "sorted_costs",
-                        k_eff.alias("k_eff"))
+    open_ = cut_lineage(base.select(*keys, F.col("code").alias("a_code"), "costs",
+                                    "sorted_costs", k_eff.alias("k_eff")))
     other = minp.select(*keys, F.col("code").alias("b_code"), F.col("m").alias("b_m"))
-    for r in range(n_features + 1):
+    # rings grouped by radius: most patterns close within two flipped answers
+    groups = [r for r in ([0, 1, 2], [3, 4], list(range(5, n_features + 1)))]
+    groups = [[r for r in g if r <= n_features] for g in groups]
+    groups = [g for g in groups if g]
+    for gi, radii in enumerate(groups):
         ring = F.array(*[F.struct(F.lit(sum(1 << i for i in c)).cast("long").alias("mask"),
                                   F.array(*[F.lit(i) for i in c]).cast("array<int>").alias("bits"))
-                         for c in combinations(range(n_features), r)])  # C(n, r) masks
-        cand = open_.select("*", F.inline(ring))
-        cand = cand.select(*keys, "a_code", "k_eff",
-                           F.col("a_code").bitwiseXOR(F.col("mask")).alias("b_code"),
-                           F.aggregate(F.transform("bits", lambda i: F.element_at("costs", i + 1)),
-                                       F.lit(0.0), lambda acc, x: acc + x).alias("dist"))
-        hit = cand.join(other, keys + ["b_code"])
-        hit = hit.select(*keys, "a_code", "b_code", "dist", "k_eff",
-                         F.when(F.col("b_code") == F.col("a_code"), F.col("b_m") - 1)
-                         .otherwise(F.col("b_m")).alias("avail")).where("avail > 0")
+                         for r in radii for c in combinations(range(n_features), r)])
+        cand = open_.select("*", F.inline(ring)).select(
+            *keys, "a_code", "k_eff", F.col("a_code").bitwiseXOR(F.col("mask")).alias("b_code"),
+            F.aggregate(F.transform("bits", lambda i: F.element_at("costs", i + 1)),
+                        F.lit(0.0), lambda acc, x: acc + x).alias("dist"))
+        hit = cand.join(other, keys + ["b_code"]).select(
+            *keys, "a_code", "b_code", "dist", "k_eff",
+            F.when(F.col("b_code") == F.col("a_code"), F.col("b_m") - 1)
+            .otherwise(F.col("b_m")).alias("avail")).where("avail > 0")
         found = hit if found is None else found.unionByName(hit)
-        found = cut_lineage(found)
-        if r == n_features:
+        if gi == len(groups) - 1:
             break
-        bound = F.aggregate(F.slice("sorted_costs", 1, r + 1), F.lit(0.0), lambda acc, x: acc + x)
+        # any candidate not yet examined differs in more than max(radii) bits
+        rr = max(radii) + 1
+        bound = F.aggregate(F.slice("sorted_costs", 1, rr), F.lit(0.0), lambda acc, x: acc + x)
         inside = (found.join(open_.select(*keys, "a_code", bound.alias("_lb")), keys + ["a_code"])
                   .where(F.col("dist") < F.col("_lb"))
                   .groupBy(*keys, "a_code", "k_eff").agg(F.sum("avail").alias("_got"))
@@ -83,6 +87,7 @@ def ring_neighbours(minp: DataFrame, keys: list[str], n_features: int, k,
         open_ = cut_lineage(open_.join(inside, keys + ["a_code"], "left_anti"))
         if open_.isEmpty():
             break
+    found = cut_lineage(found)
     w = Window.partitionBy(*keys, "a_code").orderBy("dist", "b_code")
     return (found.withColumn("_before", F.coalesce(F.sum("avail").over(
                 w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -668,3 +668,42 @@ def q_stream_dedupe(spark, sf_dir):
     from ..streaming.stream import stream_dedupe
     out = stream_dedupe(spark, sf_dir)
     return spark.read.parquet(out).select("paper_id", "question_id")
+
+
+# ---------------------------------------------------------------- M6, A14 (one forest)
+FOREST_CONFIG = {"config_id": 0, "criterion": "gini", "max_depth": None, "min_samples_split": 2,
+                 "min_samples_leaf": 2, "max_features": "sqrt", "n_estimators": 100,
+                 "bootstrap": True}
+
+
+def fitted_forest(spark, sf_dir):
+    """Train side (train + val), balanced class weights, bootstrap: 100 trees."""
+    sp = split_table(spark, sf_dir)
+    tr = SP.train_val_union(sp)
+    pats = TR.patterns(tr, FEATS)
+    tot = pats.agg(F.sum("w0").alias("N0"), F.sum("w1").alias("N1"))
+    pats = (pats.crossJoin(F.broadcast(tot))  # one-row totals (a scalar)
+            .withColumn("w0", F.col("w0") * (F.col("N0") + F.col("N1")) / (2.0 * F.col("N0")))
+            .withColumn("w1", F.col("w1") * (F.col("N0") + F.col("N1")) / (2.0 * F.col("N1")))
+            .drop("N0", "N1").withColumn("run_id", F.lit("forest")))
+    pats = TRN.poisson_weights(pats, FOREST_CONFIG["n_estimators"], bootstrap=True,
+                               pattern_cols=FEATS)
+    cfg = TR.configs_df(spark, [{**FOREST_CONFIG, "run_id": "forest"}])
+    return cut_model(TR.fit_trees(pats, cfg, FEATS)), sp
+
+
+@register("fit_forest", None)
+def q_fit_forest(spark, sf_dir):
+    nodes, _ = fitted_forest(spark, sf_dir)
+    return nodes
+
+
+@register("forest_proba", None)
+def q_forest_proba(spark, sf_dir):
+    nodes, sp = fitted_forest(spark, sf_dir)
+    test = SP.split_filter(sp, "test")
+    pats = test.select(*FEATS).distinct().withColumn("run_id", F.lit("forest"))
+    trees = nodes.select("run_id", "tree_id").distinct()
+    pred = TR.predict_patterns(pats.join(trees, "run_id"), nodes, FEATS)
+    vote = TRN.forest_proba(pred, FEATS)
+    return test.join(F.broadcast(vote), FEATS).select("paper_id", "label", "probability")
