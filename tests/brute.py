@@ -57,3 +57,51 @@ def smoten_brute(rows, features, k=5):
         if d > 0:
             out[syn[a]] += d
     return out, mino
+
+
+def cart_brute(rows, features, criterion="gini", max_depth=None, min_split=2, min_leaf=1):
+    """rows: list of (dict features, label).  Heap-numbered node dict:
+    node_id -> (feature or None, threshold, n0, n1)."""
+    import math
+
+    def imp(n0, n1):
+        n = n0 + n1
+        if n == 0:
+            return 0.0
+        p0, p1 = n0 / n, n1 / n
+        if criterion == "gini":
+            return 1.0 - p0 * p0 - p1 * p1
+        return -sum(p * math.log2(p) for p in (p0, p1) if p > 0)
+    out = {}
+
+    def grow(node, sub, depth):
+        n0 = sum(1 for _, y in sub if y == 0)
+        n1 = len(sub) - n0
+        parent = imp(n0, n1)
+        best = None
+        if (parent > 1e-12 and len(sub) >= min_split
+                and (max_depth is None or depth < max_depth)):
+            for fi, f in enumerate(features):
+                vals = sorted({x[f] for x, _ in sub})
+                for a, b in zip(vals, vals[1:]):
+                    t = (a + b) / 2.0
+                    left = [(x, y) for x, y in sub if x[f] <= t]
+                    right = [(x, y) for x, y in sub if x[f] > t]
+                    if len(left) < min_leaf or len(right) < min_leaf:
+                        continue
+                    l0 = sum(1 for _, y in left if y == 0)
+                    r0 = sum(1 for _, y in right if y == 0)
+                    g = (parent - len(left) / len(sub) * imp(l0, len(left) - l0)
+                         - len(right) / len(sub) * imp(r0, len(right) - r0))
+                    key = (-round(g, 12), fi, t)
+                    if best is None or key < best[0]:
+                        best = (key, f, t, left, right)
+        if best is None:
+            out[node] = (None, None, n0, n1)
+            return
+        _k, f, t, left, right = best
+        out[node] = (f, t, n0, n1)
+        grow(2 * node + 1, left, depth + 1)
+        grow(2 * node + 2, right, depth + 1)
+    grow(0, rows, 0)
+    return out
