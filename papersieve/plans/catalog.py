@@ -707,3 +707,14 @@ def q_forest_proba(spark, sf_dir):
     pred = TR.predict_patterns(pats.join(trees, "run_id"), nodes, FEATS)
     vote = TRN.forest_proba(pred, FEATS)
     return test.join(F.broadcast(vote), FEATS).select("paper_id", "label", "probability")
+
+
+# ---------------------------------------------------------------- P8
+EVAL_CAP = 101  # the evaluation cap of the method (appends, then stops at >= 100)
+
+
+@register("eval_sample", SCORED_SQL + " SELECT paper_id, probability, prediction, y AS label "
+          f"FROM st ORDER BY paper_id LIMIT {EVAL_CAP}")
+def q_eval_sample(spark, sf_dir):
+    d = scored_labelled(spark, sf_dir).select("paper_id", "probability", "prediction", "label")
+    return M.eval_sample(d, EVAL_CAP)
