@@ -63,10 +63,12 @@ def ring_neighbours(minp: DataFrame, keys: list[str], n_features: int, k,
     groups = [[r for r in g if r <= n_features] for g in groups]
     groups = [g for g in groups if g]
     for gi, radii in enumerate(groups):
-        ring = F.array(*[F.struct(F.lit(sum(1 << i for i in c)).cast("long").alias("mask"),
-                                  F.array(*[F.lit(i) for i in c]).cast("array<int>").alias("bits"))
-                         for r in radii for c in combinations(range(n_features), r)])
-        cand = open_.select("*", F.inline(ring)).select(
+        # one SQL literal (parsed once) instead of thousands of column calls
+        ring = F.expr("inline(array(" + ", ".join(
+            f"named_struct('mask', {sum(1 << i for i in c)}L, 'bits', "
+            f"cast(array({', '.join(str(i) for i in c)}) as array<int>))"
+            for r in radii for c in combinations(range(n_features), r)) + "))")
+        cand = open_.select("*", ring).select(
             *keys, "a_code", "k_eff", F.col("a_code").bitwiseXOR(F.col("mask")).alias("b_code"),
             F.aggregate(F.transform("bits", lambda i: F.element_at("costs", i + 1)),
                         F.lit(0.0), lambda acc, x: acc + x).alias("dist"))
