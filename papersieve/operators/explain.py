@@ -179,7 +179,8 @@ def shap_values(pats: DataFrame, nodes: DataFrame, features: list[str]) -> DataF
 
 def shap_summary(rows: DataFrame, shap: DataFrame, features: list[str]) -> DataFrame:
     """Mean |phi| per feature over rows (patterns joined back, broadcast)."""
-    j = rows.select(*features).join(F.broadcast(shap), features)
+    from ..config import bounded_broadcast
+    j = rows.select(*features).join(bounded_broadcast(shap), features)
     return j.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"),
                                                 F.abs(F.col("phi_" + f)).alias("a")) for f in features]))) \
             .groupBy("feature").agg(F.avg("a").alias("mean_abs_shap"))

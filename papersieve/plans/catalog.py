@@ -582,7 +582,8 @@ def q_trained_purity(spark, sf_dir):
     s, nodes = scored_test(spark, sf_dir)
     leaf = nodes.select(F.col("node_id").alias("leaf_id"), F.col("impurity").alias("leaf_impurity"),
                         (F.col("n0") + F.col("n1")).alias("leaf_support"))
-    return M.purity_metrics(s.join(F.broadcast(leaf), "leaf_id"))
+    from ..config import bounded_broadcast
+    return M.purity_metrics(s.join(bounded_broadcast(leaf), "leaf_id"))
 
 
 @register("node_roundtrip", None)
@@ -706,7 +707,8 @@ def q_forest_proba(spark, sf_dir):
     trees = nodes.select("run_id", "tree_id").distinct()
     pred = TR.predict_patterns(pats.join(trees, "run_id"), nodes, FEATS)
     vote = TRN.forest_proba(pred, FEATS)
-    return test.join(F.broadcast(vote), FEATS).select("paper_id", "label", "probability")
+    from ..config import bounded_broadcast
+    return test.join(bounded_broadcast(vote), FEATS).select("paper_id", "label", "probability")
 
 
 # ---------------------------------------------------------------- P8

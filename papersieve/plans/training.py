@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import cut_lineage
+from ..config import bounded_broadcast, cut_lineage
 from ..constants import (FOREST_GRID, FOREST_SEARCH_ITERATIONS, N_FOLDS, RANDOM_STATE,
                          SMOTEN_K, TREE_GRID)
 from ..operators import metrics as M
@@ -99,6 +99,7 @@ def grid_search(rows: DataFrame, features: list[str], grid: dict = TREE_GRID,
     runs = cut_lineage(runs)
     cfg = runs.select("run_id", "criterion", "max_depth", "min_samples_split",
                       "min_samples_leaf", "max_features", F.lit(seed).alias("seed"))
+    # runs: one row per (configuration, fold), bounded by the grid
     pats = train.join(F.broadcast(runs.select("run_id", "cv_fold")), "cv_fold").drop("cv_fold")
     nodes = cut_lineage(fit_trees(pats, cfg, features))
     hp = held.join(F.broadcast(runs.select("run_id", "cv_fold")), "cv_fold") \
@@ -142,7 +143,7 @@ def score_rows(rows: DataFrame, nodes: DataFrame, features: list[str],
     run = nodes.select("run_id").first()["run_id"]
     pats = pats.withColumn("run_id", F.lit(run)).withColumn("tree_id", F.lit(0))
     pred = predict_patterns(pats, nodes, features).select(*features, "leaf_id", "probability")
-    return rows.join(F.broadcast(pred), features)
+    return rows.join(bounded_broadcast(pred), features)
 
 
 # ------------------------------------------------------------------ forests
