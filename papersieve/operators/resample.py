@@ -29,7 +29,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import cut_lineage
+from ..config import bounded_broadcast, cut_lineage
 from ..constants import SMOTE_K, SMOTEN_K
 
 
@@ -223,7 +223,7 @@ def smote_rows(rows: DataFrame, features: list[str], label: str = "label",
         F.pmod(h("row"), F.lit(float(n_min))).cast("long").alias("_rank"),
         h("nb").alias("_h"), (h("u") / F.lit(float(16 ** 12))).alias("u"))
     base = (draws.join(ranked, "_rank").withColumnRenamed("code", "a_code")
-            .join(F.broadcast(kk), "a_code")  # one row per minority pattern (checked bound)
+            .join(bounded_broadcast(kk), "a_code")  # one row per minority pattern
             .withColumn("_j", F.pmod(F.col("_h"), F.col("_kk"))))
     pick = base.join(nb, "a_code").where((F.col("_j") >= F.col("_lo")) & (F.col("_j") < F.col("_hi")))
     out = []
