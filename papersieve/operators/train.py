@@ -116,10 +116,14 @@ def fit_trees(pats: DataFrame, configs: DataFrame, features: list[str],
     fv_aggs = [F.sum("n").alias("vn"), F.sum("w0").alias("vw0"), F.sum("w1").alias("vw1")]
     wv = Window.partitionBy(*nk, "fi").orderBy("value")
     cum = wv.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cand_cols = [*nk, "fi", "feature",
+    wall = Window.partitionBy(*nk, "fi")
+    # node totals come from the same (fit, node, feature) partition as the
+    # cumulative counts: no separate aggregate or join in the level's job
+    cand_cols = [*nk, "depth", *cfg_cols, "fi", "feature",
                  ((F.col("value") + F.lead("value").over(wv)) / 2.0).alias("threshold"),
                  F.sum("vn").over(cum).alias("ln"), F.sum("vw0").over(cum).alias("lw0"),
-                 F.sum("vw1").over(cum).alias("lw1")]
+                 F.sum("vw1").over(cum).alias("lw1"), F.sum("vn").over(wall).alias("ns"),
+                 F.sum("vw0").over(wall).alias("nw0"), F.sum("vw1").over(wall).alias("nw1")]
     rn_, rw0, rw1 = (F.col("ns") - F.col("ln"), F.col("nw0") - F.col("lw0"),
                      F.col("nw1") - F.col("lw1"))
     wl, wr, wt = F.col("lw0") + F.col("lw1"), rw0 + rw1, F.col("nw0") + F.col("nw1")
@@ -154,10 +158,11 @@ def fit_trees(pats: DataFrame, configs: DataFrame, features: list[str],
                  for x in state_cols]
     for level in range(MAX_LEVELS):
         node = state.groupBy(*nk, "depth", *cfg_cols).agg(*node_aggs).select("*", node_imp)
-        fv = state.select(*nk, "n", "w0", "w1", unpivot).groupBy(
-            *nk, "fi", "feature", "value").agg(*fv_aggs)
-        cand = fv.select(*cand_cols).where(F.col("threshold").isNotNull())
-        c = cand.join(node, nk).where(ok).select(*c_cols).where(k_ok)
+        fv = state.select(*nk, "depth", *cfg_cols, "n", "w0", "w1", unpivot).groupBy(
+            *nk, "depth", *cfg_cols, "fi", "feature", "value").agg(*fv_aggs)
+        cand = (fv.select(*cand_cols).where(F.col("threshold").isNotNull())
+                .select("*", _impurity(F.col("nw0"), F.col("nw1"), crit).alias("imp")))
+        c = cand.where(ok).select(*c_cols).where(k_ok)
         best = c.select(*nk, "feature", "fi", "threshold", best_rank).where("_r = 1").drop("_r")
         # node rows of this level are derived from the (checkpointed) state
         # of this level; all levels are computed together in the final job
