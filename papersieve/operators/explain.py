@@ -154,23 +154,26 @@ def shap_values(pats: DataFrame, nodes: DataFrame, features: list[str]) -> DataF
                                     lambda acc, leaf: acc + leaf["p1"] * F.aggregate(
                                         leaf["path"], F.lit(1.0), step_weight)).alias("v"))
     v = cut_lineage(v)
-    phis = []
-    for f in used:
-        b = 1 << bit[fidx[f]]
-        size = F.bit_count(F.col("S"))
-        wt = F.lit(0.0)
-        for s in range(m):
-            wt = F.when(size == s, F.lit(math.factorial(s) * math.factorial(m - s - 1) / math.factorial(m))).otherwise(wt)
-        lo = v.where((F.col("S").bitwiseAND(F.lit(b))) == 0)
-        hi = v.select(*features, (F.col("S") - F.lit(b)).alias("S"), F.col("v").alias("v_hi")) \
-              .where((F.col("S").bitwiseAND(F.lit(b))) == 0)
-        phis.append(lo.join(hi, features + ["S"]).groupBy(*features).agg(
-            F.sum(wt * (F.col("v_hi") - F.col("v"))).alias("phi_" + f)))
+    # one generator + one self-join + one aggregate for all features:
+    # each (pattern, S) row emits, for every used feature i outside S, the
+    # weighted marginal v(S + i) - v(S)
+    size_w = F.lit(0.0)
+    for sz in range(m):
+        size_w = F.when(F.bit_count(F.col("S")) == sz,
+                        F.lit(math.factorial(sz) * math.factorial(m - sz - 1) / math.factorial(m))
+                        ).otherwise(size_w)
+    outs = F.filter(F.array(*[F.lit(j) for j in range(m)]),
+                    lambda j: F.col("S").bitwiseAND(F.shiftleft(F.lit(1), j)) == 0)
+    lo = v.select(*features, "S", "v", size_w.alias("wt"), F.explode(outs).alias("j"))
+    hi = v.select(*features, F.col("S").alias("S_hi"), F.col("v").alias("v_hi"))
+    marg = lo.join(hi, features + [], "inner").where(
+        F.col("S_hi") == F.col("S") + F.shiftleft(F.lit(1), F.col("j")))
+    agg = marg.groupBy(*features).agg(*[
+        F.sum(F.when(F.col("j") == bit[fidx[f]], F.col("wt") * (F.col("v_hi") - F.col("v")))
+              .otherwise(0.0)).alias("phi_" + f) for f in used])
     base = v.where("S = 0").select(*features, F.col("v").alias("base_value"))
     full = v.where(F.col("S") == (1 << m) - 1).select(*features, F.col("v").alias("prediction"))
-    out = base.join(full, features)
-    for ph in phis:
-        out = out.join(ph, features)
+    out = base.join(full, features).join(agg, features) if m else base.join(full, features)
     for f in features:
         if f not in used:
             out = out.withColumn("phi_" + f, F.lit(0.0))
