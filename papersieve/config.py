@@ -27,6 +27,10 @@ def get_spark(master: str | None = None, app: str = "papersieve",
          .config("spark.sql.session.timeZone", "UTC"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if master and master.startswith("local"):
+        # one JVM does all the work in local mode; the 1 GB default heap is
+        # too small for the level loops' window sorts (only read at launch)
+        b = b.config("spark.driver.memory", os.environ.get("PAPERSIEVE_DRIVER_MEMORY", "8g"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)

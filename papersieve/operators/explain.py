@@ -163,11 +163,12 @@ def shap_values(pats: DataFrame, nodes: DataFrame, features: list[str]) -> DataF
                         F.lit(math.factorial(sz) * math.factorial(m - sz - 1) / math.factorial(m))
                         ).otherwise(size_w)
     outs = F.filter(F.array(*[F.lit(j) for j in range(m)]),
-                    lambda j: F.col("S").bitwiseAND(F.shiftleft(F.lit(1), j)) == 0)
-    lo = v.select(*features, "S", "v", size_w.alias("wt"), F.explode(outs).alias("j"))
+                    lambda j: F.col("S").bitwiseAND(F.pow(F.lit(2), j).cast("int")) == 0)
+    lo = (v.select(*features, "S", "v", size_w.alias("wt"), F.explode(outs).alias("j"))
+          .withColumn("S_hi", F.col("S") + F.pow(F.lit(2), F.col("j")).cast("int")))
     hi = v.select(*features, F.col("S").alias("S_hi"), F.col("v").alias("v_hi"))
-    marg = lo.join(hi, features + [], "inner").where(
-        F.col("S_hi") == F.col("S") + F.shiftleft(F.lit(1), F.col("j")))
+    # equi-join on (pattern, S + 2^j): each lower coalition meets exactly one upper one
+    marg = lo.join(hi, features + ["S_hi"], "inner")
     agg = marg.groupBy(*features).agg(*[
         F.sum(F.when(F.col("j") == bit[fidx[f]], F.col("wt") * (F.col("v_hi") - F.col("v")))
               .otherwise(0.0)).alias("phi_" + f) for f in used])

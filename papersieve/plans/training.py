@@ -211,22 +211,35 @@ def poisson_weights(pats: DataFrame, n_trees: int | str, seed: int = RANDOM_STAT
             .where(F.col("n") > 0))
 
 
-def forest_search(rows: DataFrame, features: list[str], configs: list[dict],
-                  label: str = "label", seed: int = RANDOM_STATE,
-                  class_weight: bool = True) -> DataFrame:
-    """M7 + M6 + M3 + A14 + M11: every (configuration, fold, tree) grows in
-    one level loop; held-out folds are scored by the soft vote of each
-    configuration's trees.  Returns per-configuration mean fold metrics and
-    rank by mean recall."""
-    spark = rows.sparkSession
-    g = grid_df(spark, configs)
-    train, held = fold_patterns(rows, features, label)
-    if class_weight:  # 'balanced' on each fold's training side
-        cw = train.groupBy("cv_fold").agg(F.sum("w0").alias("N0"), F.sum("w1").alias("N1"))
-        train = (train.join(F.broadcast(cw), "cv_fold")
-                 .withColumn("w0", F.col("w0") * (F.col("N0") + F.col("N1")) / (2.0 * F.col("N0")))
-                 .withColumn("w1", F.col("w1") * (F.col("N0") + F.col("N1")) / (2.0 * F.col("N1")))
-                 .drop("N0", "N1"))
+# Trees grown by one level job of a search.  The state of a forest search
+# is (tree x pattern) rows, independent of the paper count but proportional
+# to the number of trees; configurations are grouped so that no job holds
+# more than this many trees (a 40 x 5-fold search holds ~57,000).
+MAX_TREES_PER_JOB = 4_000
+
+
+def tree_batches(configs: list[dict], n_folds: int = N_FOLDS,
+                 max_trees: int = MAX_TREES_PER_JOB) -> list[list[dict]]:
+    """Consecutive groups of configurations holding at most ``max_trees``
+    trees over all folds (a single larger configuration forms its own group)."""
+    out, cur, size = [], [], 0
+    for c in configs:
+        t = int(c.get("n_estimators", 1)) * n_folds
+        if cur and size + t > max_trees:
+            out.append(cur)
+            cur, size = [], 0
+        cur.append(c)
+        size += t
+    if cur:
+        out.append(cur)
+    return out
+
+
+def _forest_fold_scores(train: DataFrame, held: DataFrame, g: DataFrame,
+                        features: list[str], seed: int) -> DataFrame:
+    """M6 + A14 + M11 for the configurations in ``g``: grow every
+    (configuration, fold, tree) together, score each held-out fold by the
+    soft vote of its configuration's trees.  One row per (run, fold)."""
     folds = F.explode(F.array(*[F.lit(i) for i in range(N_FOLDS)])).alias("cv_fold")
     runs = cut_lineage(g.select("*", folds).withColumn(
         "run_id", F.concat(F.lit("c"), F.col("config_id").cast("string"), F.lit("-f"),
@@ -246,7 +259,32 @@ def forest_search(rows: DataFrame, features: list[str], configs: list[dict],
     vote = pred.groupBy("run_id", *features).agg(
         F.avg("probability").alias("probability"), F.first("w0").alias("w0"),
         F.first("w1").alias("w1"))
-    sc = cv_scores(vote, ["run_id"]).join(runs.select("run_id", "config_id"), "run_id")
+    return cut_lineage(cv_scores(vote, ["run_id"]).join(runs.select("run_id", "config_id"),
+                                                         "run_id"))
+
+
+def forest_search(rows: DataFrame, features: list[str], configs: list[dict],
+                  label: str = "label", seed: int = RANDOM_STATE,
+                  class_weight: bool = True, max_trees: int = MAX_TREES_PER_JOB) -> DataFrame:
+    """M7 + M6 + M3 + A14 + M11: configurations are grown in groups of at
+    most ``max_trees`` trees (every configuration, fold and tree of a group
+    in one level loop); held-out folds are scored by the soft vote of each
+    configuration's trees.  Returns per-configuration mean fold metrics and
+    rank by mean recall."""
+    spark = rows.sparkSession
+    train, held = fold_patterns(rows, features, label)
+    if class_weight:  # 'balanced' on each fold's training side
+        cw = train.groupBy("cv_fold").agg(F.sum("w0").alias("N0"), F.sum("w1").alias("N1"))
+        train = (train.join(F.broadcast(cw), "cv_fold")
+                 .withColumn("w0", F.col("w0") * (F.col("N0") + F.col("N1")) / (2.0 * F.col("N0")))
+                 .withColumn("w1", F.col("w1") * (F.col("N0") + F.col("N1")) / (2.0 * F.col("N1")))
+                 .drop("N0", "N1"))
+    train, held = cut_lineage(train), cut_lineage(held)
+    sc = None
+    for batch in tree_batches(configs, N_FOLDS, max_trees):
+        part = _forest_fold_scores(train, held, grid_df(spark, batch), features, seed)
+        sc = part if sc is None else sc.unionByName(part)
+    g = grid_df(spark, configs)
     agg = sc.groupBy("config_id").agg(
         F.avg("recall").alias("mean_recall"), F.avg("precision").alias("mean_precision"),
         F.avg("accuracy").alias("mean_accuracy"), F.avg("specificity").alias("mean_specificity"),
