@@ -157,6 +157,11 @@ def fit_trees(pats: DataFrame, configs: DataFrame, features: list[str],
                  (F.col("depth") + 1).alias("depth") if x == "depth" else F.col(x)
                  for x in state_cols]
     for level in range(MAX_LEVELS):
+        # the level's one shuffle: every aggregate, window and join below is
+        # keyed by a superset of (fit, node), so Spark adds no other exchange.
+        # A node's rows are distinct answer patterns (bounded by the feature
+        # space), never papers.
+        state = state.repartition(*nk)
         node = state.groupBy(*nk, "depth", *cfg_cols).agg(*node_aggs).select("*", node_imp)
         fv = state.select(*nk, "depth", *cfg_cols, "n", "w0", "w1", unpivot).groupBy(
             *nk, "depth", *cfg_cols, "fi", "feature", "value").agg(*fv_aggs)
@@ -164,14 +169,18 @@ def fit_trees(pats: DataFrame, configs: DataFrame, features: list[str],
                 .select("*", _impurity(F.col("nw0"), F.col("nw1"), crit).alias("imp")))
         c = cand.where(ok).select(*c_cols).where(k_ok)
         best = c.select(*nk, "feature", "fi", "threshold", best_rank).where("_r = 1").drop("_r")
-        # node rows of this level are derived from the (checkpointed) state
-        # of this level; all levels are computed together in the final job
-        levels.append(node.join(best, nk, "left").select(*lvl_cols))
-        state = state.join(best, nk).select(*next_cols)
+        # the level's node rows (one per node: small) are computed once and
+        # kept; the next state routes rows by the splits stored in them
+        lvl = node.join(best, nk, "left").select(*lvl_cols, "fi")
         if checkpoint:
-            state = cut_lineage(state)  # the one job of this level
-        if state.isEmpty():
+            lvl = cut_lineage(lvl)
+        levels.append(lvl.drop("fi"))
+        split = lvl.where(F.col("feature").isNotNull()).select(*nk, "fi", "threshold")
+        if split.isEmpty():
             break
+        state = state.join(split, nk).select(*next_cols)
+        if checkpoint:
+            state = cut_lineage(state)
     out = levels[0]
     for lvl in levels[1:]:
         out = out.unionByName(lvl)

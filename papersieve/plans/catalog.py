@@ -349,7 +349,9 @@ def q_extract_unpivot(spark, sf_dir):
 # ---------------------------------------------------------------- training table, P1, P9, A2, A17, P6
 
 def training(spark, sf_dir):
-    return X.training_table(prepare(S.papers(spark, sf_dir)), S.labels(spark, sf_dir))
+    lab = S.labels(spark, sf_dir)
+    # label join first: text cleaning and rule answers run on labelled papers only
+    return X.training_table(prepare(S.papers(spark, sf_dir).join(lab, "paper_id")), lab)
 
 
 TT_SQL = "WITH " + O.training_ctes()
@@ -681,14 +683,15 @@ def fitted_forest(spark, sf_dir):
     """Train side (train + val), balanced class weights, bootstrap: 100 trees."""
     sp = split_table(spark, sf_dir)
     tr = SP.train_val_union(sp)
-    pats = TR.patterns(tr, FEATS)
+    pats = TR.patterns(tr, FEATS).withColumn("run_id", F.lit("forest"))
     tot = pats.agg(F.sum("w0").alias("N0"), F.sum("w1").alias("N1"))
+    # bootstrap draws of the unweighted rows, then 'balanced' class weights
+    pats = TRN.poisson_weights(pats, FOREST_CONFIG["n_estimators"], bootstrap=True,
+                               pattern_cols=FEATS)
     pats = (pats.crossJoin(F.broadcast(tot))  # one-row totals (a scalar)
             .withColumn("w0", F.col("w0") * (F.col("N0") + F.col("N1")) / (2.0 * F.col("N0")))
             .withColumn("w1", F.col("w1") * (F.col("N0") + F.col("N1")) / (2.0 * F.col("N1")))
-            .drop("N0", "N1").withColumn("run_id", F.lit("forest")))
-    pats = TRN.poisson_weights(pats, FOREST_CONFIG["n_estimators"], bootstrap=True,
-                               pattern_cols=FEATS)
+            .drop("N0", "N1"))
     cfg = TR.configs_df(spark, [{**FOREST_CONFIG, "run_id": "forest"}])
     return cut_model(TR.fit_trees(pats, cfg, FEATS)), sp
 

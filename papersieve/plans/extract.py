@@ -121,6 +121,13 @@ def training_table(prepared: DataFrame, labels: DataFrame, features=FEATURE_ORDE
     Answers come in-row from the provider (no pivot shuffle); the label join
     is the one shuffle, on paper_id."""
     provider = provider or RuleProvider()
+    if "label" in prepared.columns:
+        # labels were joined before cleaning, so only labelled papers are
+        # cleaned and asked; the label rides along and no join follows
+        wide = provider.answer_wide(prepared.select("paper_id", "label", "text"),
+                                    F.col("text"), features)
+        enc = encode_features(wide.drop("text"), list(features), policy)
+        return enc.select("paper_id", "label", *features)
     wide = provider.answer_wide(prepared.select("paper_id", "text"), F.col("text"), features)
     enc = encode_features(wide.drop("text"), list(features), policy)
     return enc.join(labels, "paper_id").select("paper_id", "label", *features)

@@ -246,10 +246,12 @@ def _forest_fold_scores(train: DataFrame, held: DataFrame, g: DataFrame,
                            F.col("cv_fold").cast("string"))))
     pats = train.join(F.broadcast(runs.select("run_id", "cv_fold", "n_estimators", "bootstrap")),
                       "cv_fold").drop("cv_fold")
-    # sample counts for min_samples_*: bootstrap draws of the unweighted rows
+    # bootstrap draws of the unweighted rows (sample counts for min_samples_*),
+    # then the fold's balanced class weights on the drawn counts
     pats = poisson_weights(pats, "n_estimators", seed, "bootstrap",
                            pattern_cols=["run_id", *features]).drop("n_estimators", "bootstrap")
-    pats = cut_lineage(pats)
+    pats = cut_lineage(pats.withColumn("w0", F.col("w0") * F.col("cw0"))
+                       .withColumn("w1", F.col("w1") * F.col("cw1")).drop("cw0", "cw1"))
     cfg = runs.select("run_id", "criterion", "max_depth", "min_samples_split",
                       "min_samples_leaf", "max_features", F.lit(seed).alias("seed"))
     nodes = cut_lineage(fit_trees(pats, cfg, features))
@@ -273,13 +275,18 @@ def forest_search(rows: DataFrame, features: list[str], configs: list[dict],
     rank by mean recall."""
     spark = rows.sparkSession
     train, held = fold_patterns(rows, features, label)
-    if class_weight:  # 'balanced' on each fold's training side
-        cw = train.groupBy("cv_fold").agg(F.sum("w0").alias("N0"), F.sum("w1").alias("N1"))
-        train = (train.join(F.broadcast(cw), "cv_fold")
-                 .withColumn("w0", F.col("w0") * (F.col("N0") + F.col("N1")) / (2.0 * F.col("N0")))
-                 .withColumn("w1", F.col("w1") * (F.col("N0") + F.col("N1")) / (2.0 * F.col("N1")))
-                 .drop("N0", "N1"))
+    # 'balanced' class weights of each fold's training side (one row per fold)
+    cw = train.groupBy("cv_fold").agg(F.sum("w0").alias("N0"), F.sum("w1").alias("N1"))
+    one = F.lit(1.0)
+    train = (train.join(F.broadcast(cw), "cv_fold")
+             .withColumn("cw0", (F.col("N0") + F.col("N1")) / (2.0 * F.col("N0"))
+                         if class_weight else one)
+             .withColumn("cw1", (F.col("N0") + F.col("N1")) / (2.0 * F.col("N1"))
+                         if class_weight else one)
+             .drop("N0", "N1"))
     train, held = cut_lineage(train), cut_lineage(held)
+    # a forest's default max_features is sqrt (a configuration may override it)
+    configs = [{"max_features": "sqrt", **c} for c in configs]
     sc = None
     for batch in tree_batches(configs, N_FOLDS, max_trees):
         part = _forest_fold_scores(train, held, grid_df(spark, batch), features, seed)
