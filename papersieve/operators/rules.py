@@ -98,11 +98,20 @@ class RuleProvider:
         """(key, question_id, answer, evidence, tokens, model): one row per
         paper and question, produced by a generator, not a join."""
         qids = list(qids or self.question_ids)
-        rows = F.array(*[F.struct(F.lit(q).alias("question_id"),
-                                  rule_answer(text, q, self.rules).alias("answer"),
-                                  rule_evidence(text, q, self.rules).alias("evidence"))
-                         for q in qids])
-        return (df.select(*key_cols, F.inline(rows))
+        # answers in one projection first, so a rule's match is extracted as
+        # evidence only when the rule matched (a NO costs two scans, not four)
+        a = df.select(*key_cols, text.alias("_t"),
+                      *[rule_answer(text, q, self.rules).alias("_a_" + q) for q in qids])
+
+        def evidence(q):
+            yes, unsure = self.rules[q]
+            ans = F.col("_a_" + q)
+            return (F.when(ans == "YES", F.regexp_extract(F.col("_t"), yes, 0))
+                    .when(ans == "UNSURE", F.regexp_extract(F.col("_t"), unsure, 0))
+                    .otherwise(F.lit("")))
+        rows = F.array(*[F.struct(F.lit(q).alias("question_id"), F.col("_a_" + q).alias("answer"),
+                                  evidence(q).alias("evidence")) for q in qids])
+        return (a.select(*key_cols, F.inline(rows))
                 .withColumn("prompt_tokens", F.lit(0).cast("long"))
                 .withColumn("completion_tokens", F.lit(0).cast("long"))
                 .withColumn("model", F.lit(self.model)))

@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 
 from ..config import cut_lineage
 
+# Rows of one fit's state that may share one task (see fit_trees).
+MAX_ROWS_PER_NODE_TASK = 200_000
 MAX_LEVELS = 30  # heap ids stay inside int; also MLlib's depth cap
 
 CONFIG_SCHEMA = T.StructType([
@@ -102,6 +104,13 @@ def fit_trees(pats: DataFrame, configs: DataFrame, features: list[str],
     state = pats.join(cfg, "run_id").withColumn("node_id", F.lit(0)).withColumn("depth", F.lit(0))
     if checkpoint:
         state = cut_lineage(state)
+    # Co-partition each level on (fit, node) only when every fit's state is
+    # bounded (distinct answer patterns: at most 3^8 for 8 questions).  On
+    # continuous features (SMOTE) a fit's distinct rows grow with the data;
+    # then the level keeps partial aggregates and per-(node, feature)
+    # exchanges so no node lands whole in one task.
+    per_fit = state.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    co_partition = per_fit <= MAX_ROWS_PER_NODE_TASK
     cfg_cols = [c for c in configs.columns if c != "run_id"]
     state_cols = state.columns
     levels = []
@@ -158,10 +167,9 @@ def fit_trees(pats: DataFrame, configs: DataFrame, features: list[str],
                  for x in state_cols]
     for level in range(MAX_LEVELS):
         # the level's one shuffle: every aggregate, window and join below is
-        # keyed by a superset of (fit, node), so Spark adds no other exchange.
-        # A node's rows are distinct answer patterns (bounded by the feature
-        # space), never papers.
-        state = state.repartition(*nk)
+        # keyed by a superset of (fit, node), so Spark adds no other exchange
+        if co_partition:
+            state = state.repartition(*nk)
         node = state.groupBy(*nk, "depth", *cfg_cols).agg(*node_aggs).select("*", node_imp)
         fv = state.select(*nk, "depth", *cfg_cols, "n", "w0", "w1", unpivot).groupBy(
             *nk, "depth", *cfg_cols, "fi", "feature", "value").agg(*fv_aggs)

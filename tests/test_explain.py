@@ -62,3 +62,25 @@ def test_shap_matches_brute_force_and_sums(spark):
             assert abs(r["phi_" + f] - phi) < 1e-12
         total = r["base_value"] + sum(r["phi_" + f] for f in FE)
         assert abs(total - r["prediction"]) < 1e-12
+
+
+def test_heap_ancestors_equal_join_loop(spark):
+    """Heap-numbered copy of the fixture tree: the arithmetic ancestors equal
+    the join loop's, and critical nodes are unchanged by the renumbering."""
+    fx = fixture_nodes(spark)
+    heap = {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 13, 8: 14}
+    m = F.create_map(*[F.lit(x) for kv in heap.items() for x in kv])
+    h = fx.select(*[(F.when(F.col(c) >= 0, F.element_at(m, F.col(c))).otherwise(F.col(c)).alias(c)
+                     if c in ("node_id", "left_id", "right_id") else F.col(c)) for c in fx.columns])
+    if "depth" not in h.columns:
+        depth = F.create_map(*[F.lit(x) for kv in {0: 0, 1: 1, 2: 1, 3: 2, 4: 2, 5: 2, 6: 2,
+                                                   13: 3, 14: 3}.items() for x in kv])
+        h = h.withColumn("depth", F.element_at(depth, F.col("node_id")))
+    assert X.is_heap(h) and not X.is_heap(fx)
+    fast = {tuple(r.asDict().items()) for r in X.heap_ancestors(h).collect()}
+    loop_src = h.drop("depth")  # no depth column: the join loop runs
+    loop = {tuple(r.asDict().items()) for r in X.ancestors(loop_src, max_depth=3).collect()}
+    assert fast == loop and len(fast) == 16
+    a = {r["node_id"]: (r["risk_if_0"], r["risk_if_1"]) for r in X.critical_nodes(fx).collect()}
+    b = {r["node_id"]: (r["risk_if_0"], r["risk_if_1"]) for r in X.critical_nodes(h).collect()}
+    assert a == b

@@ -15,7 +15,12 @@ CONFIGS = [
 ]
 
 
-def test_fit_equals_brute_force_cart(spark):
+@pytest.mark.parametrize("co_partition", [True, False])
+def test_fit_equals_brute_force_cart(spark, monkeypatch, co_partition):
+    """Both level plans (one shuffle on (fit, node), or per-(node, feature)
+    exchanges for unbounded fits) grow the brute-force CART tree."""
+    import papersieve.operators.train as TRM
+    monkeypatch.setattr(TRM, "MAX_ROWS_PER_NODE_TASK", 10**9 if co_partition else 0)
     t = training(spark, SF01).cache()
     rows = [({f: float(r[f]) for f in FE}, r["label"]) for r in t.collect()]
     runs = [{"run_id": f"r{i}", **c} for i, c in enumerate(CONFIGS)]
