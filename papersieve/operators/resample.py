@@ -116,16 +116,9 @@ def vdm_table(pats: DataFrame, features: list[str], keys: list[str]) -> DataFram
             .withColumn("p1", F.col("c1") / (F.col("c0") + F.col("c1"))))
 
 
-def smoten(pats: DataFrame, features: list[str], keys: list[str] | tuple = (),
-           k: int = SMOTEN_K) -> DataFrame:
-    """M2: synthetic minority patterns with counts:
-    keys, features, n, w0, w1, is_synthetic=true (features must be 0/1)."""
-    keys = list(keys)
-    drop_key = not keys
-    if drop_key:
-        pats = pats.withColumn("_k", F.lit(0))
-        keys = ["_k"]
-    nf = len(features)
+def _smoten_inputs(pats: DataFrame, features: list[str], keys: list[str]):
+    """Class totals, minority patterns (keys, code, m, n_min) and the
+    per-feature VDM flip costs of each key."""
     tot = class_totals(pats, keys)
     vdm = vdm_table(pats, features, keys)
     # per-feature VDM cost of a 0/1 flip: (|P1(0)-P1(1)| + |P0(0)-P0(1)|)^2
@@ -145,6 +138,29 @@ def smoten(pats: DataFrame, features: list[str], keys: list[str] | tuple = (),
             .groupBy(*keys, code.alias("code")).agg(F.sum("m").alias("m"),
                                                     F.first("n_min").alias("n_min")))
     minp = cut_lineage(minp)
+    return tot, minp, cost
+
+
+def vdm_neighbours(pats: DataFrame, features: list[str], k: int = SMOTEN_K) -> DataFrame:
+    """Each minority pattern's k nearest minority rows under the value
+    difference metric (exact ring search; no pairs): a_code, b_code, dist,
+    take (rows taken from pattern b)."""
+    p = pats.withColumn("_k", F.lit(0))
+    _tot, minp, cost = _smoten_inputs(p, features, ["_k"])
+    return ring_neighbours(minp, ["_k"], len(features), k, cost).drop("_k")
+
+
+def smoten(pats: DataFrame, features: list[str], keys: list[str] | tuple = (),
+           k: int = SMOTEN_K) -> DataFrame:
+    """M2: synthetic minority patterns with counts:
+    keys, features, n, w0, w1, is_synthetic=true (features must be 0/1)."""
+    keys = list(keys)
+    drop_key = not keys
+    if drop_key:
+        pats = pats.withColumn("_k", F.lit(0))
+        keys = ["_k"]
+    nf = len(features)
+    tot, minp, cost = _smoten_inputs(pats, features, keys)
     nb = ring_neighbours(minp, keys, nf, k, cost)
     bits = [((F.col("b_code").bitwiseAND(F.lit(1 << i))) > 0).cast("double") for i in range(nf)]
     votes = nb.groupBy(*keys, "a_code").agg(

@@ -260,6 +260,33 @@ def q_answer_completeness(spark, sf_dir):
     return ST.answer_completeness(live(spark, sf_dir), FEATS)
 
 
+# ---------------------------------------------------------------- J3
+
+def answer_requests(spark, sf_dir):
+    """Every paper asked every tree question: (paper_id, question_id), a
+    generator over the 8 questions (no join)."""
+    return S.papers(spark, sf_dir).select(
+        "paper_id", F.explode(F.array(*[F.lit(q) for q in FEATS])).alias("question_id"))
+
+
+REQ_SQL = ("WITH " + O.live_cte() + ", req AS (SELECT d.doc_id AS paper_id, q.question_id "
+           "FROM documents d, (VALUES " + ", ".join(f"({O.q(f)})" for f in FEATS) +
+           ") q(question_id)) ")
+HIT_SQL = ("EXISTS (SELECT 1 FROM live l WHERE l.paper_id = r.paper_id "
+           "AND l.question_id = r.question_id)")
+
+
+@register("cache_hits", REQ_SQL + "SELECT r.paper_id, r.question_id FROM req r WHERE " + HIT_SQL)
+def q_cache_hits(spark, sf_dir):
+    return ST.cache_hits(answer_requests(spark, sf_dir), live(spark, sf_dir))
+
+
+@register("cache_misses", REQ_SQL + "SELECT DISTINCT r.paper_id, r.question_id FROM req r "
+          "WHERE NOT " + HIT_SQL)
+def q_cache_misses(spark, sf_dir):
+    return ST.cache_misses(answer_requests(spark, sf_dir), live(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- A1, F3, J1
 
 PIVOT_SQL = "WITH " + O.live_cte() + ", pv AS (" + O.pivot_sql("live") + ")"
@@ -520,6 +547,13 @@ def q_smoten(spark, sf_dir):
     return RS.smoten(TR.patterns(training(spark, sf_dir), FEATS), FEATS)
 
 
+@register("vdm_neighbours", TT_SQL + ", " + O.smoten_sql() +
+          " SELECT a_code, b_code, round(dist, 9) AS dist, take FROM pr3 WHERE take > 0")
+def q_vdm_neighbours(spark, sf_dir):
+    nb = RS.vdm_neighbours(TR.patterns(training(spark, sf_dir), FEATS), FEATS)
+    return nb.select("a_code", "b_code", F.round("dist", 9).alias("dist"), "take")
+
+
 @register("oversample", TT_SQL + ", " + O.smoten_sql() +
           f" SELECT {FEAT_SQL}, count(*) AS n, sum(CASE WHEN label = 0 THEN 1 ELSE 0 END)::DOUBLE AS w0, "
           f"sum(label)::DOUBLE AS w1, false AS is_synthetic FROM tt GROUP BY {FEAT_SQL} "
