@@ -157,6 +157,10 @@ def shap_values(pats: DataFrame, nodes: DataFrame, features: list[str]) -> DataF
     fidx = {f: features.index(f) for f in used}
     bit = {fidx[f]: j for j, f in enumerate(used)}  # feature index -> coalition bit
     # the model's leaves as a literal array (bounded by the tree): no join
+    from .tree import LOCAL_MODEL_MAX_NODES
+    n_nodes = nodes.count()
+    if n_nodes > LOCAL_MODEL_MAX_NODES:  # leaves become one literal array
+        raise ValueError(f"tree of {n_nodes} nodes exceeds {LOCAL_MODEL_MAX_NODES} for X2")
     leaves = leaf_paths(nodes, features).collect()
     lit_leaves = F.array(*[F.struct(
         F.lit(float(r["p1"])).alias("p1"),

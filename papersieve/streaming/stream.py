@@ -50,7 +50,10 @@ def stream_screen(spark: SparkSession, folder: str, nodes: DataFrame, out: str |
     folder (parquet, partitioned by batch_id).  Runs with availableNow."""
     out = out or scratch_path(spark, "screen-out")
     checkpoint = checkpoint or scratch_path(spark, "screen-ckpt")
-    nodes_local = spark.createDataFrame(nodes.collect(), nodes.schema)  # a small model
+    # the model is computed once for all batches (a local relation only when
+    # its node count is under the bound, else a checkpoint)
+    from ..operators.tree import materialize_model
+    nodes_local = materialize_model(nodes)
     docs = stream_table(spark, folder, "documents", DOC_SCHEMA).select(
         F.col("doc_id").alias("paper_id"), F.lit("").alias("title"), F.col("text").alias("abstract"))
 
