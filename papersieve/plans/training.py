@@ -211,15 +211,14 @@ def poisson_weights(pats: DataFrame, n_trees: int | str, seed: int = RANDOM_STAT
             .where(F.col("n") > 0))
 
 
-# Trees grown by one level job of a search.  The state of a forest search
-# is (tree x pattern) rows, independent of the paper count but proportional
-# to the number of trees; configurations are grouped so that no job holds
-# more than this many trees (a 40 x 5-fold search holds ~57,000).
-MAX_TREES_PER_JOB = 4_000
+# State rows (tree x pattern) grown by one level job of a forest search.
+# The state is independent of the paper count but proportional to the
+# number of trees (a 40 x 5-fold search holds ~57,000); configurations are
+# grouped so that trees x (patterns of a fold) stays under this bound.
+MAX_STATE_ROWS_PER_JOB = 1_000_000
 
 
-def tree_batches(configs: list[dict], n_folds: int = N_FOLDS,
-                 max_trees: int = MAX_TREES_PER_JOB) -> list[list[dict]]:
+def tree_batches(configs: list[dict], n_folds: int, max_trees: int) -> list[list[dict]]:
     """Consecutive groups of configurations holding at most ``max_trees``
     trees over all folds (a single larger configuration forms its own group)."""
     out, cur, size = [], [], 0
@@ -267,12 +266,13 @@ def _forest_fold_scores(train: DataFrame, held: DataFrame, g: DataFrame,
 
 def forest_search(rows: DataFrame, features: list[str], configs: list[dict],
                   label: str = "label", seed: int = RANDOM_STATE,
-                  class_weight: bool = True, max_trees: int = MAX_TREES_PER_JOB) -> DataFrame:
+                  class_weight: bool = True, max_trees: int | None = None) -> DataFrame:
     """M7 + M6 + M3 + A14 + M11: configurations are grown in groups of at
-    most ``max_trees`` trees (every configuration, fold and tree of a group
-    in one level loop); held-out folds are scored by the soft vote of each
-    configuration's trees.  Returns per-configuration mean fold metrics and
-    rank by mean recall."""
+    most ``max_trees`` trees (default: MAX_STATE_ROWS_PER_JOB over the
+    largest fold's pattern count), every configuration, fold and tree of a
+    group in one level loop; held-out folds are scored by the soft vote of
+    each configuration's trees.  Returns per-configuration mean fold metrics
+    and rank by mean recall."""
     spark = rows.sparkSession
     train, held = fold_patterns(rows, features, label)
     # 'balanced' class weights of each fold's training side (one row per fold)
@@ -285,6 +285,9 @@ def forest_search(rows: DataFrame, features: list[str], configs: list[dict],
                          if class_weight else one)
              .drop("N0", "N1"))
     train, held = cut_lineage(train), cut_lineage(held)
+    if max_trees is None:
+        pat_rows = train.groupBy("cv_fold").count().agg(F.max("count")).first()[0] or 1
+        max_trees = max(1, MAX_STATE_ROWS_PER_JOB // pat_rows)
     # a forest's default max_features is sqrt (a configuration may override it)
     configs = [{"max_features": "sqrt", **c} for c in configs]
     sc = None
