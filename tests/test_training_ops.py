@@ -53,3 +53,16 @@ def test_smoten_equals_brute_force(spark):
     assert got == dict(want)
     n1 = sum(y for _, y in rows)
     assert sum(got.values()) == len(rows) - 2 * n1   # classes become equal
+
+
+def test_tree_batches_bound_trees_per_job():
+    """Forest-search groups keep every configuration, in order, and hold at
+    most the bound of trees over all folds (a larger one stands alone)."""
+    from papersieve.plans.training import random_search_configs, tree_batches
+    cfgs = random_search_configs()
+    groups = tree_batches(cfgs, 5, 4_000)
+    assert [c["config_id"] for g in groups for c in g] == [c["config_id"] for c in cfgs]
+    for g in groups:
+        trees = sum(c["n_estimators"] * 5 for c in g)
+        assert trees <= 4_000 or len(g) == 1
+    assert tree_batches(cfgs, 5, 1) == [[c] for c in cfgs]
