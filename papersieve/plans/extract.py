@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_MODEL_NAME, FEATURE_ORDER
 from ..functions.answers import answer_key, encode_answer, norm_qid, reason_list
-from ..operators.features import encode_features, pivot_answers
+from ..operators.features import encode_features
 from ..operators.rules import RuleProvider
-from ..operators.store import answer_completeness, token_usage
 from ..sources.questions import question_rows
 
 # Prompt templates of this library (not a fixed value of the method: any
@@ -91,12 +90,24 @@ def extract_long(prepared: DataFrame, provider: RuleProvider | None = None,
                 .withColumn("completion_tokens", F.coalesce("_s_ct", "completion_tokens"))
                 .drop("_s_a", "_s_pt", "_s_ct"))
     long = long.where(F.col("answer").isNotNull())
-    status = answer_completeness(long, qids).select("paper_id", "status")
-    tokens = token_usage(long).select("paper_id", "input_tokens", "output_tokens")
-    wide = pivot_answers(long, qids)
+    # A1 + A9 + A10 in two aggregates and no join: per (paper, question) the
+    # answer, its multiplicity (a duplicate raises, as in pivot_answers) and
+    # the tokens; per paper the pivot, the answered count and token sums
+    per = (long.groupBy("paper_id", "question_id").agg(
+        F.first("answer", ignorenulls=True).alias("_v"), F.count(F.lit(1)).alias("_n"),
+        F.sum("prompt_tokens").alias("_pt"), F.sum("completion_tokens").alias("_ct"))
+        .withColumn("_v", F.when(F.col("_n") > 1, F.raise_error(F.concat(
+            F.lit("duplicate answer for paper "), F.col("paper_id").cast("string"),
+            F.lit(" question "), F.col("question_id")))).otherwise(F.col("_v"))))
+    wide = per.groupBy("paper_id").agg(
+        F.count(F.when(F.col("question_id").isin(*qids), F.lit(1))).alias("_answered"),
+        F.sum("_pt").cast("long").alias("input_tokens"),
+        F.sum("_ct").cast("long").alias("output_tokens"),
+        *[F.max(F.when(F.col("question_id") == q, F.col("_v"))).alias(q) for q in qids])
+    status = F.when(F.col("_answered") == len(qids), F.lit("complete")).otherwise(F.lit("incomplete"))
     complete = F.col("status") == "complete"
     enc = [F.when(complete, encode_answer(F.col(q), F.lit(q), policy)).alias(q) for q in qids]
-    return (wide.join(status, "paper_id").join(tokens, "paper_id")
+    return (wide.withColumn("status", status)
             .select("paper_id", "status", "input_tokens", "output_tokens", *enc))
 
 
