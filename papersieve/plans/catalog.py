@@ -32,15 +32,23 @@ def register(name: str, sql: str | None):
 
 # ---------------------------------------------------------------- shared plans
 
-def screened(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat screen of every document against the fixture tree."""
-    s = screen(S.papers(spark, sf_dir), fixture_nodes(spark))
+def _flat(papers: DataFrame, spark: SparkSession) -> DataFrame:
+    s = screen(papers, fixture_nodes(spark))
     return s.select("paper_id", "status", "excluded_by", "leaf_id", "probability",
                     "prediction", F.size("extracted_features").alias("n_steps"))
 
 
+def screened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat screen of every document against the fixture tree."""
+    return _flat(S.papers(spark, sf_dir), spark)
+
+
 def scored_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return screened(spark, sf_dir).join(S.labels(spark, sf_dir), "paper_id")
+    """Screen of the labelled papers only (a semi join before the text work),
+    with their labels."""
+    lab = S.labels(spark, sf_dir)
+    papers = S.papers(spark, sf_dir).join(lab.select("paper_id"), "paper_id", "left_semi")
+    return _flat(papers, spark).join(lab, "paper_id")
 
 
 SCREEN_SQL = "WITH RECURSIVE " + O.screen_ctes()
