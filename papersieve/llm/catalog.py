@@ -4,12 +4,16 @@ None where SQL cannot express it)."""
 from __future__ import annotations
 
 from .bpe_codec import bpe_codec
+from .mixing import mixed
 from .quality import quality_rules
 from .sharding import sharding
 from .token_counts import token_counts
+from .toxicity import toxicity
 
 REGISTRY = {
     "op3_token_counts": (token_counts, None),
+    "op4_toxicity": (toxicity, None),
+    "op5_mixing": (mixed, None),
     "op6_bpe_codec": (bpe_codec, None),
     "op9_quality_rules": (quality_rules, None),
     "op10_sharding": (sharding, None),

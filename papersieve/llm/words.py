@@ -33,13 +33,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def word_spans(buf: np.ndarray, offsets: np.ndarray):
-    """Start and end of every word, and how many words each text has."""
+def word_spans(buf: np.ndarray, offsets: np.ndarray, of: np.ndarray = IS_WORD):
+    """Start and end of every word (run of the bytes ``of``), and how many words
+    each text has."""
     n = len(buf)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offsets) - 1, np.int64)
-    inside = IS_WORD[buf]
+    inside = of[buf]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     begin = inside.copy()
