@@ -9,12 +9,14 @@ from .quality import quality_rules
 from .sharding import sharding
 from .token_counts import token_counts
 from .toxicity import toxicity
+from .vptree import NEAREST_SQL, nearest_vectors
 
 REGISTRY = {
     "op3_token_counts": (token_counts, None),
     "op4_toxicity": (toxicity, None),
     "op5_mixing": (mixed, None),
     "op6_bpe_codec": (bpe_codec, None),
+    "op8_nearest": (nearest_vectors, NEAREST_SQL),
     "op9_quality_rules": (quality_rules, None),
     "op10_sharding": (sharding, None),
 }
