@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from .bpe_codec import bpe_codec
 from .mixing import mixed
+from .ngram_join import NGRAM_SQL, ngram_join
 from .quality import quality_rules
 from .sharding import sharding
 from .token_counts import token_counts
@@ -12,6 +13,7 @@ from .toxicity import toxicity
 from .vptree import NEAREST_SQL, nearest_vectors
 
 REGISTRY = {
+    "op2_ngram_join": (ngram_join, NGRAM_SQL),
     "op3_token_counts": (token_counts, None),
     "op4_toxicity": (toxicity, None),
     "op5_mixing": (mixed, None),

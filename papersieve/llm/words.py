@@ -111,8 +111,8 @@ def shingle_sets(buf, offsets, width: int = 5) -> list[np.ndarray]:
             out.append(np.unique(shingles[cut[d]:cut[d + 1]]))
         elif n:
             own = h[word_at[d]:word_at[d + 1]]
-            out.append(mix(np.atleast_1d((own * PLACE[:n]).sum(dtype=U)
-                                         + U(int(n)) * PLACE[62])))
+            total = (own * PLACE[:n]).sum(dtype=U, keepdims=True)
+            out.append(mix(total + np.full(1, n, U) * PLACE[62]))
         else:
             out.append(np.zeros(0, U))
     return out
