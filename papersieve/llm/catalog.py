@@ -4,6 +4,7 @@ None where SQL cannot express it)."""
 from __future__ import annotations
 
 from .bpe_codec import bpe_codec
+from .ctw import lm_scores
 from .mixing import mixed
 from .ngram_join import NGRAM_SQL, ngram_join
 from .quality import quality_rules
@@ -18,6 +19,7 @@ REGISTRY = {
     "op4_toxicity": (toxicity, None),
     "op5_mixing": (mixed, None),
     "op6_bpe_codec": (bpe_codec, None),
+    "op7_lm_scores": (lm_scores, None),
     "op8_nearest": (nearest_vectors, NEAREST_SQL),
     "op9_quality_rules": (quality_rules, None),
     "op10_sharding": (sharding, None),
