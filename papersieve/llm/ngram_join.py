@@ -45,7 +45,8 @@ FLUSH = 2_000_000
 #: Bits of the table that tells which nodes' sets are needed (512 KB).
 NEEDED = 1 << 22
 
-ENTRY = np.dtype([("gram", "<u8"), ("node", "<i8"), ("n", "<u4")])
+#: ``rare``: how many of the node's shingles are not frequent.
+ENTRY = np.dtype([("gram", "<u8"), ("node", "<i8"), ("n", "<u4"), ("rare", "<u4")])
 PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("na", "<u4"), ("nb", "<u4"), ("c", "<u4")])
 
 
@@ -178,14 +179,17 @@ def entries(docs: DataFrame, frequent: np.ndarray, n_blocks: int) -> DataFrame:
             return packed(block_of(out["gram"], n_blocks).astype(np.int32), out, ["block", "data"])
 
         for node, grams in task_sets(batches):
+            rare = len(grams)
             if len(frequent):
                 code = column_code(grams, n_blocks)
                 at = np.minimum(np.searchsorted(frequent, code), len(frequent) - 1)
                 common = frequent[at] == code
                 if common.any():
                     grams = np.concatenate([grams[~common], grams[common]])
+                    rare -= int(common.sum())
             own = np.zeros(kept(len(grams)), ENTRY)
             own["gram"], own["node"], own["n"] = grams[:len(own)], node, len(grams)
+            own["rare"] = rare
             held.append(own)
             size += len(own)
             if size >= FLUSH // 4:
@@ -259,7 +263,9 @@ def pair_bucket(pairs: np.ndarray, n_blocks: int) -> np.ndarray:
 
 def multiply(packed_entries: DataFrame, n_blocks: int) -> DataFrame:
     """Per block: counted pairs of its rare columns; for its frequent ones the
-    pairs with one member (the least node), and the entries themselves."""
+    pairs with one member, and the entries themselves.  That member is the one
+    with the fewest shingles of its own: of near copies, the one that the
+    others were made from."""
 
     def one(table: pa.Table) -> pa.Table:
         rows, size = columns(unpack(table["data"], ENTRY))
@@ -270,7 +276,7 @@ def multiply(packed_entries: DataFrame, n_blocks: int) -> DataFrame:
         many = rows[size > OFTEN]
         if len(many):
             starts, sizes = runs(many["gram"])
-            by_node = many[np.lexsort((many["node"], many["gram"]))]
+            by_node = many[np.lexsort((many["node"], many["rare"], many["gram"]))]
             hub = np.repeat(by_node[starts], sizes)
             low, high = np.minimum(hub["n"], by_node["n"]), np.maximum(hub["n"], by_node["n"])
             good = (hub["node"] != by_node["node"]) \
