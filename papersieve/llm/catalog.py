@@ -8,12 +8,14 @@ from .ctw import lm_scores
 from .mixing import mixed
 from .ngram_join import NGRAM_SQL, ngram_join
 from .quality import quality_rules
+from .secret_scan import secret_scan
 from .sharding import sharding
 from .token_counts import token_counts
 from .toxicity import toxicity
 from .vptree import NEAREST_SQL, nearest_vectors
 
 REGISTRY = {
+    "op1_secret_scan": (secret_scan, None),
     "op2_ngram_join": (ngram_join, NGRAM_SQL),
     "op3_token_counts": (token_counts, None),
     "op4_toxicity": (toxicity, None),
