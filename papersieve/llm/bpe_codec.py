@@ -18,7 +18,6 @@ import pyarrow as pa
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import Memo, Offsets, Vocabulary, byte_letters, vocabulary
@@ -130,14 +129,6 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInArrow(rows, "doc_id long, ids array<int>, decoded string")
 
 
-def digests(coded: DataFrame) -> DataFrame:
-    """The contract's columns of encoded and decoded rows."""
-    return coded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
-
-
 def encode_decode_digests(docs: DataFrame, path: str) -> DataFrame:
     """Encode, decode and digest in one pass over the rows."""
 

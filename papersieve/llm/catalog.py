@@ -3,6 +3,8 @@ None where SQL cannot express it)."""
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .bpe_codec import bpe_codec
 from .ctw import lm_scores
 from .mixing import mixed
@@ -25,4 +27,5 @@ REGISTRY = {
     "op8_nearest": (nearest_vectors, NEAREST_SQL),
     "op9_quality_rules": (quality_rules, None),
     "op10_sharding": (sharding, None),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }

@@ -19,17 +19,25 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 2 << 20
 
 
+def position(df: DataFrame, name: str) -> int:
+    """Where the column is: by exact name, else the first equal but for case."""
+    have = df.columns
+    return have.index(name) if name in have else [c.lower() for c in have].index(name.lower())
+
+
+def with_plain_names(df: DataFrame, *names: str):
+    """(``df`` whose other columns are called _x0, _x1, ..., a function that
+    gives a frame with these columns the old names and order)."""
+    have, at = df.columns, {position(df, n): n for n in names}
+    plain = df.toDF(*[at.get(i, f"_x{i}") for i in range(len(have))])
+    return plain, lambda out: out.select(*plain.columns).toDF(*have)
+
+
 def take_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, found by exact name (else by the first name
     equal but for case).  Extra columns never clash."""
-    have = df.columns
-    plain = df.toDF(*[f"_c{i}" for i in range(len(have))])
-    out = []
-    for name in names:
-        at = (have.index(name) if name in have
-              else [c.lower() for c in have].index(name.lower()))
-        out.append(F.col(f"_c{at}").alias(name))
-    return plain.select(*out)
+    plain = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+    return plain.select(*[F.col(f"_c{position(df, n)}").alias(n) for n in names])
 
 
 def read_table(spark, sf_dir: str, name: str, *columns: str) -> DataFrame:

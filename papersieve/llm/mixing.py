@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import bounded_broadcast, cut_lineage
-from .frames import read_table, take_columns
+from .frames import read_table, take_columns, with_plain_names
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code point order, repeating.
@@ -193,6 +193,19 @@ def mix_documents(docs: DataFrame, seed: int = 5) -> DataFrame:
     return mix_units(cut_lineage(document_units(docs)), seed)
 
 
+def taken_rows(docs: DataFrame, seed: int = 5) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, columns as
+    they are."""
+    docs, restored = with_plain_names(docs, "doc_id", "source", "text")
+    units = mix_documents(docs, seed).filter("copies > 0").select(
+        F.col("_key").alias("_unit"), F.col("doc_id").alias("_unit_id"), "copies")
+    rows = docs.withColumn("_key", F.xxhash64("doc_id", "source", "text"))
+    return restored(
+            rows.join(units, (rows["_key"] == units["_unit"])
+                      & rows["doc_id"].eqNullSafe(units["_unit_id"]))
+            .withColumn("_time", F.explode(F.sequence(F.lit(1), "copies"))))
+
+
 def mixed(spark, sf_dir: str) -> DataFrame:
     """Contract query: the mix of all documents, one row per document."""
     units = mix_documents(read_table(spark, sf_dir, "documents", "doc_id", "source", "text"))

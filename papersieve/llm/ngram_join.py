@@ -27,10 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import cut_lineage
 from .components import components
-from .frames import pieces, read_table, take_columns, text_bytes
+from .frames import pieces, read_table, take_columns, text_bytes, with_plain_names
 from .words import PLACE, U, mix, shingle_sets
 
 WIDTH = 5
@@ -76,7 +77,7 @@ def need(na, nb):
 
 
 def task_sets(batches, text: str = "text"):
-    """(batch, row, node, set) of the rows with words, each set once a task."""
+    """(node, set) of the rows with words, each set once a task."""
     seen = set()
     for b in pieces(batches, text):
         for i, grams in enumerate(shingle_sets(*text_bytes(b.column(text)), WIDTH)):
@@ -398,6 +399,36 @@ def node_links(docs: DataFrame) -> DataFrame:
     return first.union(verified(docs, possible(counted.union(more))))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (with doc_id and text) that stay when one document
+    of each component does: the one of the smallest doc_id; of rows equal in id
+    and set, the least in all columns.  Rows without words all stay."""
+    docs, restored = with_plain_names(docs, "doc_id", "text")
+    names = docs.columns
+
+    def named(batches):
+        for b in pieces(batches, "text"):
+            sets = shingle_sets(*text_bytes(b.column("text")), WIDTH)
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array([node_name(s) if len(s) else None for s in sets], pa.int64())],
+                [*b.schema.names, "_node"])
+
+    rows = docs.mapInArrow(named, T.StructType(
+        [*docs.schema.fields, T.StructField("_node", T.LongType())]))
+    plain = take_columns(docs, "doc_id", "text")
+    nodes = cut_lineage(document_nodes(plain).filter("node IS NOT NULL").groupBy("node")
+                        .agg(F.min("doc_id").alias("least")))
+    joined = nodes.join(components(node_links(plain)), "node", "left")
+    stay = joined.groupBy(F.coalesce("component", "node").alias("_c")).agg(
+        F.min(F.struct(F.col("least").isNull().alias("_no_id"), "least", "node")).alias("s")) \
+        .select(F.col("s.node").alias("_stay"), F.col("s.least").alias("_least"))
+    kept_rows = rows.join(stay, (rows["_node"] == stay["_stay"])
+                          & rows["doc_id"].eqNullSafe(stay["_least"]), "left_semi")
+    first = (kept_rows.groupBy("_node").agg(F.min(F.struct(*names)).alias("_row"))
+             .select("_row.*"))
+    return restored(first.unionByName(rows.filter("_node IS NULL").select(*names)))
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``.
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import cut_lineage
-from .frames import read_table, take_columns
+from .frames import read_table, take_columns, with_plain_names
 
 PRIVATE_KEY = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----"
 CANDIDATE = (PRIVATE_KEY + r"|(?<![A-Za-z0-9])(?=[A-Za-z+/_.=@-]*+[0-9])"
@@ -190,7 +190,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, path: str = "source
 
 def redact(docs: DataFrame, findings: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
     """``docs`` with the secrets in ``text`` replaced; columns as before."""
-    names = docs.columns
+    docs, restored = with_plain_names(docs, "doc_id", "text")
     key = F.xxhash64("doc_id", "text")
     # rows with equal id and text have equal findings: one list for all
     said = (findings.groupBy("text_key", "doc_id", "nth")
@@ -203,9 +203,9 @@ def redact(docs: DataFrame, findings: DataFrame, mark: str = "[REDACTED]") -> Da
     between = F.split("text", CANDIDATE, -1)
     put = F.concat(F.col("_put.put"), F.array(F.lit("")))
     text = F.array_join(F.flatten(F.zip_with(between, put, lambda a, b: F.array(a, b))), "")
-    return (rows.join(said, rows["_text_key"] == said["text_key"], "left")
-            .withColumn("text", F.when(F.col("_put").isNull(), F.col("text")).otherwise(text))
-            .select(*names))
+    return restored(
+        rows.join(said, rows["_text_key"] == said["text_key"], "left")
+        .withColumn("text", F.when(F.col("_put").isNull(), F.col("text")).otherwise(text)))
 
 
 def secret_scan(spark, sf_dir: str) -> DataFrame:
