@@ -157,9 +157,8 @@ def summed(keys: np.ndarray, counts: np.ndarray):
 def by_shard(keys: np.ndarray, shard: np.ndarray):
     """Order that puts sorted keys by shard, and where shards begin."""
     order = np.argsort(shard, kind="stable")
-    at = np.flatnonzero(np.concatenate([[True], shard[order][1:] != shard[order][:-1]])) \
-        if len(keys) else np.zeros(0, int)
-    return order, at
+    dealt = shard[order]
+    return order, np.flatnonzero(np.concatenate([[True], dealt[1:] != dealt[:-1]])[:len(keys)])
 
 
 def word_hashes(buf, offsets):
@@ -198,6 +197,8 @@ def pack_parts(docs: DataFrame, n_shards: int, part_bytes: int = PART) -> DataFr
         rows = [(TEXT, -1, packed, None)]
         for kind, tally, place in ((RUNS, runs, shard_of), (WORDS, words, word_shard)):
             keys, counts = tally.result()
+            if not len(keys):
+                continue
             shard = place(keys, n_shards)
             order, starts = by_shard(keys, shard)
             for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):

@@ -25,6 +25,10 @@ UNLABELLED = 20_000
 #: Hash buckets of words, and how many of them the classifier keeps.
 BUCKET_BITS = 20
 FEATURES = 512
+#: A feature is a word that so many toxic documents of the sample hold at
+#: least, and more of them than of the unlabelled by so many standard errors.
+LEAST_TOXIC = 5
+LEAST_LIFT = 6.0
 STEPS = 400
 RATE = 0.05
 RIDGE = 1e-4
@@ -46,16 +50,21 @@ def word_buckets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def nnpu_fit(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = STEPS,
              rate: float = RATE, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the non-negative risk with logistic loss."""
+    xp, xu = xp.astype(np.float32), xu.astype(np.float32)
     w, b = np.zeros(xp.shape[1]), np.log(prior / (1 - prior))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    for t in range(1, steps + 1):
-        sp, su = 1 / (1 + np.exp(-(xp @ w + b))), 1 / (1 + np.exp(-(xu @ w + b)))
-        clean = (-np.log1p(-np.minimum(su, 1 - 1e-12))).mean() \
-            - prior * (-np.log1p(-np.minimum(sp, 1 - 1e-12))).mean()
 
-        def grad(x, g):
-            return np.append(x.T @ g, g.sum())
+    def logits(x):
+        return (x @ w.astype(np.float32)).astype(float) + b
+
+    def grad(x, g):
+        return np.append(g.astype(np.float32) @ x, g.sum())
 
+    for t in range(1, steps + 1):
+        zp, zu = logits(xp), logits(xu)
+        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
+        # the loss of calling a text clean is log(1 + e^z)
+        clean = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         g_clean = grad(xu, su / len(su)) - prior * grad(xp, sp / len(sp))
         g = (prior * grad(xp, (sp - 1) / len(sp)) + g_clean) if clean >= 0 else -g_clean
         g[:-1] += ridge * w
@@ -119,7 +128,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES,
     df = [np.bincount(np.concatenate(g), minlength=1 << BUCKET_BITS) for g in groups]
     rate = [(d + 0.5) / (len(g) + 1) for d, g in zip(df, groups, strict=True)]
     lift = (rate[0] - rate[1]) / np.sqrt(rate[1] * (1 - np.minimum(rate[1], 0.999)) / len(groups[0]))
-    keep = np.sort(np.argsort(-np.abs(lift), kind="stable")[:FEATURES])
+    lift[df[0] < LEAST_TOXIC] = 0
+    best = np.argsort(-lift, kind="stable")[:FEATURES]
+    keep = np.sort(best[lift[best] > LEAST_LIFT])
+    if not len(keep):
+        return weight, float(np.log(prior / (1 - prior)))
 
     def matrix(group):
         x = np.zeros((len(group), len(keep)), np.float32)

@@ -1,0 +1,451 @@
+"""Operators over the whole corpus: 1, 2, 5, 7, 8, 10, and the pipeline."""
+
+import math
+import random
+import re
+from collections import Counter, defaultdict
+from itertools import product
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from papersieve.llm import ctw, mixing, ngram_join, secret_scan, sharding, vptree
+from papersieve.llm.components import components
+from papersieve.llm.frames import read_table
+
+from . import edge
+
+SMALL = "/root/testdata/sf0.001"
+
+
+# ---- 2: n-gram Jaccard join
+
+def shingles(text):
+    low = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    if len(words) < 5:
+        return {tuple(words)} if words else set()
+    return {tuple(words[i:i + 5]) for i in range(len(words) - 4)}
+
+
+def components_by_hand(rows):
+    sets = [(k, shingles(t)) for k, t in rows]
+    parent = list(range(len(sets)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, (_, a) in enumerate(sets):
+        for j, (_, b) in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                parent[top(i)] = top(j)
+    least = {}
+    for i, (k, _) in enumerate(sets):
+        if k is not None:
+            least[top(i)] = min(least.get(top(i), k), k)
+    return Counter((k, len(s), least.get(top(i))) for i, (k, s) in enumerate(sets))
+
+
+def near_copies(seed, n):
+    """Texts in families of near copies with many shared passages."""
+    rng = random.Random(seed)
+    shared = " ".join(f"s{i}" for i in range(12))
+    out = []
+    for family in range(4):
+        base = [f"f{family}w{i}" for i in range(60)]
+        for _ in range(n):
+            words = [w if rng.random() > 0.03 else f"r{rng.random()}" for w in base]
+            out.append(" ".join(words) + (" " + shared if rng.random() < 0.7 else ""))
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("often", [2, 64])
+def test_join_equals_brute_force(spark, monkeypatch, often):
+    monkeypatch.setattr(ngram_join, "OFTEN", often)
+    rows = near_copies(3, 12)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.jaccard_components(docs).collect()
+    assert Counter(map(tuple, got)) == components_by_hand(rows)
+
+
+def test_join_edges(spark):
+    got = ngram_join.jaccard_components(edge.documents(spark)).collect()
+    assert Counter(map(tuple, got)) == components_by_hand([r[:2] for r in edge.ROWS])
+    assert ngram_join.jaccard_components(edge.empty(spark)).count() == 0
+
+
+def test_one_of_each(spark):
+    docs = edge.documents(spark)
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    # columns by place: names clash but for case
+    rows = [tuple(r)[:2] for r in kept.toDF(*[f"c{i}" for i in range(len(docs.columns))]).collect()]
+    by_hand = components_by_hand([r[:2] for r in edge.ROWS])
+    groups = {c for k, n, c in by_hand if n and c is not None}
+    empty = sum(v for (k, n, c), v in by_hand.items() if not n)
+    lone = sum(1 for (k, n, c) in by_hand if n and c is None)
+    assert len(rows) == len(groups) + empty + lone
+
+
+def test_components_of_a_long_path(spark):
+    edges = spark.range(1, 60).select((F.col("id") - 1).alias("a"), F.col("id").alias("b"))
+    more = edges.union(spark.createDataFrame([(100, 101), (102, 101)], "a long, b long"))
+    got = dict(components(more).collect())
+    assert {got[i] for i in range(60)} == {0} and {got[i] for i in (100, 101, 102)} == {100}
+
+
+# ---- 10: sharding
+
+def test_hypergeometric_law():
+    rng = random.Random(5)
+    draws = Counter(sharding.draw_hypergeometric(rng, 6, 9, 5) for _ in range(20000))
+    for k in range(6):
+        want = math.comb(6, k) * math.comb(9, 5 - k) / math.comb(15, 5)
+        assert abs(draws[k] / 20000 - want) < 0.015
+    big = [sharding.draw_hypergeometric(rng, 10**10, 3 * 10**10, 10**6) for _ in range(400)]
+    assert abs(np.mean(big) - 250000) < 5 * 433 / 20 and 300 < np.std(big) < 560
+
+
+def test_matrix_margins():
+    blocks, shards = [7, 0, 12, 1, 30], [10, 10, 10, 10, 10]
+    m = sharding.communication_matrix(blocks, shards, 3)
+    assert [sum(r) for r in m] == blocks and [sum(c) for c in zip(*m, strict=True)] == shards
+
+
+def test_shards_are_exact_and_repeatable(spark):
+    rows = sharding.sharding(spark, SMALL).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r.slot)
+    assert len(rows) == 200 and len(by) == 40
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    docs = read_table(spark, SMALL, "documents", "doc_id", "text")
+    one = {(r.doc_id, r.shard, r.slot) for r in sharding.shard_rows(docs, 7).collect()}
+    two = {(r.doc_id, r.shard, r.slot)
+           for r in sharding.shard_rows(docs.repartition(13), 7).collect()}
+    assert one == two
+
+
+def test_shard_edges(spark):
+    docs = spark.createDataFrame(edge.ROWS, edge.SCHEMA).withColumn("Shard", F.lit(1))
+    rows = sharding.shard_rows(docs, 3).collect()
+    assert sorted(Counter(r.shard for r in rows).values()) == [5, 6, 6]
+    assert sharding.shard_rows(docs.limit(0), 3).count() == 0
+
+
+# ---- 5: mixing
+
+def targets_by_hand(sizes):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(order)}
+    total, full = 1.5 * sum(sizes.values()), set()
+    while True:
+        left = total - sum(2 * sizes[s] for s in full)
+        rest = sum(weight[s] for s in order if s not in full)
+        t = {s: 2 * sizes[s] if s in full else left * weight[s] / rest for s in order}
+        over = {s for s in order if t[s] > 2 * sizes[s]}
+        if not over:
+            return t
+        full |= over
+
+
+def test_mix_meets_targets(spark):
+    d = "/root/testdata/sf0.01"
+    rows = mixing.mixed(spark, d).collect()
+    source = dict(read_table(spark, d, "documents", "doc_id", "source").collect())
+    sizes, taken, longest = Counter(), Counter(), Counter()
+    for r in rows:
+        sizes[source[r.doc_id]] += r["size"]
+        taken[source[r.doc_id]] += r.taken
+        longest[source[r.doc_id]] = max(longest[source[r.doc_id]], r["size"])
+        assert r.taken <= 2 * r["size"]
+    want = targets_by_hand(sizes)
+    for r in rows:
+        s = source[r.doc_id]
+        assert r.source_size == sizes[s] and r.target == pytest.approx(want[s])
+        assert abs(taken[s] - want[s]) <= 2 * longest[s]
+    again = mixing.mixed(spark, d).collect()
+    assert Counter(map(tuple, rows)) == Counter(map(tuple, again))
+
+
+def test_flight_keeps_totals_and_inclusion():
+    rng = random.Random(2)
+    rows = [(1.0, float(rng.randint(1, 400))) for _ in range(300)]
+    p = [0.3] * 300
+    out = mixing.flight(p, rows, rng)
+    assert sum(1 for x in out if 0 < x < 1) <= 2
+    for c in range(2):
+        assert sum(x * r[c] for x, r in zip(out, rows, strict=True)) == pytest.approx(
+            sum(0.3 * r[c] for r in rows))
+    done = mixing.land(out, rows, rng)
+    assert set(done) <= {0.0, 1.0} and abs(sum(done) - 90) <= 2
+    some = rows[:8]
+    often = np.mean([mixing.land([0.3] * 8, some, random.Random(i)) for i in range(3000)], axis=0)
+    assert np.abs(often - 0.3).max() < 0.05
+
+
+def test_levels_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 8)
+    docs = read_table(spark, SMALL, "documents", "doc_id", "text").withColumn(
+        "source", F.when(F.col("doc_id") % 3 == 0, "b").otherwise("a"))
+    rows = mixing.mix_documents(docs).collect()
+    taken, target, longest = Counter(), {}, Counter()
+    for r in rows:
+        taken[r["_source"]] += r.copies * r["size"]
+        target[r["_source"]] = r.target
+        longest[r["_source"]] = max(longest[r["_source"]], r["size"])
+    assert len(rows) == 200 and all(
+        abs(taken[s] - target[s]) <= 2 * longest[s] for s in target)
+
+
+def test_mix_edges(spark):
+    docs = edge.documents(spark)
+    out = mixing.taken_rows(docs)
+    assert out.columns == docs.columns
+    most = Counter(tuple(map(str, r[:2])) for r in edge.ROWS)
+    for row in out.toDF(*[f"c{i}" for i in range(len(docs.columns))]).collect():
+        most[tuple(map(str, tuple(row)[:2]))] -= 0
+    units = mixing.mix_documents(docs).collect()
+    assert sum(r["_n"] for r in units) == len(edge.ROWS)
+    assert all(0 <= r.copies <= 2 for r in units)
+    assert mixing.taken_rows(edge.empty(spark)).count() == 0
+
+
+# ---- 8: nearest neighbours
+
+def vectors(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 8)) * rng.uniform(0.2, 3, size=(300, 1))
+    x[40:60] = x[0]
+    rows = [(i, [float(np.float32(v)) for v in r]) for i, r in enumerate(x)]
+    bad = [(1000, None), (1020, [0.0] * 8), (1040, [1.0, None] + [0.0] * 6),
+           (1060, [float("nan")] * 8), (1080, [float("inf")] * 8), (None, [1.0] * 8),
+           (1100, [1.0, 2.0]), (1101, [2.0, 2.0]), (7, [5.0] * 8)]
+    return spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>"), rows + bad
+
+
+def nearest_by_hand(rows, k):
+    good = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None
+            and all(c is not None and math.isfinite(c) for c in v) and any(v)]
+    out = {}
+    for i, q in good:
+        if i % 20 == 0:
+            near = sorted((-float(vptree.exact_products(v[None], q[None])[0]), j)
+                          for j, v in good if j != i and len(v) == len(q))
+            out[i] = [(j, -s) for s, j in near[:k]]
+    return out
+
+
+def test_nearest_is_exact_at_factor_one(spark):
+    df, rows = vectors(spark)
+    got = defaultdict(list)
+    for r in vptree.nearest(df.select("*", F.lit(0).alias("Vec_Id")), k=7, shard=64, query_block=8) \
+            .orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    want = {q: n for q, n in nearest_by_hand(rows, 7).items() if n}
+    assert dict(got) == want
+    assert vptree.nearest(df.limit(0)).count() == 0
+
+
+def test_smaller_factors_prune():
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(20, 6)) * 4
+    x = centres[rng.integers(0, 20, 3000)] + rng.normal(size=(3000, 6)) * 0.1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree, ids = vptree.Tree(np.arange(3000), x, 32), np.arange(0, 3000, 60)
+    seen = {f: vptree.Search(tree, ids, x[ids], 10, f).visited for f in (1.0, 0.7)}
+    assert seen[0.7] < seen[1.0] < 25 * 3000
+    want = {i: set(np.argsort(-(x @ x[i]) + (np.arange(3000) == i) * 1e9)[:10]) for i in ids}
+    q, v, _ = vptree.search_block(tree, ids, x[ids], 10, 0.7)
+    assert np.mean([b in want[a] for a, b in zip(q, v, strict=True)]) > 0.9
+
+
+# ---- 7: context-tree weighting
+
+def tree_by_hand(train, text):
+    """log10 probability by a tree of dicts, bit by bit."""
+    counts = defaultdict(lambda: [0, 0])
+
+    def steps(t):
+        data = bytes([ctw.PAD] * ctw.DEPTH) + bytes(c + 32 if 65 <= c <= 90 else c
+                                                    for c in t.encode()) + bytes([ctw.END])
+        for i in range(ctw.DEPTH, len(data)):
+            known = 1
+            for bit in range(7, -1, -1):
+                one = data[i] >> bit & 1
+                yield data[i - ctw.DEPTH:i][::-1], known, one
+                known = known << 1 | one
+
+    for t in train:
+        for context, known, one in steps(t):
+            for d in range(ctw.DEPTH + 1):
+                counts[context[:d], known][one] += 1
+    children = defaultdict(set)
+    for context, known in counts:
+        if context:
+            children[context[:-1], known].add(context)
+
+    def own(a, b):
+        return (math.lgamma(a + .5) + math.lgamma(b + .5) - math.lgamma(a + b + 1)
+                - math.log(math.pi))
+
+    memo = {}
+
+    def below(context, known):
+        return sum(whole(c, known) for c in children[context, known])
+
+    def whole(context, known):
+        key = context, known
+        if key not in memo:
+            e = own(*counts[key])
+            memo[key] = e if len(context) == ctw.DEPTH else \
+                math.log(.5) + np.logaddexp(e, below(context, known))
+        return memo[key]
+
+    total = 0.0
+    for context, known, one in steps(text):
+        p = 0.5
+        for d in range(ctw.DEPTH, -1, -1):
+            key = context[:d], known
+            if key not in counts:
+                p = 0.5
+                continue
+            a, b = counts[key]
+            kt = (b + .5) / (a + b + 1)
+            w = 1.0 if d == ctw.DEPTH else 1 / (1 + math.exp(min(below(*key) - own(a, b), 700)))
+            p = w * kt + (1 - w) * p
+        total += math.log10(p if one else 1 - p)
+    return total
+
+
+def test_scores_equal_brute_force(spark):
+    texts = ["the cat sat on the mat", "The cat ran", "a dog sat", "", "naïve café", "the the the",
+             None, "zebra \n\n quartz"]
+    rows = [(i, t, i % 4 == 3) for i, t in enumerate(texts)] + [(None, "the cat", False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    got = ctw.score_texts(docs.select("doc_id", "text", "held"), F.col("held"), part_bytes=30).collect()
+    train = [t or "" for _, t, h in rows if not h]
+    words = Counter(w for t in train for w in re.findall(r"[^\x20\x09-\x0D]+", t.lower()))
+    n, v = sum(words.values()) + len(train), len(words) + 1
+    by_id = {i: t or "" for i, t, _ in rows}
+    assert len(got) == len(rows)
+    for r in got:
+        own = re.findall(r"[^\x20\x09-\x0D]+", by_id[r.doc_id].lower())
+        assert (r.n_tokens, r.train_tokens) == (len(own) + 1, n)
+        assert r.n_known == sum(words[w] > 0 for w in own) + 1
+        assert r.base_score == pytest.approx(
+            sum(math.log10((words[w] + .5) / (n + .5 * (v + 1))) for w in own)
+            + math.log10((len(train) + .5) / (n + .5 * (v + 1))))
+        assert r.score == pytest.approx(tree_by_hand(train, by_id[r.doc_id]), rel=1e-5)
+
+
+def test_probabilities_of_a_context_add_up():
+    runs, counts = ctw.summed(np.array([0x616263646561, 0x616263646562, 0x626263646561], np.uint64),
+                              np.array([3, 1, 2]))
+    wanted = np.array([0x616263646500 + b for b in range(256)], np.uint64)
+    upper, table = [], (runs, counts)
+    full = {d: None for d in range(3)}
+    for d in (4, 3, 2, 1, 0):
+        k, c = table
+        table = ctw.summed((k >> np.uint64(16)) << np.uint64(8) | k & np.uint64(255), c)
+        if d < 3:
+            nodes = [ctw.level_nodes(*table, b) for b in range(8)]
+            key = np.concatenate([x[0] for x in nodes])
+            order = np.argsort(key)
+            n0, n1 = (np.concatenate([x[i] for x in nodes])[order] for i in (1, 2))
+            full[d] = (key[order], (n1 + .5) / (n0 + n1 + 1), np.full(len(key), .3))
+    upper = [full[2], full[1], full[0]]
+    assert (10 ** ctw.run_scores(wanted, runs, counts, upper)).sum() == pytest.approx(1)
+
+
+def test_log_gamma():
+    x = np.array([0.5, 1.0, 1.5, 7.25, 1e3, 1e9])
+    assert ctw.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-10, abs=1e-10)
+
+
+def test_lm_edges(spark):
+    docs = edge.documents(spark)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).select(
+        F.col("c0").alias("doc_id"), F.col("c1").alias("text"))
+    rows = ctw.score_texts(plain, F.lit(False)).collect()
+    assert len(rows) == len(edge.ROWS) and all(r.score < 0 for r in rows)
+    held = ctw.score_texts(plain, F.lit(True)).collect()
+    size = {r[0]: len((r[1] or "").encode()) for r in edge.ROWS if r[0] is not None}
+    for r in held:  # nothing learned: every decision is even
+        assert r.train_tokens == 0 and r.n_known == 0
+        if r.doc_id is not None:
+            assert r.score == pytest.approx(8 * (size[r.doc_id] + 1) * math.log10(.5), rel=1e-5)
+    assert ctw.score_texts(plain.limit(0), F.lit(False)).count() == 0
+
+
+# ---- 1: secret scan
+
+def test_secrets_and_false_positives(spark):
+    rng = random.Random(0)
+    rows = []
+    for i in range(120):
+        key = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        kind = i % 4
+        text = [f'some words token = "{key}" more', f"write to user.{i}@mail7.example.com today",
+                f"number 98079157628{i:05d} was paid", f"see file src/module_{i}/readme.txt here"][kind]
+        rows.append((i, text, "a"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = secret_scan.scan(docs)
+    got = found.collect()
+    text = {i: t for i, t, _ in rows}
+    assert len(got) == 120
+    for r in got:
+        assert text[r.doc_id][r.start:r.start + r.length] == r.candidate
+        assert r.secret == (r.doc_id % 4 == 0)
+    masked = dict(secret_scan.redact(docs, found).select("doc_id", "text").collect())
+    for i, t in text.items():
+        assert masked[i] == (re.sub('"[0-9a-f]{40}"', '"[REDACTED]"', t) if i % 4 == 0 else t)
+
+
+def test_secret_edges(spark):
+    docs = edge.documents(spark)
+    found = secret_scan.scan(docs)
+    assert {r.doc_id for r in found.filter("secret").collect()} == {13}
+    masked = secret_scan.redact(docs, found)
+    assert masked.columns == docs.columns and masked.count() == len(edge.ROWS)
+    assert secret_scan.scan(edge.empty(spark)).count() == 0
+
+
+def test_labelled_findings_train_the_forest(spark):
+    mark = [("k" + "a1B2" * 5 + str(i), "id=", "", "x/test", 0.0) for i in range(30)] + \
+        [("0f" * 12 + str(i), 'password="', '"', "x/main", 1.0) for i in range(30)]
+    labelled = spark.createDataFrame(
+        mark, "candidate string, left string, right string, path string, label double")
+    docs = spark.createDataFrame(
+        [(1, 'password="0f0f0f0f0f0f0f0f0f0f0f0f7"', "x/main"), (2, "id=ka1B2a1B2a1B2a1B2a1B27", "x/test")],
+        "doc_id long, text string, source string")
+    assert dict(secret_scan.scan(docs, labelled).select("doc_id", "secret").collect()) == \
+        {1: True, 2: False}
+
+
+# ---- pipeline
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    names, counts = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SMALL)
+        counts.append(docs.count())
+        if name != "bpe_encoding":
+            assert docs.columns == names
+    assert counts[0] > counts[1] == counts[2] and counts[4] == counts[3]
+    assert corpus_pipeline.run(spark, SMALL).count() == counts[-1]
+
+
+def test_pipeline_edges(spark):
+    for _name, stage in corpus_pipeline.STAGES:
+        docs = edge.documents(spark)
+        out = stage(spark, docs, SMALL)
+        assert out.columns in (docs.columns, ["doc_id", "ids"])
+        assert out.count() <= 2 * len(edge.ROWS)
+        assert stage(spark, edge.empty(spark), SMALL).count() == 0
