@@ -18,7 +18,7 @@ END = "Ā"
 WORD_SUFFIX = "</w>"
 #: Entries kept in a worker's memo of words; it is emptied when full, which
 #: bounds memory and changes no result.
-MEMO = 600_000
+MEMO = 300_000
 #: Bits of a token id in a pair's key.
 PAIR_BITS = 24
 

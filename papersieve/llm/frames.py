@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: Text bytes handled at once by the numpy code of a task.  A longer text is
 #: handled alone and whole.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 19
 
 
 def position(df: DataFrame, name: str) -> int:

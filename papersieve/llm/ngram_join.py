@@ -42,7 +42,7 @@ OFTEN = 64
 #: bounds a broadcast to 8 MB; any choice of columns keeps the join exact.
 TOLD = 1_000_000
 #: Shingles gathered in a task before they are sent on.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Bits of the table that tells which nodes' sets are needed (512 KB).
 NEEDED = 1 << 22
 
@@ -156,10 +156,17 @@ def frequent_columns(docs: DataFrame, n_blocks: int) -> np.ndarray:
         many = table["many"].to_numpy()
         once = unpack(table["data"].filter(pa.array(many == 0)), "<u4")
         more = unpack(table["data"].filter(pa.array(many == 1)), [("low", "<u4"), ("n", "<u4")])
-        low, at = np.unique(np.concatenate([once, more["low"]]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([np.ones(len(once)), more["n"]]), minlength=len(low))
+        low, n = np.unique(once, return_counts=True)
+        some, at = np.unique(more["low"], return_inverse=True)
+        many = np.bincount(at, more["n"], minlength=len(some)).astype(np.int64)
+        if len(low) and len(some):  # columns seen once in one task, more often in another
+            at = np.minimum(np.searchsorted(low, some), len(low) - 1)
+            same = low[at] == some
+            many[same] += n[at[same]]
+            n[at[same]] = 0
+        low, n = np.concatenate([low, some]), np.concatenate([n, many])
         keep = n > OFTEN
-        block = table["block"][0].as_py() if table.num_rows else 0
+        block = table["block"][0].as_py()
         return pa.table({"code": pa.array((np.int64(block) << 32 | low[keep].astype(np.int64))),
                          "n": pa.array(n[keep].astype(np.int64))})
 

@@ -189,7 +189,8 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, path: str = "source
 
 
 def redact(docs: DataFrame, findings: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
-    """``docs`` with the secrets in ``text`` replaced; columns as before."""
+    """``docs`` with the secrets in ``text`` replaced; columns as before.  Only
+    rows with a candidate are moved to meet their findings."""
     docs, restored = with_plain_names(docs, "doc_id", "text")
     key = F.xxhash64("doc_id", "text")
     # rows with equal id and text have equal findings: one list for all
@@ -199,13 +200,15 @@ def redact(docs: DataFrame, findings: DataFrame, mark: str = "[REDACTED]") -> Da
                 "nth", F.when(F.col("secret"), mark).otherwise(F.col("candidate")).alias("put"))))
                 .alias("_put"), F.max("secret").alias("_any"))
             .filter("_any").drop("_any"))
-    rows = docs.withColumn("_text_key", F.when(F.col("text").rlike(CANDIDATE), key))
+    holds = F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False))
+    rows = docs.filter(holds).withColumn("_text_key", key)
     between = F.split("text", CANDIDATE, -1)
     put = F.concat(F.col("_put.put"), F.array(F.lit("")))
     text = F.array_join(F.flatten(F.zip_with(between, put, lambda a, b: F.array(a, b))), "")
-    return restored(
-        rows.join(said, rows["_text_key"] == said["text_key"], "left")
-        .withColumn("text", F.when(F.col("_put").isNull(), F.col("text")).otherwise(text)))
+    masked = (rows.join(said, rows["_text_key"] == said["text_key"], "left")
+              .withColumn("text", F.when(F.col("_put").isNull(), F.col("text")).otherwise(text))
+              .select(*docs.columns))
+    return restored(docs.filter(~holds).unionByName(masked))
 
 
 def secret_scan(spark, sf_dir: str) -> DataFrame:

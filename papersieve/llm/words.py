@@ -55,10 +55,10 @@ _powers = {"n": 0}
 
 
 def _powers_to(n: int):
-    if n > (1 << 22):  # one very long text: not kept
+    if n > (1 << 20):  # one very long text: not kept
         return _make_powers(n)
     if _powers["n"] < n:
-        size = 1 << max(20, int(n - 1).bit_length())
+        size = 1 << max(19, int(n - 1).bit_length())
         _powers["up"], _powers["down"] = _make_powers(size)
         _powers["n"] = size
     return _powers["up"], _powers["down"]
