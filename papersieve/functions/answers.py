@@ -62,7 +62,7 @@ def encode_answer(answer, question_id, policy: str = "include_aware",
 def norm_qid(col) -> Column:
     """I1 / i1 / I01 -> I01 (letter upper-cased, number left-padded)."""
     c = _c(col)
-    num = F.substring(c, 2, 1000)
+    num = F.substring(c, F.lit(2), F.length(c))
     return F.concat(F.upper(F.substring(c, 1, 1)),
                     F.when(F.length(num) >= 2, num).otherwise(F.lpad(num, 2, "0")))
 

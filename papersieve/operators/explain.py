@@ -8,7 +8,6 @@ except the pattern aggregation that feeds it.
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,7 +48,7 @@ def heap_ancestors(nodes: DataFrame) -> DataFrame:
         "run_id", "tree_id", "node_id", (F.col("node_id").cast("long") + 1).alias("_j"),
         F.explode(F.sequence(F.lit(1), F.col("depth").cast("int"))).alias("_d"))
     return x.select("run_id", "tree_id",
-                    F.expr("CAST(shiftright(_j, _d) - 1 AS INT)").alias("ancestor_id"), "node_id",
+                    F.expr("shiftright(_j, _d) - 1").alias("ancestor_id"), "node_id",
                     F.expr("CASE WHEN shiftright(_j, _d - 1) % 2 = 0 THEN 'left' ELSE 'right' END")
                     .alias("side"))
 
@@ -88,6 +87,12 @@ def leaf_depth(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("left_id") < 0).select("run_id", "tree_id", "node_id", "depth")
 
 
+def mean_leaf_depth(nodes: DataFrame) -> DataFrame:
+    """Mean depth of each tree's leaves."""
+    return leaf_depth(nodes).groupBy("run_id", "tree_id").agg(
+        F.round(F.avg("depth"), 9).alias("mean_leaf_depth"), F.count(F.lit(1)).alias("n_leaves"))
+
+
 def subtree_leaf_counts(nodes: DataFrame, samples: str | None = None) -> DataFrame:
     """Per inner node and side, samples in the side's leaves by the
     leaves' predicted class (larger count, tie -> class 0)."""
@@ -218,5 +223,3 @@ def shap_summary(rows: DataFrame, shap: DataFrame, features: list[str]) -> DataF
                                                 F.abs(F.col("phi_" + f)).alias("a")) for f in features]))) \
             .groupBy("feature").agg(F.avg("a").alias("mean_abs_shap"))
 
-
-_ = combinations

@@ -136,6 +136,6 @@ def false_negatives(df: DataFrame, label: str = "label", pred: str = "prediction
     return df.where((F.col(label) == 1) & (F.col(pred) == 0))
 
 
-def eval_sample(df: DataFrame, n: int, order_col: str = "paper_id") -> DataFrame:
-    """The first n rows by id (the evaluation cap is a parameter)."""
-    return df.orderBy(order_col).limit(n)
+def eval_sample(df: DataFrame, n: int | None = None, order_col: str = "paper_id") -> DataFrame:
+    """All rows, or the first n by id where the caller sets that cap."""
+    return df if n is None else df.orderBy(order_col).limit(n)

@@ -151,7 +151,7 @@ class PandasProvider:
     """A caller's model over Arrow batches.
 
     ``fn(pdf) -> pdf`` receives columns paper_id, question_id, question,
-    title, abstract and must return paper_id, question_id, answer, evidence,
+    title, abstract (and mode, where the requests have it) and must return paper_id, question_id, answer, evidence,
     prompt_tokens, completion_tokens.  ``parallelism`` bounds concurrent calls
     (T3) by repartitioning the requests first; requests for one paper stay
     together, sorted by question, for prompt-prefix reuse.
@@ -174,7 +174,8 @@ class PandasProvider:
             for pdf in batches:
                 yield fn(pdf)
 
-        cols = ["paper_id", qid_col, "question", "title", "abstract"]
+        cols = ["paper_id", qid_col, "question", "title", "abstract",
+                *[c for c in ("mode",) if c in req.columns]]
         out = (req.select(*cols).withColumnRenamed(qid_col, "question_id")
                .repartition(self.parallelism, "paper_id")
                .sortWithinPartitions("paper_id", "question_id")

@@ -16,8 +16,9 @@ needs.  So trees are grown here as DataFrame aggregations:
    (row_number) -> children.  Each level's state is checkpointed to the
    shared folder (reliable, survives executor loss).
 
-Node ids are heap ids (children of i are 2i+1, 2i+2).  Ties in gain are
-broken by feature order, then threshold.
+Node ids are heap ids (children of i are 2i+1, 2i+2) for the first HEAP_LEVELS
+levels.  A fit grows until no node can be split.  Ties in gain are broken by
+feature order, then threshold.
 """
 
 from __future__ import annotations
@@ -30,7 +31,10 @@ from pyspark.sql import types as T
 
 from ..config import cut_lineage
 
-MAX_LEVELS = 30  # heap ids stay inside int; also MLlib's depth cap
+# Levels numbered as a heap (children of i are 2i+1, 2i+2).  Deeper nodes get
+# ids from DEEP_ID on, by their rank in the level, so depth has no limit.
+HEAP_LEVELS = 60
+DEEP_ID, DEEP_STEP = 1 << 62, 1 << 42
 
 CONFIG_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType()),
@@ -99,7 +103,8 @@ def fit_trees(pats: DataFrame, configs: DataFrame, features: list[str],
         pats = pats.withColumn("tree_id", F.lit(0))
     cfg = F.broadcast(configs)  # one row per run: bounded by the grid
     fidx = {f: i for i, f in enumerate(features)}
-    state = pats.join(cfg, "run_id").withColumn("node_id", F.lit(0)).withColumn("depth", F.lit(0))
+    state = (pats.join(cfg, "run_id").withColumn("node_id", F.lit(0).cast("long"))
+             .withColumn("depth", F.lit(0)))
     if checkpoint:
         state = cut_lineage(state)
     cfg_cols = [c for c in configs.columns if c != "run_id"]
@@ -142,21 +147,21 @@ def fit_trees(pats: DataFrame, configs: DataFrame, features: list[str],
     best_rank = F.row_number().over(Window.partitionBy(*nk).orderBy(
         F.col("gain").desc(), F.col("fi"), F.col("threshold"))).alias("_r")
     has = F.col("feature").isNotNull()
-    lvl_cols = [F.col("run_id"), F.col("tree_id").cast("int"), F.col("node_id").cast("int"),
+    lvl_cols = [F.col("run_id"), F.col("tree_id").cast("int"), F.col("node_id"),
                 F.col("depth").cast("int"), "feature", "threshold",
-                F.when(has, 2 * F.col("node_id") + 1).otherwise(-1).cast("int").alias("left_id"),
-                F.when(has, 2 * F.col("node_id") + 2).otherwise(-1).cast("int").alias("right_id"),
+                F.when(has, F.col("left_id")).otherwise(-1).cast("long").alias("left_id"),
+                F.when(has, F.col("left_id") + 1).otherwise(-1).cast("long").alias("right_id"),
                 F.col("nw0").alias("n0"), F.col("nw1").alias("n1"),
                 F.col("imp").alias("impurity"), F.col("ns").cast("long").alias("n_samples")]
     pick = F.lit(None).cast("double")
     for f, i in fidx.items():
         pick = F.when(F.col("fi") == i, F.col(f).cast("double")).otherwise(pick)
-    nxt = F.when(pick <= F.col("threshold"), 2 * F.col("node_id") + 1) \
-           .otherwise(2 * F.col("node_id") + 2)
+    nxt = F.when(pick <= F.col("threshold"), F.col("left_id")).otherwise(F.col("left_id") + 1)
     next_cols = [nxt.alias("node_id") if x == "node_id" else
                  (F.col("depth") + 1).alias("depth") if x == "depth" else F.col(x)
                  for x in state_cols]
-    for level in range(MAX_LEVELS):
+    level = 0
+    while True:
         node = state.groupBy(*nk, "depth", *cfg_cols).agg(*node_aggs).select("*", node_imp)
         fv = state.select(*nk, "depth", *cfg_cols, "n", "w0", "w1", unpivot).groupBy(
             *nk, "depth", *cfg_cols, "fi", "feature", "value").agg(*fv_aggs)
@@ -164,12 +169,19 @@ def fit_trees(pats: DataFrame, configs: DataFrame, features: list[str],
                 .select("*", _impurity(F.col("nw0"), F.col("nw1"), crit).alias("imp")))
         c = cand.where(ok).select(*c_cols).where(k_ok)
         best = c.select(*nk, "feature", "fi", "threshold", best_rank).where("_r = 1").drop("_r")
+        if level < HEAP_LEVELS:
+            left = 2 * F.col("node_id") + 1
+        else:  # nodes of one level of one tree, ranked: bounded by the model
+            rank = F.row_number().over(Window.partitionBy(*keys).orderBy("node_id")) - 1
+            left = F.lit(DEEP_ID + (level - HEAP_LEVELS) * DEEP_STEP) + 2 * rank
+        best = best.withColumn("left_id", left.cast("long"))
         # node rows of this level are derived from the (checkpointed) state
         # of this level; all levels are computed together in the final job
         levels.append(node.join(best, nk, "left").select(*lvl_cols))
         state = state.join(best, nk).select(*next_cols)
         if checkpoint:
             state = cut_lineage(state)  # the one job of this level
+        level += 1
         if state.isEmpty():
             break
     out = levels[0]
@@ -186,7 +198,7 @@ def predict_patterns(pats: DataFrame, nodes: DataFrame, features: list[str],
     n = nodes.select(*keys, "node_id", "feature", "threshold", "left_id", "right_id",
                      (F.col("n1") / (F.col("n0") + F.col("n1"))).alias("p1"))
     max_depth = nodes.agg(F.max("depth")).first()[0] or 0
-    state = pats.withColumn("node_id", F.lit(0))
+    state = pats.withColumn("node_id", F.lit(0).cast("long"))
     pick_expr = None
     for f in features:
         pick_expr = (F.when(F.col("feature") == f, F.col(f).cast("double")) if pick_expr is None

@@ -581,7 +581,100 @@ def q_fit_tree_depth2(spark, sf_dir):
     t = training(spark, sf_dir)
     cfg = TR.configs_df(spark, [{"run_id": "d2", **DEFAULT_TREE, "max_depth": 2}])
     nodes = TR.fit_trees(TR.patterns(t, FEATS).withColumn("run_id", F.lit("d2")), cfg, FEATS)
-    return nodes.select("node_id", "feature", "n0", "n1")
+    return nodes.select(F.col("node_id").cast("int").alias("node_id"), "feature", "n0", "n1")
+
+
+# the same depth-2 tree under every operator that reads a node table: its SQL
+# exists, so each has an exact twin
+def depth2_tree(spark, sf_dir):
+    t = training(spark, sf_dir)
+    cfg = TR.configs_df(spark, [{"run_id": "d2", **DEFAULT_TREE, "max_depth": 2}])
+    return cut_model(TR.fit_trees(TR.patterns(t, FEATS).withColumn("run_id", F.lit("d2")), cfg,
+                                  FEATS)), t
+
+
+D2_SQL = TT_SQL + ", " + O.depth2_tree_sql() + (
+    ", d2 AS (SELECT node_id, feature, n0, n1, CASE WHEN node_id = 0 THEN 0 WHEN node_id < 3 "
+    "THEN 1 ELSE 2 END AS depth FROM nodes2), lv AS (SELECT * FROM d2 WHERE feature IS NULL), "
+    "anc AS (SELECT l.*, 0 AS anc_id, CASE WHEN l.node_id IN (1, 3, 4) THEN 'left' ELSE 'right' "
+    "END AS side FROM lv l WHERE l.node_id > 0 UNION ALL SELECT l.*, (l.node_id - 1) // 2, "
+    "CASE WHEN l.node_id % 2 = 1 THEN 'left' ELSE 'right' END FROM lv l WHERE l.node_id > 2), "
+    "sl AS (SELECT anc_id AS node_id, side, "
+    "sum(CASE WHEN n1 > n0 THEN 0 ELSE n0 + n1 END)::BIGINT AS class0, "
+    "sum(CASE WHEN n1 > n0 THEN n0 + n1 ELSE 0 END)::BIGINT AS class1 FROM anc GROUP BY 1, 2)")
+D2_VALUE = "CASE d.feature " + " ".join(f"WHEN '{f}' THEN t.{f}" for f in FEATS) + " END"
+D2_ROWS = D2_SQL + (
+    f", w1 AS (SELECT t.*, CASE WHEN d.feature IS NULL THEN 0 WHEN {D2_VALUE} <= 0.5 THEN 1 "
+    "ELSE 2 END AS at1 FROM tt t JOIN d2 d ON d.node_id = 0), "
+    f"w2 AS (SELECT t.*, CASE WHEN d.feature IS NULL THEN t.at1 WHEN {D2_VALUE} <= 0.5 "
+    "THEN 2 * t.at1 + 1 ELSE 2 * t.at1 + 2 END AS leaf_id FROM w1 t JOIN d2 d ON d.node_id = t.at1), "
+    "pr AS (SELECT w2.paper_id, w2.label, w2.leaf_id, l.n1 / (l.n0 + l.n1) AS probability "
+    "FROM w2 JOIN d2 l ON l.node_id = w2.leaf_id)")
+
+
+@register("leaf_depth_depth2", D2_SQL + " SELECT node_id, depth FROM lv")
+def q_leaf_depth_depth2(spark, sf_dir):
+    return XP.leaf_depth(depth2_tree(spark, sf_dir)[0]).select("node_id", "depth")
+
+
+@register("mean_leaf_depth", D2_SQL + " SELECT round(avg(depth), 9) AS mean_leaf_depth, "
+          "count(*) AS n_leaves FROM lv")
+def q_mean_leaf_depth(spark, sf_dir):
+    return XP.mean_leaf_depth(depth2_tree(spark, sf_dir)[0]).select("mean_leaf_depth", "n_leaves")
+
+
+@register("subtree_leaf_counts_depth2", D2_SQL + " SELECT * FROM sl")
+def q_subtree_leaf_counts_depth2(spark, sf_dir):
+    return XP.subtree_leaf_counts(depth2_tree(spark, sf_dir)[0], "n_samples").select(
+        "node_id", "side", "class0", "class1")
+
+
+@register("critical_nodes_depth2", D2_SQL + ", rk AS (SELECT node_id, "
+          "max(CASE WHEN side = 'left' THEN class0 / (class0 + class1) END) AS risk_if_0, "
+          "max(CASE WHEN side = 'right' THEN class0 / (class0 + class1) END) AS risk_if_1 "
+          "FROM sl GROUP BY node_id) SELECT node_id, feature, risk_if_0, risk_if_1, "
+          "risk_if_0 > 0.9 OR risk_if_1 > 0.9 AS is_critical FROM rk JOIN d2 USING (node_id)")
+def q_critical_nodes_depth2(spark, sf_dir):
+    return XP.critical_nodes(depth2_tree(spark, sf_dir)[0], 0.9, "n_samples").select(
+        "node_id", "feature", "risk_if_0", "risk_if_1", "is_critical")
+
+
+@register("nodes_by_support_depth2", D2_SQL + " SELECT node_id, feature, n0, n1, "
+          "n1 / (n0 + n1) AS p1 FROM d2 WHERE n0 + n1 = (SELECT max(n0 + n1) FROM lv)")
+def q_nodes_by_support_depth2(spark, sf_dir):
+    nodes = depth2_tree(spark, sf_dir)[0]
+    top = nodes.where("feature IS NULL").agg(F.max(F.col("n0") + F.col("n1"))).first()[0]
+    return nodes_by_support(nodes, top).select("node_id", "feature", "n0", "n1", "p1")
+
+
+@register("predict_proba_depth2", D2_ROWS + " SELECT * FROM pr")
+def q_predict_proba_depth2(spark, sf_dir):
+    nodes, t = depth2_tree(spark, sf_dir)
+    return TRN.score_rows(t, nodes, FEATS).select("paper_id", "label", "leaf_id", "probability")
+
+
+@register("cv_scores_depth2", D2_ROWS + ", cm AS (SELECT label, "
+          "sum(CASE WHEN probability >= 0.5 AND label = 1 THEN 1 ELSE 0 END)::BIGINT AS tp, "
+          "sum(CASE WHEN probability < 0.5 AND label = 1 THEN 1 ELSE 0 END)::BIGINT AS fn, "
+          "sum(CASE WHEN probability >= 0.5 AND label = 0 THEN 1 ELSE 0 END)::BIGINT AS fp, "
+          "sum(CASE WHEN probability < 0.5 AND label = 0 THEN 1 ELSE 0 END)::BIGINT AS tn "
+          "FROM pr GROUP BY label) SELECT sum(tp)::BIGINT AS tp, sum(fn)::BIGINT AS fn, "
+          "sum(fp)::BIGINT AS fp, sum(tn)::BIGINT AS tn FROM cm")
+def q_cv_scores_depth2(spark, sf_dir):
+    nodes, t = depth2_tree(spark, sf_dir)
+    pats = TR.patterns(t, FEATS).withColumn("run_id", F.lit("d2")).withColumn("tree_id", F.lit(0))
+    return TR.cv_scores(TR.predict_patterns(pats, nodes, FEATS), ["run_id"]).select(
+        "tp", "fn", "fp", "tn")
+
+
+@register("trained_sweep_depth2", D2_ROWS + ", th AS (SELECT 0.05::DOUBLE + i::DOUBLE * 0.05::DOUBLE AS threshold FROM range(10) r(i)) "
+          "SELECT threshold, "
+          "sum(CASE WHEN probability >= threshold AND label = 1 THEN 1 ELSE 0 END)::BIGINT AS tp, "
+          "sum(CASE WHEN probability >= threshold AND label = 0 THEN 1 ELSE 0 END)::BIGINT AS fp "
+          "FROM pr, th GROUP BY threshold")
+def q_trained_sweep_depth2(spark, sf_dir):
+    nodes, t = depth2_tree(spark, sf_dir)
+    return M.threshold_sweep(TRN.score_rows(t, nodes, FEATS)).select("threshold", "tp", "fp")
 
 
 def final_tree(spark, sf_dir):
@@ -708,7 +801,7 @@ def q_stream_screen(spark, sf_dir):
     return spark.read.parquet(out).drop("batch_id")
 
 
-@register("stream_dedupe", "WITH " + O.log_cte() + " SELECT DISTINCT paper_id, question_id FROM alog")
+@register("stream_dedupe", "WITH " + O.log_cte() + " SELECT DISTINCT paper_id, question_id FROM alog WHERE valid")
 def q_stream_dedupe(spark, sf_dir):
     from ..streaming.stream import stream_dedupe
     out = stream_dedupe(spark, sf_dir)
@@ -757,11 +850,7 @@ def q_forest_proba(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- P8
-EVAL_CAP = 101  # the evaluation cap of the method (appends, then stops at >= 100)
-
-
-@register("eval_sample", SCORED_SQL + " SELECT paper_id, probability, prediction, y AS label "
-          f"FROM st ORDER BY paper_id LIMIT {EVAL_CAP}")
+@register("eval_sample", SCORED_SQL + " SELECT paper_id, probability, prediction, y AS label FROM st")
 def q_eval_sample(spark, sf_dir):
     d = scored_labelled(spark, sf_dir).select("paper_id", "probability", "prediction", "label")
-    return M.eval_sample(d, EVAL_CAP)
+    return M.eval_sample(d)

@@ -5,10 +5,11 @@ Per level of the tree the driver issues one plan step:
   frontier x node table (broadcast) -> the one question each paper needs
   -> store lookup (hit) / provider (miss) -> next node.
 A native provider (rules) answers in-row, so a miss costs no shuffle; any
-other provider gets the distinct missing (paper, question) pairs as a
-request table, which is joined back (one shuffle on paper_id per level).
-With ``materialize=True`` each level is checkpointed to the shared folder so
-that an executor loss never re-asks a paid-for question.
+other provider gets the distinct missing (paper, question) pairs, with the
+question's text, as a request table.  Its answers are checkpointed to the
+shared folder before anything else reads them, so each pair is asked once
+whatever the plan does later and whatever executor is lost; each level's
+state is checkpointed as well (``materialize``, always on for such a provider).
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 from ..config import cut_lineage
 from ..constants import EXCLUSION_REASONS
 from ..operators.tree import _walk_nodes, enrich_nodes, materialize_model
+from ..sources.questions import question_rows
 
 LAZY_STEP = T.StructType([
     T.StructField("step", T.IntegerType()),
@@ -32,6 +34,24 @@ LAZY_STEP = T.StructType([
 ])
 
 
+REQUEST = ["paper_id", "question_id", "title", "abstract", "question", "mode"]
+
+
+def question_text(qid):
+    """The bank's text of a question id (the bank is a fixed small list)."""
+    bank = F.create_map(*[F.lit(x) for q, text, _c, _i in question_rows() for x in (q, text)])
+    return F.try_element_at(bank, qid)
+
+
+def ask(provider, requests: DataFrame) -> DataFrame:
+    """Answers of an external provider to distinct requests, asked once: the
+    table is checkpointed before it is used."""
+    got = provider.answer_requests(requests.select(*REQUEST).distinct())
+    return cut_lineage(got.select(
+        F.col("paper_id").alias("_r_pid"), F.col("question_id").alias("_r_q"),
+        F.col("answer").alias("_r_a"), F.col("evidence").alias("_r_e")))
+
+
 def _store_side(store: DataFrame | None) -> DataFrame | None:
     if store is None:
         return None
@@ -61,6 +81,7 @@ def lazy_walk(prepared: DataFrame, nodes: DataFrame, provider, store: DataFrame
     base = state.columns
     side = _store_side(store)
     native = hasattr(provider, "answer_for")
+    materialize = materialize or not native
     text = F.col(text_col)
     for step in range(stats["d"]):
         j = state.join(nb, ["tree_id", "_node"], "left")
@@ -77,20 +98,17 @@ def lazy_walk(prepared: DataFrame, nodes: DataFrame, provider, store: DataFrame
             p_a = provider.answer_for(text, F.col("_n_feature"))
             p_e = provider.evidence_for(text, F.col("_n_feature"))
         else:
-            req = (j.where(need & ~hit)
-                   .select("paper_id", F.col("_n_feature").alias("question_id"),
-                           F.col("title_clean").alias("title"),
-                           F.col("abstract_clean").alias("abstract"),
-                           F.lit("").alias("question")).distinct())
-            got = provider.answer_requests(req).select(
-                F.col("paper_id").alias("_r_pid"), F.col("question_id").alias("_r_q"),
-                F.col("answer").alias("_r_a"), F.col("evidence").alias("_r_e"))
+            got = ask(provider, j.where(need & ~hit).select(
+                "paper_id", F.col("_n_feature").alias("question_id"),
+                F.col("title_clean").alias("title"), F.col("abstract_clean").alias("abstract"),
+                question_text(F.col("_n_feature")).alias("question"),
+                F.lit("single").alias("mode")))
             j = j.join(got, (j["paper_id"] == got["_r_pid"]) & (j["_n_feature"] == got["_r_q"]),
                        "left")
             p_a, p_e = F.col("_r_a"), F.col("_r_e")
-        ask = need & ~hit
-        ans = F.when(hit, s_a).when(ask, p_a)
-        ev = F.when(hit, s_e).when(ask, p_e)
+        asked = need & ~hit
+        ans = F.when(hit, s_a).when(asked, p_a)
+        ev = F.when(hit, s_e).when(asked, p_e)
         nxt = (F.when(ans == "NO", F.col("_n_left_id")).when(ans == "YES", F.col("_n_right_id"))
                 .when(ans == "UNSURE", F.col("_n_unsure_id")))
         moved = need & nxt.isNotNull()
@@ -98,12 +116,12 @@ def lazy_walk(prepared: DataFrame, nodes: DataFrame, provider, store: DataFrame
         item = F.struct(F.lit(step).alias("step"), F.col("_node").alias("node_id"),
                         F.col("_n_feature").alias("question_id"), ans.alias("answer"),
                         ev.alias("evidence"), score.alias("inclusion_score"),
-                        ask.alias("asked"))
+                        asked.alias("asked"))
         upd = {
             "_node": F.when(moved, nxt).otherwise(F.col("_node")),
             "status": F.when(need & nxt.isNull(), F.lit("unanswered")).otherwise(F.col("status")),
             "path_len": F.col("path_len") + moved.cast("int"),
-            "n_asked": F.col("n_asked") + ask.cast("int"),
+            "n_asked": F.col("n_asked") + asked.cast("int"),
             "n_hits": F.col("n_hits") + hit.cast("int"),
             "trace": F.when(moved, F.array_append(F.col("trace"), item)).otherwise(F.col("trace")),
         }
@@ -125,6 +143,22 @@ def new_answers(walked: DataFrame) -> DataFrame:
             .select("paper_id", "question_id", "answer", "evidence"))
 
 
+def reason_answers(prepared: DataFrame, provider, reasons, text) -> DataFrame:
+    """``prepared`` with _reasons: the answer to each exclusion reason."""
+    if hasattr(provider, "answer_for"):
+        return prepared.withColumn("_reasons", F.array(
+            *[provider.answer_for(text, F.lit(r)) for r in reasons]))
+    got = ask(provider, prepared.select(
+        "paper_id", F.explode(F.array(*[F.lit(r) for r in reasons])).alias("question_id"),
+        F.col("title_clean").alias("title"), F.col("abstract_clean").alias("abstract"))
+        .withColumn("question", question_text(F.col("question_id")))
+        .withColumn("mode", F.lit("exclusion")))
+    wide = got.groupBy(F.col("_r_pid").alias("paper_id")).agg(
+        F.array(*[F.max(F.when(F.col("_r_q") == r, F.col("_r_a"))) for r in reasons])
+        .alias("_reasons"))
+    return prepared.join(wide, "paper_id", "left")
+
+
 def lazy_screen(prepared: DataFrame, nodes: DataFrame, provider,
                 store: DataFrame | None = None, reasons=EXCLUSION_REASONS,
                 materialize: bool = False) -> DataFrame:
@@ -134,12 +168,13 @@ def lazy_screen(prepared: DataFrame, nodes: DataFrame, provider,
     rq = F.array(*[F.lit(r) for r in reasons])
     n = len(reasons)
     text = F.col("text")
-    multi = F.filter(F.sequence(F.lit(0), F.lit(n - 1)),
-                     lambda i: provider.answer_for(text, F.element_at(rq, i + 1))
-                     .isin("YES", "UNSURE"))
-    d = prepared.withColumn("exclusion_candidates", multi)
+    # each reason is answered once, into a column; the rest is array logic
+    d = reason_answers(prepared, provider, reasons, text)
+    candidates = F.filter(F.sequence(F.lit(0), F.lit(n - 1)),
+                          lambda i: F.element_at(F.col("_reasons"), i + 1).isin("YES", "UNSURE"))
+    d = d.withColumn("exclusion_candidates", candidates)
     confirmed = F.transform(d["exclusion_candidates"],
-                            lambda i: provider.answer_for(text, F.element_at(rq, i + 1)) == "YES")
+                            lambda i: F.element_at(F.col("_reasons"), i + 1) == "YES")
     pos = F.array_position(confirmed, True)  # 1-based, 0 when none
     d = (d.withColumn("_pos", pos)
          .withColumn("excluded_by", F.when(F.col("_pos") > 0, F.element_at(
@@ -147,7 +182,7 @@ def lazy_screen(prepared: DataFrame, nodes: DataFrame, provider,
          .withColumn("n_exclusion_calls", 1 + F.when(F.col("_pos") > 0, F.col("_pos"))
                      .otherwise(F.size("exclusion_candidates")))
          .withColumn("_st", F.when(F.col("_pos") > 0, F.lit("excluded")).otherwise(F.lit("walking")))
-         .drop("_pos"))
+         .drop("_pos", "_reasons"))
     w = lazy_walk(d, nodes, provider, store, status_col="_st", materialize=materialize)
     excluded = F.col("status") == "excluded"
     return w.select(

@@ -19,6 +19,7 @@ from ..config import scratch_path
 from ..constants import ANSWER_TTL_SECONDS, EXCLUSION_REASONS
 from ..operators.rules import RuleProvider
 from ..plans.screen import screen
+from ..operators.store import parse_log
 from ..sources.tables import events_to_log
 
 DOC_SCHEMA = T.StructType([
@@ -69,11 +70,13 @@ def stream_screen(spark: SparkSession, folder: str, nodes: DataFrame, out: str |
 
 def stream_dedupe(spark: SparkSession, folder: str, ttl_seconds: int = ANSWER_TTL_SECONDS,
                   out: str | None = None, checkpoint: str | None = None) -> str:
-    """Answer writes from the event stream; a (paper, question) seen
-    again within the TTL (event time, from first sight) is dropped."""
+    """Answer writes from the event stream; a (paper, question) answered
+    again within the TTL (event time, from first sight) is dropped.  A
+    malformed write is no answer: it is dropped before it could hide one."""
     out = out or scratch_path(spark, "dedupe-out")
     checkpoint = checkpoint or scratch_path(spark, "dedupe-ckpt")
-    log = events_to_log(stream_table(spark, folder, "events", EVENT_SCHEMA))
+    log = parse_log(events_to_log(stream_table(spark, folder, "events", EVENT_SCHEMA))) \
+        .where("valid")
     d = (log.withWatermark("answered_at", f"{ttl_seconds} seconds")
          .dropDuplicatesWithinWatermark(["paper_id", "question_id"]))
     q = (d.writeStream.format("parquet").option("path", out)

@@ -26,3 +26,77 @@ def test_pandas_provider_bounded_parallelism(spark):
     # the provider stage runs in exactly `parallelism` tasks
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" in plan or "MapInArrow" in plan or "PythonMapInArrow" in plan
+
+
+def test_lazy_screen_with_every_provider(spark, tmp_path):
+    """Rules, replayed answers and a caller's model screen alike; the model is
+    asked each (paper, question) once, with the question's text."""
+    from papersieve.operators.rules import ReplayProvider, RuleProvider, paper_text
+    from papersieve.operators.tree import fixture_nodes
+    from papersieve.plans.lazy import lazy_screen
+    from papersieve.plans.screen import prepare
+    from papersieve.sources import tables as S
+
+    prepared = prepare(S.papers(spark, "/root/testdata/sf0.001")).cache()
+    nodes = fixture_nodes(spark)
+    rules = RuleProvider()
+    answers = rules.answer_long(prepared, F.col("text")).cache()
+    known = {(r["paper_id"], r["question_id"]): r["answer"] for r in answers.collect()}
+    calls = str(tmp_path / "calls")
+
+    def model(pdf):
+        import os
+        import uuid
+        os.makedirs(calls, exist_ok=True)
+        pdf[["paper_id", "question_id", "question", "mode"]].to_csv(
+            f"{calls}/{uuid.uuid4().hex}.csv", index=False, header=False)
+        out = pdf[["paper_id", "question_id"]].copy()
+        out["answer"] = [known[k] for k in zip(pdf["paper_id"], pdf["question_id"])]
+        out["evidence"] = ""
+        out["prompt_tokens"] = out["completion_tokens"] = 1
+        return out
+
+    def screened(provider):
+        rows = lazy_screen(prepared, nodes, provider).select(
+            "paper_id", "status", "excluded_by", "leaf_id", "probability", "n_asked").collect()
+        return sorted(map(tuple, rows), key=str)
+
+    want = screened(rules)
+    assert screened(ReplayProvider(answers)) == want
+    assert screened(PandasProvider(model, "m")) == want
+    import glob
+    asked = pd.concat(pd.read_csv(f, header=None, keep_default_na=False)
+                      for f in glob.glob(f"{calls}/*.csv"))
+    assert not asked.duplicated([0, 1, 3]).any()
+    assert (asked[2].str.len() > 10).all()
+
+
+def test_malformed_write_hides_no_answer(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from papersieve.streaming.stream import stream_dedupe
+    t0 = datetime(2024, 1, 1)
+    rows = [(1, t0, 7, "error"), (2, t0 + timedelta(minutes=1), 7, "click"),
+            (3, t0 + timedelta(minutes=2), 7, "view")]
+    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(0)
+    cast = {f.name: f.dataType for f in df.schema}
+    made = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string")
+    full = made.select(*[
+        (F.col(c) if c in made.columns else F.lit('{"k": 1}') if c == "props" else F.lit(1.0))
+        .cast(cast[c]).alias(c) for c in df.columns])
+    pdf = full.toPandas()
+    pdf["ts"] = pdf["ts"].astype("datetime64[us]")
+    pdf.to_parquet(tmp_path / "events.parquet")
+    got = spark.read.parquet(stream_dedupe(spark, str(tmp_path))).collect()
+    assert len(got) == 1
+
+
+def test_poisson_draws_follow_one_law():
+    import numpy as np
+
+    from papersieve.plans.training import _poisson_batch
+    rng = np.random.default_rng(0)
+    for rate in (0.5, 3.0, 199.0, 201.0, 1e6):
+        x = _poisson_batch(np.full(4000, rate), rng.random(4000))
+        assert abs(x.mean() - rate) < 5 * np.sqrt(rate / 4000)
+        assert abs(x.var() / rate - 1) < 0.15
