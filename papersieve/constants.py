@@ -47,10 +47,29 @@ RULES = {
     "E01": (r"[A-Za-z0-9._]+@", r"@"),
     "E02": (r"!!", r"!"),
     "E03": (r"^[^\n]{0,40}$", r"^[^\n]{0,80}$"),
+    # the other questions of the bank, by words of their own subject
+    "I02": (r"\b(NCT|ISRCTN|EudraCT|ACTRN|ChiCTR)[- ]?[0-9]{4,}", r"\b[Rr]egist(ry|ered|ration)\b"),
+    "I03": (r"\b[Ii]ntervention(al)?\b", r"\b([Tt]reatment|[Pp]rogram(me)?)\b"),
+    "I06": (r"\b[Ss]chizoaffective\b", r"\b[Ss]chizo"),
+    "I08": (r"\b[Ss]chizotyp(y|al)\b", r"\b[Ss]chizo"),
+    "I09": (r"\b[Pp]ersistent (auditory )?hallucination", r"\b[Hh]allucination"),
+    "I11": (r"\b[Aa]kathisia\b", r"\b[Rr]estless"),
+    "I12": (r"\b[Tt]ardive dyskinesia\b", r"\b[Dd]yskinesia\b"),
+    "I14": (r"\b([Dd]ual diagnos[ie]s|[Cc]omorbid substance)\b", r"\b([Ss]ubstance|[Aa]lcohol|[Cc]annabis) use\b"),
+    "I15": (r"\b([Cc]aregivers?|[Cc]arers|[Rr]elatives) of\b", r"\b([Cc]aregivers?|[Cc]arers|[Ff]amil(y|ies))\b"),
+    "E04": (r"^\s*[Rr]etract(ion|ed)\b", r"\b[Rr]etract(ion|ed)\b"),
+    "E05": (r"\b[Ss]ingle[- ](arm|group)\b", r"\b([Uu]ncontrolled|[Oo]pen[- ]label)\b"),
+    "E06": (r"\b([Rr]etrospective|[Oo]bservational) (cohort )?stud(y|ies)\b", r"\b([Rr]egistry|[Cc]ohort)\b"),
+    "E07": (r"\b[Qq]ualitative (study|interviews?|methods)\b", r"\b([Ff]ocus groups?|[Ii]nterviews?)\b"),
+    "E08": (r"\b[Hh]ealthy (volunteers|subjects|participants)\b", r"\b[Pp]hase (I|1)\b"),
+    "E09": (r"\b([Pp]sychotic depression|[Pp]ostpartum psychosis|[Bb]ipolar disorder)\b", r"\b[Bb]ipolar\b"),
+    "E10": (r"\b(ECT|rTMS|TMS|tDCS)\b.{0,80}\b([Dd]epress|[Mm]ood)", r"\b(ECT|rTMS|tDCS)\b"),
+    "E11": (r"\b([Cc]aregivers?|[Cc]arers) of\b.{0,60}\b([Dd]ementia|[Aa]utis|[Dd]epression)", r"\b([Dd]ementia|[Aa]utis(m|tic))\b"),
+    "E12": (r"^\s*(Notice of [Rr]etraction|Retraction [Nn]otice)\b", r"\b[Rr]etraction [Nn]ote\b"),
 }
 
-# --- FIXED VALUES: exclusion reasons of the fixture (index -> question) -----
-EXCLUSION_REASONS = ["E01", "E02", "E03"]
+# --- FIXED VALUES: exclusion reasons, in order (index -> question) ----------
+EXCLUSION_REASONS = ["E01", "E02", "E03", "E06", "E07", "E08", "E09", "E10", "E11"]
 
 # --- FIXED VALUES: fixture node table (FIXTURES.md, C.1) ---------------------
 # node_id, feature, left_id, right_id, n0, n1   (leaf: feature None, children -1)

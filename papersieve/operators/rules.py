@@ -72,18 +72,20 @@ class RuleProvider:
             kv += [F.lit(q), rule_answer(text, q, self.rules)]
         return F.create_map(*kv)
 
-    def answer_for(self, text: Column, qid: Column) -> Column:
+    def answer_for(self, text: Column, qid: Column,
+                   qids: Iterable[str] | None = None) -> Column:
         """Answer to the question named by column ``qid`` (one branch runs);
-        null for a question without a rule."""
+        null for a question without a rule, or not among ``qids``."""
         out = F.lit(None).cast("string")
-        for q in self.question_ids:
+        for q in self.question_ids if qids is None else qids:
             out = F.when(qid == q, rule_answer(text, q, self.rules)).otherwise(out)
         return out
 
-    def evidence_for(self, text: Column, qid: Column) -> Column:
+    def evidence_for(self, text: Column, qid: Column,
+                     qids: Iterable[str] | None = None) -> Column:
         """Evidence of the question named by column ``qid`` (one branch runs)."""
         out = F.lit(None).cast("string")
-        for q in self.question_ids:
+        for q in self.question_ids if qids is None else qids:
             out = F.when(qid == q, rule_evidence(text, q, self.rules)).otherwise(out)
         return out
 

@@ -347,22 +347,26 @@ def _reason_texts():
 
 
 def _prompts_sql():
-    feats = [(qid, text) for qid, text, _c, _ie in _bank() if qid in FEATS]
-    vals = ", ".join(f"({O.q(a)}, {O.q(b)})" for a, b in feats)
-    reasons = "\n".join(f"{i}: {t}" for i, t in enumerate(_reason_texts()))
-    paper = "'Title: ' || '' || chr(10) || chr(10) || 'Abstract: ' || d.text"
-    return (f"WITH {O.docs_cte()}, qb(question_id, question) AS (VALUES {vals}) "
-            f"SELECT d.paper_id, qb.question_id, 'single' AS mode, {O.q(X.SYSTEM_SINGLE)} AS system, "
-            f"{paper} || chr(10) || chr(10) || 'Question: ' || qb.question AS user "
-            "FROM docs d CROSS JOIN qb UNION ALL "
-            f"SELECT d.paper_id, NULL AS question_id, 'exclusion' AS mode, "
-            f"{O.q(X.SYSTEM_EXCLUSION)} AS system, {paper} || chr(10) || chr(10) || "
-            f"'Exclusion reasons:' || chr(10) || {O.q(reasons)} AS user FROM docs d")
+    questions, reasons = X.bank_questions(), _reason_texts()
+    listed = lambda texts: O.q("\n".join(f"{i}: {t}" for i, t in enumerate(texts)))
+    rows = [(O.q(qid), "single", X.SYSTEM_SINGLE, O.q("Question: " + t)) for qid, t in questions]
+    rows += [("NULL", "exclusion", X.SYSTEM_EXCLUSION,
+              f"'Exclusion reasons:' || chr(10) || {listed(reasons)}")]
+    rows += [(O.q(str(i)), "confirm", X.SYSTEM_DANGER, O.q("Question: " + t))
+             for i, t in enumerate(reasons)]
+    rows += [("NULL", "all", X.SYSTEM_ALL,
+              f"'Questions:' || chr(10) || {listed([t for _q, t in questions])}")]
+    values = ", ".join(f"({qid}, {O.q(mode)}, {O.q(system)}, {tail})"
+                       for qid, mode, system, tail in rows)
+    return (f"WITH {O.docs_cte()}, ms(question_id, mode, system, tail) AS (VALUES {values}) "
+            "SELECT d.paper_id, ms.question_id, ms.mode, ms.system, 'Title: ' || chr(10) || "
+            "chr(10) || 'Abstract: ' || d.text || chr(10) || chr(10) || ms.tail AS user "
+            "FROM docs d CROSS JOIN ms")
 
 
 @register("prompts", _prompts_sql())
 def q_prompts(spark, sf_dir):
-    return X.prompts(prepare(S.papers(spark, sf_dir)), X.bank_questions(FEATS), _reason_texts())
+    return X.prompts(prepare(S.papers(spark, sf_dir)), X.bank_questions(), _reason_texts())
 
 
 @register("extract_long",

@@ -23,11 +23,13 @@ from ..sources.questions import question_rows
 SYSTEM_SINGLE = ("You screen scientific papers by title and abstract for a systematic "
                  "review. Answer the screening question with YES, NO or UNSURE and quote "
                  "the evidence. Prefer UNSURE over NO when the abstract does not say.")
-SYSTEM_DANGER = (" A YES here removes the paper from the review, so answer YES only "
+SYSTEM_DANGER = (SYSTEM_SINGLE + " A YES here removes the paper from the review, so answer YES only "
                  "when the abstract states it plainly.")
 SYSTEM_EXCLUSION = ("You screen scientific papers by title and abstract. From the numbered "
                     "exclusion reasons, return the ids of every reason that is true for the "
                     "paper, with evidence.")
+SYSTEM_ALL = ("You screen scientific papers by title and abstract. Answer each numbered "
+              "question with YES, NO or UNSURE, with evidence, as one list in their order.")
 
 
 def bank_questions(qids: list[str] | None = None) -> list[tuple[str, str]]:
@@ -55,20 +57,30 @@ def work_list(prepared: DataFrame, questions: list[tuple[str, str]],
 def prompts(prepared: DataFrame, questions: list[tuple[str, str]],
             reasons_text: list[str]) -> DataFrame:
     """rendered messages, ready for a batch provider:
-    paper_id, question_id, mode, system, user."""
+    paper_id, question_id, mode, system, user.  Modes: ``single`` (a question),
+    ``exclusion`` (all reasons, several may hold), ``confirm`` (one reason) and
+    ``all`` (every question at once).  One generator, so the text is cleaned
+    once."""
     paper = F.concat(F.lit("Title: "), F.col("title_clean"), F.lit("\n\nAbstract: "),
                      F.col("abstract_clean"))
-    single = prepared.select("paper_id", "title_clean", "abstract_clean",
-                             F.inline(question_array(questions))).select(
-        "paper_id", "question_id", F.lit("single").alias("mode"),
-        F.lit(SYSTEM_SINGLE).alias("system"),
-        F.concat(paper, F.lit("\n\nQuestion: "), F.col("question")).alias("user"))
-    reasons = reason_list(F.array(*[F.lit(r) for r in reasons_text]))
-    excl = prepared.select(
-        "paper_id", F.lit(None).cast("string").alias("question_id"),
-        F.lit("exclusion").alias("mode"), F.lit(SYSTEM_EXCLUSION).alias("system"),
-        F.concat(paper, F.lit("\n\nExclusion reasons:\n"), reasons).alias("user"))
-    return single.unionByName(excl)
+
+    def message(qid, mode, system, tail):
+        return F.struct(F.lit(qid).cast("string").alias("question_id"), F.lit(mode).alias("mode"),
+                        F.lit(system).alias("system"), tail.alias("tail"))
+
+    def listed(texts):
+        return reason_list(F.array(*[F.lit(t) for t in texts]))
+
+    messages = [message(q, "single", SYSTEM_SINGLE, F.lit(f"Question: {t}")) for q, t in questions]
+    messages += [message(None, "exclusion", SYSTEM_EXCLUSION,
+                         F.concat(F.lit("Exclusion reasons:\n"), listed(reasons_text)))]
+    messages += [message(str(i), "confirm", SYSTEM_DANGER, F.lit(f"Question: {t}"))
+                 for i, t in enumerate(reasons_text)]
+    messages += [message(None, "all", SYSTEM_ALL,
+                         F.concat(F.lit("Questions:\n"), listed([t for _q, t in questions])))]
+    return prepared.select("paper_id", paper.alias("_paper"), F.inline(F.array(*messages))).select(
+        "paper_id", "question_id", "mode", "system",
+        F.concat("_paper", F.lit("\n\n"), F.col("tail")).alias("user"))
 
 
 def extract_long(prepared: DataFrame, provider: RuleProvider | None = None,

@@ -83,6 +83,9 @@ def lazy_walk(prepared: DataFrame, nodes: DataFrame, provider, store: DataFrame
     native = hasattr(provider, "answer_for")
     materialize = materialize or not native
     text = F.col(text_col)
+    if native:  # one branch a question of the tree
+        from .screen import asked_questions
+        qids = asked_questions(nodes, provider)
     for step in range(stats["d"]):
         j = state.join(nb, ["tree_id", "_node"], "left")
         need = (F.col("status") == "walking") & ~F.col("_n_is_leaf")
@@ -95,8 +98,8 @@ def lazy_walk(prepared: DataFrame, nodes: DataFrame, provider, store: DataFrame
             hit = F.lit(False)
             s_a = s_e = F.lit(None).cast("string")
         if native:
-            p_a = provider.answer_for(text, F.col("_n_feature"))
-            p_e = provider.evidence_for(text, F.col("_n_feature"))
+            p_a = provider.answer_for(text, F.col("_n_feature"), qids)
+            p_e = provider.evidence_for(text, F.col("_n_feature"), qids)
         else:
             got = ask(provider, j.where(need & ~hit).select(
                 "paper_id", F.col("_n_feature").alias("question_id"),
@@ -147,7 +150,7 @@ def reason_answers(prepared: DataFrame, provider, reasons, text) -> DataFrame:
     """``prepared`` with _reasons: the answer to each exclusion reason."""
     if hasattr(provider, "answer_for"):
         return prepared.withColumn("_reasons", F.array(
-            *[provider.answer_for(text, F.lit(r)) for r in reasons]))
+            *[provider.answer_for(text, F.lit(r), [r]) for r in reasons]))
     got = ask(provider, prepared.select(
         "paper_id", F.explode(F.array(*[F.lit(r) for r in reasons])).alias("question_id"),
         F.col("title_clean").alias("title"), F.col("abstract_clean").alias("abstract"))

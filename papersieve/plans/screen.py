@@ -28,6 +28,13 @@ def prepare(papers: DataFrame) -> DataFrame:
                   .withColumn("text", paper_text("title_clean", "abstract_clean")))
 
 
+def asked_questions(nodes: DataFrame, provider: RuleProvider, reasons=()) -> list[str]:
+    """The questions that the tree and the reasons use (distinct features of
+    the model: bounded by the bank)."""
+    used = {r[0] for r in nodes.where("feature IS NOT NULL").select("feature").distinct().collect()}
+    return [q for q in provider.question_ids if q in used or q in reasons]
+
+
 def with_answers(prepared: DataFrame, provider: RuleProvider | None = None,
                  qids=None, col: str = "answers") -> DataFrame:
     provider = provider or RuleProvider()
@@ -70,7 +77,7 @@ def exclusion_check(prepared: DataFrame, provider: RuleProvider | None = None,
                     reasons=EXCLUSION_REASONS) -> DataFrame:
     provider = provider or RuleProvider()
     d = prepared.withColumn("_ex", provider.answers_map(F.col("text"), reasons))
-    ev = lambda q: provider.evidence_for(F.col("text"), q)
+    ev = lambda q: provider.evidence_for(F.col("text"), q, reasons)
     return d.select("*", *exclusion_columns(F.col("_ex"), reasons=reasons,
                                             evidence_fn=ev)).drop("_ex")
 
@@ -79,9 +86,10 @@ def tree_walk(papers: DataFrame, nodes: DataFrame, provider: RuleProvider | None
               qids=None, trace: bool = True) -> DataFrame:
     """C2 eager: every question of the tree answered in-row, then walked."""
     provider = provider or RuleProvider()
+    qids = list(qids or asked_questions(nodes, provider))
     d = with_answers(prepare(papers), provider, qids)
     return walk(d, nodes, "answers", trace=trace,
-                evidence_fn=lambda q: provider.evidence_for(F.col("text"), q))
+                evidence_fn=lambda q: provider.evidence_for(F.col("text"), q, qids))
 
 
 def screen(papers: DataFrame, nodes: DataFrame, provider: RuleProvider | None = None,
@@ -92,11 +100,12 @@ def screen(papers: DataFrame, nodes: DataFrame, provider: RuleProvider | None =
     An excluded paper gets probability 0 and a one-step trace naming the
     reason; everything else gets the walk's leaf share and trace."""
     provider = provider or RuleProvider()
-    qids = list(qids or provider.question_ids)
+    qids = list(qids or asked_questions(nodes, provider, reasons))
     d = prepare(papers).withColumn("answers", provider.answers_map(F.col("text"), qids))
-    ev = lambda q: provider.evidence_for(F.col("text"), q)
-    d = d.select("*", *exclusion_columns(F.col("answers"), reasons=reasons, evidence_fn=ev))
-    w = walk(d, nodes, "answers", trace=True, evidence_fn=ev)
+    ev = lambda among: lambda q: provider.evidence_for(F.col("text"), q, among)
+    d = d.select("*", *exclusion_columns(F.col("answers"), reasons=reasons,
+                                         evidence_fn=ev(list(reasons))))
+    w = walk(d, nodes, "answers", trace=True, evidence_fn=ev(qids))
     excluded = F.col("exclusion_status") == "excluded"
     ex_trace = F.array(F.struct(
         F.lit(0).alias("step"), F.lit(None).cast("int").alias("node_id"),
