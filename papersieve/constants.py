@@ -68,6 +68,36 @@ RULES = {
     "E12": (r"^\s*(Notice of [Rr]etraction|Retraction [Nn]otice)\b", r"\b[Rr]etraction [Nn]ote\b"),
 }
 
+# Strings of which a text must hold one before a pattern can match (YES pattern,
+# UNSURE pattern): a cheap look before the regular expression.
+RULE_STEMS = {
+    "I07": (("icen",), ("opy",)),
+    "I10": ((" | ",), ("@", ":", ";")),
+    "I16": (("trash", "disgusting", "loser", "stupid", "idiot", "scum"),
+            ("worthless", "moron", "pathetic", "clown")),
+    "I17": (("\n",), ("\n",)),
+    "E01": (("@",), ("@",)),
+    "E02": (("!!",), ("!",)),
+    "I02": (("NCT", "ISRCTN", "EudraCT", "ACTRN", "ChiCTR"), ("egist",)),
+    "I03": (("ntervention",), ("reatment", "rogram")),
+    "I06": (("chizoaffective",), ("chizo",)),
+    "I08": (("chizotyp",), ("chizo",)),
+    "I09": (("ersistent",), ("allucination",)),
+    "I11": (("kathisia",), ("estless",)),
+    "I12": (("ardive",), ("yskinesia",)),
+    "I14": (("ual diagnos", "omorbid"), (" use",)),
+    "I15": (("aregiver", "arers", "elatives"), ("aregiver", "arers", "amil")),
+    "E04": (("etract",), ("etract",)),
+    "E05": (("ingle",), ("ncontrolled", "pen")),
+    "E06": (("etrospective", "bservational"), ("egistry", "ohort")),
+    "E07": (("ualitative",), ("ocus group", "nterview")),
+    "E08": (("ealthy",), ("hase",)),
+    "E09": (("depression", "psychosis", "disorder"), ("ipolar",)),
+    "E10": (("ECT", "TMS", "tDCS"), ("ECT", "TMS", "tDCS")),
+    "E11": (("aregiver", "arers"), ("ementia", "utis")),
+    "E12": (("etraction",), ("etraction",)),
+}
+
 # --- FIXED VALUES: exclusion reasons, in order (index -> question) ----------
 EXCLUSION_REASONS = ["E01", "E02", "E03", "E06", "E07", "E08", "E09", "E10", "E11"]
 

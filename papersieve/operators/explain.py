@@ -148,71 +148,61 @@ def leaf_paths(nodes: DataFrame, features: list[str]) -> DataFrame:
 
 
 def shap_values(pats: DataFrame, nodes: DataFrame, features: list[str]) -> DataFrame:
-    """Exact path-dependent Shapley values per distinct pattern.
-
-    v(S) = sum over leaves of p1 x product over the leaf's path of: 1/0 when
-    the step's feature is in S (x follows / leaves the path), else the
-    cover ratio.  phi_i = sum over S without i of |S|!(M-|S|-1)!/M! x
-    (v(S+i) - v(S)); M = the features the tree uses.  Work is patterns x
-    2^M coalitions x leaves, all bounded by the model and feature space.
+    """Exact path-dependent Shapley values per distinct pattern, averaged
+    over the trees of ``nodes``.
+
+    A leaf's share p1 counts as far as the pattern follows its path (1 or 0)
+    for known features and by the cover ratio for unknown ones, so each leaf is
+    a game over its path's own features alone; the sum over coalitions is the
+    product of (ratio + follows * t) over the other features, its coefficients
+    weighted by |S|!(d-|S|-1)!/d!.  Work is patterns x leaves x d^3, d the
+    features of a path: no list of coalitions.  The leaves are the model; they
+    go to the tasks with the function, in whose batches patterns are vectors.
     Returns pattern features, base_value, prediction, phi_<feature>."""
-    used = [r[0] for r in nodes.where("feature IS NOT NULL").select("feature").distinct().collect()]
-    used = [f for f in features if f in used]
-    m = len(used)
-    fidx = {f: features.index(f) for f in used}
-    bit = {fidx[f]: j for j, f in enumerate(used)}  # feature index -> coalition bit
-    # the model's leaves as a literal array (bounded by the tree): no join
-    from .tree import LOCAL_MODEL_MAX_NODES
-    n_nodes = nodes.count()
-    if n_nodes > LOCAL_MODEL_MAX_NODES:  # leaves become one literal array
-        raise ValueError(f"tree of {n_nodes} nodes exceeds {LOCAL_MODEL_MAX_NODES} for X2")
-    leaves = leaf_paths(nodes, features).collect()
-    lit_leaves = F.array(*[F.struct(
-        F.lit(float(r["p1"])).alias("p1"),
-        F.array(*[F.struct(F.lit(int(st["fi"])).alias("fi"), F.lit(bool(st["go_left"])).alias("go_left"),
-                           F.lit(float(st["threshold"])).alias("threshold"),
-                           F.lit(float(st["ratio"])).alias("ratio")) for st in (r["path"] or [])])
-        .cast("array<struct<fi:int,go_left:boolean,threshold:double,ratio:double>>").alias("path"))
-        for r in leaves])
-    coal = F.explode(F.sequence(F.lit(0), F.lit((1 << m) - 1))).alias("S")
-    xs = F.array(*[F.col(f).cast("double") for f in features])
-    bitmap = F.create_map(*[x for fi, j in bit.items() for x in (F.lit(fi), F.lit(1 << j))])
-
-    def step_weight(acc, st):
-        inS = (F.col("S").bitwiseAND(F.element_at(bitmap, st["fi"])) > 0)
-        follows = ((F.element_at(xs, st["fi"] + 1) <= st["threshold"]) == st["go_left"])
-        return acc * F.when(inS, F.when(follows, F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(st["ratio"])
+    import numpy as np
+    n_trees = nodes.select("run_id", "tree_id").distinct().count()
+    games = []
+    for r in leaf_paths(nodes, features).toLocalIterator():
+        box: dict[int, list[float]] = {}
+        for st in r["path"] or []:
+            lo, hi, z = box.get(st["fi"], (-np.inf, np.inf, 1.0))
+            lo, hi = (lo, min(hi, st["threshold"])) if st["go_left"] else (max(lo, st["threshold"]), hi)
+            box[st["fi"]] = (lo, hi, z * st["ratio"])
+        games.append((float(r["p1"]) / n_trees, box))
+    weights = [[math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) for k in range(d)]
+               for d in range(len(features) + 1)]
+    base = sum(p1 * math.prod(z for _lo, _hi, z in box.values()) for p1, box in games)
+
+    def explain(batches):
+        for pdf in batches:
+            x = pdf[features].to_numpy(dtype=float)
+            phi, full = np.zeros((len(x), len(features))), np.zeros(len(x))
+            for p1, box in games:
+                at = list(box)
+                on = [((x[:, f] > lo) & (x[:, f] <= hi)).astype(float)
+                      for f, (lo, hi, _z) in box.items()]
+                z = [v[2] for v in box.values()]
+                full += p1 * np.prod(on, axis=0) if at else p1
+                for i, f in enumerate(at):
+                    poly = [np.ones(len(x))]
+                    for j in range(len(at)):
+                        if j != i:
+                            poly = [(poly[k] * z[j] if k < len(poly) else 0.0)
+                                    + (poly[k - 1] * on[j] if k else 0.0)
+                                    for k in range(len(poly) + 1)]
+                    phi[:, f] += p1 * (on[i] - z[i]) * sum(
+                        w * c for w, c in zip(weights[len(at)], poly, strict=True))
+            out = pdf[features].copy()
+            out["base_value"], out["prediction"] = base, full
+            for i, f in enumerate(features):
+                out["phi_" + f] = phi[:, i]
+            yield out
+
     p = pats.select(*features).distinct()
-    v = p.select(*features, coal).select(
-        *features, "S", F.aggregate(lit_leaves, F.lit(0.0),
-                                    lambda acc, leaf: acc + leaf["p1"] * F.aggregate(
-                                        leaf["path"], F.lit(1.0), step_weight)).alias("v"))
-    v = cut_lineage(v)
-    # one generator + one self-join + one aggregate for all features:
-    # each (pattern, S) row emits, for every used feature i outside S, the
-    # weighted marginal v(S + i) - v(S)
-    size_w = F.lit(0.0)
-    for sz in range(m):
-        size_w = F.when(F.bit_count(F.col("S")) == sz,
-                        F.lit(math.factorial(sz) * math.factorial(m - sz - 1) / math.factorial(m))
-                        ).otherwise(size_w)
-    outs = F.filter(F.array(*[F.lit(j) for j in range(m)]),
-                    lambda j: F.col("S").bitwiseAND(F.pow(F.lit(2), j).cast("int")) == 0)
-    lo = (v.select(*features, "S", "v", size_w.alias("wt"), F.explode(outs).alias("j"))
-          .withColumn("S_hi", F.col("S") + F.pow(F.lit(2), F.col("j")).cast("int")))
-    hi = v.select(*features, F.col("S").alias("S_hi"), F.col("v").alias("v_hi"))
-    # equi-join on (pattern, S + 2^j): each lower coalition meets exactly one upper one
-    marg = lo.join(hi, features + ["S_hi"], "inner")
-    agg = marg.groupBy(*features).agg(*[
-        F.sum(F.when(F.col("j") == bit[fidx[f]], F.col("wt") * (F.col("v_hi") - F.col("v")))
-              .otherwise(0.0)).alias("phi_" + f) for f in used])
-    base = v.where("S = 0").select(*features, F.col("v").alias("base_value"))
-    full = v.where(F.col("S") == (1 << m) - 1).select(*features, F.col("v").alias("prediction"))
-    out = base.join(full, features).join(agg, features) if m else base.join(full, features)
-    for f in features:
-        if f not in used:
-            out = out.withColumn("phi_" + f, F.lit(0.0))
-    return out
+    from pyspark.sql import types as T
+    schema = T.StructType([*p.schema.fields, *[T.StructField(c, T.DoubleType()) for c in (
+        "base_value", "prediction", *["phi_" + f for f in features])]])
+    return p.mapInPandas(explain, schema)
 
 
 def shap_summary(rows: DataFrame, shap: DataFrame, features: list[str]) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import DEFAULT_MODEL_NAME, RULES
+from ..constants import DEFAULT_MODEL_NAME, RULE_STEMS, RULES
 
 
 def paper_text(title="title_clean", abstract="abstract_clean") -> Column:
@@ -33,17 +33,31 @@ def paper_text(title="title_clean", abstract="abstract_clean") -> Column:
             .otherwise(F.concat(t, F.lit("\n"), a)))
 
 
+def rule_matches(text: Column, qid: str, rules=RULES) -> list[Column]:
+    """Whether the YES and the UNSURE pattern match; texts without any string
+    that the pattern needs are told apart without the pattern."""
+    stems = RULE_STEMS.get(qid) if rules.get(qid) == RULES.get(qid) else None
+    out = []
+    for i, pattern in enumerate(rules[qid]):
+        hit = text.rlike(pattern)
+        if stems:
+            some = text.contains(stems[i][0])
+            for s in stems[i][1:]:
+                some = some | text.contains(s)
+            hit = some & hit
+        out.append(hit)
+    return out
+
+
 def rule_answer(text: Column, qid: str, rules=RULES) -> Column:
-    yes, unsure = rules[qid]
-    return (F.when(text.rlike(yes), F.lit("YES"))
-            .when(text.rlike(unsure), F.lit("UNSURE"))
-            .otherwise(F.lit("NO")))
+    yes, unsure = rule_matches(text, qid, rules)
+    return F.when(yes, F.lit("YES")).when(unsure, F.lit("UNSURE")).otherwise(F.lit("NO"))
 
 
 def rule_evidence(text: Column, qid: str, rules=RULES) -> Column:
-    yes, unsure = rules[qid]
-    return (F.when(text.rlike(yes), F.regexp_extract(text, yes, 0))
-            .when(text.rlike(unsure), F.regexp_extract(text, unsure, 0))
+    yes, unsure = rule_matches(text, qid, rules)
+    return (F.when(yes, F.regexp_extract(text, rules[qid][0], 0))
+            .when(unsure, F.regexp_extract(text, rules[qid][1], 0))
             .otherwise(F.lit("")))
 
 

@@ -11,7 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import RULES
 from ..functions.text import html_title, html_to_text
 from ..operators import metrics as M
 from ..operators.rules import RuleProvider
@@ -212,8 +211,6 @@ def q_leaf_recall(spark, sf_dir):
     return M.leaf_recall(walked_labelled(spark, sf_dir))
 
 
-_ = RULES
-
 
 # ================================================================ batch 2
 from ..constants import FEATURE_ORDER  # noqa: E402
@@ -475,6 +472,12 @@ def split_table(spark, sf_dir):
     return SP.stratified_split(training(spark, sf_dir))
 
 
+def encoded_split(spark, sf_dir):
+    """The labelled, encoded and split papers, computed once: a few numbers a
+    paper, checkpointed before the many jobs of a fit read them."""
+    return cut_model(SP.stratified_split(cut_model(training(spark, sf_dir))))
+
+
 @register("stratified_split", SPLIT_SQL + " SELECT paper_id, label, split FROM sp")
 def q_stratified_split(spark, sf_dir):
     return split_table(spark, sf_dir).select("paper_id", "label", "split")
@@ -683,7 +686,7 @@ def q_trained_sweep_depth2(spark, sf_dir):
 
 def final_tree(spark, sf_dir):
     """Train side (train + val) cleaned by majority, SMOTEN, default tree."""
-    sp = split_table(spark, sf_dir)
+    sp = encoded_split(spark, sf_dir)
     tr = CF.conflicts_majority(SP.train_val_union(sp), FEATS)
     return TRN.fit_final(tr, FEATS, DEFAULT_TREE), sp
 
@@ -747,13 +750,13 @@ def q_nodes_by_support(spark, sf_dir):
 
 @register("grid_search", None)
 def q_grid_search(spark, sf_dir):
-    sp = split_table(spark, sf_dir).where("split = 'train'")
+    sp = encoded_split(spark, sf_dir).where("split = 'train'")
     return TRN.grid_search(sp, FEATS)
 
 
 @register("random_search", None)
 def q_random_search(spark, sf_dir):
-    sp = split_table(spark, sf_dir).where("split = 'train'")
+    sp = encoded_split(spark, sf_dir).where("split = 'train'")
     return TRN.forest_search(sp, FEATS, TRN.random_search_configs())
 
 
@@ -820,7 +823,7 @@ FOREST_CONFIG = {"config_id": 0, "criterion": "gini", "max_depth": None, "min_sa
 
 def fitted_forest(spark, sf_dir):
     """Train side (train + val), balanced class weights, bootstrap: 100 trees."""
-    sp = split_table(spark, sf_dir)
+    sp = encoded_split(spark, sf_dir)
     tr = SP.train_val_union(sp)
     pats = TR.patterns(tr, FEATS).withColumn("run_id", F.lit("forest"))
     tot = pats.agg(F.sum("w0").alias("N0"), F.sum("w1").alias("N1"))

@@ -84,3 +84,44 @@ def test_heap_ancestors_equal_join_loop(spark):
     a = {r["node_id"]: (r["risk_if_0"], r["risk_if_1"]) for r in X.critical_nodes(fx).collect()}
     b = {r["node_id"]: (r["risk_if_0"], r["risk_if_1"]) for r in X.critical_nodes(h).collect()}
     assert a == b
+
+
+def test_shap_over_many_features_and_trees(spark):
+    """29 columns, two trees: values add up to the mean prediction, and equal
+    a sum over all coalitions of the few features in use."""
+    from itertools import combinations
+    from math import factorial
+
+    from papersieve.operators.tree import NODE_SCHEMA
+    cols = [f"Q{i:02d}" for i in range(29)]
+    rows = [("m", 0, 0, 0, "Q00", 0.5, 1, 2, 60.0, 40.0, 0.0), ("m", 0, 1, 1, "Q07", 0.5, 3, 4, 45.0, 15.0, 0.0),
+            ("m", 0, 2, 1, None, None, -1, -1, 15.0, 25.0, 0.0), ("m", 0, 3, 2, None, None, -1, -1, 40.0, 2.0, 0.0),
+            ("m", 0, 4, 2, "Q00", -0.5, 5, 6, 5.0, 13.0, 0.0), ("m", 0, 5, 3, None, None, -1, -1, 1.0, 3.0, 0.0),
+            ("m", 0, 6, 3, None, None, -1, -1, 4.0, 10.0, 0.0),
+            ("m", 1, 0, 0, "Q28", 0.5, 1, 2, 50.0, 50.0, 0.0), ("m", 1, 1, 1, None, None, -1, -1, 45.0, 10.0, 0.0),
+            ("m", 1, 2, 1, None, None, -1, -1, 5.0, 40.0, 0.0)]
+    nodes = spark.createDataFrame(rows, NODE_SCHEMA)
+    pats = spark.createDataFrame([tuple(float((i >> (j % 3)) & 1) for j in range(29)) for i in range(8)], cols)
+    table = {(r[1], r[2]): r for r in rows}
+
+    def value(tree, node, x, known):
+        _, _, _, _, f, thr, left, right, n0, n1, _ = table[tree, node]
+        if f is None:
+            return n1 / (n0 + n1)
+        if f in known:
+            return value(tree, left if x[f] <= thr else right, x, known)
+        cover = {c: table[tree, c][8] + table[tree, c][9] for c in (left, right)}
+        return sum(cover[c] / (n0 + n1) * value(tree, c, x, known) for c in (left, right))
+
+    used = ["Q00", "Q07", "Q28"]
+    for r in X.shap_values(pats, nodes, cols).collect():
+        assert abs(r["base_value"] + sum(r["phi_" + c] for c in cols) - r["prediction"]) < 1e-9
+        for i in cols:
+            want = 0.0
+            if i in used:
+                rest = [u for u in used if u != i]
+                for k in range(3):
+                    for s in combinations(rest, k):
+                        w = factorial(k) * factorial(2 - k) / factorial(3)
+                        want += w * sum(value(t, 0, r, {*s, i}) - value(t, 0, r, set(s)) for t in (0, 1)) / 2
+            assert abs(r["phi_" + i] - want) < 1e-9

@@ -76,3 +76,15 @@ def test_payload_roundtrip_and_malformed(spark):
 def test_outcome_class(spark):
     df = spark.createDataFrame([(1, 1), (1, 0), (0, 1), (0, 0)], "y int, p int")
     assert [r[0] for r in df.select(A.outcome_class("y", "p")).collect()] == ["TP", "FN", "FP", "TN"]
+
+
+def test_character_references(spark):
+    from html import unescape
+
+    from papersieve.functions.text import decode_references
+    cases = ["a &#8217; b", "&#x2013;&eacute;&ndash;&lt;p&gt;", "&amp;lt; &amp;amp;", "&unknown; & x",
+             "&#0;&#x110000;&#55296;", "&#128512; &quot;&apos;&#39;", "no reference", "&;&#;&#x;", "a&nbsp;b", ""]
+    got = [r[0] for r in spark.createDataFrame([(c,) for c in cases], "t string")
+           .select(decode_references("t")).collect()]
+    assert got == [unescape(c) for c in cases]
+    assert spark.createDataFrame([(None,)], "t string").select(decode_references("t")).collect()[0][0] is None
