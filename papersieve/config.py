@@ -81,10 +81,6 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
     return F.broadcast(df) if n <= max_rows else df
 
 
-def tables_dir_default() -> str:
-    return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-
-
 def spread(df: DataFrame, key: str = "paper_id", min_partitions: int | None = None) -> DataFrame:
     """Give CPU-heavy per-row work (regex over whole texts) enough tasks.
 

@@ -26,7 +26,6 @@ SWEEP_START = 0.05
 SWEEP_STEP = 0.05
 SWEEP_STEPS = 10
 TARGET_RECALL = 0.95
-CRITICAL_RISK = 0.9
 
 # --- FIXED VALUES: random seed and split fractions ---------------------------
 RANDOM_STATE = 42

@@ -20,10 +20,6 @@ PAYLOAD_SCHEMA = T.StructType([
     T.StructField("prompt_tokens", T.LongType()),
     T.StructField("completion_tokens", T.LongType()),
 ])
-EXCLUSION_SCHEMA = T.StructType([
-    T.StructField("ids", T.ArrayType(T.IntegerType())),
-    T.StructField("evidence", T.StringType()),
-])
 
 ENCODINGS = ("include_aware", "unsure_one", "unsure_half")
 

@@ -57,14 +57,6 @@ def metrics_at(df: DataFrame, threshold: float = DECISION_THRESHOLD,
     return confusion(df.withColumn("prediction", pred), label, "prediction")
 
 
-def thresholds(spark: SparkSession, start: float = SWEEP_START, step: float = SWEEP_STEP,
-               n: int = SWEEP_STEPS) -> DataFrame:
-    """start + i*step, i = 0..n-1 (bit-equal to numpy.arange)."""
-    return spark.range(n).select(
-        F.col("id").cast("int").alias("i"),
-        (F.lit(float(start)) + F.col("id").cast("double") * F.lit(float(step))).alias("threshold"))
-
-
 def threshold_grid(start: float = SWEEP_START, step: float = SWEEP_STEP,
                    n: int = SWEEP_STEPS):
     """The grid as a literal array<struct<i, threshold>> (a generator, no join)."""

@@ -210,11 +210,3 @@ def nodes_by_support(nodes: DataFrame, n_samples: float) -> DataFrame:
     return (nodes.where((F.col("n0") + F.col("n1")) == F.lit(float(n_samples)))
             .select("run_id", "tree_id", "node_id", "feature", "n0", "n1",
                     positive_share("n0", "n1").alias("p1")))
-
-
-def values_map(cols: list[str], as_answers: bool = False):
-    """map<question, value> from wide columns (no shuffle)."""
-    kv = []
-    for c in cols:
-        kv += [F.lit(c), F.col(c)]
-    return F.create_map(*kv)

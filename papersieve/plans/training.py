@@ -73,6 +73,10 @@ def fold_patterns(rows: DataFrame, features: list[str], label: str = "label",
     return train, held
 
 
+#: What of a result row is a tree's configuration.
+CONFIG_KEYS = ("criterion", "max_depth", "min_samples_split", "min_samples_leaf", "max_features")
+
+
 def grid_search(rows: DataFrame, features: list[str], grid: dict = TREE_GRID,
                 label: str = "label", oversample: bool = True, k: int = SMOTEN_K,
                 seed: int = RANDOM_STATE) -> DataFrame:
@@ -135,6 +139,18 @@ def fit_final(rows: DataFrame, features: list[str], config: dict, label: str = "
     return fit_trees(pats.withColumn("run_id", F.lit(run_id)), cfg, features)
 
 
+def search_and_fit(rows: DataFrame, features: list[str], grid: dict = TREE_GRID,
+                   label: str = "label") -> tuple[dict, DataFrame]:
+    """Search, refit, final fit: the grid on the training folds of ``rows`` (with
+    ``split`` and ``fold``), then one tree of the best configuration on train
+    and validation together.  (configuration, node table)."""
+    results = grid_search(rows.where("split = 'train'"), features, grid, label)
+    config = best_config(results)
+    final = fit_final(rows.where("split IN ('train', 'val')"), features,
+                      {k: v for k, v in config.items() if k in CONFIG_KEYS}, label)
+    return config, final
+
+
 def score_rows(rows: DataFrame, nodes: DataFrame, features: list[str],
                keys=("paper_id",)) -> DataFrame:
     """M10 for rows: predict distinct patterns, join back (broadcast of a
@@ -308,8 +324,3 @@ def random_search_configs(n_iter: int = FOREST_SEARCH_ITERATIONS, seed: int = RA
     rows = expand_grid(grid)
     rows.sort(key=lambda r: hashlib.md5(f"{seed}-{r['config_id']}".encode()).hexdigest())
     return sorted(rows[:n_iter], key=lambda r: r["config_id"])
-
-
-def threshold_report(scored: DataFrame) -> DataFrame:
-    """Sweep + pick on scored rows (probability, label)."""
-    return M.threshold_sweep(scored)

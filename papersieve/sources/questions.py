@@ -21,17 +21,6 @@ QUESTION_SCHEMA = T.StructType([
 BANK_PATH = os.path.join(os.path.dirname(os.path.dirname(__file__)), "data", "questions.csv")
 
 
-def read_questions(spark: SparkSession, path: str = BANK_PATH,
-                   version: str = "bank") -> DataFrame:
-    """Question bank with a canonical ``question_id`` (I01) and a version tag."""
-    df = (spark.read.schema(QUESTION_SCHEMA)
-          .option("header", True).option("quote", '"').option("escape", '"')
-          .option("multiLine", True).option("mode", "FAILFAST")
-          .csv(path))
-    return df.select(norm_qid("id").alias("question_id"), "id", "question", "category",
-                     "include_exclude", F.lit(version).alias("question_version"))
-
-
 def question_rows(path: str = BANK_PATH) -> list[tuple[str, str, str, str]]:
     """The bank as plain rows (question_id, question, category, include_exclude)
     for building literal side tables and oracle SQL; 29 rows."""

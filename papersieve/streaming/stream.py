@@ -84,9 +84,3 @@ def stream_dedupe(spark: SparkSession, folder: str, ttl_seconds: int = ANSWER_TT
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return out
-
-
-def bounded_provider(requests: DataFrame, fn, model: str, parallelism: int = 8) -> DataFrame:
-    """At most ``parallelism`` concurrent provider tasks."""
-    from ..operators.rules import PandasProvider
-    return PandasProvider(fn, model, parallelism).answer_requests(requests)

@@ -38,3 +38,19 @@ def test_conflicts_broadcast_pattern_table(spark):
     from papersieve.operators.conflicts import conflicts_majority
     p = _plan(conflicts_majority(training(spark, SF01), FE))
     assert "BroadcastHashJoin" in p and "Window" not in p
+
+
+def test_trained_screen_walks_the_searched_tree(spark):
+    from papersieve.plans.catalog import FEATS, FLOW_GRID, encoded_split, q_trained_screen
+    from papersieve.plans.training import search_and_fit
+    d = "/root/testdata/sf0.001"
+    config, nodes = search_and_fit(encoded_split(spark, d), FEATS, FLOW_GRID)
+    table = {r["node_id"]: r for r in nodes.collect()}
+    assert config["max_depth"] in FLOW_GRID["max_depth"]
+    rows = q_trained_screen(spark, d).collect()
+    assert len(rows) == 200 and {r["status"] for r in rows} == {"done", "excluded"}
+    for r in rows:
+        if r["status"] == "done":
+            leaf = table[r["leaf_id"]]
+            assert leaf["feature"] is None
+            assert abs(r["probability"] - leaf["n1"] / (leaf["n0"] + leaf["n1"])) < 1e-12
