@@ -16,23 +16,29 @@ import numpy as np
 
 END = "Ā"
 WORD_SUFFIX = "</w>"
-#: Entries kept in a worker's memo of words; it is emptied when full, which
-#: bounds memory and changes no result.
-MEMO = 300_000
+#: Entries of a worker's memo of words before it starts anew; this bounds
+#: memory and changes no result.
+MEMO = 250_000
 #: Bits of a token id in a pair's key.
 PAIR_BITS = 24
 
 
 class Memo(dict):
-    """What a function gave for a key; empty again at MEMO entries."""
+    """What a function gave for a key.  At MEMO entries it starts anew and
+    keeps the entries so far as ``old``, from which those still in use return;
+    so frequent words are never made twice in a row."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= MEMO:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 

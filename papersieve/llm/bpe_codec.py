@@ -10,8 +10,8 @@ from __future__ import annotations
 import hashlib
 import sys
 import unicodedata
+from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,8 @@ class Codec:
         self.offsets = Offsets(vocab)
         self.find = regex.compile(WORDS).findall
         self.whole = None
-        self.words = Memo(lambda w: tuple(vocab.encode(w.encode())))
+        # ids of a word as the bytes of 32-bit numbers
+        self.words = Memo(lambda w: array("i", vocab.encode(w.encode())).tobytes())
         self.specials = (regex.compile("|".join(map(regex.escape, sorted(
             vocab.special, key=len, reverse=True)))) if vocab.special else None)
 
@@ -68,8 +69,8 @@ class Codec:
                 for w, _ in self.whole.pre_tokenizer.pre_tokenize_str(
                     self.whole.normalizer.normalize_str(text))]
 
-    def _words(self, text: str):
-        return map(self.words.__getitem__, self.split(text))
+    def _words(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.split(text)))
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text; strings of special tokens become those tokens."""
@@ -77,10 +78,10 @@ class Codec:
         if self.specials is not None:
             for m in self.specials.finditer(text):
                 out.append(self._words(text[at:m.start()]))
-                out.append([(self.vocab.special[m.group()],)])
+                out.append(array("i", [self.vocab.special[m.group()]]).tobytes())
                 at = m.end()
         out.append(self._words(text[at:] if at else text))
-        return np.fromiter(chain.from_iterable(chain.from_iterable(out)), np.int64)
+        return np.frombuffer(b"".join(out), np.intc)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the decoded text: token names joined by one space, as a
@@ -105,7 +106,7 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
     def rows(batches):
         encode = codec(path).encode
         for b in pieces(batches, "text"):
-            found = [encode(t or "").astype(np.int32) for t in b.column("text").to_pylist()]
+            found = [encode(t or "") for t in b.column("text").to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(ends, np.concatenate([*found, np.zeros(0, np.int32)]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids], ["doc_id", "ids"])
