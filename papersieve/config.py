@@ -7,10 +7,11 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Row bound under which a side table (questions, node tables, thresholds,
-# grids, pattern tables) is broadcast.  Paper-sized tables never are.
-BROADCAST_MAX_ROWS = 1_000_000
+# Bound in bytes under which a side table (node tables, thresholds, grids,
+# pattern tables) is broadcast.  Paper-sized tables never are.
+BROADCAST_MAX_BYTES = 64 << 20
 
 
 def get_spark(master: str | None = None, app: str = "papersieve",
@@ -69,16 +70,26 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES,
                       known_rows: int | None = None) -> DataFrame:
-    """Broadcast a side table only when its row count is proven small.
-
-    The count is taken once (side tables are small by construction: models,
-    question banks, grids).  Above the bound the plain DataFrame is returned
-    and the optimiser picks a shuffle join.
-    """
-    n = known_rows if known_rows is not None else df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    """Broadcast a side table only when its size is measured to be small.
+
+    The table is checkpointed and then measured, so its upstream runs once
+    (``known_rows``: it is computed already).  Above the bound it is returned
+    as it is and the optimiser picks a shuffle join."""
+    if known_rows is None:
+        df = cut_lineage(df)
+    fixed = [f for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+    if known_rows is not None and len(fixed) == len(df.columns):
+        size = 8 * known_rows * len(fixed)
+    else:
+        other = [F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0))
+                 for f in df.schema.fields if f not in fixed]
+        width = F.lit(8 * len(df.columns) + 16).cast("long")
+        for o in other:
+            width = width + o
+        size = df.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df
 
 
 def spread(df: DataFrame, key: str = "paper_id", min_partitions: int | None = None) -> DataFrame:

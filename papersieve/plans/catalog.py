@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import html_title, html_to_text
 from ..operators import metrics as M
-from ..operators.rules import RuleProvider
+from ..constants import EXCLUSION_REASONS
+from ..operators.rules import ReplayProvider, RuleProvider
 from ..operators.tree import fixture_nodes, leaf_assign
 from ..sources import tables as S
 from . import oracle as O
@@ -339,7 +340,6 @@ def q_work_list(spark, sf_dir):
 
 def _reason_texts():
     bank = {qid: text for qid, text, _c, _ie in _bank()}
-    from ..constants import EXCLUSION_REASONS
     return [bank[r] for r in EXCLUSION_REASONS]
 
 
@@ -516,14 +516,39 @@ def q_lazy_questions(spark, sf_dir):
     return w.select("paper_id", "leaf_id", "probability", "path_len", "n_asked", "n_hits")
 
 
+def _replay_sql():
+    pick = "CASE n.feature " + " ".join(f"WHEN '{x}' THEN r.{x}" for x in FEATS) + " END"
+    return (f"WITH RECURSIVE {O.live_cte()}, {O.fixture_ctes()}, pv AS ({O.pivot_sql('live')}), "
+            f"rv AS (SELECT d.doc_id AS paper_id, {', '.join('pv.' + x for x in FEATS)} "
+            "FROM documents d LEFT JOIN pv ON pv.paper_id = d.doc_id), "
+            "walk(paper_id, node_id, path_len) AS (SELECT paper_id, 0, 0 FROM rv UNION ALL "
+            f"SELECT w.paper_id, CASE {pick} WHEN 'NO' THEN n.left_id WHEN 'YES' THEN n.right_id "
+            "ELSE n.unsure_id END, w.path_len + 1 FROM walk w JOIN fx n ON n.node_id = w.node_id "
+            f"AND n.feature IS NOT NULL JOIN rv r ON r.paper_id = w.paper_id AND {pick} IS NOT NULL), "
+            "fin AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY path_len DESC) AS rn "
+            "FROM walk) SELECT f.paper_id, CASE WHEN n.feature IS NULL THEN 'done' ELSE 'unanswered' "
+            "END AS status, CASE WHEN n.feature IS NULL THEN f.node_id END AS leaf_id, "
+            "CASE WHEN n.feature IS NULL THEN n.p1 END AS probability, f.path_len "
+            "FROM fin f JOIN fx n ON n.node_id = f.node_id WHERE f.rn = 1")
+
+
+@register("replay_walk", _replay_sql())
+def q_replay_walk(spark, sf_dir):
+    """C3 + C7: papers walked on the live answers of the log alone; a question
+    that the log does not answer stops the walk."""
+    w = lazy_walk(prepare(S.papers(spark, sf_dir)), fixture_nodes(spark),
+                  ReplayProvider(live(spark, sf_dir)))
+    return w.select("paper_id", "status", "leaf_id", "probability", "path_len")
+
+
 def _lazy_screen_sql():
     cand = " + ".join(f"(CASE WHEN {r} IN ('YES', 'UNSURE') THEN 1 ELSE 0 END)"
-                      for r in ["E01", "E02", "E03"])
+                      for r in EXCLUSION_REASONS)
     # confirmations: candidates up to and including the first YES
     pos_terms = []
-    for i, r in enumerate(["E01", "E02", "E03"]):
+    for i, r in enumerate(EXCLUSION_REASONS):
         before = " + ".join([f"(CASE WHEN {p} IN ('YES', 'UNSURE') THEN 1 ELSE 0 END)"
-                             for p in ["E01", "E02", "E03"][:i]] or ["0"])
+                             for p in EXCLUSION_REASONS[:i]] or ["0"])
         pos_terms.append(f"WHEN {r} = 'YES' THEN {before} + 1")
     first_pos = "CASE " + " ".join(pos_terms) + " ELSE 0 END"
     return (SCREEN_SQL + f", ls AS (SELECT paper_id, {cand} AS n_cand, {first_pos} AS pos FROM rw) "
