@@ -177,20 +177,23 @@ def _mover(seed: int, level: int, last: bool):
 
 def document_units(docs: DataFrame) -> DataFrame:
     """Rows equal in id, source and text are one unit of ``_n`` rows, decided
-    together; its key is a hash of the three."""
+    together; its key is a hash of the three.  The id goes along as text:
+    pandas would make numbers with nulls floating."""
     return (take_columns(docs, "doc_id", "source", "text")
-            .select("doc_id", F.col("source").alias("_source"),
+            .select(F.col("doc_id").cast("string").alias("_id"), F.col("source").alias("_source"),
                     F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
                     .alias("size"),
                     F.xxhash64("doc_id", "source", "text").alias("_key"))
-            .groupBy("doc_id", "_source", "size", "_key").agg(F.count("*").alias("_n")))
+            .groupBy("_id", "_source", "size", "_key").agg(F.count("*").alias("_n")))
 
 
 def mix_documents(docs: DataFrame, seed: int = 5) -> DataFrame:
     """doc_id, _source, size, _key, _n, source_size, target, copies: one row per
     distinct (id, source, text).  A null text has size 0, a null source is a
     source of its own, last in order; an empty table gives an empty one."""
-    return mix_units(cut_lineage(document_units(docs)), seed)
+    kind = take_columns(docs, "doc_id").schema[0].dataType
+    return (mix_units(cut_lineage(document_units(docs)), seed)
+            .withColumn("doc_id", F.col("_id").cast(kind)).drop("_id"))
 
 
 def taken_rows(docs: DataFrame, seed: int = 5) -> DataFrame:
