@@ -18,7 +18,7 @@ END = "Ā"
 WORD_SUFFIX = "</w>"
 #: Entries of a worker's memo of words before it starts anew; this bounds
 #: memory and changes no result.
-MEMO = 250_000
+MEMO = 150_000
 #: Bits of a token id in a pair's key.
 PAIR_BITS = 24
 
