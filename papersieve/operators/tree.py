@@ -36,14 +36,19 @@ NODE_SCHEMA = T.StructType([
     T.StructField("impurity", T.DoubleType()),
 ])
 
-TRACE_STEP = T.StructType([
-    T.StructField("step", T.IntegerType()),
-    T.StructField("node_id", T.IntegerType()),
-    T.StructField("question_id", T.StringType()),
-    T.StructField("answer", T.StringType()),
-    T.StructField("evidence", T.StringType()),
-    T.StructField("inclusion_score", T.DoubleType()),
-])
+def trace_step(id_type: T.DataType) -> T.StructType:
+    """A step of a trace, its node id of the node table's type."""
+    return T.StructType([
+        T.StructField("step", T.IntegerType()),
+        T.StructField("node_id", id_type),
+        T.StructField("question_id", T.StringType()),
+        T.StructField("answer", T.StringType()),
+        T.StructField("evidence", T.StringType()),
+        T.StructField("inclusion_score", T.DoubleType()),
+    ])
+
+
+TRACE_STEP = trace_step(T.IntegerType())
 
 
 def _gini(n0: float, n1: float) -> float:
@@ -76,7 +81,7 @@ def enrich_nodes(nodes: DataFrame) -> DataFrame:
                      F.col("p1").alias("right_p1"))
     out = (base.join(lk, ["run_id", "tree_id", "left_id"], "left")
                .join(rk, ["run_id", "tree_id", "right_id"], "left"))
-    unsure = F.when(F.col("is_leaf"), F.lit(None).cast("int")) \
+    unsure = F.when(F.col("is_leaf"), F.lit(None)) \
               .when(F.col("left_p1") > F.col("right_p1"), F.col("left_id")) \
               .otherwise(F.col("right_id"))
     return out.withColumn("unsure_id", unsure)
@@ -121,7 +126,9 @@ def walk(df: DataFrame, nodes: DataFrame, values_col: str = "answers",
 
     Adds: leaf_id, probability, path_len, status, and trace (C2 only).
     ``df`` may carry ``tree_id`` (forest); otherwise the single tree's id.
+    Node ids keep the type that they have in ``nodes`` (int or long).
     """
+    id_type = nodes.schema["node_id"].dataType
     nodes = enrich_nodes(nodes) if "p1" not in nodes.columns else nodes
     if max_depth is None or node_rows is None:
         stats = nodes.agg(F.max("depth").alias("d"), F.count(F.lit(1)).alias("n")).first()
@@ -132,11 +139,11 @@ def walk(df: DataFrame, nodes: DataFrame, values_col: str = "answers",
     if "tree_id" not in df.columns:
         tids = sorted(r[0] for r in nodes.select("tree_id").distinct().collect())
         df = df.select("*", F.explode(F.array(*[F.lit(t) for t in tids])).alias("tree_id"))
-    state = (df.withColumn("_node", F.lit(0))
+    state = (df.withColumn("_node", F.lit(0).cast(id_type))
                .withColumn("status", F.lit("walking"))
                .withColumn("path_len", F.lit(0)))
     if trace and mode == "answers":
-        state = state.withColumn("trace", F.array().cast(T.ArrayType(TRACE_STEP)))
+        state = state.withColumn("trace", F.array().cast(T.ArrayType(trace_step(id_type))))
     base_cols = state.columns
     on = ["tree_id", "_node"]
     vtype = df.schema[values_col].dataType.valueType if mode == "answers" else None
@@ -159,7 +166,7 @@ def walk(df: DataFrame, nodes: DataFrame, values_col: str = "answers",
                     .when(ans == "UNSURE", F.col("_n_unsure_id")))
         else:
             x = F.try_element_at(F.col(values_col), F.col("_n_feature"))
-            nxt = F.when(x.isNull(), F.lit(None).cast("int")) \
+            nxt = F.when(x.isNull(), F.lit(None).cast(id_type)) \
                    .when(x <= F.col("_n_threshold"), F.col("_n_left_id")) \
                    .otherwise(F.col("_n_right_id"))
         moved = walking & nxt.isNotNull()
@@ -184,7 +191,7 @@ def walk(df: DataFrame, nodes: DataFrame, values_col: str = "answers",
     done = (F.col("status") == "walking") & F.col("_n_is_leaf")
     out = j.select(
         *[c for c in base_cols if c not in ("_node", "status")],
-        F.when(F.col("status") == "unanswered", F.lit(None).cast("int"))
+        F.when(F.col("status") == "unanswered", F.lit(None).cast(id_type))
          .otherwise(F.col("_node")).alias("leaf_id"),
         F.when(done, F.col("_n_p1")).alias("probability"),
         F.when(done, F.lit("done")).otherwise(

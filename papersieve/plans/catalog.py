@@ -755,9 +755,8 @@ def q_trained_purity(spark, sf_dir):
     return M.purity_metrics(s.join(bounded_broadcast(leaf), "leaf_id"))
 
 
-#: The searched grid of the flow below: a caller's parameter.
-FLOW_GRID = {"criterion": ["gini", "entropy"], "max_depth": [2, 4], "min_samples_split": [2],
-             "min_samples_leaf": [1, 5]}
+#: The searched grid of the flow below: M8's, whole.
+FLOW_GRID = TRN.TREE_GRID
 
 
 @register("trained_screen", None)
@@ -769,9 +768,6 @@ def q_trained_screen(spark, sf_dir):
     path = scratch_path(spark, "trained-model")
     write_model(nodes, path)
     model = read_model(spark, path, "final")
-    # ids of a tree of so few levels fit the walk's int ids
-    model = model.select(*[F.col(c).cast("int").alias(c) if c in ("node_id", "left_id", "right_id")
-                           else F.col(c) for c in model.columns])
     return screen(S.papers(spark, sf_dir), model).select(
         "paper_id", "status", "excluded_by", "leaf_id", "probability", "prediction")
 

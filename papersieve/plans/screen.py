@@ -18,7 +18,7 @@ from ..constants import DECISION_THRESHOLD, DEFAULT_MODEL_NAME, EXCLUSION_REASON
 from ..functions.answers import decide
 from ..functions.text import clean_text
 from ..operators.rules import RuleProvider, paper_text
-from ..operators.tree import TRACE_STEP, walk
+from ..operators.tree import walk
 
 
 def prepare(papers: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def screen(papers: DataFrame, nodes: DataFrame, provider: RuleProvider | None =
         F.lit(0).alias("step"), F.lit(None).cast("int").alias("node_id"),
         F.col("excluded_by").alias("question_id"), F.lit("YES").alias("answer"),
         F.col("exclusion_evidence").alias("evidence"),
-        F.lit(0.0).alias("inclusion_score"))).cast(T.ArrayType(TRACE_STEP))
+        F.lit(0.0).alias("inclusion_score"))).cast(w.schema["trace"].dataType)
     prob = F.when(excluded, F.lit(0.0)).otherwise(F.col("probability"))
     status = F.when(F.col("exclusion_status") == "invalid", F.lit("invalid")) \
               .when(excluded, F.lit("excluded")).otherwise(F.col("status"))
@@ -121,7 +121,7 @@ def screen(papers: DataFrame, nodes: DataFrame, provider: RuleProvider | None =
                  F.col("abstract_clean").alias("abstract")).alias("payload"),
         status.alias("status"),
         F.col("excluded_by"),
-        F.when(excluded, F.lit(None).cast("int")).otherwise(F.col("leaf_id")).alias("leaf_id"),
+        F.when(excluded, F.lit(None)).otherwise(F.col("leaf_id")).alias("leaf_id"),
         prob.alias("probability"),
         decide(prob, threshold).alias("prediction"),
         F.lit(0).cast("long").alias("input_tokens"),

@@ -43,3 +43,28 @@ def test_encoded_walk_sends_unsure_right(spark):
                                "paper_id long, x map<string, double>")
     r = walk(df, fixture_nodes(spark), "x", mode="encoded").first()
     assert r["leaf_id"] == 8   # C2 would go to 7 on UNSURE at node 6
+
+
+def test_walk_takes_long_node_ids(spark):
+    """Ids of a tree without depth limit do not fit an int; the screen keeps
+    them, and its flow searches the whole grid of M8."""
+    from papersieve.operators.tree import NODE_SCHEMA
+    from papersieve.plans.catalog import FLOW_GRID
+    from papersieve.plans.screen import screen
+    from papersieve.plans.training import expand_grid
+    from pyspark.sql import types as T
+    assert len(expand_grid(FLOW_GRID)) == 819
+    far = 1 << 40
+    long_ids = T.StructType([
+        T.StructField(f.name, T.LongType()) if f.name.endswith("_id") and f.name not in
+        ("run_id", "tree_id") else f for f in NODE_SCHEMA])
+    nodes = spark.createDataFrame(
+        [("t", 0, 0, 0, "I16", 0.5, far + 1, far + 2, 4.0, 4.0, 0.5),
+         ("t", 0, far + 1, 1, None, None, -1, -1, 3.0, 1.0, 0.375),
+         ("t", 0, far + 2, 1, None, None, -1, -1, 1.0, 3.0, 0.375)], long_ids)
+    df = answers_df(spark, {1: {"I16": "YES"}, 2: {"I16": "NO"}, 3: {"I16": "UNSURE"}, 4: {}})
+    got = {r["paper_id"]: r["leaf_id"] for r in walk(df, nodes).collect()}
+    assert got == {1: far + 2, 2: far + 1, 3: far + 2, 4: None}
+    papers = spark.createDataFrame([(1, "A title", "An abstract")],
+                                   "paper_id long, title string, abstract string")
+    assert screen(papers, nodes).first()["leaf_id"] in (None, far + 1, far + 2)
