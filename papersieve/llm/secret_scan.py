@@ -24,8 +24,12 @@ from ..config import cut_lineage
 from .frames import read_table, take_columns, with_plain_names
 
 PRIVATE_KEY = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----"
-CANDIDATE = (PRIVATE_KEY + r"|(?<![A-Za-z0-9])(?=[A-Za-z+/_.=@-]*+[0-9])"
-             r"[A-Za-z0-9][A-Za-z0-9+/_.=@-]{14,}[A-Za-z0-9=]")
+#: '=' belongs to a candidate as trailing padding only: at an inner one, name
+#: and '=' are the left context of the value.
+PADDING = r"={1,2}(?![\"'`]?[A-Za-z0-9+/_.@=-])"
+CANDIDATE = (PRIVATE_KEY + r"|(?<![A-Za-z0-9])(?=[A-Za-z+/_.@-]*+[0-9])[A-Za-z0-9]"
+             r"(?:[A-Za-z0-9+/_.@-]{14,}[A-Za-z0-9](?:[+/]*" + PADDING + r")?"
+             r"|[A-Za-z0-9+/_.@-]{13,}" + PADDING + ")")
 #: Known key formats (fixed values).
 ISSUED = (r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk_(live|test)_[A-Za-z0-9]{16,}"
           r"|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"
@@ -71,12 +75,14 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
         "row", "doc_id", "path", "text_key",
         F.posexplode(F.arrays_zip("found", F.slice("between", F.lit(1), F.size("found"))
                                   .alias("before"),
+                                  F.concat(F.array(F.lit("")), "found").alias("last"),
                                   F.slice("between", F.lit(2), F.size("found")).alias("after"))
-                     ).alias("nth", "z"))
+                     ).alias("nth", "z")).filter("z.found IS NOT NULL")
     before = Window.partitionBy("row").orderBy("nth")
     rows = each.select("row", "doc_id", "path", "text_key", "nth",
                        F.col("z.found").alias("candidate"),
-                       F.expr(f"right(z.before, {SIDE})").alias("left"),
+                       # a name can be the candidate before its value
+                       F.expr(f"right(concat(z.last, z.before), {SIDE})").alias("left"),
                        F.expr(f"left(z.after, {SIDE})").alias("right"),
                        F.length("z.before").alias("gap"))
     # the row numbers hold in the written table only
