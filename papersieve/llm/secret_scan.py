@@ -1,7 +1,7 @@
 """Operator 1, secret scans with a random forest against false positives.
 
-Candidates are long runs of key characters that hold a digit, and private key
-blocks.  A forest over each candidate's length, character transitions,
+Candidates are long runs of key characters that hold a digit, known key formats,
+values assigned to a name with a word for a secret, and private key blocks.  A forest over each candidate's length, character transitions,
 dictionary coverage, path and neighbouring words decides which are secrets.  It
 is trained from labelled findings: given ones, or those of :func:`confirmed`,
 which labels the clear cases of the corpus by known key formats, assignments
@@ -23,23 +23,41 @@ from pyspark.sql import functions as F
 from ..config import cut_lineage
 from .frames import read_table, take_columns, with_plain_names
 
-PRIVATE_KEY = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----"
-#: '=' belongs to a candidate as trailing padding only: at an inner one, name
-#: and '=' are the left context of the value.
-PADDING = r"={1,2}(?![\"'`]?[A-Za-z0-9+/_.@=-])"
-CANDIDATE = (PRIVATE_KEY + r"|(?<![A-Za-z0-9])(?=[A-Za-z+/_.@-]*+[0-9])[A-Za-z0-9]"
-             r"(?:[A-Za-z0-9+/_.@-]{14,}[A-Za-z0-9](?:[+/]*" + PADDING + r")?"
-             r"|[A-Za-z0-9+/_.@-]{13,}" + PADDING + ")")
+PRIVATE_KEY = (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+"
+               r"-----END [A-Z ]*PRIVATE KEY-----")
 #: Known key formats (fixed values).
-ISSUED = (r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk_(live|test)_[A-Za-z0-9]{16,}"
-          r"|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"
-          r"|AIza[0-9A-Za-z_-]{35}|-----BEGIN)")
-#: Formats that are no secrets: numbers, addresses, hosts and file names, UUIDs.
-HARMLESS = (r"^([0-9.+/_=-]+|[A-Za-z0-9+_.-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+"
-            r"|([a-z0-9-]+\.)+[a-z]{2,6}(/.*)?|[A-Za-z0-9_./-]+\.[a-z]{2,4}"
-            r"|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})$")
+ISSUED = (r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}"
+          r"|sk_(?:live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}"
+          r"|eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+|AIza[0-9A-Za-z_-]{35}"
+          r"|-----BEGIN)")
 SECRET_WORDS = r"token|secret|passw|pwd|key|auth|bearer|credential|signature"
 OTHER_WORDS = r"sha|md5|commit|checksum|digest|uuid|version|example|placeholder|dummy|revision"
+#: '=' belongs to a candidate as trailing padding only: at an inner one, name
+#: and '=' are the left context of the value.
+PADDING = r"={1,2}(?![\"'`]?[A-Za-z0-9+/_.@=-])"
+#: After a name with a word for a secret and '=' or ':' (the first look is a
+#: cheap one that most places fail).
+ASSIGNED = (r"(?<=[=:>]\s{0,4}[\"'`]?)(?<=(?i:" + SECRET_WORDS.replace("auth", "auth(?!or(?!i))")
+            + r")[A-Za-z0-9_.-]{0,24}[\"'`]?\]?\s{0,4}(?:=>|:=|={1,3}|:)\s{0,4}[\"'`]?)"
+            r"(?<![A-Za-z0-9+/_.@!#$%^*~?-])(?=[^\s\"'`=]*[A-Za-z0-9])")
+#: What is assigned to such a name, whatever its length and digits: up to the
+#: closing quote, or what no white space or bracket ends before.
+VALUE = (r"(?:(?<=[\"'`])[^\s\"'`=]+={0,2}(?=[\"'`])"
+         r"|[^\s\"'`=,;&<>(){}\[\]]*[^\s\"'`=,;&<>(){}\[\].:?](?:" + PADDING + ")?)")
+#: Runs of key characters: 16 of them with a digit, or a known format.
+RUN = (r"(?:(?=[A-Za-z+/_.@-]*+[0-9])[A-Za-z0-9]"
+       r"(?:[A-Za-z0-9+/_.@-]{14,}[A-Za-z0-9](?:[+/]*" + PADDING + r")?"
+       r"|[A-Za-z0-9+/_.@-]{13,}" + PADDING + r")"
+       r"|(?=" + ISSUED + r")[A-Za-z0-9][A-Za-z0-9+/_.@-]*[A-Za-z0-9])")
+CANDIDATE = PRIVATE_KEY + r"|(?<![A-Za-z0-9])(?=\S)(?:" + ASSIGNED + VALUE + "|" + RUN + ")"
+#: A run of letters and digits as in a key.
+KEY_RUN = (r"(?:(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{16,}"
+           r"|(?=[a-z]*[A-Z])(?=[A-Z]*[a-z])[A-Za-z]{20,})")
+#: Formats that are no secrets: numbers, UUIDs, and, where they hold no run as
+#: in a key, addresses, hosts with a path and file names.
+HARMLESS = (r"^([0-9.+/_=-]+|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
+            r"|(?!.*" + KEY_RUN + r")([A-Za-z0-9+_.-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+"
+            r"|([a-z]+://)?([a-z0-9-]+\.)+[a-z]{2,6}(:[0-9]+)?(/.*)?|[A-Za-z0-9_./-]+\.[a-z]{2,4}))$")
 TEST_PATH = r"test|example|sample|mock|fixture|doc"
 #: Characters of text looked at on either side.
 SIDE = 40
@@ -173,8 +191,8 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, path: str = "source
 
     ``labelled``: findings with candidate, left, right, path and label (1
     secret, 0 not); without, the clear cases of ``docs`` themselves.  Where
-    both labels are not there, every candidate of a harmless format is let go
-    and the rest kept.  A null or empty text has no candidate; repeated rows
+    both labels are not there, every candidate of a harmless format or of
+    dictionary words alone is let go and the rest kept.  A null or empty text has no candidate; repeated rows
     have theirs each; a null path is an empty one."""
     docs = take_columns(docs, "doc_id", "text", path)
     words = words if words is not None else dictionary(docs.sparkSession)
@@ -182,8 +200,9 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, path: str = "source
     known = confirmed(found) if labelled is None else features(labelled, words)
     model = fit_forest(known)
     if model is None:
-        scored = found.withColumn("probability", F.when(F.col("candidate").rlike(HARMLESS), 0.0)
-                                  .otherwise(1.0))
+        plain = (F.col("digits") == 0) & (F.col("coverage") > 0.6)
+        scored = found.withColumn("probability", F.when(
+            F.col("candidate").rlike(HARMLESS) | plain, 0.0).otherwise(1.0))
     else:
         scored = model.transform(found).withColumn("probability", vector_to_array("_p")[1])
     rule = (F.when(F.col("candidate").rlike(ISSUED), "issued_key")
