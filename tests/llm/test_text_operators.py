@@ -178,3 +178,26 @@ def test_toxicity_edges(spark):
     assert toxicity.score_toxicity(edge.empty(spark), weight, bias).count() == 0
     weight, bias = toxicity.fit_toxicity(edge.empty(spark), some)
     assert not weight.any()
+
+
+def test_toxic_copies_leave_other_toxic_words(spark):
+    """A third of the positives are copies of one text of 1,500 words; words of
+    the other toxic texts, more than 512, keep their weight."""
+    rng = np.random.default_rng(6)
+    long = " ".join(f"c{i}" for i in range(1500))
+    rows, toxic = [], []
+    for i in range(3000):
+        kind = "copy" if i % 30 == 0 else "bad" if i % 30 in (1, 2) else "clean"
+        own = " ".join(f"w{j}" for j in rng.integers(0, 400, 20))
+        bad = " ".join(f"bad{j}" for j in rng.choice(700, 60, replace=False))
+        rows.append((i, {"copy": long, "bad": own + " " + bad, "clean": own}[kind]))
+        toxic.append((i, 0, int(kind != "clean")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    weight, bias = toxicity.fit_toxicity(docs, edge.labels(spark, toxic))
+    assert np.count_nonzero(weight) > 600
+    fresh = spark.createDataFrame([(i, f"w1 w2 bad{i} bad{i + 100} bad{i + 200} bad{i + 300} bad{i + 400} bad{i + 500}")
+                                   for i in range(100)] + [(1000, "w1 w2 w3 w4")],
+                                  "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(fresh, weight, bias).collect()}
+    clean = got.pop(1000)
+    assert clean < 0.5 and min(got.values()) > clean
