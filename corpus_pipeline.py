@@ -3,7 +3,8 @@ near duplicates, secrets masked, sources mixed to their weights, BPE.
 
 Every stage takes (spark, docs, sf_dir), docs having the columns of
 ``documents``, and returns such a table; the last one returns doc_id and
-``ids``.  Nulls, empty texts and repeated rows are as each operator says.
+``ids``, which :func:`run` decodes again.  Nulls, empty texts and repeated
+rows are as each operator says.
 """
 
 from __future__ import annotations
@@ -42,6 +43,11 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_texts(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def decode(docs: DataFrame) -> DataFrame:
+    """Operator 6, other half: the text that the ids of each row stand for."""
+    return bpe_codec.decode_ids(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES = [
     ("quality_rules", keep_quality),
     ("ngram_jaccard_join", drop_near_duplicates),
@@ -55,11 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's rows are written to the shared
-    folder and read again, so a lost executor costs no earlier stage."""
+    """All stages over ``documents``, then doc_id, ids and ``decoded``; each
+    stage's rows are written to the shared folder and read again, so a lost
+    executor costs no earlier stage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs
+    return decode(docs)

@@ -7,8 +7,10 @@ from collections import Counter, defaultdict
 from itertools import product
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from papersieve.llm import ctw, mixing, ngram_join, secret_scan, sharding, vptree
@@ -503,3 +505,19 @@ def test_pipeline_edges(spark):
         assert out.columns in (docs.columns, ["doc_id", "ids"])
         assert out.count() <= 2 * len(edge.ROWS)
         assert stage(spark, edge.empty(spark), SMALL).count() == 0
+
+
+def test_pipeline_decodes_what_it_encodes(spark):
+    """Ids and decoded texts of run(), against the tokenizers library on the
+    rows that the stages before it give."""
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for _name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SMALL)
+    want = Counter()
+    for r in docs.select("doc_id", "text").collect():
+        ids = lib.encode(r.text or "", add_special_tokens=False).ids
+        want[r.doc_id, tuple(ids), lib.decode(ids, skip_special_tokens=False)] += 1
+    out = corpus_pipeline.run(spark, SMALL)
+    assert out.columns == ["doc_id", "ids", "decoded"]
+    assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in out.collect()) == want
