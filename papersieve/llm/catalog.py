@@ -12,6 +12,7 @@ from .ngram_join import NGRAM_SQL, ngram_join
 from .quality import quality_rules
 from .secret_scan import secret_scan
 from .sharding import sharding
+from .simhash import simhash_dedup
 from .token_counts import token_counts
 from .toxicity import toxicity
 from .vptree import NEAREST_SQL, nearest_vectors
@@ -27,5 +28,6 @@ REGISTRY = {
     "op8_nearest": (nearest_vectors, NEAREST_SQL),
     "op9_quality_rules": (quality_rules, None),
     "op10_sharding": (sharding, None),
+    "op13_simhash": (simhash_dedup, None),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
