@@ -15,6 +15,7 @@ from .sharding import sharding
 from .simhash import simhash_dedup
 from .token_counts import token_counts
 from .toxicity import toxicity
+from .turns import conversation_repair
 from .vptree import NEAREST_SQL, nearest_vectors
 
 REGISTRY = {
@@ -28,6 +29,7 @@ REGISTRY = {
     "op8_nearest": (nearest_vectors, NEAREST_SQL),
     "op9_quality_rules": (quality_rules, None),
     "op10_sharding": (sharding, None),
+    "op12_conversation_repair": (conversation_repair, None),
     "op13_simhash": (simhash_dedup, None),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
