@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
+from .align import alignment
 from .bpe_codec import bpe_codec
 from .ctw import lm_scores
 from .mixing import mixed
@@ -29,6 +30,7 @@ REGISTRY = {
     "op8_nearest": (nearest_vectors, NEAREST_SQL),
     "op9_quality_rules": (quality_rules, None),
     "op10_sharding": (sharding, None),
+    "op11_alignment": (alignment, None),
     "op12_conversation_repair": (conversation_repair, None),
     "op13_simhash": (simhash_dedup, None),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
