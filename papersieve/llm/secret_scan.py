@@ -1,11 +1,18 @@
 """Operator 1, secret scans with a random forest against false positives.
 
 Candidates are long runs of key characters that hold a digit, known key formats,
-values assigned to a name with a word for a secret, and private key blocks.  A forest over each candidate's length, character transitions,
-dictionary coverage, path and neighbouring words decides which are secrets.  It
-is trained from labelled findings: given ones, or those of :func:`confirmed`,
-which labels the clear cases of the corpus by known key formats, assignments
-and known harmless formats.  All of it is DataFrame operations and MLlib.
+values assigned to a name with a word for a secret (a quoted one to its closing
+quote), and private key blocks.  A forest over each candidate's length,
+character transitions, dictionary coverage, path and neighbouring words decides
+which are secrets.  It is trained from labelled findings: given ones, or those
+of :func:`confirmed`, which labels the clear cases of the corpus by known key
+formats, assignments and known harmless formats.  Known key formats and quoted
+pass phrases are secrets whatever the forest says of them.  All of it is
+DataFrame operations and MLlib.
+
+Patterns take time in proportion to the text: every look-ahead is bounded or
+possessive, no group is repeated by recursion, and a run once begun is taken
+whole.
 """
 
 from __future__ import annotations
@@ -26,38 +33,46 @@ from .frames import read_table, take_columns, with_plain_names
 PRIVATE_KEY = (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+"
                r"-----END [A-Z ]*PRIVATE KEY-----")
 #: Known key formats (fixed values).
-ISSUED = (r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}"
-          r"|sk_(?:live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}"
-          r"|eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+|AIza[0-9A-Za-z_-]{35}"
+ISSUED = (r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30}"
+          r"|sk_(?:live|test)_[A-Za-z0-9]{16}|xox[abprs]-[A-Za-z0-9-]{10}"
+          r"|eyJ[A-Za-z0-9_-]{1,512}+\.eyJ[A-Za-z0-9_-]|AIza[0-9A-Za-z_-]{35}"
           r"|-----BEGIN)")
-SECRET_WORDS = r"token|secret|passw|pwd|key|auth|bearer|credential|signature"
+SECRET_WORDS = r"token|secret|passw|passphrase|pwd|key|auth|bearer|credential|signature"
+#: What ends left of a quoted value that is a pass phrase whatever its words,
+#: and values that stand for none.
+PHRASE = (r"(?i)(?:passw(?:or)?d|passphrase|pwd|secret)[a-z0-9_.-]{0,24}[\"'`]?\]?"
+          r"\s{0,4}(?:=>|:=|={1,3}|:)\s{0,4}[\"'`]$")
+NO_PHRASE = r"(?i)^(?:[$<{%*.]|your|my[ _-]|enter|change|example|placeholder|dummy|none$|null$|true$|false$)"
 OTHER_WORDS = r"sha|md5|commit|checksum|digest|uuid|version|example|placeholder|dummy|revision"
 #: '=' belongs to a candidate as trailing padding only: at an inner one, name
 #: and '=' are the left context of the value.
 PADDING = r"={1,2}(?![\"'`]?[A-Za-z0-9+/_.@=-])"
 #: After a name with a word for a secret and '=' or ':' (the first look is a
 #: cheap one that most places fail).
-ASSIGNED = (r"(?<=[=:>]\s{0,4}[\"'`]?)(?<=(?i:" + SECRET_WORDS.replace("auth", "auth(?!or(?!i))")
+ASSIGNED = (r"(?<=[=:>]\s{0,4}[\"'`]?)(?:(?!=)|(?<=[\"'`]))(?<=(?i:" + SECRET_WORDS.replace("auth", "auth(?!or(?!i))")
             + r")[A-Za-z0-9_.-]{0,24}[\"'`]?\]?\s{0,4}(?:=>|:=|={1,3}|:)\s{0,4}[\"'`]?)"
             r"(?<![A-Za-z0-9+/_.@!#$%^*~?-])(?=[^\s\"'`=]*[A-Za-z0-9])")
-#: What is assigned to such a name, whatever its length and digits: up to the
-#: closing quote, or what no white space or bracket ends before.
-VALUE = (r"(?:(?<=[\"'`])[^\s\"'`=]+={0,2}(?=[\"'`])"
+#: What is assigned to such a name, whatever its length and digits: all up to
+#: the closing quote of the same line, or what no white space or bracket ends
+#: before.
+VALUE = (r"(?:(?<=\")[^\"\r\n]++(?=\")|(?<=')[^'\r\n]++(?=')|(?<=`)[^`\r\n]++(?=`)"
          r"|[^\s\"'`=,;&<>(){}\[\]]*[^\s\"'`=,;&<>(){}\[\].:?](?:" + PADDING + ")?)")
-#: Runs of key characters: 16 of them with a digit, or a known format.
-RUN = (r"(?:(?=[A-Za-z+/_.@-]*+[0-9])[A-Za-z0-9]"
+#: Runs of key characters: 16 of them with a digit, or a known format.  A run
+#: without a digit among its first FAR ones is taken whole too and left out by
+#: :func:`_fitting` if it has none further on.
+FAR = 64
+RUN = (r"(?:[A-Za-z0-9](?:(?<=[0-9])|(?=[A-Za-z+/_.@-]{0," + str(FAR) + r"}+[0-9]))"
        r"(?:[A-Za-z0-9+/_.@-]{14,}[A-Za-z0-9](?:[+/]*" + PADDING + r")?"
        r"|[A-Za-z0-9+/_.@-]{13,}" + PADDING + r")"
-       r"|(?=" + ISSUED + r")[A-Za-z0-9][A-Za-z0-9+/_.@-]*[A-Za-z0-9])")
+       r"|(?=" + ISSUED + r")[A-Za-z0-9][A-Za-z0-9+/_.@-]*[A-Za-z0-9]"
+       r"|[A-Za-z0-9][A-Za-z0-9+/_.@-]{" + str(FAR) + r",}[A-Za-z0-9](?:[+/]*" + PADDING + r")?)")
 CANDIDATE = PRIVATE_KEY + r"|(?<![A-Za-z0-9])(?=\S)(?:" + ASSIGNED + VALUE + "|" + RUN + ")"
-#: A run of letters and digits as in a key.
-KEY_RUN = (r"(?:(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{16,}"
-           r"|(?=[a-z]*[A-Z])(?=[A-Z]*[a-z])[A-Za-z]{20,})")
 #: Formats that are no secrets: numbers, UUIDs, and, where they hold no run as
 #: in a key, addresses, hosts with a path and file names.
-HARMLESS = (r"^([0-9.+/_=-]+|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
-            r"|(?!.*" + KEY_RUN + r")([A-Za-z0-9+_.-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+"
-            r"|([a-z]+://)?([a-z0-9-]+\.)+[a-z]{2,6}(:[0-9]+)?(/.*)?|[A-Za-z0-9_./-]+\.[a-z]{2,4}))$")
+PLAIN = r"^(?:[0-9.+/_=-]+|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12})$"
+PLACE = (r"^(?:[A-Za-z0-9+_.-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+"
+         r"|(?:[a-z]{1,12}://)?[a-z0-9-][a-z0-9.-]*\.[a-z]{2,6}(?::[0-9]+)?(?:/.*)?"
+         r"|[A-Za-z0-9_./-]+\.[a-z]{2,4})$")
 TEST_PATH = r"test|example|sample|mock|fixture|doc"
 #: Characters of text looked at on either side.
 SIDE = 40
@@ -81,8 +96,8 @@ def dictionary(spark, path: str | None = None) -> DataFrame:
 
 
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
-    """One row a candidate: row, doc_id, path, text_key, nth, candidate, left,
-    right, start (characters before it)."""
+    """One row a candidate: row, doc_id, path, text_key, nth (its place among the
+    matches of CANDIDATE), candidate, left, right, start (characters before it)."""
     key = F.xxhash64("doc_id", "text")
     parts = (docs.filter(F.col("text").rlike(CANDIDATE))
              .select("doc_id", F.col(path).alias("path"), key.alias("text_key"),
@@ -107,13 +122,34 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     rows = cut_lineage(rows)
     return rows.withColumn("start", (
         F.sum(F.col("gap") + F.length("candidate")).over(before)
-        - F.length("candidate")).cast("long")).drop("gap")
+        - F.length("candidate")).cast("long")).drop("gap").filter(
+            _fitting(F.col("candidate"), F.col("left")))
+
+
+def harmless(c: Column) -> Column:
+    """Whether a candidate is of a format that is no secret."""
+    key_run = F.exists(F.split(c, "[^A-Za-z0-9]+"), lambda x: (F.length(x) >= 16)
+                       & x.rlike("[0-9]") & x.rlike("[A-Za-z]")) \
+        | F.exists(F.split(c, "[^A-Za-z]+"), lambda x: (F.length(x) >= 20)
+                   & x.rlike("[a-z]") & x.rlike("[A-Z]"))
+    return c.rlike(PLAIN) | (c.rlike(PLACE) & ~key_run)
+
+
+def phrase(c: Column, left: Column) -> Column:
+    """Whether a candidate is a quoted value of a name for a pass phrase."""
+    return (left.rlike(PHRASE) & (F.length(c) >= 6) & ~c.rlike(NO_PHRASE))
+
+
+def _fitting(c: Column, left: Column) -> Column:
+    """Whether a match of CANDIDATE is one: of its longest runs those that have
+    a digit after all or are assigned."""
+    return ((F.length(c) <= FAR) | c.rlike("[0-9]") | c.rlike(ISSUED)
+            | F.concat(left, F.lit("x")).rlike(ASSIGNED + "x$"))
 
 
 def entropy(text: Column) -> Column:
-    letters = F.filter(F.split(text, ""), lambda x: x != "")
-    share = F.transform(F.array_distinct(letters),
-                        lambda c: F.size(F.filter(letters, lambda x: x == c)) / F.size(letters))
+    letters = F.array_distinct(F.filter(F.split(text, ""), lambda x: x != ""))
+    share = F.transform(letters, lambda c: 1 - F.length(F.replace(text, c, F.lit(""))) / F.length(text))
     return F.aggregate(share, F.lit(0.0), lambda s, p: s - p * F.log2(p))
 
 
@@ -156,12 +192,12 @@ def confirmed(found: DataFrame) -> DataFrame:
     key formats, and mixed strings assigned to a word for a secret; harmless
     formats, dictionary words and one repeated character."""
     c = F.col("candidate")
-    harmless = (c.rlike(HARMLESS) | (F.col("coverage") > 0.6) | (F.col("entropy") < 1.5))
+    plain = harmless(c) | (F.col("coverage") > 0.6) | (F.col("entropy") < 1.5)
     good = c.rlike(ISSUED) | ((F.col("assigned") == 1) & (F.col("secret_word") == 1)
                               & (F.col("other_word") == 0) & (F.col("digits") > 0.1)
                               & (F.col("digits") < 0.95) & (F.col("entropy") > 3))
-    return (found.withColumn("label", F.when(c.rlike(ISSUED), 1.0).when(harmless, 0.0)
-                             .when(good, 1.0))
+    return (found.withColumn("label", F.when(c.rlike(ISSUED) | phrase(c, F.col("left")), 1.0)
+                             .when(plain, 0.0).when(good, 1.0))
             .filter("label IS NOT NULL"))
 
 
@@ -192,8 +228,11 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, path: str = "source
     ``labelled``: findings with candidate, left, right, path and label (1
     secret, 0 not); without, the clear cases of ``docs`` themselves.  Where
     both labels are not there, every candidate of a harmless format or of
-    dictionary words alone is let go and the rest kept.  A null or empty text has no candidate; repeated rows
-    have theirs each; a null path is an empty one."""
+    dictionary words alone is let go and the rest kept.  A null or empty text has
+    no candidate; repeated rows have theirs each, in the order of the text; a
+    null path is an empty one.  A text of any length is scanned whole, and a run
+    of any length is one candidate.  An unquoted pass phrase is taken up to its
+    first white space."""
     docs = take_columns(docs, "doc_id", "text", path)
     words = words if words is not None else dictionary(docs.sparkSession)
     found = cut_lineage(features(candidates(docs, path), words))
@@ -202,15 +241,16 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, path: str = "source
     if model is None:
         plain = (F.col("digits") == 0) & (F.col("coverage") > 0.6)
         scored = found.withColumn("probability", F.when(
-            F.col("candidate").rlike(HARMLESS) | plain, 0.0).otherwise(1.0))
+            harmless(F.col("candidate")) | plain, 0.0).otherwise(1.0))
     else:
         scored = model.transform(found).withColumn("probability", vector_to_array("_p")[1])
     rule = (F.when(F.col("candidate").rlike(ISSUED), "issued_key")
+            .when(phrase(F.col("candidate"), F.col("left")), "pass_phrase")
             .when((F.col("hex") == 1) & (F.col("digits") < 1), "hex").otherwise("key_string"))
     return scored.select(
         "doc_id", "nth", "start", F.length("candidate").alias("length"), rule.alias("rule"),
         F.round("probability", 6).alias("probability"),
-        (F.col("probability") >= 0.5).alias("secret"), "text_key", "candidate")
+        ((F.col("probability") >= 0.5) | rule.isin("issued_key", "pass_phrase")).alias("secret"), "text_key", "candidate")
 
 
 def redact(docs: DataFrame, findings: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
@@ -219,16 +259,17 @@ def redact(docs: DataFrame, findings: DataFrame, mark: str = "[REDACTED]") -> Da
     docs, restored = with_plain_names(docs, "doc_id", "text")
     key = F.xxhash64("doc_id", "text")
     # rows with equal id and text have equal findings: one list for all
-    said = (findings.groupBy("text_key", "doc_id", "nth")
-            .agg(F.max("secret").alias("secret"), F.max("candidate").alias("candidate"))
-            .groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct(
-                "nth", F.when(F.col("secret"), mark).otherwise(F.col("candidate")).alias("put"))))
-                .alias("_put"), F.max("secret").alias("_any"))
-            .filter("_any").drop("_any"))
+    said = (findings.filter("secret").groupBy("text_key", "doc_id", "nth").count()
+            .groupBy("text_key").agg(F.sort_array(F.collect_list("nth")).alias("_nth"))
+            .select("text_key", F.flatten(F.transform("_nth", lambda x, i: F.concat(
+                F.array_repeat(F.lit(False), x - F.coalesce(F.get("_nth", i - 1), F.lit(-1)) - 1),
+                F.array(F.lit(True))))).alias("_put")))
+    matches = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
     holds = F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False))
     rows = docs.filter(holds).withColumn("_text_key", key)
     between = F.split("text", CANDIDATE, -1)
-    put = F.concat(F.col("_put.put"), F.array(F.lit("")))
+    put = F.concat(F.transform(matches, lambda x, i: F.when(
+        F.get("_put", i), mark).otherwise(x)), F.array(F.lit("")))
     text = F.array_join(F.flatten(F.zip_with(between, put, lambda a, b: F.array(a, b))), "")
     masked = (rows.join(said, rows["_text_key"] == said["text_key"], "left")
               .withColumn("text", F.when(F.col("_put").isNull(), F.col("text")).otherwise(text))
