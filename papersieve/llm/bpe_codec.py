@@ -130,6 +130,24 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInArrow(rows, "doc_id long, ids array<int>, decoded string")
 
 
+def encode_decode_texts(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ``ids`` and ``decoded`` of every row in one pass, as
+    :func:`encode_texts` and :func:`decode_ids` give them."""
+
+    def rows(batches):
+        own = codec(path)
+        for b in pieces(batches, "text"):
+            found = [own.encode(t or "") for t in b.column("text").to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(ends, np.concatenate([*found, np.zeros(0, np.int32)]))
+            texts = pa.array([own.decode(x) for x in found], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, texts],
+                                             ["doc_id", "ids", "decoded"])
+
+    return take_columns(docs, "doc_id", "text").mapInArrow(
+        rows, "doc_id long, ids array<int>, decoded string")
+
+
 def encode_decode_digests(docs: DataFrame, path: str) -> DataFrame:
     """Encode, decode and digest in one pass over the rows."""
 

@@ -14,6 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch between the JVM and a Python worker: texts reach
+#: megabytes, and Spark's default of 10,000 rows is held whole on both sides.
+ARROW_ROWS = 1_000
+ARROW_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Text bytes handled at once by the numpy code of a task.  A longer text is
 #: handled alone and whole.
 BATCH_BYTES = 1 << 19
@@ -28,14 +32,23 @@ def position(df: DataFrame, name: str) -> int:
 def with_plain_names(df: DataFrame, *names: str):
     """(``df`` whose other columns are called _x0, _x1, ..., a function that
     gives a frame with these columns the old names and order)."""
+    short_batches(df.sparkSession)
     have, at = df.columns, {position(df, n): n for n in names}
     plain = df.toDF(*[at.get(i, f"_x{i}") for i in range(len(have))])
     return plain, lambda out: out.select(*plain.columns).toDF(*have)
 
 
+def short_batches(spark) -> None:
+    """ARROW_ROWS for the session, unless it has a setting of its own."""
+    if spark.conf.get(ARROW_ROWS_KEY, None) is None:
+        spark.conf.set(ARROW_ROWS_KEY, ARROW_ROWS)
+
+
 def take_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, found by exact name (else by the first name
-    equal but for case).  Extra columns never clash."""
+    equal but for case).  Extra columns never clash.  Texts then go to Python
+    in short batches (:func:`short_batches`)."""
+    short_batches(df.sparkSession)
     plain = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
     return plain.select(*[F.col(f"_c{position(df, n)}").alias(n) for n in names])
 
