@@ -2,9 +2,15 @@
 near duplicates, secrets masked, sources mixed to their weights, BPE.
 
 Every stage takes (spark, docs, sf_dir), docs having the columns of
-``documents``, and returns such a table; the last one returns doc_id and
-``ids``, which :func:`run` decodes again.  Nulls, empty texts and repeated
-rows are as each operator says.
+``documents`` (and any others), and returns such a table; the last one returns
+doc_id, ``ids`` and ``decoded``, the text that the ids stand for.
+
+Null and empty texts fail the quality rules; given to a later stage they are
+linked with nothing, hold no secret, have size 0 and are never taken by the
+mix, and have no ids.  Rows equal in every column are one document's copies and
+one stays; null ids are larger than all others.  Null sources are a source of
+their own.  Texts of any length are handled whole; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -39,13 +45,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: token ids of every document."""
-    return bpe_codec.encode_texts(docs, public_tokenizers.path("word_bpe_49k.json"))
-
-
-def decode(docs: DataFrame) -> DataFrame:
-    """Operator 6, other half: the text that the ids of each row stand for."""
-    return bpe_codec.decode_ids(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Operator 6: token ids of every document, and the text they stand for."""
+    return bpe_codec.encode_decode_texts(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
@@ -61,12 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, then doc_id, ids and ``decoded``; each
-    stage's rows are written to the shared folder and read again, so a lost
-    executor costs no earlier stage."""
+    """All stages over ``documents``; each stage's rows are written to the
+    shared folder and read again, so a lost executor costs no earlier stage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return decode(docs)
+    return docs
