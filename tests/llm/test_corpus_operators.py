@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from papersieve.llm import ctw, mixing, ngram_join, secret_scan, sharding, vptree
+from papersieve.llm import ctw, mixing, ngram_join, quality, secret_scan, sharding, vptree
 from papersieve.llm.components import components
 from papersieve.llm.frames import read_table
 
@@ -567,11 +567,82 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, SMALL).count() == counts[-1]
 
 
+def as_counter(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
+def test_pipeline_equals_plain_python(spark):
+    """Every stage on what its predecessor kept, by plain Python: base rules and
+    the ratio's threshold, Jaccard components, findings cut out of the texts,
+    copies by source, and ids of the tokenizers library."""
+    source_docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    docs = spark.createDataFrame(source_docs.collect(), source_docs.schema)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality_rules"](spark, docs, SMALL)
+    verdicts = {r.doc_id: r for r in quality.fitted_quality(
+        docs, read_table(spark, SMALL, "labels", "doc_id", "quality")).collect()}
+    want = Counter()
+    for r in docs.collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        again = Counter(tuple(words[i:i + 3]) for i in range(len(words) - 2))
+        inside = {i + j for i in range(len(words) - 2) if again[tuple(words[i:i + 3])] > 1 for j in range(3)}
+        bad = len(words) < 50 or 100 * len(inside) > 50 * len(words)
+        assert verdicts[r.doc_id].base_failed == bad
+        if not bad and verdicts[r.doc_id].kept:
+            want[tuple(r)] += 1
+    assert as_counter(kept) == want
+
+    kept = spark.createDataFrame(kept.collect(), docs.schema)
+    rows = kept.collect()
+    least = {k: c for k, _, c in components_by_hand([(r.doc_id, r.text) for r in rows])}
+    single = stages["ngram_jaccard_join"](spark, kept, SMALL)
+    assert as_counter(single) == Counter(tuple(r) for r in rows if least[r.doc_id] == r.doc_id)
+
+    single = spark.createDataFrame(single.collect(), docs.schema)
+    cuts = defaultdict(list)
+    for f in secret_scan.scan(single).filter("secret").collect():
+        cuts[f.doc_id].append((f.start, f.length))
+    want = Counter()
+    for r in single.collect():
+        text, out, at = r.text or "", "", 0
+        for start, length in sorted(cuts[r.doc_id]):
+            out, at = out + text[at:start] + "[REDACTED]", start + length
+        want[r.doc_id, r.text if r.text is None else out + text[at:]] += 1
+    masked = stages["secret_scan"](spark, single, SMALL)
+    assert as_counter(masked.select("doc_id", "text")) == want
+
+    masked = spark.createDataFrame(masked.collect(), docs.schema)
+    copies = Counter(r.doc_id for r in stages["mixing"](spark, masked, SMALL).collect())
+    size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in masked.collect()}
+    source = {r.doc_id: r.source for r in masked.collect()}
+    total = Counter()
+    for d, n in size.items():
+        total[source[d]] += n
+    order = sorted(total, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    target, open_, room = {}, set(order), 1.5 * sum(total.values())
+    while open_:
+        share = {s: room * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 2 * total[s]}
+        if not over:
+            target |= share
+            break
+        for s in over:
+            target[s] = 2 * total[s]
+            room -= target[s]
+        open_ -= over
+    for s in order:
+        taken = sum(copies[d] * n for d, n in size.items() if source[d] == s)
+        largest = max(n for d, n in size.items() if source[d] == s)
+        assert abs(taken - target[s]) <= 2 * largest + 0.02 * target[s]
+    assert max(copies.values()) <= 2
+
+
 def test_pipeline_edges(spark):
     for _name, stage in corpus_pipeline.STAGES:
         docs = edge.documents(spark)
         out = stage(spark, docs, SMALL)
-        assert out.columns in (docs.columns, ["doc_id", "ids"])
+        assert out.columns in (docs.columns, ["doc_id", "ids", "decoded"])
         assert out.count() <= 2 * len(edge.ROWS)
         assert stage(spark, edge.empty(spark), SMALL).count() == 0
 
