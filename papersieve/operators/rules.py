@@ -9,18 +9,26 @@ Shipped providers:
 * ``PandasProvider``: a caller's own model as an Arrow-batched
   ``mapInPandas`` over request rows, with bounded parallelism (T3).
 
+``answer_requests`` answers one question a row; ``select_requests`` gives the
+reply to a multi-select, the ids of all exclusion reasons that hold.
+
 Rules always run on ASCII-folded text: ``\\b`` differs between Java and RE2 on
 non-ASCII input.
 """
 
 from __future__ import annotations
 
+import time
+from collections import deque
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..config import cut_lineage
 from ..constants import DEFAULT_MODEL_NAME, RULE_STEMS, RULES
 
 
@@ -149,53 +157,143 @@ class RuleProvider:
 
 class ReplayProvider:
     """Answers replayed from a stored answer table keyed by
-    (paper_id, question_id); unknown pairs are misses."""
-
-    def __init__(self, answers: DataFrame, model: str = DEFAULT_MODEL_NAME):
-        self.answers = answers.select("paper_id", "question_id", "answer", "evidence",
-                                      "prompt_tokens", "completion_tokens")
-        self.model = model
+    (paper_id, question_id), and mode where the table has one; unknown pairs
+    are misses.  ``selections``: replayed multi-select replies (paper_id, ids,
+    evidence)."""
+
+    def __init__(self, answers: DataFrame, model: str = DEFAULT_MODEL_NAME,
+                 selections: DataFrame | None = None):
+        self.by_mode = "mode" in answers.columns
+        self.answers = answers.select(
+            "paper_id", "question_id", *(["mode"] if self.by_mode else []), "answer", "evidence",
+            "prompt_tokens", "completion_tokens")
+        self.model, self.selections = model, selections
 
     def answer_requests(self, req: DataFrame, text: Column | None = None,
                         qid_col: str = "question_id") -> DataFrame:
         a = self.answers.withColumnRenamed("question_id", qid_col)
-        return (req.join(a, ["paper_id", qid_col], "left")
-                .withColumn("model", F.lit(self.model)))
+        on = ["paper_id", qid_col]
+        if self.by_mode:
+            if "mode" in req.columns:
+                on.append("mode")
+            else:
+                a = a.where("mode = 'single'").drop("mode")
+        return req.join(a, on, "left").withColumn("model", F.lit(self.model))
+
+    def select_requests(self, req: DataFrame) -> DataFrame:
+        if self.selections is None:
+            raise ValueError("this provider has no multi-select replies")
+        return req.join(self.selections.select("paper_id", "ids", "evidence"), "paper_id", "left")
 
 
 class PandasProvider:
     """A caller's model over Arrow batches.
 
     ``fn(pdf) -> pdf`` receives columns paper_id, question_id, question,
-    title, abstract (and mode, where the requests have it) and must return paper_id, question_id, answer, evidence,
-    prompt_tokens, completion_tokens.  ``parallelism`` bounds concurrent calls
-    (T3) by repartitioning the requests first; requests for one paper stay
-    together, sorted by question, for prompt-prefix reuse.
+    title, abstract (and mode, where the requests have it) and returns
+    paper_id, question_id, answer, evidence, prompt_tokens, completion_tokens.
+    For a multi-select (mode ``exclusion``, question_id null, question = the
+    numbered reasons) it returns paper_id, ids (a list of numbers) and evidence.
+
+    At most ``parallelism`` tasks call at once (T3), each with ``in_flight``
+    calls of ``rows_per_call`` rows under way; requests for one paper stay
+    together, sorted by question, for prompt-prefix reuse.  A call that raises
+    is tried ``retries`` more times, waiting ``backoff`` seconds and twice as
+    long each time; then its rows are asked in halves, so only the rows that
+    fail alone have no answer and an ``error``.  Nothing raised ends the job.
     """
 
     OUT = T.StructType([
         T.StructField("paper_id", T.LongType()), T.StructField("question_id", T.StringType()),
         T.StructField("answer", T.StringType()), T.StructField("evidence", T.StringType()),
         T.StructField("prompt_tokens", T.LongType()),
-        T.StructField("completion_tokens", T.LongType())])
+        T.StructField("completion_tokens", T.LongType()), T.StructField("error", T.StringType())])
+    SELECTED = T.StructType([
+        T.StructField("paper_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())),
+        T.StructField("evidence", T.StringType()), T.StructField("error", T.StringType())])
 
-    def __init__(self, fn: Callable, model: str, parallelism: int = 8):
+    def __init__(self, fn: Callable, model: str, parallelism: int = 8, in_flight: int = 1,
+                 rows_per_call: int | None = None, retries: int = 0, backoff: float = 0.5):
         self.fn, self.model, self.parallelism = fn, model, parallelism
-
-    def answer_requests(self, req: DataFrame, text: Column | None = None,
-                        qid_col: str = "question_id") -> DataFrame:
-        fn = self.fn
+        self.in_flight, self.rows_per_call = in_flight, rows_per_call
+        self.retries, self.backoff = retries, backoff
+
+    def _calls(self, names: list[str]):
+        """The function for mapInPandas: answers with columns ``names``."""
+        fn, size, flight = self.fn, self.rows_per_call, self.in_flight
+        retries, backoff = self.retries, self.backoff
+
+        def once(pdf):
+            for left in range(retries, -1, -1):
+                try:
+                    out = fn(pdf.reset_index(drop=True)).copy()
+                    out["error"] = None
+                    return out[names]
+                except Exception as exc:  # noqa: BLE001 (a caller's model may raise anything)
+                    said = f"{type(exc).__name__}: {exc}"
+                    if left:
+                        time.sleep(backoff * 2 ** (retries - left))
+            if len(pdf) > 1:
+                half = len(pdf) // 2
+                return pd.concat([once(pdf.iloc[:half]), once(pdf.iloc[half:])])
+            out = pdf.reindex(columns=names)
+            out["error"] = said
+            out[[n for n in names if n not in ("paper_id", "question_id", "error")]] = None
+            return out
 
         def run(batches):
-            for pdf in batches:
-                yield fn(pdf)
+            with ThreadPoolExecutor(flight) as pool:
+                window = deque()
+                for pdf in batches:
+                    step = size or max(1, len(pdf))
+                    for at in range(0, len(pdf), step):
+                        window.append(pool.submit(once, pdf.iloc[at:at + step]))
+                        if len(window) >= flight:
+                            yield window.popleft().result()
+                while window:
+                    yield window.popleft().result()
+        return run
+
+    def _dealt(self, req: DataFrame) -> DataFrame:
+        return (req.repartition(self.parallelism, "paper_id")
+                .sortWithinPartitions("paper_id", "question_id"))
 
+    def answer_requests(self, req: DataFrame, text: Column | None = None,
+                        qid_col: str = "question_id") -> DataFrame:
         cols = ["paper_id", qid_col, "question", "title", "abstract",
                 *[c for c in ("mode",) if c in req.columns]]
-        out = (req.select(*cols).withColumnRenamed(qid_col, "question_id")
-               .repartition(self.parallelism, "paper_id")
-               .sortWithinPartitions("paper_id", "question_id")
-               .mapInPandas(run, self.OUT)
+        out = (self._dealt(req.select(*cols).withColumnRenamed(qid_col, "question_id"))
+               .mapInPandas(self._calls(self.OUT.fieldNames()), self.OUT)
                .withColumnRenamed("question_id", qid_col))
         return (req.join(out, ["paper_id", qid_col], "left")
                 .withColumn("model", F.lit(self.model)))
+
+    def select_requests(self, req: DataFrame) -> DataFrame:
+        cols = ["paper_id", "question_id", "question", "title", "abstract", "mode"]
+        out = self._dealt(req.select(*cols)).mapInPandas(
+            self._calls(self.SELECTED.fieldNames()), self.SELECTED)
+        return req.join(out, "paper_id", "left")
+
+
+LOGGED = T.StructType([*PandasProvider.OUT.fields[:6], T.StructField("mode", T.StringType())])
+
+
+def ask_logged(provider, requests: DataFrame, path: str, per_wave: int = 1_000_000) -> DataFrame:
+    """``requests`` (paper_id, question_id, mode, question, title, abstract)
+    with their answers, through a log in the shared folder ``path``.
+
+    What the log answers is not asked again; the rest is asked in waves of
+    about ``per_wave`` requests, and each wave's answers are appended to the log
+    in one job, so a run that ends early costs at most one wave and a rerun
+    asks only what has no answer yet."""
+    spark, key = requests.sparkSession, ["paper_id", "question_id", "mode"]
+    spark.createDataFrame([], LOGGED).write.mode("ignore").parquet(path)
+    requests = cut_lineage(requests.distinct())
+    missing = cut_lineage(requests.join(spark.read.schema(LOGGED).parquet(path).select(*key),
+                                        key, "left_anti"))
+    waves = -(-missing.count() // per_wave)
+    for wave in range(waves):
+        part = missing.where(F.pmod(F.xxhash64("paper_id"), F.lit(waves)) == wave)
+        (provider.answer_requests(part).where("answer IS NOT NULL").select(*LOGGED.fieldNames())
+         .write.mode("append").parquet(path))
+    return requests.join(spark.read.schema(LOGGED).parquet(path), key, "left")

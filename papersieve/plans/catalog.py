@@ -221,6 +221,7 @@ from ..operators import split as SP  # noqa: E402
 from ..operators import store as ST  # noqa: E402
 from . import extract as X  # noqa: E402
 from .lazy import lazy_screen, lazy_walk  # noqa: E402
+from .precheck import parse_selection, precheck  # noqa: E402
 
 FEATS = FEATURE_ORDER
 FEAT_SQL = ", ".join(FEATS)
@@ -566,6 +567,46 @@ def q_lazy_screen(spark, sf_dir):
                     "n_hits", "n_asked")
 
 
+def _replayed_precheck_sql():
+    n = len(EXCLUSION_REASONS)
+    said = "CASE p.id " + " ".join(f"WHEN {i} THEN r.{x}" for i, x in enumerate(EXCLUSION_REASONS)) + " END"
+    return (f"WITH {O.docs_cte()}, {O.rules_wide_cte(qids=EXCLUSION_REASONS)}, "
+            "ev AS (SELECT user_id, event_type, json_extract_string(props, '$.k')::INTEGER AS k, "
+            "row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events), "
+            "rep AS (SELECT d.doc_id AS paper_id, CASE WHEN e.event_type <> 'error' THEN "
+            "list_slice([k % 9, (k + 4) % 9, (2 * k) % 10], 1, k % 4) END AS ids "
+            "FROM documents d LEFT JOIN ev e ON e.user_id = d.doc_id AND e.rn = 1), "
+            "pos AS (SELECT paper_id, id, min(p) AS p FROM (SELECT paper_id, unnest(ids) AS id, "
+            "unnest(range(len(ids))) AS p FROM rep) GROUP BY paper_id, id), "
+            "cand AS (SELECT p.paper_id, p.id, row_number() OVER (PARTITION BY p.paper_id ORDER BY p.p) "
+            f"AS rk, {said} AS a FROM pos p JOIN rw r USING (paper_id)), "
+            "fst AS (SELECT paper_id, min(CASE WHEN a = 'YES' THEN rk END) AS f, count(*) AS n, "
+            f"bool_or(id >= {n}) AS bad FROM cand GROUP BY paper_id), "
+            "st AS (SELECT rep.paper_id, CASE WHEN rep.ids IS NULL THEN 'unanswered' WHEN f.bad THEN "
+            "'invalid' WHEN f.f IS NOT NULL THEN 'excluded' ELSE 'pass' END AS exclusion_status, "
+            "f.f, f.n FROM rep LEFT JOIN fst f USING (paper_id)) "
+            "SELECT s.paper_id, s.exclusion_status, c.id AS excluded_reason, "
+            f"{O.reason_qid('c.id')} AS excluded_by, CASE WHEN s.exclusion_status = 'excluded' THEN 1 + s.f "
+            "WHEN s.exclusion_status = 'pass' THEN 1 + coalesce(s.n, 0) ELSE 1 END AS n_exclusion_calls "
+            "FROM st s LEFT JOIN cand c ON c.paper_id = s.paper_id AND c.rk = s.f "
+            "AND s.exclusion_status = 'excluded'")
+
+
+@register("replayed_precheck", _replayed_precheck_sql())
+def q_replayed_precheck(spark, sf_dir):
+    """C1 with an outside model: each paper's newest multi-select reply of the
+    log, its reasons confirmed one by one in the reply's order."""
+    log = S.selection_log(spark, sf_dir)
+    newest = log.groupBy("paper_id").agg(
+        F.max_by("payload", F.struct("answered_at", "event_id")).alias("payload"))
+    replies = newest.select("paper_id", parse_selection("payload").alias("r")).select("paper_id", "r.*")
+    d = prepare(S.papers(spark, sf_dir))
+    confirms = RuleProvider().answer_long(d, F.col("text"), qids=EXCLUSION_REASONS).withColumn(
+        "mode", F.lit("confirm"))
+    return precheck(d, ReplayProvider(confirms, selections=replies)).select(
+        "paper_id", "exclusion_status", "excluded_reason", "excluded_by", "n_exclusion_calls")
+
+
 # ================================================================ batch 3: training
 from ..operators import resample as RS  # noqa: E402
 from ..operators import train as TR  # noqa: E402

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from ..config import cut_lineage
 from ..constants import EXCLUSION_REASONS
 from ..operators.tree import _walk_nodes, enrich_nodes, materialize_model
-from ..sources.questions import question_rows
+from .precheck import ask, of_mode, precheck, question_text
 
 LAZY_STEP = T.StructType([
     T.StructField("step", T.IntegerType()),
@@ -34,25 +34,8 @@ LAZY_STEP = T.StructType([
 ])
 
 
-REQUEST = ["paper_id", "question_id", "title", "abstract", "question", "mode"]
-
-
-def question_text(qid):
-    """The bank's text of a question id (the bank is a fixed small list)."""
-    bank = F.create_map(*[F.lit(x) for q, text, _c, _i in question_rows() for x in (q, text)])
-    return F.try_element_at(bank, qid)
-
-
-def ask(provider, requests: DataFrame) -> DataFrame:
-    """Answers of an external provider to distinct requests, asked once: the
-    table is checkpointed before it is used."""
-    got = provider.answer_requests(requests.select(*REQUEST).distinct())
-    return cut_lineage(got.select(
-        F.col("paper_id").alias("_r_pid"), F.col("question_id").alias("_r_q"),
-        F.col("answer").alias("_r_a"), F.col("evidence").alias("_r_e")))
-
-
 def _store_side(store: DataFrame | None) -> DataFrame | None:
+    store = of_mode(store, "single")
     if store is None:
         return None
     return store.select(F.col("paper_id").alias("_s_pid"), F.col("question_id").alias("_s_q"),
@@ -146,20 +129,27 @@ def new_answers(walked: DataFrame) -> DataFrame:
             .select("paper_id", "question_id", "answer", "evidence"))
 
 
-def reason_answers(prepared: DataFrame, provider, reasons, text) -> DataFrame:
-    """``prepared`` with _reasons: the answer to each exclusion reason."""
-    if hasattr(provider, "answer_for"):
-        return prepared.withColumn("_reasons", F.array(
-            *[provider.answer_for(text, F.lit(r), [r]) for r in reasons]))
-    got = ask(provider, prepared.select(
-        "paper_id", F.explode(F.array(*[F.lit(r) for r in reasons])).alias("question_id"),
-        F.col("title_clean").alias("title"), F.col("abstract_clean").alias("abstract"))
-        .withColumn("question", question_text(F.col("question_id")))
-        .withColumn("mode", F.lit("exclusion")))
-    wide = got.groupBy(F.col("_r_pid").alias("paper_id")).agg(
-        F.array(*[F.max(F.when(F.col("_r_q") == r, F.col("_r_a"))) for r in reasons])
-        .alias("_reasons"))
-    return prepared.join(wide, "paper_id", "left")
+def native_precheck(prepared: DataFrame, provider, reasons) -> DataFrame:
+    """C1 of a native provider, in-row: every reason answered, selected where
+    YES or UNSURE, confirmed where YES."""
+    rq = F.array(*[F.lit(r) for r in reasons])
+    d = prepared.withColumn("_reasons", F.array(
+        *[provider.answer_for(F.col("text"), F.lit(r), [r]) for r in reasons]))
+    candidates = F.filter(F.sequence(F.lit(0), F.lit(len(reasons) - 1)),
+                          lambda i: F.element_at(F.col("_reasons"), i + 1).isin("YES", "UNSURE"))
+    d = d.withColumn("exclusion_candidates", candidates)
+    confirmed = F.transform(d["exclusion_candidates"],
+                            lambda i: F.element_at(F.col("_reasons"), i + 1) == "YES")
+    pos = F.array_position(confirmed, True)  # 1-based, 0 when none
+    return (d.withColumn("_pos", pos)
+            .withColumn("excluded_by", F.when(F.col("_pos") > 0, F.element_at(
+                rq, F.element_at(F.col("exclusion_candidates"), F.col("_pos").cast("int")) + 1)))
+            .withColumn("n_exclusion_calls", 1 + F.when(F.col("_pos") > 0, F.col("_pos"))
+                        .otherwise(F.size("exclusion_candidates")))
+            .withColumn("n_exclusion_hits", F.lit(0))
+            .withColumn("exclusion_status", F.when(F.col("_pos") > 0, F.lit("excluded"))
+                        .otherwise(F.lit("pass")))
+            .drop("_pos", "_reasons"))
 
 
 def lazy_screen(prepared: DataFrame, nodes: DataFrame, provider,
@@ -167,30 +157,19 @@ def lazy_screen(prepared: DataFrame, nodes: DataFrame, provider,
                 materialize: bool = False) -> DataFrame:
     """C1 staged before C3: one multi-select over the reasons, then
     confirmations in order until the first YES (excluded: no walk), then the
-    lazy walk.  ``n_asked`` counts provider calls: 1 + confirmations + steps."""
-    rq = F.array(*[F.lit(r) for r in reasons])
-    n = len(reasons)
-    text = F.col("text")
-    # each reason is answered once, into a column; the rest is array logic
-    d = reason_answers(prepared, provider, reasons, text)
-    candidates = F.filter(F.sequence(F.lit(0), F.lit(n - 1)),
-                          lambda i: F.element_at(F.col("_reasons"), i + 1).isin("YES", "UNSURE"))
-    d = d.withColumn("exclusion_candidates", candidates)
-    confirmed = F.transform(d["exclusion_candidates"],
-                            lambda i: F.element_at(F.col("_reasons"), i + 1) == "YES")
-    pos = F.array_position(confirmed, True)  # 1-based, 0 when none
-    d = (d.withColumn("_pos", pos)
-         .withColumn("excluded_by", F.when(F.col("_pos") > 0, F.element_at(
-             rq, F.element_at(F.col("exclusion_candidates"), F.col("_pos").cast("int")) + 1)))
-         .withColumn("n_exclusion_calls", 1 + F.when(F.col("_pos") > 0, F.col("_pos"))
-                     .otherwise(F.size("exclusion_candidates")))
-         .withColumn("_st", F.when(F.col("_pos") > 0, F.lit("excluded")).otherwise(F.lit("walking")))
-         .drop("_pos", "_reasons"))
+    lazy walk.  ``n_asked`` counts provider calls: 1 + confirmations + steps
+    that the store did not answer; ``n_hits`` those that it did."""
+    if hasattr(provider, "answer_for"):
+        d = native_precheck(prepared, provider, reasons)
+    else:
+        d = prepared.join(cut_lineage(precheck(prepared, provider, reasons, store)), "paper_id")
+    d = d.withColumn("_st", F.when(F.col("exclusion_status") == "pass", F.lit("walking"))
+                     .otherwise(F.col("exclusion_status")))
     w = lazy_walk(d, nodes, provider, store, status_col="_st", materialize=materialize)
     excluded = F.col("status") == "excluded"
     return w.select(
         "paper_id", "status", "excluded_by", "leaf_id",
         F.when(excluded, F.lit(0.0)).otherwise(F.col("probability")).alias("probability"),
-        "path_len", "n_hits",
+        "path_len", (F.col("n_exclusion_hits") + F.col("n_hits")).alias("n_hits"),
         (F.col("n_exclusion_calls") + F.col("n_asked")).alias("n_asked"),
         "trace")

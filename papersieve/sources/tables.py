@@ -93,3 +93,22 @@ def events_to_log(events: DataFrame, model: str = DEFAULT_MODEL_NAME) -> DataFra
         F.col("ts").cast("timestamp").alias("answered_at"),
         payload.alias("payload"),
     )
+
+
+def selection_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of multi-select replies, one per event: paper_id, event_id,
+    answered_at, payload (JSON text of ids and evidence).
+
+    With k the number of the event's properties, the ids are the first k mod 4
+    of k mod 9, (k + 4) mod 9 and 2k mod 10 (so one may lie outside the nine
+    reasons, or come twice); an error event has a malformed payload."""
+    ev = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    ids = F.slice(F.array(F.pmod(k, F.lit(9)), F.pmod(k + 4, F.lit(9)), F.pmod(2 * k, F.lit(10))),
+                  F.lit(1), F.pmod(k, F.lit(4)))
+    reply = F.to_json(F.struct(ids.alias("ids"), F.concat(
+        F.lit("event "), F.col("event_id").cast("string")).alias("evidence")))
+    return ev.select(F.col("user_id").alias("paper_id"), "event_id",
+                     F.col("ts").cast("timestamp").alias("answered_at"),
+                     F.when(F.col("event_type") == "error", F.lit('{"ids": [')).otherwise(reply)
+                     .alias("payload"))

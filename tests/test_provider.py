@@ -31,7 +31,8 @@ def test_pandas_provider_bounded_parallelism(spark):
 def test_lazy_screen_with_every_provider(spark, tmp_path):
     """Rules, replayed answers and a caller's model screen alike; the model is
     asked each (paper, question) once, with the question's text."""
-    from papersieve.operators.rules import ReplayProvider, RuleProvider, paper_text
+    from papersieve.constants import EXCLUSION_REASONS
+    from papersieve.operators.rules import ReplayProvider, RuleProvider
     from papersieve.operators.tree import fixture_nodes
     from papersieve.plans.lazy import lazy_screen
     from papersieve.plans.screen import prepare
@@ -50,6 +51,12 @@ def test_lazy_screen_with_every_provider(spark, tmp_path):
         os.makedirs(calls, exist_ok=True)
         pdf[["paper_id", "question_id", "question", "mode"]].to_csv(
             f"{calls}/{uuid.uuid4().hex}.csv", index=False, header=False)
+        if pdf["mode"].iloc[0] == "exclusion":
+            out = pdf[["paper_id"]].copy()
+            out["ids"] = [[i for i, r in enumerate(EXCLUSION_REASONS) if known[p, r] != "NO"]
+                          for p in pdf["paper_id"]]
+            out["evidence"] = ""
+            return out
         out = pdf[["paper_id", "question_id"]].copy()
         out["answer"] = [known[k] for k in zip(pdf["paper_id"], pdf["question_id"])]
         out["evidence"] = ""
@@ -62,12 +69,19 @@ def test_lazy_screen_with_every_provider(spark, tmp_path):
         return sorted(map(tuple, rows), key=str)
 
     want = screened(rules)
-    assert screened(ReplayProvider(answers)) == want
+    replies = answers.where(F.col("question_id").isin(*EXCLUSION_REASONS)).groupBy("paper_id").agg(
+        F.array_sort(F.filter(F.collect_list(F.when(F.col("answer") != "NO", F.array_position(
+            F.array(*[F.lit(r) for r in EXCLUSION_REASONS]), F.col("question_id")) - 1)),
+            lambda x: x.isNotNull())).alias("ids")).withColumn("evidence", F.lit(""))
+    assert screened(ReplayProvider(answers, selections=replies)) == want
     assert screened(PandasProvider(model, "m")) == want
     import glob
     asked = pd.concat(pd.read_csv(f, header=None, keep_default_na=False)
                       for f in glob.glob(f"{calls}/*.csv"))
     assert not asked.duplicated([0, 1, 3]).any()
+    # every request that was sent is counted, and no other
+    assert len(asked) == sum(r[-1] for r in want)
+    assert set(asked[3]) == {"exclusion", "confirm", "single"}
     assert (asked[2].str.len() > 10).all()
 
 
@@ -100,3 +114,82 @@ def test_poisson_draws_follow_one_law():
         x = _poisson_batch(np.full(4000, rate), rng.random(4000))
         assert abs(x.mean() - rate) < 5 * np.sqrt(rate / 4000)
         assert abs(x.var() / rate - 1) < 0.15
+
+
+def _papers(spark, n):
+    return spark.createDataFrame([(i, "", f"paper {i}", f"paper {i}") for i in range(n)],
+                                 "paper_id long, title_clean string, abstract_clean string, text string")
+
+
+def test_precheck_order_failures_and_store(spark):
+    """Confirmations go in the reply's order and stop at the first YES; UNSURE
+    does not exclude; ids out of range, no reply and failed confirmations have
+    their own status; the store's confirmations are not asked."""
+    from papersieve.constants import EXCLUSION_REASONS as R
+    from papersieve.operators.rules import ReplayProvider
+    from papersieve.plans.precheck import precheck
+    replies = spark.createDataFrame(
+        [(0, [2, 0]), (1, [0, 2]), (2, [1, 99]), (3, []), (5, [1, 2]), (6, [1, 1, 0]), (7, [0])],
+        "paper_id long, ids array<int>").withColumn("evidence", F.lit("r"))
+    said = {(0, 0): "YES", (0, 2): "YES", (1, 0): "UNSURE", (1, 2): "NO", (5, 2): "YES",
+            (6, 1): "NO", (6, 0): "YES"}
+    answers = spark.createDataFrame(
+        [(p, R[i], "confirm", a, f"{p}:{i}", 1, 1) for (p, i), a in said.items()],
+        "paper_id long, question_id string, mode string, answer string, evidence string, "
+        "prompt_tokens long, completion_tokens long")
+    store = spark.createDataFrame([(7, R[0], "confirm", "YES", "old"), (1, R[0], "single", "YES", "x")],
+                                  "paper_id long, question_id string, mode string, answer string, "
+                                  "evidence string")
+    got = {r.paper_id: (r.exclusion_status, r.excluded_reason, r.exclusion_evidence,
+                        r.n_exclusion_calls, r.n_exclusion_hits)
+           for r in precheck(_papers(spark, 8), ReplayProvider(answers, selections=replies),
+                             store=store).collect()}
+    assert got == {0: ("excluded", 2, "0:2", 2, 0), 1: ("pass", None, None, 3, 0),
+                   2: ("invalid", None, None, 1, 0), 3: ("pass", None, None, 1, 0),
+                   4: ("unanswered", None, None, 1, 0),
+                   5: ("unanswered", None, None, 2, 0),  # reason 1 has no answer
+                   6: ("excluded", 0, "6:0", 3, 0), 7: ("excluded", 0, "old", 1, 1)}
+
+
+def test_malformed_selections(spark):
+    from papersieve.plans.precheck import parse_selection
+    texts = ['{"ids":[2,0],"evidence":"e"}', '{"ids":[]}', '{"ids":"2"}', '{"evidence":"e"}', "{", None,
+             '{"ids":[1,null]}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.p and r.p.ids for r in df.select("i", parse_selection("t").alias("p")).collect()}
+    assert got == {0: [2, 0], 1: [], 2: None, 3: None, 4: None, 5: None, 6: None}
+
+
+def test_a_failing_row_is_unanswered_and_a_rerun_asks_it_alone(spark, tmp_path):
+    from papersieve.operators.rules import ask_logged
+    calls, fixed = tmp_path / "calls", tmp_path / "fixed"
+    calls.mkdir()
+
+    def model(pdf):
+        import os
+        import uuid
+        if (pdf["paper_id"] == 13).any() and not os.path.exists(fixed):
+            raise RuntimeError("no answer for 13")
+        pdf[["paper_id"]].to_csv(f"{calls}/{uuid.uuid4().hex}.csv", index=False, header=False)
+        out = pdf[["paper_id", "question_id"]].copy()
+        out["answer"], out["evidence"] = "YES", "e"
+        out["prompt_tokens"] = out["completion_tokens"] = 1
+        return out
+
+    req = spark.createDataFrame([(i, "I01", "single", "q", "t", "a") for i in range(40)],
+                                "paper_id long, question_id string, mode string, question string, "
+                                "title string, abstract string")
+    p = PandasProvider(model, "m", parallelism=2, in_flight=3, rows_per_call=6, retries=1, backoff=0.01)
+    errors = {r.paper_id: r.error for r in p.answer_requests(req).collect() if r.answer is None}
+    assert set(errors) == {13} and "no answer for 13" in errors[13]
+    for f in calls.iterdir():
+        f.write_text("")
+    log = str(tmp_path / "log")
+    first = ask_logged(p, req, log, per_wave=15).collect()
+    assert sorted(r.paper_id for r in first if r.answer is None) == [13] and len(first) == 40
+    before = sum(len(f.read_text().split()) for f in calls.iterdir())
+    assert before == 39
+    fixed.write_text("x")
+    again = ask_logged(p, req, log).collect()
+    assert all(r.answer == "YES" for r in again) and len(again) == 40
+    assert sum(len(f.read_text().split()) for f in calls.iterdir()) == before + 1
