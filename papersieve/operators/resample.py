@@ -1,101 +1,27 @@
 """Oversampling on feature patterns (M1 SMOTE, M2 SMOTEN, U2, M9).
 
-Both work on the 0/1 answer patterns of ``train.patterns`` (keys, features,
-n, w0, w1), never on rows, and neither forms all pairs:
-
-Neighbours are found by an exact ring search over the pattern code (the
-features as bits): round r equi-joins each still-open pattern code XOR every
-r-bit mask with the existing pattern codes.  The distance of a pattern that
-differs in a set S of features is the sum of per-feature costs over S
-(VDM: (sum over classes |P(c|0) - P(c|1)|)^2; Euclidean on 0/1: 1), so
-every unexamined candidate is at least as far as the sum of the r+1
-smallest costs; a pattern is closed once k neighbour rows lie strictly
-inside that bound.  Work grows with the neighbourhood actually needed.
+Both work on the answer patterns of ``train.patterns`` (keys, features, n, w0,
+w1), never on rows, and neither forms all pairs: neighbours are found by
+:func:`neighbours.nearest_rows`.  ``values`` are the values that an answer is
+encoded as (0 and 1; 0, 0.5 and 1 under ``unsure_half``); any other raises.
 
 A minority row's k neighbours are minority ROWS: the other copies of its
 own pattern first (distance 0), then other patterns by distance (ties by
 pattern code).  SMOTEN's synthetic row is the per-feature mode of the k
-neighbours (a tie takes 0), so every row of a pattern yields the same
-synthetic pattern; the N_majority - N_minority draws (uniform over minority
-rows) are allocated to patterns exactly in expectation by largest
+neighbours (a tie takes the smallest value), so every row of a pattern yields
+the same synthetic pattern; the N_majority - N_minority draws (uniform over
+minority rows) are allocated to patterns exactly in expectation by largest
 remainder: deterministic, partition-independent, reproducible in SQL.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import combinations
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import bounded_broadcast, cut_lineage
 from ..constants import SMOTE_K, SMOTEN_K
-
-
-def pattern_code(features):
-    """The 0/1 features as one integer (feature i is bit i)."""
-    return reduce(lambda a, b: a + b, [F.col(f).cast("long") * F.lit(1 << i)
-                                       for i, f in enumerate(features)])
-
-
-def ring_neighbours(minp: DataFrame, keys: list[str], n_features: int, k,
-                    cost: DataFrame | None = None) -> DataFrame:
-    """Exact k-nearest-row search among minority patterns of each key.
-
-    ``minp``: keys, code, m (minority rows of the pattern), n_min.
-    ``cost``: keys, costs array<double> (per feature); None = all 1.
-    Returns keys, a_code, b_code, dist, take (rows taken from b)."""
-    base = minp.select(*keys, "code", "m", "n_min")
-    if cost is None:
-        base = base.withColumn("costs", F.array_repeat(F.lit(1.0), n_features))
-    else:
-        base = base.join(cost, keys)
-    # lower bound of any candidate differing in more than r bits
-    base = base.withColumn("sorted_costs", F.array_sort("costs"))
-    k_eff = F.least(F.lit(k).cast("double"), (F.col("n_min") - 1).cast("double"))
-    found = None
-    open_ = cut_lineage(base.select(*keys, F.col("code").alias("a_code"), "costs",
-                                    "sorted_costs", k_eff.alias("k_eff")))
-    other = minp.select(*keys, F.col("code").alias("b_code"), F.col("m").alias("b_m"))
-    # rings grouped by radius: most patterns close within two flipped answers
-    groups = [r for r in ([0, 1, 2], [3, 4], list(range(5, n_features + 1)))]
-    groups = [[r for r in g if r <= n_features] for g in groups]
-    groups = [g for g in groups if g]
-    for gi, radii in enumerate(groups):
-        # one SQL literal (parsed once) instead of thousands of column calls
-        ring = F.expr("inline(array(" + ", ".join(
-            f"named_struct('mask', {sum(1 << i for i in c)}L, 'bits', "
-            f"cast(array({', '.join(str(i) for i in c)}) as array<int>))"
-            for r in radii for c in combinations(range(n_features), r)) + "))")
-        cand = open_.select("*", ring).select(
-            *keys, "a_code", "k_eff", F.col("a_code").bitwiseXOR(F.col("mask")).alias("b_code"),
-            F.aggregate(F.transform("bits", lambda i: F.element_at("costs", i + 1)),
-                        F.lit(0.0), lambda acc, x: acc + x).alias("dist"))
-        hit = cand.join(other, keys + ["b_code"]).select(
-            *keys, "a_code", "b_code", "dist", "k_eff",
-            F.when(F.col("b_code") == F.col("a_code"), F.col("b_m") - 1)
-            .otherwise(F.col("b_m")).alias("avail")).where("avail > 0")
-        found = hit if found is None else found.unionByName(hit)
-        if gi == len(groups) - 1:
-            break
-        # any candidate not yet examined differs in more than max(radii) bits
-        rr = max(radii) + 1
-        bound = F.aggregate(F.slice("sorted_costs", 1, rr), F.lit(0.0), lambda acc, x: acc + x)
-        inside = (found.join(open_.select(*keys, "a_code", bound.alias("_lb")), keys + ["a_code"])
-                  .where(F.col("dist") < F.col("_lb"))
-                  .groupBy(*keys, "a_code", "k_eff").agg(F.sum("avail").alias("_got"))
-                  .where(F.col("_got") >= F.col("k_eff")).select(*keys, "a_code"))
-        open_ = cut_lineage(open_.join(inside, keys + ["a_code"], "left_anti"))
-        if open_.isEmpty():
-            break
-    found = cut_lineage(found)
-    w = Window.partitionBy(*keys, "a_code").orderBy("dist", "b_code")
-    return (found.withColumn("_before", F.coalesce(F.sum("avail").over(
-                w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-            .withColumn("take", F.least(F.col("avail"), F.col("k_eff") - F.col("_before")))
-            .where("take > 0").select(*keys, "a_code", "b_code", "dist", "take"))
-
+from .neighbours import BINARY, digit, nearest_rows, pattern_code, squared_costs, value_of
 
 
 def class_totals(pats: DataFrame, keys: list[str]) -> DataFrame:
@@ -116,59 +42,61 @@ def vdm_table(pats: DataFrame, features: list[str], keys: list[str]) -> DataFram
             .withColumn("p1", F.col("c1") / (F.col("c0") + F.col("c1"))))
 
 
-def _smoten_inputs(pats: DataFrame, features: list[str], keys: list[str]):
-    """Class totals, minority patterns (keys, code, m, n_min) and the
-    per-feature VDM flip costs of each key."""
+def _smoten_inputs(pats: DataFrame, features: list[str], keys: list[str], values):
+    """Class totals, minority patterns (keys, code, m, n_min) and each key's
+    costs: per feature, the value difference of two categories squared,
+    (|P1(a) - P1(b)| + |P0(a) - P0(b)|)^2; a category without rows, which no
+    pattern has, is infinitely far."""
     tot = class_totals(pats, keys)
     vdm = vdm_table(pats, features, keys)
-    # per-feature VDM cost of a 0/1 flip: (|P1(0)-P1(1)| + |P0(0)-P0(1)|)^2
-    fc = (vdm.groupBy(*keys, "feature").agg(
-        F.max(F.when(F.col("value") == 0, F.col("p1"))).alias("p_0"),
-        F.max(F.when(F.col("value") == 1, F.col("p1"))).alias("p_1"))
-        .withColumn("c", F.when(F.col("p_0").isNull() | F.col("p_1").isNull(), F.lit(0.0))
-                    .otherwise(F.pow(2.0 * F.abs(F.col("p_0") - F.col("p_1")), 2.0))))
+    shares = vdm.groupBy(*keys, "feature").agg(
+        *[F.max(F.when(F.col("value") == F.lit(float(v)), F.col("p1"))).alias(f"_p{i}")
+          for i, v in enumerate(values)])
+    table = F.array(*[F.lit(0.0) if i == j else F.coalesce(
+        F.pow(2.0 * F.abs(F.col(f"_p{i}") - F.col(f"_p{j}")), 2.0), F.lit(float("inf")))
+        for i in range(len(values)) for j in range(len(values))])
     fpos = F.create_map(*[x for i, f in enumerate(features) for x in (F.lit(f), F.lit(i))])
-    cost = (fc.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(
-        F.element_at(fpos, F.col("feature")).alias("i"), F.col("c")))).alias("_cs"))
+    cost = (shares.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(
+        F.element_at(fpos, F.col("feature")).alias("i"), table.alias("c")))).alias("_cs"))
         .select(*keys, F.transform("_cs", lambda x: x["c"]).alias("costs")))
-    code = pattern_code(features)
     minp = (pats.join(tot, keys)
             .withColumn("m", F.when(F.col("minority") == 1, F.col("w1")).otherwise(F.col("w0")))
             .where(F.col("m") > 0)
-            .groupBy(*keys, code.alias("code")).agg(F.sum("m").alias("m"),
-                                                    F.first("n_min").alias("n_min")))
-    minp = cut_lineage(minp)
-    return tot, minp, cost
+            .groupBy(*keys, pattern_code(features, values).alias("code"))
+            .agg(F.sum("m").alias("m"), F.first("n_min").alias("n_min")))
+    return tot, cut_lineage(minp), cost
 
 
-def vdm_neighbours(pats: DataFrame, features: list[str], k: int = SMOTEN_K) -> DataFrame:
+def vdm_neighbours(pats: DataFrame, features: list[str], k: int = SMOTEN_K,
+                   values=BINARY) -> DataFrame:
     """Each minority pattern's k nearest minority rows under the value
-    difference metric (exact ring search; no pairs): a_code, b_code, dist,
-    take (rows taken from pattern b)."""
+    difference metric: a_code, b_code, dist, take (rows taken from pattern b)."""
     p = pats.withColumn("_k", F.lit(0))
-    _tot, minp, cost = _smoten_inputs(p, features, ["_k"])
-    return ring_neighbours(minp, ["_k"], len(features), k, cost).drop("_k")
+    _tot, minp, cost = _smoten_inputs(p, features, ["_k"], values)
+    return nearest_rows(minp, ["_k"], k, cost, values).drop("_k").withColumn(
+        "take", F.col("take").cast("double"))
 
 
 def smoten(pats: DataFrame, features: list[str], keys: list[str] | tuple = (),
-           k: int = SMOTEN_K) -> DataFrame:
+           k: int = SMOTEN_K, values=BINARY) -> DataFrame:
     """M2: synthetic minority patterns with counts:
-    keys, features, n, w0, w1, is_synthetic=true (features must be 0/1)."""
+    keys, features, n, w0, w1, is_synthetic=true."""
     keys = list(keys)
     drop_key = not keys
     if drop_key:
         pats = pats.withColumn("_k", F.lit(0))
         keys = ["_k"]
-    nf = len(features)
-    tot, minp, cost = _smoten_inputs(pats, features, keys)
-    nb = ring_neighbours(minp, keys, nf, k, cost)
-    bits = [((F.col("b_code").bitwiseAND(F.lit(1 << i))) > 0).cast("double") for i in range(nf)]
+    radix = len(values)
+    tot, minp, cost = _smoten_inputs(pats, features, keys, values)
+    nb = nearest_rows(minp, keys, k, cost, values)
     votes = nb.groupBy(*keys, "a_code").agg(
-        F.sum("take").alias("kk"),
-        *[F.sum(F.col("take") * bits[i]).alias(f"ones{i}") for i in range(nf)])
-    syn_code = reduce(lambda a, b: a + b, [
-        F.when(F.col(f"ones{i}") > F.col("kk") - F.col(f"ones{i}"), F.lit(1 << i)).otherwise(0)
-        for i in range(nf)]).cast("long")
+        *[F.sum(F.when(digit("b_code", i, radix) == c, F.col("take")).otherwise(0)).alias(f"v{i}_{c}")
+          for i in range(len(features)) for c in range(radix)])
+    syn_code = F.lit(0).cast("long")
+    for i in range(len(features)):
+        own = F.array(*[F.col(f"v{i}_{c}") for c in range(radix)])
+        mode = F.array_position(own, F.array_max(own)) - 1  # the first of equal ones
+        syn_code = syn_code + mode * F.lit(radix ** i)
     # largest-remainder allocation of the draws over minority rows
     alloc = (votes.join(minp.select(*keys, F.col("code").alias("a_code"), "m"), keys + ["a_code"])
              .join(tot.select(*keys, "n_new", "n_min", "minority"), keys))
@@ -183,8 +111,7 @@ def smoten(pats: DataFrame, features: list[str], keys: list[str] | tuple = (),
                          .otherwise(0))
              .where(F.col("draws") > 0))
     out = alloc.groupBy(*keys, "s_code", "minority").agg(F.sum("draws").alias("n"))
-    feats = [((F.col("s_code").bitwiseAND(F.lit(1 << i))) > 0).cast("double").alias(f)
-             for i, f in enumerate(features)]
+    feats = [value_of("s_code", i, values).alias(f) for i, f in enumerate(features)]
     out = out.select(*keys, *feats, F.col("n").cast("long").alias("n"),
                      F.when(F.col("minority") == 0, F.col("n")).otherwise(0).cast("double").alias("w0"),
                      F.when(F.col("minority") == 1, F.col("n")).otherwise(0).cast("double").alias("w1"),
@@ -193,23 +120,24 @@ def smoten(pats: DataFrame, features: list[str], keys: list[str] | tuple = (),
 
 
 def oversample(pats: DataFrame, features: list[str], keys: list[str] | tuple = (),
-               method: str = "smoten") -> DataFrame:
+               method: str = "smoten", values=BINARY) -> DataFrame:
     """Original patterns + synthetic ones (flagged), summed per pattern."""
     if method != "smoten":
         raise ValueError("pattern oversampling supports 'smoten'; use smote_rows for SMOTE")
-    syn = smoten(pats, features, list(keys))
+    syn = smoten(pats, features, list(keys), values=values)
     orig = pats.select(*keys, *features, "n", "w0", "w1").withColumn("is_synthetic", F.lit(False))
     return orig.unionByName(syn)
 
 
 def smote_rows(rows: DataFrame, features: list[str], label: str = "label",
-               id_col: str = "paper_id", k: int = SMOTE_K, seed: int = 42) -> DataFrame:
-    """M1 (numeric SMOTE on 0/1 features): new = x + u * (neighbour - x).
-
-    Base row, neighbour (one of the k nearest rows by Euclidean distance,
-    found by the ring search) and u come from md5 of (seed, draw index):
-    reproducible and partition-independent.  On 0/1 data this makes
-    fractional features, as the method does.  Returns the synthetic rows."""
+               id_col: str = "paper_id", k: int = SMOTE_K, seed: int = 42,
+               values=BINARY) -> DataFrame:
+    """M1 (numeric SMOTE): new = x + u * (neighbour - x).
+
+    Base row, neighbour (one of the k nearest rows by Euclidean distance) and
+    u come from md5 of (seed, draw index): reproducible and
+    partition-independent.  This makes fractional features, as the method
+    does.  Returns the synthetic rows."""
     from .split import class_rank
     tot = rows.groupBy(label).agg(F.count(F.lit(1)).alias("c"))
     stats = tot.agg(F.min("c").alias("n_min"), F.max("c").alias("n_maj"),
@@ -218,13 +146,13 @@ def smote_rows(rows: DataFrame, features: list[str], label: str = "label",
     mr = rows.where(F.col(label) == mino).select(id_col, label, *features)
     if n_new == 0 or n_min < 2:
         return mr.limit(0).select(*features, label).withColumn("is_synthetic", F.lit(True))
-    code = pattern_code(features)
+    code = pattern_code(features, values)
     # exact positions of the minority rows without a one-partition sort
     ranked = class_rank(mr, label, id_col, seed).select(
         "_rank", code.alias("code"))
     minp = (ranked.groupBy("code").agg(F.count(F.lit(1)).alias("m"))
             .withColumn("n_min", F.lit(n_min)).withColumn("_k", F.lit(0)))
-    nb = ring_neighbours(cut_lineage(minp), ["_k"], len(features), k)
+    nb = nearest_rows(cut_lineage(minp), ["_k"], k, squared_costs(len(features), values), values)
     wn = Window.partitionBy("a_code").orderBy("dist", "b_code")
     nb = (nb.withColumn("_hi", F.sum("take").over(wn.rowsBetween(Window.unboundedPreceding, 0)))
           .withColumn("_lo", F.col("_hi") - F.col("take")))
@@ -244,7 +172,6 @@ def smote_rows(rows: DataFrame, features: list[str], label: str = "label",
     pick = base.join(nb, "a_code").where((F.col("_j") >= F.col("_lo")) & (F.col("_j") < F.col("_hi")))
     out = []
     for i, f in enumerate(features):
-        xa = ((F.col("a_code").bitwiseAND(F.lit(1 << i))) > 0).cast("double")
-        xb = ((F.col("b_code").bitwiseAND(F.lit(1 << i))) > 0).cast("double")
+        xa, xb = value_of("a_code", i, values), value_of("b_code", i, values)
         out.append((xa + F.col("u") * (xb - xa)).alias(f))
     return pick.select(*out, F.lit(mino).alias(label), F.lit(True).alias("is_synthetic"))
