@@ -939,6 +939,12 @@ def q_forest_proba(spark, sf_dir):
     return test.join(bounded_broadcast(vote), FEATS).select("paper_id", "label", "probability")
 
 
+@register("smote_forest_sweep", None)
+def q_smote_forest_sweep(spark, sf_dir):
+    """Search over 40 forests, the best one refitted on SMOTE rows, swept."""
+    return TRN.smote_forest_sweep(encoded_split(spark, sf_dir), FEATS, TRN.random_search_configs())
+
+
 # ---------------------------------------------------------------- P8
 @register("eval_sample", SCORED_SQL + " SELECT paper_id, probability, prediction, y AS label FROM st")
 def q_eval_sample(spark, sf_dir):

@@ -19,10 +19,13 @@ from pyspark.sql import types as T
 
 from ..config import bounded_broadcast, cut_lineage
 from ..constants import (FOREST_GRID, FOREST_SEARCH_ITERATIONS, N_FOLDS, RANDOM_STATE,
-                         SMOTEN_K, TREE_GRID)
+                         SMOTE_K, SMOTEN_K, TREE_GRID)
 from ..operators import metrics as M
-from ..operators.resample import smoten
-from ..operators.train import cv_scores, fit_trees, patterns, predict_patterns
+from ..operators.conflicts import conflicts_majority
+from ..operators.histogram import N_BINS, bin_lists, bin_table, binned, binned_patterns
+from ..operators.neighbours import BINARY
+from ..operators.resample import smote_rows, smoten
+from ..operators.train import configs_df, cv_scores, fit_trees, patterns, predict_patterns
 
 GRID_SCHEMA = T.StructType([
     T.StructField("config_id", T.IntegerType()),
@@ -134,7 +137,6 @@ def fit_final(rows: DataFrame, features: list[str], config: dict, label: str = "
         pats = pats.unionByName(smoten(pats, features, k=k).drop("is_synthetic"))
         pats = pats.groupBy(*features).agg(F.sum("n").alias("n"), F.sum("w0").alias("w0"),
                                            F.sum("w1").alias("w1"))
-    from ..operators.train import configs_df
     cfg = configs_df(spark, [{**config, "run_id": run_id}])
     return fit_trees(pats.withColumn("run_id", F.lit(run_id)), cfg, features)
 
@@ -318,6 +320,67 @@ def forest_proba(pred: DataFrame, keys: list[str]) -> DataFrame:
     return pred.groupBy(*keys).agg(F.avg("probability").alias("probability"))
 
 
+def balanced(pats: DataFrame, n0: float, n1: float) -> DataFrame:
+    """'Balanced' class weights of n0 and n1 rows on drawn class counts."""
+    return (pats.withColumn("w0", F.col("w0") * F.lit((n0 + n1) / (2.0 * n0) if n0 else 0.0))
+            .withColumn("w1", F.col("w1") * F.lit((n0 + n1) / (2.0 * n1) if n1 else 0.0)))
+
+
+def fit_smote_forest(rows: DataFrame, features: list[str], config: dict, label: str = "label",
+                     k: int = SMOTE_K, n_bins: int = N_BINS, seed: int = RANDOM_STATE,
+                     values=BINARY, run_id: str = "forest") -> tuple[DataFrame, dict]:
+    """M6 after M1: majority cleaning (A3), SMOTE rows added (M1, U2), balanced
+    class weights, a forest on histogram splits.  (node table, bin lists)."""
+    clean = cut_lineage(conflicts_majority(rows, features, label))
+    syn = smote_rows(clean, features, label, k=k, seed=seed, values=values)
+    both = cut_lineage(clean.select(*[F.col(f).cast("double").alias(f) for f in features], label)
+                       .unionByName(syn.select(*features, F.col(label).cast(
+                           clean.schema[label].dataType).alias(label))))
+    bins = bin_lists(bin_table(both, features, n_bins))
+    pats = cut_lineage(binned_patterns(both, features, bins, label))
+    totals = pats.agg(F.sum("w0").alias("n0"), F.sum("w1").alias("n1")).first()
+    drawn = poisson_weights(pats.withColumn("run_id", F.lit(run_id)), int(config.get("n_estimators", 100)),
+                            seed, bool(config.get("bootstrap", True)), pattern_cols=features)
+    cfg = configs_df(rows.sparkSession, [{"max_features": "sqrt", "seed": seed, **{
+        x: config[x] for x in CONFIG_KEYS if config.get(x) is not None}, "run_id": run_id}])
+    weighted = balanced(drawn, totals["n0"] or 0.0, totals["n1"] or 0.0)
+    return cut_lineage(fit_trees(weighted, cfg, features)), bins
+
+
+def forest_scores(rows: DataFrame, nodes: DataFrame, bins: dict, features: list[str]) -> DataFrame:
+    """A14 for rows: ``rows`` and the forest's ``probability``; distinct binned
+    patterns are walked down each tree, rows meet the votes of theirs."""
+    names = [f"_b_{f}" for f in features]
+    own = rows.withColumns({n: binned(F.col(f).cast("double"), bins[f])
+                            for n, f in zip(names, features, strict=True)})
+    pats = own.select(*[F.col(n).alias(f) for n, f in zip(names, features, strict=True)]).distinct()
+    trees = nodes.select("run_id", "tree_id").distinct()
+    pred = predict_patterns(pats.crossJoin(F.broadcast(trees)), nodes, features)  # trees: the model
+    votes = forest_proba(pred, features)
+    for n, f in zip(names, features, strict=True):
+        votes = votes.withColumnRenamed(f, n)
+    return own.join(bounded_broadcast(votes), names).drop(*names)
+
+
+def smote_forest_sweep(rows: DataFrame, features: list[str], configs: list[dict],
+                       label: str = "label", n_bins: int = N_BINS) -> DataFrame:
+    """The forest's training flow: random search on the training folds of
+    ``rows`` (with ``split`` and ``fold``), the best configuration refitted on
+    cleaned and oversampled train and validation rows, and the threshold sweep
+    of the test rows, contradictions and all.  One row a threshold; ``chosen``
+    marks the highest that reaches the target recall (else the last)."""
+    results = forest_search(rows.where("split = 'train'"), features, configs, label)
+    config = best_config(results)
+    nodes, bins = fit_smote_forest(rows.where("split IN ('train', 'val')"), features, config, label,
+                                   n_bins=n_bins)
+    scored = forest_scores(rows.where("split = 'test'"), nodes, bins, features)
+    sweep = cut_lineage(M.threshold_sweep(scored, label=label))
+    best = M.best_threshold(sweep, fallback="last").select(F.col("i").alias("_best"))
+    return sweep.join(F.broadcast(best), sweep["i"] == best["_best"], "left").select(
+        *sweep.columns, F.col("_best").isNotNull().alias("chosen"),
+        F.lit(config["config_id"]).alias("config_id"))
+
+
 def random_search_configs(n_iter: int = FOREST_SEARCH_ITERATIONS, seed: int = RANDOM_STATE,
                           grid: dict = FOREST_GRID) -> list[dict]:
     """M7: n_iter configurations of the grid, chosen by md5(seed-index) order."""
