@@ -898,6 +898,39 @@ def q_stream_dedupe(spark, sf_dir):
     return spark.read.parquet(out).select("paper_id", "question_id")
 
 
+#: TTL of the registered memo stream: short enough for answers to expire.
+MEMO_TTL_SECONDS = 5 * 24 * 3600
+
+
+def _memo_sql():
+    ttl = MEMO_TTL_SECONDS * 1000
+    key, cols = "paper_id, question_id", "paper_id, question_id, rn, ms, answer, evidence"
+    return (f"WITH RECURSIVE {O.log_cte()}, ml AS (SELECT *, epoch_ms(answered_at) AS ms FROM alog), "
+            f"od AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY ms, event_id) AS rn FROM ml), "
+            # the writes: the first valid reply, then the first one at least a TTL later
+            f"w AS (SELECT {cols} FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY rn) AS k "
+            f"FROM od WHERE valid) f WHERE k = 1 UNION ALL SELECT {cols} FROM (SELECT o.paper_id, "
+            "o.question_id, o.rn, o.ms, o.answer, o.evidence, row_number() OVER (PARTITION BY o.paper_id, "
+            "o.question_id ORDER BY o.rn) AS k FROM w JOIN od o ON o.paper_id = w.paper_id AND "
+            f"o.question_id = w.question_id AND o.valid AND o.ms >= w.ms + {ttl}) n WHERE k = 1), "
+            "kn AS (SELECT o.event_id, o.paper_id, o.question_id, o.answer, o.evidence, o.ms, "
+            "w.answer AS wa, w.evidence AS we, w.ms AS wms, row_number() OVER (PARTITION BY o.event_id "
+            "ORDER BY w.rn DESC) AS k FROM od o LEFT JOIN w ON o.paper_id = w.paper_id AND "
+            "o.question_id = w.question_id AND w.rn < o.rn) "
+            "SELECT paper_id, question_id, event_id, "
+            f"CASE WHEN ms - wms < {ttl} THEN 'hit' WHEN ms - wms < {2 * ttl} THEN 'expired' "
+            "ELSE 'miss' END AS outcome, "
+            f"CASE WHEN ms - wms < {ttl} THEN wa ELSE answer END AS answer, "
+            f"CASE WHEN ms - wms < {ttl} THEN we ELSE evidence END AS evidence FROM kn WHERE k = 1")
+
+
+@register("stream_memo", _memo_sql())
+def q_stream_memo(spark, sf_dir):
+    """T2 + J3: every event as a request, answered from the memo or asked."""
+    from ..streaming.memo import stream_memo
+    return spark.read.parquet(stream_memo(spark, sf_dir, MEMO_TTL_SECONDS))
+
+
 # ---------------------------------------------------------------- M6, A14 (one forest)
 FOREST_CONFIG = {"config_id": 0, "criterion": "gini", "max_depth": None, "min_samples_split": 2,
                  "min_samples_leaf": 2, "max_features": "sqrt", "n_estimators": 100,
