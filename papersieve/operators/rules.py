@@ -159,15 +159,17 @@ class ReplayProvider:
     """Answers replayed from a stored answer table keyed by
     (paper_id, question_id), and mode where the table has one; unknown pairs
     are misses.  ``selections``: replayed multi-select replies (paper_id, ids,
-    evidence)."""
+    evidence); ``replies``: replayed all-at-once replies (paper_id, payload)."""
 
-    def __init__(self, answers: DataFrame, model: str = DEFAULT_MODEL_NAME,
-                 selections: DataFrame | None = None):
+    def __init__(self, answers: DataFrame | None, model: str = DEFAULT_MODEL_NAME,
+                 selections: DataFrame | None = None, replies: DataFrame | None = None):
+        self.model, self.selections, self.replies = model, selections, replies
+        if answers is None:
+            return
         self.by_mode = "mode" in answers.columns
         self.answers = answers.select(
             "paper_id", "question_id", *(["mode"] if self.by_mode else []), "answer", "evidence",
             "prompt_tokens", "completion_tokens")
-        self.model, self.selections = model, selections
 
     def answer_requests(self, req: DataFrame, text: Column | None = None,
                         qid_col: str = "question_id") -> DataFrame:
@@ -185,6 +187,11 @@ class ReplayProvider:
             raise ValueError("this provider has no multi-select replies")
         return req.join(self.selections.select("paper_id", "ids", "evidence"), "paper_id", "left")
 
+    def reply_requests(self, req: DataFrame) -> DataFrame:
+        if self.replies is None:
+            raise ValueError("this provider has no all-at-once replies")
+        return req.join(self.replies.select("paper_id", "payload"), "paper_id", "left")
+
 
 class PandasProvider:
     """A caller's model over Arrow batches.
@@ -193,7 +200,8 @@ class PandasProvider:
     title, abstract (and mode, where the requests have it) and returns
     paper_id, question_id, answer, evidence, prompt_tokens, completion_tokens.
     For a multi-select (mode ``exclusion``, question_id null, question = the
-    numbered reasons) it returns paper_id, ids (a list of numbers) and evidence.
+    numbered reasons) it returns paper_id, ids (a list of numbers) and evidence;
+    for an all-at-once request (mode ``all``) paper_id and payload (JSON text).
 
     At most ``parallelism`` tasks call at once (T3), each with ``in_flight``
     calls of ``rows_per_call`` rows under way; requests for one paper stay
@@ -274,6 +282,11 @@ class PandasProvider:
             self._calls(self.SELECTED.fieldNames()), self.SELECTED)
         return req.join(out, "paper_id", "left")
 
+    def reply_requests(self, req: DataFrame) -> DataFrame:
+        out = self._dealt(req).mapInPandas(self._calls(["paper_id", "payload", "error"]),
+                                           "paper_id long, payload string, error string")
+        return req.join(out, "paper_id", "left")
+
 
 LOGGED = T.StructType([*PandasProvider.OUT.fields[:6], T.StructField("mode", T.StringType())])
 

@@ -607,6 +607,32 @@ def q_replayed_precheck(spark, sf_dir):
         "paper_id", "exclusion_status", "excluded_reason", "excluded_by", "n_exclusion_calls")
 
 
+def _replayed_replies_sql():
+    ans = ("CASE event_type WHEN 'click' THEN 'YES' WHEN 'purchase' THEN 'YES' "
+           "WHEN 'view' THEN 'NO' WHEN 'signup' THEN 'UNSURE' END")
+    names = "[" + ", ".join(O.q(x) for x in FEATS) + "]"
+    return ("WITH ev AS (SELECT *, json_extract_string(props, '$.k')::INTEGER AS k, "
+            f"{ans} AS ans, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn "
+            "FROM events), said AS (SELECT user_id AS paper_id, "
+            f"{names}[(k % 8) + 1] AS question_id, ans AS answer FROM ev WHERE rn = 1 AND ans IS NOT NULL "
+            "UNION ALL SELECT user_id, 'I05', 'UNSURE' FROM ev WHERE rn = 1 AND ans IS NOT NULL "
+            "AND k % 2 = 0), one AS (SELECT paper_id, question_id, min(answer) AS answer FROM said "
+            "GROUP BY paper_id, question_id HAVING min(answer) = max(answer)), "
+            f"qs AS (SELECT unnest({names}) AS question_id) "
+            "SELECT d.doc_id AS paper_id, qs.question_id, one.answer FROM documents d CROSS JOIN qs "
+            "LEFT JOIN one ON one.paper_id = d.doc_id AND one.question_id = qs.question_id")
+
+
+@register("replayed_replies", _replayed_replies_sql())
+def q_replayed_replies(spark, sf_dir):
+    """C6 with an outside model: each paper's newest all-at-once reply of the log."""
+    newest = S.reply_log(spark, sf_dir).groupBy("paper_id").agg(
+        F.max_by("payload", F.struct("answered_at", "event_id")).alias("payload"))
+    papers = S.papers(spark, sf_dir).select("paper_id", F.lit("").alias("title_clean"),
+                                            F.col("abstract").alias("abstract_clean"))
+    return X.extract_unpivot(papers, ReplayProvider(None, replies=newest), FEATS)
+
+
 # ================================================================ batch 3: training
 from ..operators import resample as RS  # noqa: E402
 from ..operators import train as TR  # noqa: E402

@@ -112,3 +112,26 @@ def selection_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("ts").cast("timestamp").alias("answered_at"),
                      F.when(F.col("event_type") == "error", F.lit('{"ids": [')).otherwise(reply)
                      .alias("payload"))
+
+
+def reply_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of all-at-once replies, one per event: paper_id, event_id,
+    answered_at, payload (JSON text).
+
+    With k the number of the event's properties, a reply answers question
+    FEATURE_ORDER[k mod 8] (spelled in lower case) by the event's type and, for
+    even k, question 5 (spelled I5, as an object) with UNSURE; it also names a
+    question that does not exist and gives E2 a word outside the vocabulary.  For
+    k divisible by 3 it is a list of objects.  An error event's is malformed."""
+    ev = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    qid = F.lower(F.element_at(F.array(*map(F.lit, FEATURE_ORDER)), F.pmod(k, F.lit(len(FEATURE_ORDER))) + 1))
+    mapping = F.create_map(*[x for kv in EVENT_ANSWER.items() for x in map(F.lit, kv)])
+    ans = F.element_at(mapping, F.col("event_type"))
+    five = F.when(k % 2 == 0, F.lit('"I5":{"answer":"UNSURE","evidence":"five"},')).otherwise(F.lit(""))
+    words = F.format_string('{"%s":"%s",%s"X1":"YES","E2":"maybe"}', qid, ans, five)
+    five = F.when(k % 2 == 0, F.lit('{"id":"I5","answer":"UNSURE"},')).otherwise(F.lit(""))
+    listed = F.format_string('[{"id":"%s","answer":"%s"},%s{"id":"X1","answer":"YES"},7]', qid, ans, five)
+    payload = F.when(ans.isNull(), F.lit('{"i01":')).when(k % 3 == 0, listed).otherwise(words)
+    return ev.select(F.col("user_id").alias("paper_id"), "event_id",
+                     F.col("ts").cast("timestamp").alias("answered_at"), payload.alias("payload"))

@@ -193,3 +193,79 @@ def test_a_failing_row_is_unanswered_and_a_rerun_asks_it_alone(spark, tmp_path):
     again = ask_logged(p, req, log).collect()
     assert all(r.answer == "YES" for r in again) and len(again) == 40
     assert sum(len(f.read_text().split()) for f in calls.iterdir()) == before + 1
+
+
+def test_replies_of_any_shape(spark):
+    from papersieve.plans.extract import parse_replies
+    texts = ['{"i01": "YES", "I4": {"answer": "NO", "evidence": "e"}, "e02": "UNSURE"}',
+             '[{"id": "i1", "answer": "YES"}, {"question_id": "E02", "answer": "NO"}, 7, "YES", null]',
+             '{"i01": "maybe", "I99": "YES", "x": "NO", "I04": null, "E02": ["YES"]}',
+             '{"i01": "YES", "I1": "NO", "i04": "YES", "I04": "YES"}', "{", "7", '"YES"', "[]", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "paper_id long, payload string")
+    got = {}
+    for r in parse_replies(df, ["I01", "I04", "E02"]).collect():
+        got.setdefault(r.paper_id, {})[r.question_id] = r.answer
+    assert got == {0: {"I01": "YES", "I04": "NO", "E02": "UNSURE"}, 1: {"I01": "YES", "E02": "NO"},
+                   3: {"I04": "YES"}}
+
+
+def test_extraction_with_every_provider(spark):
+    """Rules, a replay and a caller's model extract alike; a failing paper is
+    incomplete and does not end the job."""
+    from papersieve.operators.rules import ReplayProvider, RuleProvider
+    from papersieve.plans.extract import extract_long, extract_unpivot
+    from papersieve.plans.screen import prepare
+    from papersieve.sources import tables as S
+    qids = ["I01", "I05", "E02", "E03"]
+    prepared = prepare(S.papers(spark, "/root/testdata/sf0.001")).where("paper_id < 60").cache()
+    answers = RuleProvider().answer_long(prepared, F.col("text"), qids=qids).cache()
+    known = {(r["paper_id"], r["question_id"]): r["answer"] for r in answers.collect()}
+
+    def model(pdf):
+        import json
+        if (pdf["paper_id"] == 7).any():
+            raise RuntimeError("no")
+        if pdf["mode"].iloc[0] == "all":
+            return pdf[["paper_id"]].assign(payload=[json.dumps({
+                q[0].lower() + q[1:]: known[p, q] for q in qids}) for p in pdf["paper_id"]])
+        out = pdf[["paper_id", "question_id"]].copy()
+        out["answer"] = [known[k] for k in zip(pdf["paper_id"], pdf["question_id"])]
+        out["evidence"], out["prompt_tokens"], out["completion_tokens"] = "", 2, 1
+        return out
+
+    def rows(df):
+        return sorted(map(tuple, df.collect()), key=str)
+
+    rules = rows(extract_long(prepared, RuleProvider(), qids).drop("input_tokens", "output_tokens"))
+    plan = extract_long(prepared, RuleProvider(), qids)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(paper_id" not in plan.split("InMemoryRelation")[0]
+    replayed = extract_long(prepared, ReplayProvider(answers), qids)
+    assert rows(replayed.drop("input_tokens", "output_tokens")) == rules
+    asked = extract_long(prepared, PandasProvider(model, "m", rows_per_call=9), qids)
+    assert rows(asked.where("paper_id <> 7").drop("input_tokens", "output_tokens")) == [
+        r for r in rules if r[0] != 7]
+    failed = asked.where("paper_id = 7").first()
+    assert failed.status == "incomplete" and failed.I01 is None and failed.input_tokens == 0
+    assert asked.agg(F.sum("input_tokens"), F.sum("output_tokens")).first()[:] == (59 * 8, 59 * 4)
+    wide = rows(extract_unpivot(prepared, RuleProvider(), qids))
+    got = extract_unpivot(prepared, PandasProvider(model, "m", rows_per_call=9), qids)
+    assert rows(got.where("paper_id <> 7")) == [r for r in wide if r[0] != 7]
+    assert {r.answer for r in got.where("paper_id = 7").collect()} == {None}
+
+
+def test_stored_answers_are_not_asked_again(spark):
+    from papersieve.plans.extract import extract_long
+    papers = _papers(spark, 6)
+    store = spark.createDataFrame([(i, "I01", "single", "YES", 5, 5) for i in range(4)],
+                                  "paper_id long, question_id string, mode string, answer string, "
+                                  "prompt_tokens long, completion_tokens long")
+
+    def model(pdf):
+        assert (pdf["paper_id"] >= 4).all()
+        out = pdf[["paper_id", "question_id"]].copy()
+        out["answer"], out["evidence"], out["prompt_tokens"], out["completion_tokens"] = "NO", "", 1, 1
+        return out
+
+    got = extract_long(papers, PandasProvider(model, "m"), ["I01"], store=store).collect()
+    assert {r.paper_id: (r.status, r.I01, r.input_tokens) for r in got} == {
+        i: ("complete", 1.0, 5) if i < 4 else ("complete", 0.0, 1) for i in range(6)}
