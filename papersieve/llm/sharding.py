@@ -27,6 +27,8 @@ from .frames import read_table
 #: so a block's window stays small and the matrix far smaller than the rows.
 LEAST_BLOCKS = 64
 ROWS_PER_BLOCK = 1_000_000
+#: Copies of one row that one task writes out.
+AT_ONCE = 65_536
 
 
 def draw_hypergeometric(rng: random.Random, good: int, bad: int, take: int) -> int:
@@ -67,20 +69,37 @@ def communication_matrix(blocks: list[int], shards: list[int], seed: int) -> lis
     return out
 
 
+def copies_apart(rows: DataFrame, names: list[str], at_once: int = AT_ONCE) -> DataFrame:
+    """``rows`` with ``_h`` renewed by each row's number among its equals, so
+    that copies of one row fall into all blocks.
+
+    Equal rows are counted map-side and written out again from their count;
+    a count above ``at_once`` is first dealt over tasks."""
+    counted = rows.groupBy("_h", *names).agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {at_once}"))))
+    few = F.col("_n") <= at_once
+    dealt = counted.filter(few).unionByName(counted.filter(~few).repartition("_h", "_run"))
+    first = F.col("_run") * at_once
+    copy = F.explode(F.sequence(first + 1, F.least(first + at_once, F.col("_n"))))
+    return (dealt.select("_h", *names, copy.alias("_copy"))
+            .select(F.xxhash64("_h", "_copy").alias("_h"), *names))
+
+
 def shard_rows(df: DataFrame, n_shards: int = 40, seed: int = 10) -> DataFrame:
     """``df`` with columns ``shard`` (0 to n_shards - 1) and ``slot`` (gapless
     from 0 inside its shard): a uniform shuffle whose shard sizes differ by at
     most one.
 
     Reruns agree: hashes of all columns decide, not partitions or row order.
-    Rows equal in every column are interchangeable; a null is a value like any
+    Rows equal in every column are interchangeable and spread like any other
+    rows, however many; a null is a value like any
     other; an empty table gives an empty one; columns named ``shard`` or
     ``slot`` before are replaced."""
     df = df.drop("shard", "slot")
     names = df.columns
     inner = [f"_s{i}" for i in range(len(names))]
     rows = df.toDF(*inner)
-    rows = cut_lineage(rows.withColumn("_h", F.xxhash64(F.lit(seed), *inner)))
+    rows = cut_lineage(copies_apart(rows.withColumn("_h", F.xxhash64(F.lit(seed), *inner)), inner))
     total = rows.count()
     n_blocks = LEAST_BLOCKS + total // ROWS_PER_BLOCK
     block = F.pmod(F.col("_h"), F.lit(n_blocks)).cast("int")
