@@ -57,6 +57,13 @@ def read_table(spark, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return take_columns(spark.read.parquet(f"{sf_dir}/{name}.parquet"), *columns)
 
 
+def groups_for(docs: DataFrame, most: int) -> int:
+    """Into how many groups work on the texts is dealt: one for ``most`` of
+    their bytes, at least as many as the session shuffles into."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // most))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -17,8 +17,8 @@ demand are dropped, the rest is checked on whole sets.  The join is exact:
    number only; those found linked are one component, and only pairs of
    different components are then counted.
 
-Blocks are packed numpy arrays grouped by Spark; their number follows
-``spark.sql.shuffle.partitions``.
+Blocks are packed numpy arrays grouped by Spark, one for BLOCK_BYTES of the
+texts, so a group stays as large at any size of the corpus.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from ..config import cut_lineage
 from .components import components
-from .frames import pieces, read_table, take_columns, text_bytes, with_plain_names
+from .frames import groups_for, pieces, read_table, take_columns, text_bytes, with_plain_names
 from .words import PLACE, U, mix, shingle_sets
 
 WIDTH = 5
@@ -41,6 +41,8 @@ OFTEN = 64
 #: Most frequent columns told to the tasks (the most frequent first).  This
 #: bounds a broadcast to 8 MB; any choice of columns keeps the join exact.
 TOLD = 1_000_000
+#: Text bytes whose shingles make a block.
+BLOCK_BYTES = 16 << 20
 #: Shingles gathered in a task before they are sent on.
 FLUSH = 1_000_000
 #: Bits of the table that tells which nodes' sets are needed (512 KB).
@@ -394,7 +396,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def node_links(docs: DataFrame) -> DataFrame:
     """(a, b) links that join the nodes of each component.  Between nodes of a
     frequent column links are left out where others connect them already."""
-    n_blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_blocks = groups_for(docs, BLOCK_BYTES)
     frequent = frequent_columns(docs, n_blocks)
     parts = cut_lineage(multiply(entries(docs, frequent, n_blocks), n_blocks))
     counted = parts.filter(F.col("kind") == RARE)
@@ -428,10 +430,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     joined = nodes.join(components(node_links(plain)), "node", "left")
     stay = joined.groupBy(F.coalesce("component", "node").alias("_c")).agg(
         F.min(F.struct(F.col("least").isNull().alias("_no_id"), "least", "node")).alias("s")) \
-        .select(F.col("s.node").alias("_stay"), F.col("s.least").alias("_least"))
-    kept_rows = rows.join(stay, (rows["_node"] == stay["_stay"])
-                          & rows["doc_id"].eqNullSafe(stay["_least"]), "left_semi")
-    first = (kept_rows.groupBy("_node").agg(F.min(F.struct(*names)).alias("_row"))
+        .select(F.col("s.node").alias("_node"), F.coalesce("s.least", F.lit(0)).alias("_id"),
+                F.col("s._no_id").alias("_no_id"))
+    own = ["_node", "_id", "_no_id"]
+    # one id a set stays, so rows of equal keys are those to choose among: the
+    # choice goes by the join's partitions and moves no text again
+    kept_rows = (rows.withColumn("_id", F.coalesce("doc_id", F.lit(0)))
+                 .withColumn("_no_id", F.col("doc_id").isNull()).join(stay, own, "left_semi"))
+    first = (kept_rows.groupBy(*own).agg(F.min(F.struct(*names)).alias("_row"))
              .select("_row.*"))
     return restored(first.unionByName(rows.filter("_node IS NULL").select(*names)))
 
