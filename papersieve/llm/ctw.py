@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import cut_lineage
-from .frames import pieces, read_table, take_columns, text_bytes
+from .frames import groups_for, pieces, read_table, take_columns, text_bytes
 from .words import LOWER, U, mix, span_hashes, word_spans
 
 DEPTH = 5
 #: Text bytes of one part.
 PART = 16 << 20
+#: Text bytes for each shard of the contexts and words.
+SHARD = 16 << 20
 CHUNK = 1 << 21
 PAD, END = 0xFE, 0xFF  # bytes that UTF-8 never holds
 TEXT, RUNS, WORDS = 0, 1, 2
@@ -337,7 +339,7 @@ def answer_runs(requests: DataFrame, upper) -> DataFrame:
     def one(table: pa.Table) -> pa.Table:
         keys, (runs, counts) = asked(table)
         seen = counts > 0
-        score = run_scores(runs, runs[seen], counts[seen], upper).astype(np.float32)
+        score = run_scores(runs, runs[seen], counts[seen], upper)
         data = [score[np.searchsorted(runs, k)].tobytes() for k in keys]
         return pa.table({"part": table["part"], "kind": table["kind"], "shard": table["shard"],
                          "data": pa.array(data, pa.binary())})
@@ -391,7 +393,7 @@ def part_lookup(keys: np.ndarray, shard: np.ndarray, answers: dict[int, np.ndarr
     """The part's keys with their answers; shards answered in key order."""
     order, _ = by_shard(keys, shard)
     kinds = [answers[s] for s in sorted(answers)]
-    got = np.concatenate(kinds) if kinds else np.zeros(0, np.float32)
+    got = np.concatenate(kinds) if kinds else np.zeros(0)
     if len(got) != len(keys):
         raise ValueError(f"{len(keys)} keys asked, {len(got)} answered")
     values = np.empty(len(keys), got.dtype)
@@ -400,7 +402,7 @@ def part_lookup(keys: np.ndarray, shard: np.ndarray, answers: dict[int, np.ndarr
 
 
 RESULT = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-          "base_score double, score double")
+          "base_score double, score double, bits_per_byte double")
 
 
 def score_parts(texts: DataFrame, answers: DataFrame, n_shards: int, n_all: int, n_distinct: int,
@@ -416,7 +418,7 @@ def score_parts(texts: DataFrame, answers: DataFrame, n_shards: int, n_all: int,
             got = {RUNS: {}, WORDS: {}}
             for kind, shard, data in zip(right["kind"].to_pylist(), right["shard"].to_pylist(),
                                          right["data"].to_pylist(), strict=True):
-                got[kind][shard] = (np.frombuffer(data, np.float32) if kind == RUNS
+                got[kind][shard] = (np.frombuffer(data, np.float64) if kind == RUNS
                                     else spread_out(data)[0].astype(np.int64))
             runs, words, none = [], [], np.zeros(0, U)
             for b in pieces(table.to_batches(), "text", CHUNK):
@@ -443,12 +445,14 @@ def score_parts(texts: DataFrame, answers: DataFrame, n_shards: int, n_all: int,
                     + np.log10((end_count + 0.5) / floor)
                 known = np.bincount(own, c > 0, minlength=b.num_rows).astype(np.int64) \
                     + (end_count > 0)
+                size = np.diff(offsets)
+                length = -score / np.log10(2) / np.maximum(size, 1)
                 out.append(pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), b.column("held_out"), pa.array(counts + 1),
                      pa.array(known), pa.array(np.full(b.num_rows, n_all)), pa.array(base),
-                     pa.array(np.round(score, 6))],
+                     pa.array(np.round(score, 6)), pa.array(np.round(length, 6), mask=size == 0)],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score",
-                     "score"]))
+                     "score", "bits_per_byte"]))
         return pa.Table.from_batches(out)
 
     return texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(one, RESULT)
@@ -458,11 +462,11 @@ def score_texts(docs: DataFrame, held_out, part_bytes: int = PART) -> DataFrame:
     """Train on the rows of ``docs`` (doc_id, text) for which the Column
     ``held_out`` is false, and score all.
 
-    A null text is empty: it has the end token alone.  Repeated rows train and
-    are scored each; without training rows every decision is even (score:
-    8 bits a byte); an empty table gives an empty one."""
-    spark = docs.sparkSession
-    n_shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ``bits_per_byte`` is a text's code length, with its end, over its bytes
+    (null for an empty text).  A null text is empty: it has the end token alone.
+    Repeated rows train and are scored each; without training rows every
+    decision is even (score: 8 bits a byte); an empty table gives an empty one."""
+    n_shards = groups_for(docs, SHARD)
     rows = docs.select("doc_id", "text", held_out.alias("held_out"))
     parts = cut_lineage(pack_parts(rows, n_shards, part_bytes))
     runs = parts.filter(F.col("kind") == RUNS).select("kind", "part", "shard", "data")

@@ -553,6 +553,24 @@ def test_planted_secrets_outside_the_fit(spark):
     assert sum(s in said[i] for i, s in plain) <= 0.02 * len(plain)
 
 
+def test_copies_of_one_row_are_dealt_like_others(spark):
+    """A third of all rows equal in every column: exact shard sizes, gapless
+    slots, and copies in every shard near their share."""
+    rows = [(i, f"t{i}") for i in range(2000)] + [(7, "same")] * 1000
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sharding.shard_rows(df, 10).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter(rows)
+    shards = defaultdict(list)
+    for r in out:
+        shards[r.shard].append(r)
+    assert all(sorted(r.slot for r in own) == list(range(300)) for own in shards.values())
+    assert all(60 < sum(r.text == "same" for r in own) < 145 for own in shards.values())
+    again = sharding.shard_rows(df.repartition(7), 10).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, out))
+    few = sharding.copies_apart(df.withColumn("_h", F.xxhash64("doc_id", "text")), ["doc_id", "text"], 64)
+    assert few.count() == 3000 and few.select("_h").distinct().count() == 3000
+
+
 # ---- pipeline
 
 def test_pipeline_stages(spark):
