@@ -1,15 +1,15 @@
-"""Text cleaning: HTML to text (native regex chain) and ASCII folding.
+"""Text cleaning: HTML to text and ASCII folding.
 
-``html_to_text`` stays JVM-side (whole-stage codegen).  ``ascii_fold`` is the
-one place Python runs per batch: Spark has no Unicode normaliser, so an
-Arrow-batched UDF calls pyarrow's vectorised NFKD and strips what is left
-outside ASCII.  No per-row Python.
+Markup is removed by native expressions.  Character references and the ASCII
+fold are the one place where Python runs per batch: Spark has neither the
+standard's table of references nor a Unicode normaliser, so one Arrow-batched
+UDF decodes the texts that hold an ampersand and calls pyarrow's vectorised
+NFKD.
 """
 
 from __future__ import annotations
 
-import json
-from html.entities import html5
+from html import unescape
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,24 +17,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# FIXED VALUES: markup removed before tags; the references that the SQL twin
-# decodes (those of the test tables; ``&amp;`` last)
+# Markup removed before tags, to its end or that of the text; the references that
+# the SQL twin decodes (FIXED VALUES: those of the test tables; ``&amp;`` last).
+# A quoted attribute value may hold '>'; groups are possessive, so that long
+# tags are matched without recursion (RE2, which has none, reads the plain ones).
+_INSIDE = r"""(?:[^>=]{P}|=\s*{P}"[^"]*{P}"|=\s*{P}'[^']*{P}'|=)*{P}>"""
 _DROP_BLOCKS = [
-    r"(?s)<!--.*?-->",
-    r"(?is)<script\b[^>]*>.*?</script\s*>",
-    r"(?is)<style\b[^>]*>.*?</style\s*>",
-    r"(?is)<template\b[^>]*>.*?</template\s*>",
+    r"(?s)<!--.*?(?:-->|\z)",
+    r"(?is)<script\b{IN}.*?(?:</script\s*>|\z)",
+    r"(?is)<style\b{IN}.*?(?:</style\s*>|\z)",
+    r"(?is)<template\b{IN}.*?(?:</template\s*>|\z)",
 ]
 # a tag needs '<' followed by a letter, '/', '!' or '?', so "p < 0.05" survives
-_TAG = r"<[A-Za-z/!?][^>]*>"
+_TAG = r"<[A-Za-z/!?]{IN}"
 _ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-             ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"),
+             ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"),
              ("&middot;", "·"), ("&amp;", "&")]
-#: A character reference with its semicolon; what stands in it is group 1.
-_REFERENCE = r"&(#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,8}|[A-Za-z][A-Za-z0-9]{1,31});"
 _NON_ASCII = r"[^\x00-\x7F]"
 
 
+def _pattern(pattern: str, possessive: bool) -> str:
+    inside = _INSIDE.replace("[^>=]{P}", "[^>=]++" if possessive else "[^>=]")
+    return pattern.replace("{IN}", inside.replace("{P}", "+" if possessive else ""))
+
+
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
@@ -44,39 +50,38 @@ def null_text(col) -> Column:
     return F.coalesce(_c(col), F.lit(""))
 
 
-def _named_entities() -> Column:
-    """The standard's named references (Python's table of them) as a map."""
-    names = {n[:-1]: c for n, c in html5.items() if n.endswith(";")}
-    return F.from_json(F.lit(json.dumps(names)), "map<string,string>")  # folded to a literal
+def _unescape_array(arr: pa.Array) -> pa.Array:
+    """Numeric and named character references to characters in one pass (what
+    decoding makes is not decoded again), as the HTML standard reads them: the
+    longest name also without its semicolon; unknown names stay."""
+    some = pc.fill_null(pc.match_substring(arr, "&"), False)
+    if not pc.any(some).as_py():
+        return arr
+    decoded = pa.array([unescape(t) for t in pc.filter(arr, some).to_pylist()], arr.type)
+    return pc.replace_with_mask(arr, some, decoded)
+
+
+@F.arrow_udf(T.StringType())
+def _unescape_udf(s: pa.Array) -> pa.Array:
+    return _unescape_array(s)
 
 
 def decode_references(col) -> Column:
-    """Numeric and named character references to characters, in one pass (what
-    decoding makes is not decoded again); unknown names stay."""
-    c, names = _c(col), _named_entities()
+    """Character references decoded (Arrow batch UDF)."""
+    return _unescape_udf(_c(col))
 
-    def one(ref):
-        code = F.when(ref.rlike("^#[xX]"), F.conv(F.substr(ref, F.lit(3)), 16, 10)) \
-            .when(ref.startswith("#"), F.substr(ref, F.lit(2))).cast("long")
-        bad = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(F.when(bad, 0xFFFD).otherwise(code)), 8, "0")), "UTF-32")
-        return F.when(ref.startswith("#"), char).otherwise(F.coalesce(
-            F.try_element_at(names, ref), F.concat(F.lit("&"), ref, F.lit(";"))))
 
-    put = F.concat(F.transform(F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(1)), one),
-                   F.array(F.lit("")))
-    pairs = F.zip_with(F.split(c, _REFERENCE, -1), put, lambda a, b: F.array(a, b))
-    return F.when(c.rlike(_REFERENCE), F.array_join(F.flatten(pairs), "")).otherwise(c)
+def strip_markup(col) -> Column:
+    """Comments, script/style/template blocks and tags dropped: native."""
+    out = _c(col)
+    for pat in [*_DROP_BLOCKS, _TAG]:
+        out = F.regexp_replace(out, _pattern(pat, True), "")
+    return out
 
 
 def html_to_text(col) -> Column:
-    """drop comments, script/style/template blocks and tags, decode
-    character references.  Pure Catalyst expressions."""
-    out = _c(col)
-    for pat in _DROP_BLOCKS:
-        out = F.regexp_replace(out, pat, "")
-    out = F.regexp_replace(out, _TAG, "")
-    return decode_references(out)
+    """markup dropped, character references decoded."""
+    return decode_references(strip_markup(col))
 
 
 def html_title(col) -> Column:
@@ -99,18 +104,24 @@ def ascii_fold(col) -> Column:
     return _ascii_fold_udf(_c(col))
 
 
+@F.arrow_udf(T.StringType())
+def _unescape_fold_udf(s: pa.Array) -> pa.Array:
+    return _fold_array(_unescape_array(s))
+
+
 def clean_text(col) -> Column:
-    """Screening text: null to '', HTML to text, then ASCII fold."""
-    return ascii_fold(html_to_text(null_text(col)))
+    """Screening text: null to '', HTML to text, then ASCII fold (one batch
+    function for both of its halves)."""
+    return _unescape_fold_udf(strip_markup(null_text(col)))
 
 
 # ---- SQL (DuckDB) twins used by the oracle -------------------------------
 
 def sql_html_to_text(expr: str) -> str:
     out = expr
-    for pat in _DROP_BLOCKS:
-        out = f"regexp_replace({out}, '{pat}', '', 'g')"
-    out = f"regexp_replace({out}, '{_TAG}', '', 'g')"
+    for pat in [*_DROP_BLOCKS, _TAG]:
+        sql = _pattern(pat, False).replace("'", "''")
+        out = f"regexp_replace({out}, '{sql}', '', 'g')"
     for ent, rep in _ENTITIES:
         rep_sql = rep.replace("'", "''")
         out = f"replace({out}, '{ent}', '{rep_sql}')"

@@ -86,7 +86,7 @@ class RuleProvider:
 
     def answers_map(self, text: Column, qids: Iterable[str] | None = None) -> Column:
         """map<question_id, answer> for one paper, no shuffle.  Evidence is
-        not materialised here; ``evidence_for`` extracts it only for the
+        not materialised here; ``evidence_of`` extracts it only for the
         questions a walk actually asks."""
         qids = list(qids or self.question_ids)
         kv = []
@@ -103,12 +103,16 @@ class RuleProvider:
             out = F.when(qid == q, rule_answer(text, q, self.rules)).otherwise(out)
         return out
 
-    def evidence_for(self, text: Column, qid: Column,
-                     qids: Iterable[str] | None = None) -> Column:
-        """Evidence of the question named by column ``qid`` (one branch runs)."""
+    def evidence_of(self, text: Column, qid: Column, answer: Column,
+                    qids: Iterable[str] | None = None) -> Column:
+        """Evidence of an answer already given to the question named by column
+        ``qid``: one match of the one pattern that gave it."""
         out = F.lit(None).cast("string")
         for q in self.question_ids if qids is None else qids:
-            out = F.when(qid == q, rule_evidence(text, q, self.rules)).otherwise(out)
+            yes, unsure = self.rules[q]
+            own = (F.when(answer == "YES", F.regexp_extract(text, yes, 0))
+                   .when(answer == "UNSURE", F.regexp_extract(text, unsure, 0)).otherwise(F.lit("")))
+            out = F.when(qid == q, own).otherwise(out)
         return out
 
     def answer_wide(self, df: DataFrame, text: Column,

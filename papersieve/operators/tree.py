@@ -118,8 +118,9 @@ def walk(df: DataFrame, nodes: DataFrame, values_col: str = "answers",
 
     mode="answers" (C2): ``values_col`` is map<question, answer> or
     map<question, struct<answer, evidence>>; NO goes left, YES right, UNSURE
-    to ``unsure_id``.  ``evidence_fn(question_col)`` supplies evidence for
-    plain answer maps, evaluated only for the step actually taken.
+    to ``unsure_id``.  ``evidence_fn(question_col, answer_col)`` supplies
+    evidence for plain answer maps: once, after the walk, for the steps taken
+    (and not at all where nothing reads the trace).
     mode="encoded" (M10): ``values_col`` is map<question, double>; value <=
     threshold goes left.  A missing answer stops the walk with status
     'unanswered' and a null probability.
@@ -155,12 +156,7 @@ def walk(df: DataFrame, nodes: DataFrame, values_col: str = "answers",
         if mode == "answers":
             a = F.try_element_at(F.col(values_col), F.col("_n_feature"))
             ans = a.getField("answer") if structured else a
-            if structured:
-                ev = a.getField("evidence")
-            elif evidence_fn is not None:
-                ev = evidence_fn(F.col("_n_feature"))
-            else:
-                ev = F.lit(None).cast("string")
+            ev = a.getField("evidence") if structured else F.lit(None).cast("string")
             nxt = (F.when(ans == "NO", F.col("_n_left_id"))
                     .when(ans == "YES", F.col("_n_right_id"))
                     .when(ans == "UNSURE", F.col("_n_unsure_id")))
@@ -189,8 +185,14 @@ def walk(df: DataFrame, nodes: DataFrame, values_col: str = "answers",
     j = state.join(nb.withColumnRenamed("_n_tree_id", "tree_id")
                      .withColumnRenamed("_n_node_id", "_node"), on, "left")
     done = (F.col("status") == "walking") & F.col("_n_is_leaf")
+    carried = [F.col(c) for c in base_cols if c not in ("_node", "status")]
+    if evidence_fn is not None and not structured and "trace" in base_cols:
+        said = F.transform("trace", lambda s: s.withField(
+            "evidence", evidence_fn(s["question_id"], s["answer"])))
+        carried = [said.alias("trace") if c == "trace" else F.col(c)
+                   for c in base_cols if c not in ("_node", "status")]
     out = j.select(
-        *[c for c in base_cols if c not in ("_node", "status")],
+        *carried,
         F.when(F.col("status") == "unanswered", F.lit(None).cast(id_type))
          .otherwise(F.col("_node")).alias("leaf_id"),
         F.when(done, F.col("_n_p1")).alias("probability"),

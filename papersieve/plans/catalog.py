@@ -35,7 +35,7 @@ def register(name: str, sql: str | None):
 def _flat(papers: DataFrame, spark: SparkSession) -> DataFrame:
     s = screen(papers, fixture_nodes(spark))
     return s.select("paper_id", "status", "excluded_by", "leaf_id", "probability",
-                    "prediction", F.size("extracted_features").alias("n_steps"))
+                    "prediction", "n_steps")
 
 
 def screened(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +122,7 @@ def q_screen(spark, sf_dir):
 def q_html_screen(spark, sf_dir):
     s = screen(S.html_papers(spark, sf_dir), fixture_nodes(spark))
     return s.select("paper_id", "status", "excluded_by", "leaf_id", "probability",
-                    "prediction", F.size("extracted_features").alias("n_steps"))
+                    "prediction", "n_steps")
 
 
 # ---------------------------------------------------------------- A7, A8, W3, F10, P5
@@ -179,8 +179,10 @@ WALK_LABELLED_SQL = (
 
 def walked_labelled(spark, sf_dir):
     nodes = fixture_nodes(spark)
-    w = tree_walk(S.papers(spark, sf_dir), nodes, trace=False)
-    return leaf_assign(w, nodes).join(S.labels(spark, sf_dir), "paper_id")
+    lab = S.labels(spark, sf_dir)
+    # labelled papers only: cleaned, asked and walked after the semi join
+    papers = S.papers(spark, sf_dir).join(lab.select("paper_id"), "paper_id", "left_semi")
+    return leaf_assign(tree_walk(papers, nodes, trace=False), nodes).join(lab, "paper_id")
 
 
 @register("leaf_assign",

@@ -81,8 +81,7 @@ def lazy_walk(prepared: DataFrame, nodes: DataFrame, provider, store: DataFrame
             hit = F.lit(False)
             s_a = s_e = F.lit(None).cast("string")
         if native:
-            p_a = provider.answer_for(text, F.col("_n_feature"), qids)
-            p_e = provider.evidence_for(text, F.col("_n_feature"), qids)
+            p_a, p_e = provider.answer_for(text, F.col("_n_feature"), qids), F.lit(None).cast("string")
         else:
             got = ask(provider, j.where(need & ~hit).select(
                 "paper_id", F.col("_n_feature").alias("question_id"),
@@ -116,6 +115,10 @@ def lazy_walk(prepared: DataFrame, nodes: DataFrame, provider, store: DataFrame
             state = cut_lineage(state)
     j = state.join(nb, ["tree_id", "_node"], "left")
     done = (F.col("status") == "walking") & F.col("_n_is_leaf")
+    if native:  # evidence once, for the steps asked
+        j = j.withColumn("trace", F.transform("trace", lambda s: s.withField("evidence", F.when(
+            s["asked"], provider.evidence_of(text, s["question_id"], s["answer"], qids))
+            .otherwise(s["evidence"]))))
     return j.select(
         *[c for c in base if c not in ("_node", "status")],
         F.when(done, F.col("_node")).alias("leaf_id"),

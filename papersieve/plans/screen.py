@@ -77,7 +77,7 @@ def exclusion_check(prepared: DataFrame, provider: RuleProvider | None = None,
                     reasons=EXCLUSION_REASONS) -> DataFrame:
     provider = provider or RuleProvider()
     d = prepared.withColumn("_ex", provider.answers_map(F.col("text"), reasons))
-    ev = lambda q: provider.evidence_for(F.col("text"), q, reasons)
+    ev = lambda q: provider.evidence_of(F.col("text"), q, F.lit("YES"), reasons)
     return d.select("*", *exclusion_columns(F.col("_ex"), reasons=reasons,
                                             evidence_fn=ev)).drop("_ex")
 
@@ -89,7 +89,7 @@ def tree_walk(papers: DataFrame, nodes: DataFrame, provider: RuleProvider | None
     qids = list(qids or asked_questions(nodes, provider))
     d = with_answers(prepare(papers), provider, qids)
     return walk(d, nodes, "answers", trace=trace,
-                evidence_fn=lambda q: provider.evidence_for(F.col("text"), q, qids))
+                evidence_fn=lambda q, a: provider.evidence_of(F.col("text"), q, a, qids))
 
 
 def screen(papers: DataFrame, nodes: DataFrame, provider: RuleProvider | None = None,
@@ -98,14 +98,18 @@ def screen(papers: DataFrame, nodes: DataFrame, provider: RuleProvider | None =
     """C4: clean -> exclusion pre-check -> walk -> decision -> response.
 
     An excluded paper gets probability 0 and a one-step trace naming the
-    reason; everything else gets the walk's leaf share and trace."""
+    reason; everything else gets the walk's leaf share and trace.  Each pattern
+    of a question is tried once a paper; evidence is extracted after the walk,
+    for the steps taken and only where the trace is read."""
     provider = provider or RuleProvider()
     qids = list(qids or asked_questions(nodes, provider, reasons))
     d = prepare(papers).withColumn("answers", provider.answers_map(F.col("text"), qids))
-    ev = lambda among: lambda q: provider.evidence_for(F.col("text"), q, among)
-    d = d.select("*", *exclusion_columns(F.col("answers"), reasons=reasons,
-                                         evidence_fn=ev(list(reasons))))
-    w = walk(d, nodes, "answers", trace=True, evidence_fn=ev(qids))
+    text = F.col("text")
+    d = d.select("*", *exclusion_columns(
+        F.col("answers"), reasons=reasons,
+        evidence_fn=lambda q: provider.evidence_of(text, q, F.lit("YES"), list(reasons))))
+    w = walk(d, nodes, "answers", trace=True,
+             evidence_fn=lambda q, a: provider.evidence_of(text, q, a, qids))
     excluded = F.col("exclusion_status") == "excluded"
     ex_trace = F.array(F.struct(
         F.lit(0).alias("step"), F.lit(None).cast("int").alias("node_id"),
@@ -128,4 +132,5 @@ def screen(papers: DataFrame, nodes: DataFrame, provider: RuleProvider | None =
         F.lit(0).cast("long").alias("output_tokens"),
         F.when(excluded, ex_trace).otherwise(F.col("trace")).alias("extracted_features"),
         F.lit(model).alias("llm"),
+        F.when(excluded, F.lit(1)).otherwise(F.col("path_len")).alias("n_steps"),
     )

@@ -42,7 +42,7 @@ def flat_screen(papers: DataFrame, nodes: DataFrame, provider=None,
                 reasons=EXCLUSION_REASONS) -> DataFrame:
     s = screen(papers, nodes, provider or RuleProvider(), reasons)
     return s.select("paper_id", "status", "excluded_by", "leaf_id", "probability",
-                    "prediction", F.size("extracted_features").alias("n_steps"))
+                    "prediction", "n_steps")
 
 
 def stream_screen(spark: SparkSession, folder: str, nodes: DataFrame, out: str | None = None,

@@ -88,3 +88,29 @@ def test_character_references(spark):
            .select(decode_references("t")).collect()]
     assert got == [unescape(c) for c in cases]
     assert spark.createDataFrame([(None,)], "t string").select(decode_references("t")).collect()[0][0] is None
+
+
+def test_html_as_a_parser_reads_it(spark):
+    """Quoted attribute values, what is never closed, references without
+    semicolons, and long tags."""
+    cases = {'<a title="x > y">t</a>': "t", "<a title='x > y' b=\"</a>\">t</a>": "t",
+             "<p>a<!-- open": "a", "a<script>var x = 1;": "a", "a<style media='>'>p {}</style>b": "ab",
+             "<a title=it's>t</a>": "t", '<a href=x"y>t': "t", "A &amp B &lt c": "A & B < c",
+             "&ampx &notit; &notanamexx;": "&x ¬it; ¬anamexx;", "1 < 2 and 3 > 2": "1 < 2 and 3 > 2",
+             "<!doctype html><title>T</title>x": "Tx", "&#128512;&#x41;": "\U0001f600A",
+             "a<br/>b<hr >c": "abc", "<p data-x = \"1>2\">q": "q",
+             "<a " + "x='>' " * 20_000 + ">t": "t", "<!--" + "- " * 100_000 + "-->u": "u"}
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(cases)], "i int, v string")
+    got = {r.i: r.t for r in df.select("i", html_to_text("v").alias("t")).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
+def test_each_pattern_is_tried_once_a_paper(spark):
+    """The flat screen's plan tests no pattern twice and extracts no evidence."""
+    from papersieve.plans.catalog import screened
+
+    from .conftest import SF001
+    plan = screened(spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan
+    for pattern in (r"[#*$&%]{3}", r"[A-Za-z0-9._]+@", r"!!"):
+        assert plan.count(f"RLIKE {pattern} THEN") + plan.count(f"RLIKE {pattern})") == 1, pattern
