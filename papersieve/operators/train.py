@@ -94,7 +94,8 @@ def _k_features(max_features: F.Column, n_features: int) -> F.Column:
 def fit_trees(pats: DataFrame, configs: DataFrame, features: list[str],
               run_keys: tuple = ("run_id", "tree_id"), checkpoint: bool = True) -> DataFrame:
     """M4 + M5 (+ M6 when ``pats`` carries many tree_id): grow every fit in
-    ``pats`` (keys run_id, tree_id) under its configuration row.
+    ``pats`` (keys run_id, tree_id) under its configuration row.  A configuration
+    with ``masked`` (an array of features) grows without these (P9).
 
     Returns the node table: run_id, tree_id, node_id, depth, feature,
     threshold, left_id, right_id, n0, n1, impurity, n_samples."""
@@ -137,6 +138,8 @@ def fit_trees(pats: DataFrame, configs: DataFrame, features: list[str],
     ok = ((F.col("ln") >= F.col("min_samples_leaf")) & (rn_ >= F.col("min_samples_leaf"))
           & (F.col("ns") >= F.col("min_samples_split")) & (F.col("imp") > 1e-12)
           & (F.col("max_depth").isNull() | (F.col("depth") < F.col("max_depth"))))
+    if "masked" in configs.columns:
+        ok = ok & ~F.array_contains("masked", F.col("feature"))
     # max_features: a seeded subset of the features that can split here
     feat_rank = F.dense_rank().over(Window.partitionBy(*nk).orderBy(
         F.md5(F.concat_ws("-", F.col("seed").cast("string"),

@@ -926,6 +926,22 @@ def q_stream_dedupe(spark, sf_dir):
     return spark.read.parquet(out).select("paper_id", "question_id")
 
 
+@register("ablation", None)
+def q_ablation(spark, sf_dir):
+    """Questions ranked by the fold recall that their removal costs."""
+    return TRN.ablation(encoded_split(spark, sf_dir).where("split = 'train'"), FEATS, DEFAULT_TREE)
+
+
+@register("adopted_leaf_depth", D2_SQL + " SELECT node_id, depth FROM lv")
+def q_adopted_leaf_depth(spark, sf_dir):
+    """The depth-2 tree under foreign node ids and without depth, adopted."""
+    from ..sources.models import adopt
+    nodes = depth2_tree(spark, sf_dir)[0].drop("depth")
+    foreign = {c: F.when(F.col(c) >= 0, (F.col(c) * 37 + 11) % 101).otherwise(F.col(c))
+               for c in ("node_id", "left_id", "right_id")}
+    return XP.leaf_depth(adopt(nodes.withColumns(foreign))).select("node_id", "depth")
+
+
 #: TTL of the registered memo stream: short enough for answers to expire.
 MEMO_TTL_SECONDS = 5 * 24 * 3600
 

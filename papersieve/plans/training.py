@@ -123,6 +123,34 @@ def grid_search(rows: DataFrame, features: list[str], grid: dict = TREE_GRID,
             .withColumn("rank", F.row_number().over(w)))
 
 
+def ablation(rows: DataFrame, features: list[str], config: dict, label: str = "label",
+             seed: int = RANDOM_STATE) -> DataFrame:
+    """What the removal of each question does to the fold recall, in one
+    level loop: a run a (question, fold) with that question masked, and one a
+    fold with all.  One row a question (null: none removed) with the mean fold
+    metrics, the recall lost and the rank by it."""
+    train, held = fold_patterns(rows, features, label)
+    runs = rows.sparkSession.createDataFrame(
+        [(f"{q or 'all'}-f{f}", q, f, [q] if q else [], seed) for q in [None, *features]
+         for f in range(N_FOLDS)],
+        "run_id string, removed string, cv_fold int, masked array<string>, seed int")
+    settings = configs_df(rows.sparkSession, [{**{k: config[k] for k in CONFIG_KEYS if config.get(k)
+                                                  is not None}, "run_id": "x"}]).drop("run_id", "seed")
+    cfg = runs.select("run_id", "masked", "seed").join(F.broadcast(settings))  # one row of settings
+    side = F.broadcast(runs.select("run_id", "cv_fold"))  # questions x folds
+    nodes = cut_lineage(fit_trees(train.join(side, "cv_fold").drop("cv_fold"), cfg, features))
+    pred = predict_patterns(held.join(side, "cv_fold").withColumn("tree_id", F.lit(0)), nodes, features)
+    scores = cv_scores(pred, ["run_id"]).join(runs, "run_id")
+    agg = cut_lineage(scores.groupBy("removed").agg(
+        *[F.avg(m).alias(f"mean_{m}") for m in ("recall", "precision", "accuracy", "specificity")],
+        F.count(F.lit(1)).alias("n_folds")))
+    base = agg.where("removed IS NULL").select(F.col("mean_recall").alias("_all"))
+    from pyspark.sql import Window
+    w = Window.orderBy(F.col("removed").isNull(), F.col("recall_lost").desc(), "removed")  # one row a question
+    return (agg.join(F.broadcast(base)).withColumn("recall_lost", F.round(F.col("_all") - F.col("mean_recall"), 12))
+            .drop("_all").withColumn("rank", F.when(F.col("removed").isNotNull(), F.row_number().over(w))))
+
+
 def best_config(results: DataFrame) -> dict:
     """The refit configuration (rank 1)."""
     return results.where("rank = 1").first().asDict()
