@@ -41,6 +41,11 @@ class Memo(dict):
         self[key] = value
         return value
 
+    def forget(self):
+        """Empty, as a task ends: the worker lives on."""
+        self.clear()
+        self.old = {}
+
 
 @lru_cache(1)
 def byte_letters() -> dict[str, str]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from .bpe import Memo, Offsets, Vocabulary, byte_letters, vocabulary
-from .frames import pieces, read_table, take_columns
+from .frames import give_back, pieces, read_table, take_columns
 
 #: Fixed value: how the word vocabulary's file splits a normalised text.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -143,6 +143,8 @@ def encode_decode_texts(docs: DataFrame, path: str) -> DataFrame:
             texts = pa.array([own.decode(x) for x in found], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, texts],
                                              ["doc_id", "ids", "decoded"])
+        own.words.forget()
+        give_back()
 
     return take_columns(docs, "doc_id", "text").mapInArrow(
         rows, "doc_id long, ids array<int>, decoded string")

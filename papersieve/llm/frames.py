@@ -7,6 +7,7 @@ an operator's own output names.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,6 +81,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[first:last], offsets - first
 
 
+def give_back() -> None:
+    """Free memory of this Python worker back to the system.  Spark keeps workers
+    from task to task, and the C library keeps what numpy has freed, so without
+    this every worker stays as large as its largest task was."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str,
            most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows of about ``most`` text bytes, so the
@@ -96,3 +107,5 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str,
             to = min(max(to, at + 1), n)
             yield batch.slice(at, to - at)
             at = to
+        del batch
+    give_back()

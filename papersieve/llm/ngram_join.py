@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from ..config import cut_lineage
 from .components import components
-from .frames import groups_for, pieces, read_table, take_columns, text_bytes, with_plain_names
+from .frames import give_back, groups_for, pieces, read_table, take_columns, text_bytes, with_plain_names
 from .words import PLACE, U, mix, shingle_sets
 
 WIDTH = 5
@@ -155,6 +155,7 @@ def frequent_columns(docs: DataFrame, n_blocks: int) -> np.ndarray:
             yield from send()
 
     def often(table: pa.Table) -> pa.Table:
+        give_back()  # of the group before
         many = table["many"].to_numpy()
         once = unpack(table["data"].filter(pa.array(many == 0)), "<u4")
         more = unpack(table["data"].filter(pa.array(many == 1)), [("low", "<u4"), ("n", "<u4")])
@@ -244,7 +245,7 @@ def products(rows: np.ndarray, component: np.ndarray | None = None) -> np.ndarra
         pair["c"] = 1
         out.append(pair)
         held += len(pair)
-        if held > FLUSH:
+        if held > FLUSH // 4:
             out = [added(np.concatenate(out))]
             held = 0
     return added(np.concatenate(out)) if out else np.zeros(0, PAIR)
@@ -278,6 +279,7 @@ def multiply(packed_entries: DataFrame, n_blocks: int) -> DataFrame:
     others were made from."""
 
     def one(table: pa.Table) -> pa.Table:
+        give_back()  # of the group before
         rows, size = columns(unpack(table["data"], ENTRY))
         out = []
         pairs = products(rows[size <= OFTEN])
@@ -318,6 +320,7 @@ def multiply_frequent(parts: DataFrame, linked: DataFrame, n_blocks: int) -> Dat
                     ["bucket", "node"])
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()  # of the group before
         rows, _ = columns(unpack(left["data"], ENTRY))
         node, component = right["node"].to_numpy(), right["component"].to_numpy()
         order = np.argsort(node)
@@ -344,6 +347,7 @@ def possible(parts: DataFrame) -> DataFrame:
     """(a, b) of the pairs whose added counts can still reach a link."""
 
     def one(table: pa.Table) -> pa.Table:
+        give_back()  # of the group before
         pairs = added(unpack(table["data"], PAIR))
         na, nb = pairs["na"].astype(np.int64), pairs["nb"].astype(np.int64)
         beyond = (PERCENT * np.maximum(na, nb) + 99) // 100 - 1
