@@ -201,3 +201,59 @@ def test_toxic_copies_leave_other_toxic_words(spark):
     got = {r.doc_id: r.score for r in toxicity.score_toxicity(fresh, weight, bias).collect()}
     clean = got.pop(1000)
     assert clean < 0.5 and min(got.values()) > clean
+
+
+def test_toxicity_scores_equal_plain_python(spark):
+    """Scores of given weights, word by word."""
+    import math
+
+    import pyarrow as pa
+    docs = read_table(spark, SMALL, "documents", "doc_id", "text")
+    rng = np.random.default_rng(1)
+    weight = np.where(rng.random(1 << toxicity.BUCKET_BITS) < .3,
+                      rng.normal(0, 2, 1 << toxicity.BUCKET_BITS), 0).astype(np.float32)
+    bucket = {}
+
+    def of(word):
+        if word not in bucket:
+            bucket[word] = int(toxicity.word_buckets(pa.array([word]))[1][0])
+        return bucket[word]
+
+    got = {r.doc_id: (r.score, r.predicted) for r in toxicity.score_toxicity(docs, weight, -1.5).collect()}
+    for r in docs.collect():
+        low = re.sub("[A-Z]", lambda m: m.group().lower(), r.text or "")
+        words = {of(w) for w in re.findall("[a-z0-9\u0080-\U0010ffff]+", low)}
+        z = -1.5 + sum(float(weight[b]) for b in words)
+        want = 1 / (1 + math.exp(-max(-500, min(500, z))))
+        assert abs(got[r.doc_id][0] - want) < 1e-6
+        assert got[r.doc_id][1] == int(got[r.doc_id][0] >= 0.5)
+
+
+def test_nnpu_fit_equals_plain_python():
+    """The corrected risk and its steps, written out for single numbers."""
+    import math
+    rng = np.random.default_rng(3)
+    xp, xu = (rng.random((n, 3)) < p for n, p in ((12, .7), (20, .3)))
+    xp, xu, prior, steps = xp.astype(float), xu.astype(float), 0.2, 40
+    w, m, v = [0.0] * 4, [0.0] * 4, [0.0] * 4  # the last one is the bias
+    w[3] = math.log(prior / (1 - prior))
+
+    def score(x):
+        return sum(a * b for a, b in zip(x, w)) + w[3]
+
+    for t in range(1, steps + 1):
+        clean = sum(math.log1p(math.exp(score(x))) for x in xu) / len(xu) \
+            - prior * sum(math.log1p(math.exp(score(x))) for x in xp) / len(xp)
+
+        def slope(rows, of, i):
+            return sum(of(1 / (1 + math.exp(-score(x)))) * (x[i] if i < 3 else 1) for x in rows) / len(rows)
+        g = []
+        for i in range(4):
+            g_clean = slope(xu, lambda s: s, i) - prior * slope(xp, lambda s: s, i)
+            own = prior * slope(xp, lambda s: s - 1, i) + g_clean if clean >= 0 else -g_clean
+            g.append(own + (toxicity.RIDGE * w[i] if i < 3 else 0))
+        for i in range(4):
+            m[i], v[i] = 0.9 * m[i] + 0.1 * g[i], 0.999 * v[i] + 0.001 * g[i] ** 2
+            w[i] -= toxicity.RATE * (m[i] / (1 - 0.9**t)) / (math.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
+    got, bias = toxicity.nnpu_fit(xp, xu, prior, steps)
+    assert np.allclose([*got, bias], w, atol=1e-9)
