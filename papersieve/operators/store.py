@@ -1,7 +1,7 @@
 """The answer store: memoised answers with an expiry.
 
-The store is an ordinary table (parquet in the shared folder, bucketed by
-paper_id when written with ``write_store``) of writes:
+The store is an ordinary table (parquet in the shared folder, partitioned by
+question_id when written with ``write_store``) of writes:
     answer_key, paper_id, question_id, model, mode, answered_at, payload
 "Newest write wins" is a ``max_by`` aggregate, not a window: the partial
 aggregate collapses each key map-side, so a key holding a third of all
