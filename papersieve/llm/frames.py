@@ -7,7 +7,6 @@ an operator's own output names.
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,10 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch between the JVM and a Python worker: texts reach
-#: megabytes, and Spark's default of 10,000 rows is held whole on both sides.
-ARROW_ROWS = 1_000
-ARROW_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+from ..config import give_back, short_batches  # noqa: F401 (give_back: for the operators)
+
 #: Text bytes handled at once by the numpy code of a task.  A longer text is
 #: handled alone and whole.
 BATCH_BYTES = 1 << 19
@@ -39,12 +36,6 @@ def with_plain_names(df: DataFrame, *names: str):
     return plain, lambda out: out.select(*plain.columns).toDF(*have)
 
 
-def short_batches(spark) -> None:
-    """ARROW_ROWS for the session, unless it has a setting of its own."""
-    if spark.conf.get(ARROW_ROWS_KEY, None) is None:
-        spark.conf.set(ARROW_ROWS_KEY, ARROW_ROWS)
-
-
 def take_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, found by exact name (else by the first name
     equal but for case).  Extra columns never clash.  Texts then go to Python
@@ -81,16 +72,6 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[first:last], offsets - first
 
 
-def give_back() -> None:
-    """Free memory of this Python worker back to the system.  Spark keeps workers
-    from task to task, and the C library keeps what numpy has freed, so without
-    this every worker stays as large as its largest task was."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-    if trim is not None:
-        trim(0)
-
-
 def pieces(batches: Iterator[pa.RecordBatch], text: str,
            most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows of about ``most`` text bytes, so the
