@@ -6,10 +6,10 @@ over its n-grams of log(target probability / raw probability); its verdict is
 the comparison of that score with one threshold, for every document alike.
 
 The raw counts cover the whole corpus: each task counts its rows into a fixed
-table of BUCKETS numbers and one aggregation adds these up.  The target is a
-classifier's training set: at most TRUSTED labelled rows, those with the
-smallest hash of their id.  The threshold is SLACK below the TAIL quantile of
-the trusted documents' own scores (or below 0), so clean text passes.
+table of BUCKETS numbers and one aggregation adds these up.  The target covers
+every document labelled quality 1: their ids are joined to the documents, never
+collected.  The threshold is SLACK below the TAIL quantile of the trusted
+documents' own scores (or below 0), so clean text passes.
 """
 
 from __future__ import annotations
@@ -21,14 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import bounded_broadcast, cut_lineage
 from .frames import pieces, read_table, take_columns, text_bytes, with_plain_names
 from .words import IS_WORD, U, mix, span_hashes, windows, word_spans
 
 BUCKETS = 1 << 16
 #: Widths of the byte n-grams.
 WIDTHS = (2, 4)
-#: Most trusted documents (labelled quality 1) in the target multinomial.
-TRUSTED = 50_000
+#: Scores are whole multiples of 1 / SCORE_UNIT; a rank is found in steps of STEPS.
+SCORE_UNIT = 10**9
+STEPS = (10**6, 10**3, 1)
 TAIL = 0.002
 #: Nats an n-gram below the trusted documents' tail that still pass.
 SLACK = 0.25
@@ -75,27 +77,28 @@ def ngram_scores(buf: np.ndarray, offsets: np.ndarray, ratio: np.ndarray) -> np.
     return np.round(sums / np.maximum(counts, 1), 9)
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> np.ndarray:
-    """Ids of at most ``most`` documents labelled quality 1, smallest hash of
-    the id first.  This bound is a parameter of the classifier's fit."""
-    rows = (take_columns(labels, "doc_id", "quality")
-            .filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect())
-    return np.sort(np.array([r[0] for r in rows], np.int64))
+def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text and ``trusted``: whether the document is labelled quality 1.
+    The ids are broadcast only where they are measured to be few; null ids are
+    never trusted."""
+    ids = (take_columns(labels, "doc_id", "quality")
+           .filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct())
+    return (take_columns(docs, "doc_id", "text")
+            .join(bounded_broadcast(ids.withColumn("_trusted", F.lit(True))), "doc_id", "left")
+            .select("doc_id", "text", F.col("_trusted").isNotNull().alias("trusted")))
 
 
-def fit_ratio(docs: DataFrame, trusted: np.ndarray) -> np.ndarray:
-    """log(target / raw) of every bucket.  All zero (every text scores 0, none
-    is rejected) where there is no document or no trusted one."""
+def fit_ratio(docs: DataFrame) -> np.ndarray:
+    """log(target / raw) of every bucket, ``docs`` having ``trusted``.  All zero
+    (every text scores 0, none is rejected) where there is no document or no
+    trusted one."""
 
     def count(batches):
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for b in pieces(batches, "text"):
             buf, offsets = text_bytes(b.column("text"))
             raw += ngram_counts(buf, offsets)
-            ids = np.array(b.column("doc_id").fill_null(-1).cast(pa.int64()))
-            known = b.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-            for i in np.flatnonzero(np.isin(ids, trusted) & known):
+            for i in np.flatnonzero(b.column("trusted").to_numpy(zero_copy_only=False)):
                 target += ngram_counts(buf[offsets[i]:offsets[i + 1]],
                                        offsets[i:i + 2] - offsets[i])
         at = np.flatnonzero(raw)
@@ -104,7 +107,7 @@ def fit_ratio(docs: DataFrame, trusted: np.ndarray) -> np.ndarray:
                 [pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])],
                 ["bucket", "raw", "target"])
 
-    rows = (take_columns(docs, "doc_id", "text")
+    rows = (docs.select("text", "trusted")
             .mapInArrow(count, "bucket int, raw long, target long")
             .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
             .toPandas())  # BUCKETS rows at most
@@ -119,25 +122,44 @@ def fit_ratio(docs: DataFrame, trusted: np.ndarray) -> np.ndarray:
     return np.round(ratio * 2**20) / 2**20
 
 
-def fit_threshold(docs: DataFrame, trusted: np.ndarray, ratio: np.ndarray) -> float:
-    """SLACK below the TAIL quantile of the trusted documents' scores, or
-    below 0 where that is less; minus infinity without trusted documents."""
+def nth_smallest(keys: DataFrame, n: int) -> int:
+    """The value at place ``n`` (from 0) of the long column ``key``, found in
+    STEPS: each counts the values by their leading part, among those that share
+    the part found before, so a step reads at most a few thousand counts."""
+    part = keys
+    for step in STEPS:
+        counts = sorted(part.groupBy(F.floor(F.col("key") / F.lit(step)).alias("at")).count().collect())
+        for at, many in counts:
+            if n < many:
+                break
+            n -= many
+        part = part.where(F.floor(F.col("key") / F.lit(step)) == at)
+    return at
+
+
+def fit_threshold(docs: DataFrame, ratio: np.ndarray) -> float:
+    """SLACK below the TAIL quantile (exact, interpolated) of the trusted
+    documents' scores, or below 0 where that is less; minus infinity without
+    trusted documents."""
 
     def score(batches):
-        for b in batches:
-            ids = b.column("doc_id")
-            own = b.filter(pa.array(np.isin(
-                np.array(ids.fill_null(-1).cast(pa.int64())), trusted)
-                & ids.is_valid().to_numpy(zero_copy_only=False)))
-            for p in pieces([own], "text"):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ngram_scores(*text_bytes(p.column("text")), ratio))], ["score"])
-
-    if not len(trusted):
+        for p in pieces(batches, "text"):
+            scores = ngram_scores(*text_bytes(p.column("text")), ratio)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.rint(scores * SCORE_UNIT).astype(np.int64))], ["key"])
+
+    # one number a trusted document
+    keys = cut_lineage(docs.where("trusted").select("text").mapInArrow(score, "key long"))
+    n = keys.count()
+    if not n:
         return float("-inf")
-    found = (take_columns(docs, "doc_id", "text").mapInArrow(score, "score double")
-             .agg(F.percentile("score", F.lit(TAIL))).first()[0])
-    return min(found, 0.0) - SLACK if found is not None else float("-inf")
+    place = (n - 1) * TAIL
+    low = int(place)
+    found = nth_smallest(keys, low) / SCORE_UNIT
+    if place > low:
+        above = nth_smallest(keys, low + 1) / SCORE_UNIT
+        found = found if above == found else (low + 1 - place) * found + (place - low) * above
+    return min(found, 0.0) - SLACK
 
 
 def repeat_word_counts(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -205,11 +227,16 @@ def score_quality(docs: DataFrame, ratio: np.ndarray, threshold: float) -> DataF
               "n_repeat_words long, base_failed boolean, kept boolean, score double")
 
 
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
+    """(ratio, threshold) from all documents and all that are trusted."""
+    own = with_trust(docs, labels)
+    ratio = fit_ratio(own)
+    return ratio, fit_threshold(own, ratio)
+
+
 def passing(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, columns as they are."""
-    trusted = trusted_ids(labels)
-    ratio = fit_ratio(docs, trusted)
-    threshold = fit_threshold(docs, trusted, ratio)
+    ratio, threshold = fit(docs, labels)
 
     def rows(batches):
         for b in pieces(batches, "text"):
@@ -223,9 +250,7 @@ def passing(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def fitted_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fit on ``docs`` and ``labels``, then score every document.  Repeated
     rows count and are scored each; an empty table gives an empty one."""
-    trusted = trusted_ids(labels)
-    ratio = fit_ratio(docs, trusted)
-    return score_quality(docs, ratio, fit_threshold(docs, trusted, ratio))
+    return score_quality(docs, *fit(docs, labels))
 
 
 def quality_rules(spark, sf_dir: str) -> DataFrame:
