@@ -72,3 +72,41 @@ def test_every_event_comes_out_once(spark):
     n = spark.read.parquet(f"{SF001}/events.parquet").count()
     assert out.count() == n == out.select("event_id").distinct().count()
     assert out.where(F.col("outcome").isin("hit") & F.col("answer").isNull()).count() == 0
+
+
+def test_streams_read_tables_of_many_files(spark, tmp_path):
+    """A table may be a directory of files, as well as one file."""
+    from papersieve.operators.tree import fixture_nodes
+    from papersieve.streaming.stream import stream_screen
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    parts = spark.read.parquet(stream_screen(spark, str(tmp_path), fixture_nodes(spark)))
+    whole = spark.read.parquet(stream_screen(spark, SF001, fixture_nodes(spark)))
+    assert parts.count() == docs.count()
+    assert parts.exceptAll(whole.select(parts.columns)).count() == 0
+
+
+def test_memo_handles_rows_not_frames():
+    """A key's requests come as rows: no pandas frame a key."""
+    class State:
+        value, kept = None, []
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def registerTimer(self, at):
+            self.kept.append(at)
+
+        def deleteTimer(self, at):
+            self.kept.remove(at)
+    memo = MS.AnswerMemo(100)
+    memo.memo = memo.handle = state = State()
+    row = MS.Row("event_id", "at", "valid", "answer", "evidence")
+    asked = [row(2, 50, True, "NO", "b"), row(1, 0, True, "YES", "a"), row(3, 150, True, "NO", "c")]
+    out = list(memo.handleInputRows((7, "I01"), iter(asked), None))
+    assert [(r.event_id, r.outcome, r.answer) for r in out] == [
+        (1, "miss", "YES"), (2, "hit", "YES"), (3, "expired", "NO")]
+    assert state.value == ("NO", "c", 150) and state.kept == [350]
