@@ -224,6 +224,8 @@ def poisson_weights(pats: DataFrame, n_trees: int | str, seed: int = RANDOM_STAT
     columns (per-run values)."""
     nt = F.col(n_trees) if isinstance(n_trees, str) else F.lit(n_trees)
     x = pats.select("*", F.explode(F.sequence(F.lit(0), nt - 1)).alias("tree_id"))
+    # patterns fill few partitions: their copies, one a tree, are dealt to all tasks
+    x = x.repartition(*[c for c in ("run_id", "tree_id") if c in x.columns])
     bs = F.col(bootstrap) if isinstance(bootstrap, str) else F.lit(bool(bootstrap))
     pcols = pattern_cols or [c for c in pats.columns if c not in ("n", "w0", "w1")]
     key = F.concat_ws("|", F.lit(str(seed)), F.col("tree_id").cast("string"),
@@ -288,8 +290,8 @@ def _forest_fold_scores(train: DataFrame, held: DataFrame, g: DataFrame,
     # then the fold's balanced class weights on the drawn counts
     pats = poisson_weights(pats, "n_estimators", seed, "bootstrap",
                            pattern_cols=["run_id", *features]).drop("n_estimators", "bootstrap")
-    pats = cut_lineage(pats.withColumn("w0", F.col("w0") * F.col("cw0"))
-                       .withColumn("w1", F.col("w1") * F.col("cw1")).drop("cw0", "cw1"))
+    pats = (pats.withColumn("w0", F.col("w0") * F.col("cw0"))
+            .withColumn("w1", F.col("w1") * F.col("cw1")).drop("cw0", "cw1"))
     cfg = runs.select("run_id", "criterion", "max_depth", "min_samples_split",
                       "min_samples_leaf", "max_features", F.lit(seed).alias("seed"))
     nodes = cut_lineage(fit_trees(pats, cfg, features))
