@@ -66,7 +66,8 @@ def fold_patterns(rows: DataFrame, features: list[str], label: str = "label",
 
     The train side of fold f is every other fold: per-fold pattern counts
     expanded over the folds they train (a generator over n_folds values)."""
-    per = patterns(rows, features, label, keys=["fold"], weight=weight)
+    # computed once: both sides and the class totals read it
+    per = cut_lineage(patterns(rows, features, label, keys=["fold"], weight=weight))
     train = (per.select("*", F.explode(F.array(*[F.lit(i) for i in range(n_folds)]))
                         .alias("cv_fold"))
              .where(F.col("fold") != F.col("cv_fold"))
@@ -160,7 +161,7 @@ def fit_final(rows: DataFrame, features: list[str], config: dict, label: str = "
               oversample: bool = True, run_id: str = "final", k: int = SMOTEN_K) -> DataFrame:
     """Fit one tree on all given rows (SMOTEN first when asked): node table."""
     spark = rows.sparkSession
-    pats = patterns(rows, features, label)
+    pats = cut_lineage(patterns(rows, features, label))
     if oversample:
         pats = pats.unionByName(smoten(pats, features, k=k).drop("is_synthetic"))
         pats = pats.groupBy(*features).agg(F.sum("n").alias("n"), F.sum("w0").alias("w0"),
@@ -174,6 +175,7 @@ def search_and_fit(rows: DataFrame, features: list[str], grid: dict = TREE_GRID,
     """Search, refit, final fit: the grid on the training folds of ``rows`` (with
     ``split`` and ``fold``), then one tree of the best configuration on train
     and validation together.  (configuration, node table)."""
+    rows = cut_lineage(rows)  # the texts behind the answers are read once
     results = grid_search(rows.where("split = 'train'"), features, grid, label)
     config = best_config(results)
     final = fit_final(rows.where("split IN ('train', 'val')"), features,
@@ -399,6 +401,7 @@ def smote_forest_sweep(rows: DataFrame, features: list[str], configs: list[dict]
     cleaned and oversampled train and validation rows, and the threshold sweep
     of the test rows, contradictions and all.  One row a threshold; ``chosen``
     marks the highest that reaches the target recall (else the last)."""
+    rows = cut_lineage(rows)  # the texts behind the answers are read once
     results = forest_search(rows.where("split = 'train'"), features, configs, label)
     config = best_config(results)
     nodes, bins = fit_smote_forest(rows.where("split IN ('train', 'val')"), features, config, label,
