@@ -1,5 +1,6 @@
 """Texts reach Python workers in short batches whatever the number of rows."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from papersieve.config import ARROW_BYTES, ARROW_BYTES_KEY, ARROW_ROWS, ARROW_ROWS_KEY
@@ -7,7 +8,6 @@ from papersieve.plans.screen import prepare
 
 
 def batch_sizes(batches):
-    import pyarrow as pa
     for b in batches:
         yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
 
@@ -24,3 +24,20 @@ def test_cleaning_reads_short_batches(spark):
     sizes = cleaned.select("abstract").mapInArrow(batch_sizes, "n long, size long").agg(
         F.sum("n"), F.max("n"), F.max("size")).first()
     assert sizes[0] == 12_000 and sizes[1] <= ARROW_ROWS and sizes[2] <= 2 * ARROW_BYTES
+
+
+def test_cleaning_function_gets_short_batches_of_long_texts(spark):
+    s = spark.newSession()
+    for key in (ARROW_ROWS_KEY, ARROW_BYTES_KEY):
+        s.conf.unset(key)
+    size = 20_000
+    papers = s.range(3_000, numPartitions=1).select(
+        F.col("id").alias("paper_id"), F.lit("").alias("title"), F.repeat(F.lit("x"), size).alias("abstract"))
+
+    @F.arrow_udf("struct<n: long, size: long>")
+    def batch(texts: pa.Array) -> pa.Array:
+        return pa.array([{"n": len(texts), "size": texts.nbytes}] * len(texts))
+    # a function of the cleaned texts, run as the cleaning is, a batch at a time
+    got = prepare(papers).select(batch("abstract").alias("b"), F.length("text").alias("length")).agg(
+        F.count("*"), F.max("b.n"), F.max("b.size"), F.min("length")).first()
+    assert got[0] == 3_000 and got[1] <= ARROW_ROWS and got[2] <= 2 * ARROW_BYTES and got[3] >= size
