@@ -49,6 +49,7 @@ def test_cleaning_function_gets_short_batches_of_long_texts(spark):
 #: What cleans the texts of each query: itself, or the step before its fit.
 CLEANING = {
     "replayed_precheck": C.q_replayed_precheck,
+    "lazy_screen": C.q_lazy_screen,
 }
 
 
