@@ -50,6 +50,7 @@ def test_cleaning_function_gets_short_batches_of_long_texts(spark):
 CLEANING = {
     "replayed_precheck": C.q_replayed_precheck,
     "lazy_screen": C.q_lazy_screen,
+    "predict_proba": C.encoded_split,
 }
 
 
