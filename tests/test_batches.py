@@ -51,6 +51,7 @@ CLEANING = {
     "replayed_precheck": C.q_replayed_precheck,
     "lazy_screen": C.q_lazy_screen,
     "predict_proba": C.encoded_split,
+    "trained_screen": C.screened,
 }
 
 
